@@ -129,3 +129,131 @@ top AS (SELECT * FROM cand ORDER BY dist, o_orderkey LIMIT {top})
 SELECT CAST(row_number() OVER (ORDER BY dist, o_orderkey) AS INTEGER) AS rank, o_orderkey, cluster,
        {r6('dist')} AS distance, round(1.0::DOUBLE / (1.0::DOUBLE + dist), 4) AS similarity_score
 FROM top"""
+
+
+# ---------------------------------------------------------------- statistics
+def union_all(parts: Sequence[str]) -> str:
+    return "\nUNION ALL\n".join(parts)
+
+
+def describe_sql(src: str, fs: Sequence[str]) -> str:
+    return union_all([
+        f"SELECT '{f}' AS feature, count({f}) AS count, {r6(f'avg({f})')} AS mean, "
+        f"{r6(f'stddev_samp({f})')} AS std, {r6(f'min({f})')} AS min, "
+        f"{r6(f'quantile_cont({f}, 0.25)')} AS p25, {r6(f'quantile_cont({f}, 0.5)')} AS p50, "
+        f"{r6(f'quantile_cont({f}, 0.75)')} AS p75, {r6(f'max({f})')} AS max FROM {src}"
+        for f in fs])
+
+
+def feature_summary_sql(src: str, fs: Sequence[str]) -> str:
+    return union_all([
+        f"SELECT '{f}' AS feature, {r6(f'avg({f})')} AS mean, {r6(f'stddev_samp({f})')} AS std, "
+        f"{r6(f'min({f})')} AS min, {r6(f'max({f})')} AS max, {r6(f'max({f}) - min({f})')} AS range "
+        f"FROM {src}" for f in fs])
+
+
+def bounds_cte(src: str, fs: Sequence[str]) -> str:
+    return ", ".join(
+        f"quantile_cont({f}, 0.25) - 1.5 * (quantile_cont({f}, 0.75) - quantile_cont({f}, 0.25)) AS lo_{f}, "
+        f"quantile_cont({f}, 0.75) + 1.5 * (quantile_cont({f}, 0.75) - quantile_cont({f}, 0.25)) AS hi_{f}"
+        for f in fs)
+
+
+def outlier_flag(f: str) -> str:
+    return f"coalesce(({f} < lo_{f}) OR ({f} > hi_{f}), false)"
+
+
+def iqr_outliers_sql(src_cte: str, src: str, fs: Sequence[str]) -> str:
+    body = union_all([
+        f"SELECT '{f}' AS feature, CAST(sum(CASE WHEN {outlier_flag(f)} THEN 1 ELSE 0 END) AS BIGINT) "
+        f"AS n_outliers, {r6(pct(f'sum(CASE WHEN {outlier_flag(f)} THEN 1 ELSE 0 END)', 'count(*)'))} "
+        f"AS pct_outliers FROM {src}, b" for f in fs])
+    return f"WITH {src_cte}b AS (SELECT {bounds_cte(src, fs)} FROM {src})\n{body}"
+
+
+def rows_with_outlier_sql(src_cte: str, src: str, fs: Sequence[str]) -> str:
+    anyo = " OR ".join(outlier_flag(f) for f in fs)
+    return (f"WITH {src_cte}b AS (SELECT {bounds_cte(src, fs)} FROM {src})\n"
+            f"SELECT CAST(sum(CASE WHEN {anyo} THEN 1 ELSE 0 END) AS BIGINT) AS n_rows_with_outlier, "
+            f"{r6(pct(f'sum(CASE WHEN {anyo} THEN 1 ELSE 0 END)', 'count(*)'))} AS pct_rows FROM {src}, b")
+
+
+def deepdive_sql(src_cte: str, src: str, fs: Sequence[str]) -> str:
+    parts = []
+    for f in fs:
+        q1, q3 = f"quantile_cont({f}, 0.25)", f"quantile_cont({f}, 0.75)"
+        parts.append(
+            f"SELECT '{f}' AS feature, {r6(f'min({f})')} AS min, {r6(f'max({f})')} AS max, "
+            f"{r6(f'max({f}) - min({f})')} AS range, {r6(f'avg({f})')} AS mean, "
+            f"{r6(f'quantile_cont({f}, 0.5)')} AS median, {r6(f'stddev_samp({f})')} AS std, "
+            f"{r6(f'skewness({f})')} AS skew, {r6(f'kurtosis({f})')} AS kurt, "
+            f"{r6(f'{q3} - {q1}')} AS iqr, "
+            f"(SELECT CAST(sum(CASE WHEN {outlier_flag(f)} THEN 1 ELSE 0 END) AS BIGINT) FROM {src}, b) AS n_outliers, "
+            f"(SELECT {r6(pct(f'sum(CASE WHEN {outlier_flag(f)} THEN 1 ELSE 0 END)', 'count(*)'))} FROM {src}, b) AS pct_outliers "
+            f"FROM {src}")
+    return f"WITH {src_cte}b AS (SELECT {bounds_cte(src, fs)} FROM {src})\n" + union_all(parts)
+
+
+def corr_expr(a: str, b: str) -> str:
+    if a == b:
+        return f"CASE WHEN var_pop({a}) > 0 THEN 1.0::DOUBLE END"
+    return f"covar_pop({a}, {b}) / NULLIF(sqrt(var_pop({a}) * var_pop({b})), 0)"
+
+
+def corr_sql(src: str, fs: Sequence[str], where: str = "") -> str:
+    return union_all([f"SELECT '{a}' AS feature_1, '{b}' AS feature_2, {r6(corr_expr(a, b))} AS r "
+                      f"FROM {src} {where}" for a in fs for b in fs])
+
+
+def corr_pairs_sql(src_cte: str, src: str, fs: Sequence[str], t: float = 0.3, strong: float = 0.5) -> str:
+    pairs = union_all([f"SELECT '{a}' AS feature_1, '{b}' AS feature_2, {r6(corr_expr(a, b))} AS r FROM {src}"
+                       for i, a in enumerate(fs) for j, b in enumerate(fs) if i < j])
+    return (f"WITH {src_cte}p AS ({pairs})\n"
+            f"SELECT feature_1, feature_2, r, concat_ws(' ', CASE WHEN r > 0 THEN '+' ELSE '-' END, "
+            f"CASE WHEN abs(r) > {strong} THEN 'STRONG' ELSE 'MODERATE' END) AS strength "
+            f"FROM p WHERE abs(r) > {t}")
+
+
+def value_counts_sql(src: str, col: str, n: int) -> str:
+    return (f"SELECT {col} AS value, count(*) AS count, "
+            f"{r6(pct('count(*)', f'(SELECT count(*) FROM {src})'))} AS pct "
+            f"FROM {src} WHERE {col} IS NOT NULL GROUP BY {col} ORDER BY count DESC, value LIMIT {n}")
+
+
+def histogram_sql(src: str, fs: Sequence[str], bins: int) -> str:
+    lv = union_all([f"SELECT '{f}' AS feature, CAST({f} AS DOUBLE) AS value FROM {src} WHERE {f} IS NOT NULL"
+                    for f in fs])
+    return f"""WITH lv AS ({lv}),
+rng0 AS (SELECT feature, min(value) AS mn, max(value) AS mx FROM lv GROUP BY feature),
+rng AS (SELECT feature, CASE WHEN mn = mx THEN mn - 0.5 ELSE mn END AS lo,
+               CASE WHEN mn = mx THEN mx + 0.5 ELSE mx END AS hi FROM rng0),
+cnt AS (SELECT lv.feature, CAST(least(floor((value - lo) * {bins} / (hi - lo)), {bins - 1}) AS INTEGER) AS bin,
+               count(*) AS c FROM lv JOIN rng USING (feature) GROUP BY ALL),
+grid AS (SELECT feature, lo, hi, CAST(b AS INTEGER) AS bin FROM rng, range(0, {bins}) t(b))
+SELECT g.feature, g.bin, {r6('lo + g.bin * ((hi - lo) / ' + str(bins) + ')')} AS bin_lo,
+       {r6('lo + (g.bin + 1) * ((hi - lo) / ' + str(bins) + ')')} AS bin_hi,
+       CAST(coalesce(c, 0) AS BIGINT) AS count
+FROM grid g LEFT JOIN cnt USING (feature, bin)"""
+
+
+def box_sql(src: str, fs: Sequence[str], group: str | None = None) -> str:
+    g = f"{group}, " if group else ""
+    gb = f"GROUP BY {group}" if group else ""
+    lv = union_all([f"SELECT {g}'{f}' AS feature, CAST({f} AS DOUBLE) AS value FROM {src} WHERE {f} IS NOT NULL"
+                    for f in fs])
+    on = f"USING ({group}, feature)" if group else "USING (feature)"
+    return f"""WITH lv AS ({lv}),
+q AS (SELECT {g}feature, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.5) AS median,
+             quantile_cont(value, 0.75) AS q3 FROM lv GROUP BY {g}feature),
+j AS (SELECT lv.*, q1, median, q3, q1 - 1.5 * (q3 - q1) AS lo, q3 + 1.5 * (q3 - q1) AS hi FROM lv JOIN q {on})
+SELECT {g}feature, count(*) AS n, {r6('any_value(q1)')} AS q1, {r6('any_value(median)')} AS median,
+       {r6('any_value(q3)')} AS q3,
+       {r6('min(CASE WHEN value >= lo AND value <= hi THEN value END)')} AS whisker_lo,
+       {r6('max(CASE WHEN value >= lo AND value <= hi THEN value END)')} AS whisker_hi,
+       CAST(sum(CASE WHEN value >= lo AND value <= hi THEN 0 ELSE 1 END) AS BIGINT) AS n_fliers
+FROM j GROUP BY {g}feature"""
+
+
+def keyword_case(expr: str, mapping: Sequence[tuple[str, str]], other: str = "Other") -> str:
+    whens = " ".join(f"WHEN contains(lower({expr}), '{k}') THEN '{v}'" for k, v in mapping)
+    return f"CASE {whens} ELSE '{other}' END"

@@ -11,3 +11,289 @@ from .plans.similar_orders import similar_orders
 @register("similar_orders", O.similar_orders_sql())
 def q_similar_orders(spark, sf):
     return similar_orders(spark, sf)
+
+from pyspark.sql import functions as F  # noqa: E402
+
+from .functions.columns import rnd  # noqa: E402
+from .functions.scalar import GENRE_KEYWORDS, PART_KEYWORDS, decade_of_timestamp, keyword_family  # noqa: E402
+from .operators import clean as C  # noqa: E402
+from .operators import stats as S  # noqa: E402
+from .operators import transform as T  # noqa: E402
+from .plans.tables import (LINE_FEATURES, ORDER_FEATURES, documents_labelled,  # noqa: E402
+                           order_features, table)
+
+LI_COLS = ("l_orderkey,l_partkey,l_suppkey,l_linenumber,l_quantity,l_extendedprice,"
+           "l_discount,l_tax,l_returnflag,l_linestatus,l_shipdate")
+DL = "dl AS (SELECT d.*, l.quality, l.toxic FROM documents d LEFT JOIN labels l USING (doc_id))"
+DL_COLS = [("doc_id", "bigint", "numeric"), ("text", "string", "text"), ("lang", "string", "text"),
+           ("source", "string", "text"), ("n_chars", "bigint", "numeric"),
+           ("quality", "int", "numeric"), ("toxic", "int", "numeric")]
+
+
+# ---------------------------------------------------------------- A1-A4, P3
+@register("table_overview_lineitem",
+          f"SELECT count(*) AS n_rows, CAST(11 AS BIGINT) AS n_columns, '{LI_COLS}' AS columns FROM lineitem")
+def q_table_overview(spark, sf):
+    return S.table_overview(table(spark, sf, "lineitem"))
+
+
+@register("dtypes_nonnull_documents_labels", f"WITH {DL}\n" + O.union_all([
+    f"SELECT CAST({i} AS INTEGER) AS position, '{c}' AS \"column\", '{t}' AS dtype, '{k}' AS kind, "
+    f"count({c}) AS non_null FROM dl" for i, (c, t, k) in enumerate(DL_COLS, 1)]))
+def q_dtypes(spark, sf):
+    return S.dtypes_nonnull(documents_labelled(spark, sf))
+
+
+@register("missing_report_documents_labels", f"WITH {DL}, m AS (" + O.union_all([
+    f"SELECT '{c}' AS \"column\", CAST(count(*) - count({c}) AS BIGINT) AS n_missing, "
+    f"{O.r6(O.pct(f'count(*) - count({c})', 'count(*)'))} AS pct_missing FROM dl"
+    for c, _, _ in DL_COLS]) + ") SELECT * FROM m WHERE n_missing > 0")
+def q_missing(spark, sf):
+    return S.missing_report(documents_labelled(spark, sf))
+
+
+@register("duplicates_documents", O.union_all([
+    "SELECT 'row' AS key, CAST(count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM documents)) AS BIGINT) AS duplicates FROM documents",
+    "SELECT 'text' AS key, CAST(count(*) - (SELECT count(*) FROM (SELECT DISTINCT text FROM documents)) AS BIGINT) AS duplicates FROM documents",
+    "SELECT 'text_lang' AS key, CAST(count(*) - (SELECT count(*) FROM (SELECT DISTINCT text, lang FROM documents)) AS BIGINT) AS duplicates FROM documents"]))
+def q_duplicates(spark, sf):
+    return S.duplicate_profile(table(spark, sf, "documents"),
+                               {"row": None, "text": ["text"], "text_lang": ["text", "lang"]})
+
+
+# ---------------------------------------------------------------- A5-A11
+@register("describe_lineitem", O.describe_sql("lineitem", LINE_FEATURES))
+def q_describe(spark, sf):
+    return S.describe(table(spark, sf, "lineitem"), LINE_FEATURES)
+
+
+@register("feature_summary_orders", f"WITH {O.ORDER_FEATURES_CTE}\n" + O.feature_summary_sql("ofeat", ORDER_FEATURES))
+def q_feature_summary(spark, sf):
+    return S.feature_summary(order_features(spark, sf), ORDER_FEATURES)
+
+
+@register("feature_deepdive_orders", O.deepdive_sql(O.ORDER_FEATURES_CTE + ",\n", "ofeat", ORDER_FEATURES))
+def q_deepdive_orders(spark, sf):
+    return S.feature_deepdive(order_features(spark, sf), ORDER_FEATURES)
+
+
+@register("feature_deepdive_doc_chars", O.deepdive_sql("", "documents", ["n_chars"]))
+def q_deepdive_docs(spark, sf):
+    return S.feature_deepdive(table(spark, sf, "documents"), ["n_chars"])
+
+
+@register("iqr_outliers_lineitem", O.iqr_outliers_sql("", "lineitem", LINE_FEATURES))
+def q_iqr_outliers(spark, sf):
+    return S.iqr_outliers(table(spark, sf, "lineitem"), LINE_FEATURES)
+
+
+@register("rows_with_outlier_orders", O.rows_with_outlier_sql(O.ORDER_FEATURES_CTE + ",\n", "ofeat", ORDER_FEATURES))
+def q_rows_with_outlier(spark, sf):
+    return S.rows_with_outlier(order_features(spark, sf), ORDER_FEATURES)
+
+
+@register("correlation_matrix_lineitem", O.corr_sql("lineitem", LINE_FEATURES))
+def q_corr(spark, sf):
+    return S.correlation_matrix(table(spark, sf, "lineitem"), LINE_FEATURES)
+
+
+@register("correlation_lower_orders", f"WITH {O.ORDER_FEATURES_CTE}, c AS ({O.corr_sql('ofeat', ORDER_FEATURES)})\n"
+          "SELECT * FROM c WHERE " + " OR ".join(
+              f"(feature_1 = '{a}' AND feature_2 = '{b}')" for i, a in enumerate(ORDER_FEATURES)
+              for j, b in enumerate(ORDER_FEATURES) if i > j))
+def q_corr_lower(spark, sf):
+    f = order_features(spark, sf)
+    return S.correlation_lower(S.correlation_matrix(f, ORDER_FEATURES), ORDER_FEATURES)
+
+
+@register("correlated_pairs_orders", O.corr_pairs_sql(O.ORDER_FEATURES_CTE + ",\n", "ofeat", ORDER_FEATURES))
+def q_corr_pairs(spark, sf):
+    return S.correlated_pairs(order_features(spark, sf), ORDER_FEATURES, 0.3)
+
+
+# ---------------------------------------------------------------- A12-A16, A28
+@register("value_counts_part_brand", O.value_counts_sql("part", "p_brand", 15))
+def q_vc_brand(spark, sf):
+    return S.value_counts(table(spark, sf, "part"), "p_brand", 15)
+
+
+@register("value_counts_events_type", O.value_counts_sql("events", "event_type", 15))
+def q_vc_events(spark, sf):
+    return S.value_counts(table(spark, sf, "events"), "event_type", 15)
+
+
+@register("distinct_count_documents", O.union_all([
+    f"SELECT '{c}' AS \"column\", count(DISTINCT {c}) AS n_distinct FROM documents"
+    for c in ("lang", "source", "text")]))
+def q_distinct(spark, sf):
+    return S.distinct_count(table(spark, sf, "documents"), ["lang", "source", "text"])
+
+
+@register("min_max_orderdate",
+          "SELECT count(DISTINCT strftime(o_orderdate, '%Y-%m-%d')) AS n_distinct, "
+          "min(strftime(o_orderdate, '%Y-%m-%d')) AS earliest, max(strftime(o_orderdate, '%Y-%m-%d')) AS latest FROM orders")
+def q_min_max_text(spark, sf):
+    o = table(spark, sf, "orders").select(F.date_format("o_orderdate", "yyyy-MM-dd").alias("d"))
+    return S.min_max_text(o, "d")
+
+
+@register("flag_counts_toxic", f"WITH {DL}\n"
+          "SELECT CAST(toxic AS BIGINT) AS flag, CASE WHEN toxic = 1 THEN 'Explicit' ELSE 'Clean' END AS label, "
+          f"count(*) AS count, {O.r6(O.pct('count(*)', '(SELECT count(*) FROM dl)'))} AS pct "
+          "FROM dl WHERE toxic IS NOT NULL GROUP BY toxic")
+def q_flag_counts(spark, sf):
+    return S.flag_counts(documents_labelled(spark, sf), "toxic")
+
+
+@register("quality_summary_documents_labels", f"WITH {DL}\n"
+          "SELECT CAST(sum(" + " + ".join(f"CASE WHEN {c} IS NULL THEN 1 ELSE 0 END" for c, _, _ in DL_COLS) +
+          ") AS BIGINT) AS total_missing, "
+          "CAST(count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM dl)) AS BIGINT) AS duplicate_rows, "
+          "count(*) AS n_rows, CAST(7 AS BIGINT) AS n_columns, "
+          "CASE WHEN sum(" + " + ".join(f"CASE WHEN {c} IS NULL THEN 1 ELSE 0 END" for c, _, _ in DL_COLS) +
+          ") = 0 AND count(*) = (SELECT count(*) FROM (SELECT DISTINCT * FROM dl)) THEN 'GOOD' ELSE 'NEEDS CLEANING' END AS verdict FROM dl")
+def q_quality_summary(spark, sf):
+    return S.quality_summary(documents_labelled(spark, sf))
+
+
+@register("decade_summary_orders",
+          "SELECT count(d) AS n_valid, array_to_string(list_sort(list_distinct(list(CAST(d AS VARCHAR)))), ',') AS decades "
+          "FROM (SELECT CAST(floor(year(o_orderdate) / 10) * 10 AS INTEGER) AS d FROM orders)")
+def q_decade_summary(spark, sf):
+    o = table(spark, sf, "orders").select(decade_of_timestamp("o_orderdate").alias("decade"))
+    return S.decade_summary(o)
+
+
+# ---------------------------------------------------------------- V1-V3
+@register("histogram_lineitem", O.histogram_sql("lineitem", LINE_FEATURES, 50))
+def q_histogram(spark, sf):
+    return S.histogram(table(spark, sf, "lineitem"), LINE_FEATURES, 50)
+
+
+@register("histogram_doc_chars", O.histogram_sql("documents", ["n_chars"], 60))
+def q_histogram_docs(spark, sf):
+    return S.histogram(table(spark, sf, "documents"), ["n_chars"], 60)
+
+
+@register("box_stats_orders_minmax", f"WITH {O.ORDER_FEATURES_CTE}, {O.minmax_cte('mm', 'ofeat', 'o_orderkey', ORDER_FEATURES)}\n"
+          + O.box_sql("mm", ORDER_FEATURES).replace("WITH lv AS", ", lv AS", 1).replace(", lv AS", "lv AS", 0))
+def q_box(spark, sf):
+    f = order_features(spark, sf)
+    scaled, _ = T.scale(f, ORDER_FEATURES, "minmax")
+    return S.box_stats(scaled, ORDER_FEATURES)
+
+
+@register("popularity_by_brand", O.box_sql("part", ["p_retailprice"], "p_brand"))
+def q_box_by_brand(spark, sf):
+    return S.box_stats(table(spark, sf, "part"), ["p_retailprice"], ["p_brand"])
+
+
+# ---------------------------------------------------------------- P1-P10, P16-P17
+@register("zscore_orders", f"WITH {O.ORDER_FEATURES_CTE}, {O.zscore_cte('z', 'ofeat', 'o_orderkey', ORDER_FEATURES)}\n"
+          "SELECT o_orderkey, " + ", ".join(f"{O.r6(f)} AS {f}" for f in ORDER_FEATURES) + " FROM z")
+def q_zscore(spark, sf):
+    f = order_features(spark, sf).select("o_orderkey", *ORDER_FEATURES)
+    z, _ = T.scale(f, ORDER_FEATURES, "standard")
+    return z.select("o_orderkey", *[rnd(F.col(c)).alias(c) for c in ORDER_FEATURES])
+
+
+@register("minmax_orders", f"WITH {O.ORDER_FEATURES_CTE}, {O.minmax_cte('mm', 'ofeat', 'o_orderkey', ORDER_FEATURES)}\n"
+          "SELECT o_orderkey, " + ", ".join(f"{O.r6(f)} AS {f}" for f in ORDER_FEATURES) + " FROM mm")
+def q_minmax(spark, sf):
+    f = order_features(spark, sf).select("o_orderkey", *ORDER_FEATURES)
+    m, _ = T.scale(f, ORDER_FEATURES, "minmax")
+    return m.select("o_orderkey", *[rnd(F.col(c)).alias(c) for c in ORDER_FEATURES])
+
+
+@register("inverse_scale_orders", f"WITH {O.ORDER_FEATURES_CTE}\n"
+          "SELECT o_orderkey, " + ", ".join(f"{O.r6(f)} AS {f}" for f in ORDER_FEATURES) + " FROM ofeat")
+def q_inverse_scale(spark, sf):
+    f = order_features(spark, sf).select("o_orderkey", *ORDER_FEATURES)
+    z, params = T.scale(f, ORDER_FEATURES, "standard")
+    back = T.inverse_scale(z, ORDER_FEATURES, params)
+    return back.select("o_orderkey", *[rnd(F.col(c)).alias(c) for c in ORDER_FEATURES])
+
+
+@register("log1p_doc_chars", f"SELECT doc_id, {O.r6('ln(1 + n_chars)')} AS n_chars FROM documents")
+def q_log1p(spark, sf):
+    out, _ = T.log_transform(table(spark, sf, "documents").select("doc_id", "n_chars"), "n_chars")
+    return out.select("doc_id", rnd(F.col("n_chars")).alias("n_chars"))
+
+
+@register("log1p_report_doc_chars",
+          f"SELECT 'n_chars' AS \"column\", {O.r6('max(n_chars)')} AS max_before, {O.r6('ln(1 + max(n_chars))')} AS max_after FROM documents")
+def q_log1p_report(spark, sf):
+    _, rep = T.log_transform(table(spark, sf, "documents"), "n_chars")
+    return rep
+
+
+WINS = "t AS (SELECT quantile_cont(n_chars, 0.95) AS t FROM documents)"
+
+
+@register("winsorize_doc_chars", f"WITH {WINS} SELECT doc_id, {O.r6('CASE WHEN n_chars > t THEN t ELSE CAST(n_chars AS DOUBLE) END')} AS n_chars FROM documents, t")
+def q_winsorize(spark, sf):
+    out, _ = T.winsorize(table(spark, sf, "documents").select("doc_id", "n_chars"), ["n_chars"], 0.95)
+    return out.select("doc_id", rnd(F.col("n_chars")).alias("n_chars"))
+
+
+@register("winsorize_report_doc_chars", f"WITH {WINS} SELECT 'n_chars' AS \"column\", {O.r6('any_value(t)')} AS threshold, "
+          "CAST(sum(CASE WHEN n_chars > t THEN 1 ELSE 0 END) AS BIGINT) AS n_clipped FROM documents, t")
+def q_winsorize_report(spark, sf):
+    _, rep = T.winsorize(table(spark, sf, "documents"), ["n_chars"], 0.95)
+    return rep
+
+
+@register("clean_report_documents_labels", f"WITH {DL}, dd AS (SELECT DISTINCT * FROM dl)\n"
+          "SELECT CAST((SELECT count(*) FROM dl) AS BIGINT) AS rows_in, "
+          "CAST((SELECT count(*) FROM dl) - (SELECT count(*) FROM dd) AS BIGINT) AS duplicates_removed, "
+          "CAST((SELECT count(*) FROM dd) - (SELECT count(*) FROM dd WHERE " +
+          " AND ".join(f"{c} IS NOT NULL" for c, _, _ in DL_COLS) + ") AS BIGINT) AS null_rows_removed, "
+          "CAST((SELECT count(*) FROM dd WHERE " + " AND ".join(f"{c} IS NOT NULL" for c, _, _ in DL_COLS) +
+          ") AS BIGINT) AS rows_out")
+def q_clean_report(spark, sf):
+    return C.clean_report(documents_labelled(spark, sf))
+
+
+@register("clean_documents_labels", f"WITH {DL}\nSELECT DISTINCT doc_id, lang, source, n_chars, quality, toxic FROM dl WHERE " +
+          " AND ".join(f"{c} IS NOT NULL" for c, _, _ in DL_COLS))
+def q_clean(spark, sf):
+    return C.clean(documents_labelled(spark, sf)).select(
+        "doc_id", "lang", "source", "n_chars", "quality", "toxic")
+
+
+@register("drop_duplicates_documents", "SELECT DISTINCT doc_id, lang, source, n_chars, sha256(text) AS text_sha FROM documents")
+def q_drop_dups(spark, sf):
+    d = C.drop_duplicate_rows(table(spark, sf, "documents"))
+    return d.select("doc_id", "lang", "source", "n_chars", F.sha2("text", 256).alias("text_sha"))
+
+
+@register("split_features_part", "SELECT p_partkey, p_size, p_retailprice FROM part")
+def q_split(spark, sf):
+    _, feats = C.split_columns(table(spark, sf, "part"), ["p_name", "p_brand", "p_type"], [], "p_partkey")
+    return feats
+
+
+@register("fill_null_documents_labels", f"WITH {DL}\nSELECT doc_id, coalesce(quality, -1) AS quality, coalesce(toxic, -1) AS toxic FROM dl")
+def q_fill_null(spark, sf):
+    return C.fill_null(documents_labelled(spark, sf), {"quality": -1, "toxic": -1}).select(
+        "doc_id", "quality", "toxic")
+
+
+# ---------------------------------------------------------------- X1, X2
+@register("keyword_family_part", f"SELECT p_partkey, p_name, {O.keyword_case('p_name', PART_KEYWORDS)} AS family FROM part")
+def q_family_part(spark, sf):
+    p = table(spark, sf, "part")
+    return p.select("p_partkey", "p_name", keyword_family("p_name", PART_KEYWORDS).alias("family"))
+
+
+@register("genre_family_documents", f"SELECT doc_id, {O.keyword_case('text', GENRE_KEYWORDS)} AS family FROM documents")
+def q_family_docs(spark, sf):
+    d = table(spark, sf, "documents")
+    return d.select("doc_id", keyword_family("text").alias("family"))
+
+
+@register("decade_counts_orders",
+          "SELECT CAST(floor(year(o_orderdate) / 10) * 10 AS INTEGER) AS decade, count(*) AS count FROM orders GROUP BY 1")
+def q_decades(spark, sf):
+    o = table(spark, sf, "orders")
+    return o.groupBy(decade_of_timestamp("o_orderdate").alias("decade")).agg(F.count(F.lit(1)).alias("count"))
