@@ -10,6 +10,7 @@ median over 100 TB.  Here the work is spread instead:
    slice of each group;
 3. per (group, partition) totals - a table of O(partitions + groups) rows -
    give each slice its offset inside its group by a running sum;
+   (the sliced table is checkpointed once, so both reads see one partitioning);
 4. a running sum inside each slice gives every distinct value its rank span;
 5. only the (at most two per probability) values whose span covers the
    interpolation ranks ``floor((n-1)p)`` and ``+1`` survive a filter and are
@@ -27,6 +28,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 _V = "_qv"
 _C = "_qc"
 _PID = "_qpid"
@@ -56,6 +59,10 @@ def grouped_quantiles(df: DataFrame, value: str, probs: Sequence[float],
     counts = base.groupBy(*g, _V).agg(F.count(F.lit(1)).alias(_C))
     ranged = counts.repartitionByRange(parts, *[F.col(c) for c in g], F.col(_V)) \
                    .withColumn(_PID, F.spark_partition_id())
+    # The slices are read twice (totals, then ranks).  Range bounds come from
+    # sampling, so two evaluations could disagree on which slice holds a
+    # value; a reliable checkpoint fixes one partitioning for both reads.
+    ranged = cut_lineage(ranged)
 
     # offsets of each (group, range partition) slice: O(partitions + groups) rows
     slice_tot = ranged.groupBy(*g, _PID).agg(F.sum(_C).alias("_st"))

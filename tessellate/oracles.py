@@ -257,3 +257,19 @@ FROM j GROUP BY {g}feature"""
 def keyword_case(expr: str, mapping: Sequence[tuple[str, str]], other: str = "Other") -> str:
     whens = " ".join(f"WHEN contains(lower({expr}), '{k}') THEN '{v}'" for k, v in mapping)
     return f"CASE {whens} ELSE '{other}' END"
+
+
+def clustered_raw_sql() -> str:
+    """CTE chain ending in ``labr`` (cluster + unscaled order features + metadata)."""
+    return clustered_orders_sql() + ",\nlabr AS (SELECT l.cluster, f.* FROM lab l JOIN ofeat f USING (o_orderkey))"
+
+
+def cluster_name_sql(rules, other: str = "balanced", sep: str = " + ") -> str:
+    items = ", ".join(f"CASE WHEN {f} {op} {t} THEN '{name}' END" for f, op, t, name in rules)
+    lst = f"list_filter([{items}], lambda x: x IS NOT NULL)"
+    return f"CASE WHEN len({lst}) = 0 THEN '{other}' ELSE array_to_string({lst}[1:2], '{sep}') END"
+
+
+def display_sql(cid: str, label: str | None = None) -> str:
+    lab = f"WHEN {label} IS NOT NULL THEN printf('C%d: %s', {cid}, {label}) " if label else ""
+    return f"CASE WHEN {cid} = -1 THEN 'Noise' {lab}ELSE printf('Cluster %d', {cid}) END"

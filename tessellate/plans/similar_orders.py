@@ -28,9 +28,15 @@ N_ITER = 3
 TOP = 10
 
 
+META = ["o_custkey", "o_orderstatus", "o_orderpriority", "o_orderdate"]
+
+
 def clustered_orders(spark: SparkSession, sf_dir: str, k: int = K, n_iter: int = N_ITER,
                      persist: bool = True) -> DataFrame:
-    feats = order_features(spark, sf_dir).select(ORDER_ID, *ORDER_FEATURES)
+    """(o_orderkey, z-scored features, raw_<feature>..., metadata, cluster)."""
+    f = order_features(spark, sf_dir)
+    feats = f.select(ORDER_ID, *ORDER_FEATURES, *[F.col(c).alias(f"raw_{c}") for c in ORDER_FEATURES],
+                     *META)
     scaled, _ = scale(feats, ORDER_FEATURES, "standard")
     if persist:
         scaled = scaled.persist(StorageLevel.MEMORY_AND_DISK)
@@ -39,6 +45,14 @@ def clustered_orders(spark: SparkSession, sf_dir: str, k: int = K, n_iter: int =
     return nearest_centroid(scaled, cen, ORDER_FEATURES, k, out="cluster")
 
 
+def clustered_orders_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The clustered orders with the unscaled features under their own names
+    (profiles describe the transformed, unscaled values)."""
+    c = clustered_orders(spark, sf_dir)
+    return c.select(ORDER_ID, "cluster", *META,
+                    *[F.col(f"raw_{f}").alias(f) for f in ORDER_FEATURES])
+
+
 def query_order(spark: SparkSession, sf_dir: str):
     """The order asked about: the most expensive order that has lines
     (ties -> smallest key), as a scalar."""

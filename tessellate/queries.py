@@ -297,3 +297,279 @@ def q_family_docs(spark, sf):
 def q_decades(spark, sf):
     o = table(spark, sf, "orders")
     return o.groupBy(decade_of_timestamp("o_orderdate").alias("decade")).agg(F.count(F.lit(1)).alias("count"))
+
+
+# ====================================================================== profiles
+from .functions.scalar import display_name  # noqa: E402
+from .operators import assign as A  # noqa: E402
+from .operators import profile as PR  # noqa: E402
+from .operators import quality as Q  # noqa: E402
+from .operators import sample as SM  # noqa: E402
+from .operators.kmeans import initial_centres_first_rows, kmeans_lloyd  # noqa: E402
+from .plans.similar_orders import clustered_orders, clustered_orders_raw  # noqa: E402
+from .plans.tables import embedding_features  # noqa: E402
+
+# Rules naming the order clusters (own values for the driver's order table)
+ORDER_NAME_RULES = (
+    ("o_totalprice", ">", 300000.0, "high-value"),
+    ("o_totalprice", "<", 200000.0, "low-value"),
+    ("n_lines", ">", 5.0, "many-lines"),
+    ("n_lines", "<", 3.5, "few-lines"),
+    ("avg_disc", ">", 0.055, "discounted"),
+    ("avg_tax", ">", 0.045, "high-tax"),
+)
+CL = O.clustered_raw_sql()
+
+
+def _orders_profile(spark, sf):
+    return PR.cluster_profile(clustered_orders_raw(spark, sf), "cluster", ORDER_FEATURES)
+
+
+def _orders_named(spark, sf):
+    return PR.name_clusters(_orders_profile(spark, sf), ORDER_NAME_RULES)
+
+
+PROFILE_SQL = ("prof AS (SELECT cluster, " + ", ".join(f"{O.r6(f'avg({f})')} AS {f}" for f in ORDER_FEATURES) +
+               " FROM labr GROUP BY cluster)")
+NAMES_SQL = f"names AS (SELECT cluster, {O.cluster_name_sql(ORDER_NAME_RULES)} AS cluster_label FROM prof)"
+
+
+@register("kmeans_lloyd_centres_orders", "WITH " + ",\n".join([
+    O.ORDER_FEATURES_CTE, O.zscore_cte("z", "ofeat", "o_orderkey", ORDER_FEATURES),
+    O.first_rows_centres("c0", "z", "o_orderkey", ORDER_FEATURES, 3),
+    O.lloyd_ctes("km", "z", "c0", ORDER_FEATURES, 3, 3, "o_orderkey")[0]]) +
+    "\nSELECT cid, " + ", ".join(f"{O.r6(f)} AS {f}" for f in ORDER_FEATURES) + " FROM km_c3")
+def q_lloyd(spark, sf):
+    f = order_features(spark, sf).select("o_orderkey", *ORDER_FEATURES)
+    z, _ = T.scale(f, ORDER_FEATURES, "standard")
+    z = z.persist()
+    init = initial_centres_first_rows(z, ORDER_FEATURES, "o_orderkey", 3)
+    cen = kmeans_lloyd(z, ORDER_FEATURES, init, 3, 3)
+    return cen.select("cid", *[rnd(F.col(c)).alias(c) for c in ORDER_FEATURES])
+
+
+@register("cluster_sizes_orders", f"WITH {CL}\nSELECT cluster, count(*) AS count, "
+          f"{O.r6(O.pct('count(*)', 'sum(count(*)) OVER ()'))} AS pct, {O.display_sql('cluster')} AS display "
+          "FROM labr GROUP BY cluster")
+def q_sizes(spark, sf):
+    return PR.cluster_sizes(clustered_orders(spark, sf), "cluster")
+
+
+@register("cluster_profile_orders", f"WITH {CL}, {PROFILE_SQL}\nSELECT * FROM prof")
+def q_profile(spark, sf):
+    return _orders_profile(spark, sf)
+
+
+@register("profile_normalised_orders", f"WITH {CL}, {PROFILE_SQL}\nSELECT cluster, " + ", ".join(
+    f"{O.r6(f'CASE WHEN max({f}) OVER () = min({f}) OVER () THEN 0.0 ELSE ({f} - min({f}) OVER ()) / (max({f}) OVER () - min({f}) OVER ()) END')} AS {f}"
+    for f in ORDER_FEATURES) + " FROM prof")
+def q_profile_norm(spark, sf):
+    return PR.profile_normalised(_orders_profile(spark, sf), ORDER_FEATURES)
+
+
+@register("profile_long_orders", f"WITH {CL}, {PROFILE_SQL}, pn AS (SELECT cluster, " + ", ".join(
+    f"{O.r6(f'CASE WHEN max({f}) OVER () = min({f}) OVER () THEN 0.0 ELSE ({f} - min({f}) OVER ()) / (max({f}) OVER () - min({f}) OVER ()) END')} AS {f}"
+    for f in ORDER_FEATURES) + " FROM prof),\nlv AS (" + O.union_all(
+    [f"SELECT cluster, '{f}' AS axis, CAST({i} AS INTEGER) AS position, {f} AS value FROM pn"
+     for i, f in enumerate(ORDER_FEATURES)] +
+    [f"SELECT cluster, '{ORDER_FEATURES[0]}' AS axis, CAST({len(ORDER_FEATURES)} AS INTEGER) AS position, "
+     f"{ORDER_FEATURES[0]} AS value FROM pn"]) + ")\nSELECT * FROM lv")
+def q_profile_long(spark, sf):
+    return PR.profile_long(_orders_profile(spark, sf), ORDER_FEATURES, normalise=True, close=True)
+
+
+@register("name_clusters_orders", f"WITH {CL}, {PROFILE_SQL}, {NAMES_SQL}\nSELECT * FROM names")
+def q_names(spark, sf):
+    return _orders_named(spark, sf)
+
+
+@register("labelled_orders_export", f"WITH {CL}, {PROFILE_SQL}, {NAMES_SQL}\n"
+          "SELECT o_orderkey, labr.cluster, cluster_label, "
+          f"{O.display_sql('labr.cluster', 'cluster_label')} AS display, "
+          "CAST(floor(year(o_orderdate) / 10) * 10 AS INTEGER) AS decade FROM labr LEFT JOIN names USING (cluster)")
+def q_export_labels(spark, sf):
+    lab = A.label_join(clustered_orders_raw(spark, sf), _orders_named(spark, sf), "cluster", "cluster_label")
+    return lab.select("o_orderkey", "cluster", "cluster_label",
+                      display_name("cluster", "cluster_label").alias("display"),
+                      decade_of_timestamp("o_orderdate").alias("decade"))
+
+
+@register("crosstab_priority_by_cluster", f"WITH {CL}\nSELECT cluster AS row, o_orderpriority AS value, count(*) AS count, "
+          f"{O.r6(O.pct('count(*)', 'sum(count(*)) OVER (PARTITION BY cluster)'))} AS pct FROM labr GROUP BY cluster, o_orderpriority")
+def q_crosstab(spark, sf):
+    return PR.crosstab_pct(clustered_orders_raw(spark, sf), "cluster", "o_orderpriority")
+
+
+@register("top_priorities_across_clusters", f"WITH {CL}, ct AS (SELECT cluster AS row, o_orderpriority AS value, "
+          f"{O.pct('count(*)', 'sum(count(*)) OVER (PARTITION BY cluster)')} AS pct FROM labr GROUP BY cluster, o_orderpriority),\n"
+          "ct2 AS (SELECT row, value, " + O.r6("pct") + " AS pct FROM ct),\n"
+          "m AS (SELECT value, sum(pct) / (SELECT count(DISTINCT row) FROM ct2) AS m FROM ct2 GROUP BY value)\n"
+          f"SELECT value, {O.r6('m')} AS mean_pct, row_number() OVER (ORDER BY m DESC, value) AS rank FROM m "
+          "QUALIFY rank <= 3")
+def q_top_columns(spark, sf):
+    return PR.top_columns(PR.crosstab_pct(clustered_orders_raw(spark, sf), "cluster", "o_orderpriority"), 3)
+
+
+DEC_SQL = ("dc AS (SELECT CAST(floor(year(o_orderdate) / 10) * 10 AS INTEGER) AS decade, cluster, count(*) AS count, "
+           "sum(count(*)) OVER (PARTITION BY CAST(floor(year(o_orderdate) / 10) * 10 AS INTEGER)) AS t "
+           "FROM labr GROUP BY 1, 2),\n"
+           f"dbc AS (SELECT decade, cluster, count, {O.r6(O.pct('count', 't'))} AS pct FROM dc WHERE t >= 50)")
+
+
+@register("decade_by_cluster_orders", f"WITH {CL}, {DEC_SQL}\nSELECT * FROM dbc")
+def q_decade_by_cluster(spark, sf):
+    c = clustered_orders_raw(spark, sf).withColumn("decade", decade_of_timestamp("o_orderdate"))
+    return PR.decade_by_cluster(c, "cluster", "decade", 50)
+
+
+@register("dominant_cluster_per_decade", f"WITH {CL}, {DEC_SQL}\n"
+          "SELECT decade AS row, arg_min(cluster, (-pct, cluster)) AS dominant, max(pct) AS pct FROM dbc GROUP BY decade")
+def q_dominant(spark, sf):
+    c = clustered_orders_raw(spark, sf).withColumn("decade", decade_of_timestamp("o_orderdate"))
+    d = PR.decade_by_cluster(c, "cluster", "decade", 50)
+    return PR.dominant_per_row(d, "decade", "cluster", "pct")
+
+
+@register("price_by_cluster_orders", O.box_sql("labr", ["o_totalprice"], "cluster")
+          .replace("WITH lv AS", f"WITH {CL}, lv AS", 1).replace("SELECT cluster, feature, count(*)", "SELECT cluster, count(*)", 1)
+          .replace("GROUP BY cluster, feature\n", "GROUP BY cluster, feature", 1))
+def q_price_by_cluster(spark, sf):
+    return PR.popularity_by_cluster(clustered_orders_raw(spark, sf), "cluster", "o_totalprice")
+
+
+@register("best_cluster_by_price", f"WITH {CL}, m AS (SELECT cluster, {O.r6('quantile_cont(o_totalprice, 0.5)')} AS median "
+          "FROM labr GROUP BY cluster ORDER BY median DESC, cluster LIMIT 1)\n"
+          "SELECT cluster, median, printf('Cluster %d has the highest median %s (%.2f).', cluster, 'o_totalprice', median) AS sentence FROM m")
+def q_best_cluster(spark, sf):
+    return PR.best_cluster(clustered_orders_raw(spark, sf), "cluster", "o_totalprice")
+
+
+@register("cluster_label_counts_orders", f"WITH {CL}, {PROFILE_SQL}, {NAMES_SQL}\n"
+          "SELECT labr.cluster, arg_min(cluster_label, o_orderkey) AS cluster_label, count(*) AS count "
+          "FROM labr LEFT JOIN names USING (cluster) GROUP BY labr.cluster")
+def q_label_counts(spark, sf):
+    lab = A.label_join(clustered_orders_raw(spark, sf), _orders_named(spark, sf), "cluster", "cluster_label")
+    return PR.cluster_label_counts(lab, "cluster", "cluster_label", "o_orderkey")
+
+
+@register("overview_kpis_orders", f"WITH {CL}\nSELECT count(*) AS n_items, count(DISTINCT cluster) AS n_clusters, "
+          "count(DISTINCT o_custkey) AS n_entities, count(DISTINCT o_orderpriority) AS n_families FROM labr")
+def q_kpis(spark, sf):
+    return PR.overview_kpis(clustered_orders_raw(spark, sf), "cluster", "o_custkey", "o_orderpriority")
+
+
+@register("head_per_cluster_orders", f"WITH {CL}\nSELECT o_orderkey, cluster, row_number() OVER (PARTITION BY cluster "
+          "ORDER BY o_orderkey) AS position FROM labr QUALIFY position <= 5")
+def q_head(spark, sf):
+    h = PR.head_per_group(clustered_orders_raw(spark, sf), "cluster", "o_orderkey", 5)
+    return h.select("o_orderkey", "cluster", "position")
+
+
+# ====================================================================== metrics
+ZL = "zl AS (SELECT o_orderkey, cluster, " + ", ".join(ORDER_FEATURES) + " FROM lab)"
+
+
+def _db_sql(src: str, fs, label: str = "cluster") -> str:
+    cen = ", ".join(f"avg({f}) AS c_{f}" for f in fs)
+    d = "sqrt(" + O.sqdist(fs, "s.", "c.c_{f}") + ")"
+    pd = "sqrt(" + O.sqdist([f"c_{f}" for f in fs], "a.", "b.{f}") + ")"
+    return (f"cen AS (SELECT {label} AS cid, {cen} FROM {src} WHERE {label} <> -1 GROUP BY {label}),\n"
+            f"intra AS (SELECT c.cid, avg({d}) AS s FROM {src} s JOIN cen c ON s.{label} = c.cid GROUP BY c.cid),\n"
+            f"pairs AS (SELECT a.cid AS ca, b.cid AS cb, {pd} AS dist FROM cen a, cen b WHERE a.cid <> b.cid),\n"
+            "r AS (SELECT ca, max((ia.s + ib.s) / dist) AS d FROM pairs JOIN intra ia ON ia.cid = ca "
+            "JOIN intra ib ON ib.cid = cb WHERE dist > 0 GROUP BY ca)\n"
+            "SELECT " + O.r6("CASE WHEN (SELECT count(*) FROM intra) < 2 THEN NULL "
+                             "WHEN (SELECT max(s) FROM intra) = 0 OR coalesce((SELECT max(dist) FROM pairs), 0) = 0 THEN 0.0 "
+                             "ELSE coalesce((SELECT sum(d) FROM r), 0) / (SELECT count(*) FROM intra) END") +
+            " AS davies_bouldin")
+
+
+@register("davies_bouldin_orders", f"WITH {O.clustered_orders_sql()}, {ZL},\n" + _db_sql("zl", ORDER_FEATURES))
+def q_db_orders(spark, sf):
+    return Q.davies_bouldin(clustered_orders(spark, sf), "cluster", ORDER_FEATURES)
+
+
+@register("inertia_orders", f"WITH {O.clustered_orders_sql()}, {ZL},\n"
+          "cen AS (SELECT cluster AS cid, " + ", ".join(f"avg({f}) AS c_{f}" for f in ORDER_FEATURES) +
+          " FROM zl GROUP BY cluster)\n"
+          f"SELECT {O.r6('sum(' + O.sqdist(ORDER_FEATURES, 's.', 'c.c_{f}') + ')')} AS inertia "
+          "FROM zl s JOIN cen c ON s.cluster = c.cid")
+def q_inertia(spark, sf):
+    return Q.inertia(clustered_orders(spark, sf), "cluster", ORDER_FEATURES)
+
+
+@register("pairwise_centroids_orders", f"WITH {O.clustered_orders_sql()}, {ZL},\n"
+          "cen AS (SELECT cluster AS cid, " + ", ".join(f"avg({f}) AS {f}" for f in ORDER_FEATURES) +
+          " FROM zl GROUP BY cluster)\n"
+          f"SELECT a.cid AS cid_a, b.cid AS cid_b, {O.r6('sqrt(' + O.sqdist(ORDER_FEATURES, 'a.', 'b.{f}') + ')')} AS distance "
+          "FROM cen a, cen b")
+def q_pairwise_centroids(spark, sf):
+    cen = A.centroids_of(clustered_orders(spark, sf), ORDER_FEATURES, "cluster")
+    return A.pairwise_centroids(cen, ORDER_FEATURES).select("cid_a", "cid_b", rnd(F.col("distance")).alias("distance"))
+
+
+EMB_DIMS = 64
+EMB = [f"e{i}" for i in range(EMB_DIMS)]
+EMB_SQL = ("emb AS (SELECT vec_id, label, " + ", ".join(f"CAST(embedding[{i + 1}] AS DOUBLE) AS e{i}" for i in range(EMB_DIMS)) +
+           " FROM embeddings)")
+SIL_SQL = ("pd AS (SELECT a.vec_id, a.label, b.label AS lb, "
+           "list_distance(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS d "
+           "FROM embeddings a, embeddings b),\n"
+           "pc AS (SELECT vec_id, label, lb, sum(d) AS sd, count(*) AS n FROM pd GROUP BY ALL),\n"
+           "ab AS (SELECT vec_id, label, max(CASE WHEN lb = label THEN CASE WHEN n > 1 THEN sd / (n - 1) ELSE 0.0 END END) AS a, "
+           "min(CASE WHEN lb <> label THEN sd / n END) AS b, max(CASE WHEN lb = label THEN n END) AS n_own FROM pc GROUP BY ALL),\n"
+           "sil AS (SELECT vec_id, label AS cluster, a, b, CASE WHEN n_own > 1 AND greatest(a, b) > 0 THEN (b - a) / greatest(a, b) ELSE 0.0 END AS s FROM ab)")
+
+
+def _emb(spark, sf):
+    return embedding_features(spark, sf, EMB_DIMS)[0]
+
+
+@register("silhouette_samples_embeddings", f"WITH {SIL_SQL}\nSELECT vec_id, CAST(cluster AS BIGINT) AS cluster, "
+          f"{O.r6('a')} AS a, {O.r6('b')} AS b, {O.r6('s')} AS silhouette FROM sil")
+def q_sil_samples(spark, sf):
+    s = Q.silhouette_samples(_emb(spark, sf), "label", EMB, "vec_id", 5000)
+    return s.select("vec_id", "cluster", *[rnd(F.col(c)).alias(c) for c in ("a", "b", "silhouette")])
+
+
+@register("silhouette_score_embeddings", f"WITH {SIL_SQL}\nSELECT {O.r6('avg(s)')} AS silhouette_score FROM sil")
+def q_sil_score(spark, sf):
+    return Q.silhouette_score(_emb(spark, sf), "label", EMB, "vec_id", 5000)
+
+
+@register("silhouette_by_cluster_embeddings", f"WITH {SIL_SQL}\nSELECT CAST(cluster AS BIGINT) AS cluster, count(*) AS n, "
+          f"{O.r6('avg(s)')} AS mean_silhouette, {O.r6('(SELECT avg(s) FROM sil)')} AS overall, "
+          "avg(s) < (SELECT avg(s) FROM sil) AS weak FROM sil GROUP BY cluster")
+def q_sil_by_cluster(spark, sf):
+    return Q.silhouette_by_cluster(Q.silhouette_samples(_emb(spark, sf), "label", EMB, "vec_id", 5000))
+
+
+@register("davies_bouldin_embeddings", f"WITH {EMB_SQL},\n" + _db_sql("emb", EMB, "label"))
+def q_db_emb(spark, sf):
+    return Q.davies_bouldin(_emb(spark, sf), "label", EMB)
+
+
+@register("silhouette_diagram_embeddings", f"WITH {SIL_SQL},\n"
+          "sz AS (SELECT cluster, count(*) AS size FROM sil GROUP BY cluster),\n"
+          "st AS (SELECT cluster, size, 10 + coalesce(sum(size + 10) OVER (ORDER BY cluster ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS y_lower FROM sz)\n"
+          "SELECT CAST(s.cluster AS BIGINT) AS cluster, vec_id, " + O.r6("s.s") + " AS silhouette, "
+          "CAST(y_lower + row_number() OVER (PARTITION BY s.cluster ORDER BY round(s.s, 6), vec_id) - 1 AS BIGINT) AS y, "
+          "CAST(y_lower AS BIGINT) AS y_lower, CAST(y_lower + size AS BIGINT) AS y_upper FROM sil s JOIN st USING (cluster)")
+def q_sil_diagram(spark, sf):
+    s = Q.silhouette_samples(_emb(spark, sf), "label", EMB, "vec_id", 5000)
+    s = s.withColumn("silhouette", rnd(F.col("silhouette")))
+    out = SM.silhouette_order(s, "cluster", "silhouette", "vec_id")
+    return out.select("cluster", "vec_id", "silhouette", "y", F.col("y_lower").cast("long").alias("y_lower"), "y_upper")
+
+
+@register("uniform_sample_orders", f"SELECT o_orderkey FROM orders ORDER BY {O.phash('o_orderkey')}, o_orderkey LIMIT 1000")
+def q_uniform_sample(spark, sf):
+    return SM.uniform_sample(table(spark, sf, "orders"), 1000, "o_orderkey").select("o_orderkey")
+
+
+@register("stratified_sample_orders", f"WITH {CL}, sz AS (SELECT cluster, count(*) AS size FROM labr GROUP BY cluster),\n"
+          "q AS (SELECT cluster, greatest(1, CAST(floor(1000.0::DOUBLE * size / (SELECT count(*) FROM labr)) AS BIGINT)) AS quota FROM sz)\n"
+          f"SELECT o_orderkey, cluster FROM (SELECT o_orderkey, cluster, row_number() OVER (PARTITION BY cluster ORDER BY {O.phash('o_orderkey')}, o_orderkey) AS rn FROM labr) "
+          "JOIN q USING (cluster) WHERE rn <= quota")
+def q_stratified(spark, sf):
+    return SM.stratified_sample(clustered_orders(spark, sf), "cluster", 1000, "o_orderkey").select("o_orderkey", "cluster")
