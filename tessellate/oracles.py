@@ -273,3 +273,76 @@ def cluster_name_sql(rules, other: str = "balanced", sep: str = " + ") -> str:
 def display_sql(cid: str, label: str | None = None) -> str:
     lab = f"WHEN {label} IS NOT NULL THEN printf('C%d: %s', {cid}, {label}) " if label else ""
     return f"CASE WHEN {cid} = -1 THEN 'Noise' {lab}ELSE printf('Cluster %d', {cid}) END"
+
+
+def dbscan_sql(dims: Sequence[int], eps: float, min_samples: int) -> str:
+    """DBSCAN over embeddings dims (0-based) by a recursive reachability CTE."""
+    fs = [f"e{i}" for i in dims]
+    cols = ", ".join(f"CAST(embedding[{i + 1}] AS DOUBLE) AS e{i}" for i in dims)
+    d2 = sqdist(fs, "a.", "b.{f}")
+    return f"""WITH RECURSIVE pts AS (SELECT vec_id, {cols} FROM embeddings),
+nb AS (SELECT a.vec_id AS i, b.vec_id AS j FROM pts a, pts b WHERE a.vec_id <> b.vec_id AND {d2} <= {float(eps) * float(eps)!r}),
+deg AS (SELECT p.vec_id AS i, count(nb.j) + 1 AS d FROM pts p LEFT JOIN nb ON p.vec_id = nb.i GROUP BY p.vec_id),
+core AS (SELECT i FROM deg WHERE d >= {min_samples}),
+ce AS (SELECT nb.i, nb.j FROM nb JOIN core c1 ON nb.i = c1.i JOIN core c2 ON nb.j = c2.i),
+reach(i, c) AS (SELECT i, i FROM core UNION SELECT ce.j, reach.c FROM reach JOIN ce ON reach.i = ce.i),
+comp AS (SELECT i, min(c) AS comp FROM reach GROUP BY i),
+num AS (SELECT comp, CAST(dense_rank() OVER (ORDER BY comp) - 1 AS INTEGER) AS cluster FROM (SELECT DISTINCT comp FROM comp)),
+corelab AS (SELECT i, cluster FROM comp JOIN num USING (comp)),
+border AS (SELECT nb.i, min(corelab.cluster) AS bc FROM nb JOIN corelab ON nb.j = corelab.i GROUP BY nb.i)
+SELECT p.vec_id, CAST(CASE WHEN core.i IS NOT NULL THEN corelab.cluster ELSE coalesce(border.bc, -1) END AS INTEGER) AS cluster,
+       core.i IS NOT NULL AS is_core
+FROM pts p LEFT JOIN core ON p.vec_id = core.i LEFT JOIN corelab ON p.vec_id = corelab.i
+LEFT JOIN border ON p.vec_id = border.i"""
+
+
+def eps_join_sql(dims: Sequence[int], eps: float) -> str:
+    fs = [f"e{i}" for i in dims]
+    cols = ", ".join(f"CAST(embedding[{i + 1}] AS DOUBLE) AS e{i}" for i in dims)
+    d2 = sqdist(fs, "a.", "b.{f}")
+    return (f"WITH pts AS (SELECT vec_id, {cols} FROM embeddings)\n"
+            f"SELECT a.vec_id AS id_a, b.vec_id AS id_b, {r6('sqrt(' + d2 + ')')} AS distance "
+            f"FROM pts a, pts b WHERE a.vec_id < b.vec_id AND {d2} <= {float(eps) * float(eps)!r}")
+
+
+def silhouette_sql(src: str, sx: str = "") -> str:
+    """CTE ``sil{sx}`` (vec_id, cluster, a, b, s) over ``src`` (vec_id, label,
+    embedding), noise (-1) excluded."""
+    return (f"pts_s{sx} AS (SELECT vec_id, label, embedding FROM {src} WHERE label <> -1),\n"
+            f"pd{sx} AS (SELECT a.vec_id, a.label, b.label AS lb, "
+            "list_distance(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS d "
+            f"FROM pts_s{sx} a, pts_s{sx} b),\n"
+            f"pc{sx} AS (SELECT vec_id, label, lb, sum(d) AS sd, count(*) AS n FROM pd{sx} GROUP BY vec_id, label, lb),\n"
+            f"ab{sx} AS (SELECT vec_id, label, max(CASE WHEN lb = label THEN CASE WHEN n > 1 THEN sd / (n - 1) ELSE 0.0 END END) AS a, "
+            f"min(CASE WHEN lb <> label THEN sd / n END) AS b, max(CASE WHEN lb = label THEN n END) AS n_own FROM pc{sx} GROUP BY vec_id, label),\n"
+            f"sil{sx} AS (SELECT vec_id, label AS cluster, a, b, CASE WHEN n_own > 1 AND greatest(a, b) > 0 "
+            f"THEN (b - a) / greatest(a, b) ELSE 0.0 END AS s FROM ab{sx})")
+
+
+def emb_cols(dims: Sequence[int]) -> str:
+    return ", ".join(f"CAST(embedding[{i + 1}] AS DOUBLE) AS e{i}" for i in dims)
+
+
+def db_sql(src: str, fs: Sequence[str], label: str = "label", sx: str = "") -> str:
+    cen = ", ".join(f"avg({f}) AS c_{f}" for f in fs)
+    d = "sqrt(" + sqdist(fs, "s.", "c.c_{f}") + ")"
+    pdist = "sqrt(" + sqdist([f"c_{f}" for f in fs], "a.", "b.{f}") + ")"
+    return (f"cen{sx} AS (SELECT {label} AS cid, {cen} FROM {src} WHERE {label} <> -1 GROUP BY {label}),\n"
+            f"intra{sx} AS (SELECT c.cid, avg({d}) AS s FROM {src} s JOIN cen{sx} c ON s.{label} = c.cid GROUP BY c.cid),\n"
+            f"pairs{sx} AS (SELECT a.cid AS ca, b.cid AS cb, {pdist} AS dist FROM cen{sx} a, cen{sx} b WHERE a.cid <> b.cid),\n"
+            f"r{sx} AS (SELECT ca, max((ia.s + ib.s) / dist) AS d FROM pairs{sx} JOIN intra{sx} ia ON ia.cid = ca "
+            f"JOIN intra{sx} ib ON ib.cid = cb WHERE dist > 0 GROUP BY ca),\n"
+            f"dbv{sx} AS (SELECT " + r6(f"CASE WHEN (SELECT count(*) FROM intra{sx}) < 2 THEN NULL "
+                                        f"WHEN (SELECT max(s) FROM intra{sx}) = 0 OR coalesce((SELECT max(dist) FROM pairs{sx}), 0) = 0 THEN 0.0 "
+                                        f"ELSE coalesce((SELECT sum(d) FROM r{sx}), 0) / (SELECT count(*) FROM intra{sx}) END") +
+            " AS davies_bouldin)")
+
+
+def evaluate_sql(name: str, src: str, fs: Sequence[str], sx: str = "") -> str:
+    """One evaluate row over ``src`` (vec_id, label, embedding, e0..)."""
+    return (f"SELECT '{name}' AS algorithm, "
+            f"(SELECT CASE WHEN (SELECT count(DISTINCT label) FROM {src} WHERE label <> -1) < 2 THEN -1.0 "
+            f"ELSE {r6('avg(s)')} END FROM sil{sx}) AS silhouette_score, "
+            f"(SELECT davies_bouldin FROM dbv{sx}) AS davies_bouldin_index, CAST(NULL AS DOUBLE) AS inertia, "
+            f"count(DISTINCT CASE WHEN label <> -1 THEN label END) AS n_clusters, "
+            f"CAST(sum(CASE WHEN label = -1 THEN 1 ELSE 0 END) AS BIGINT) AS n_noise FROM {src}")

@@ -573,3 +573,97 @@ def q_uniform_sample(spark, sf):
           "JOIN q USING (cluster) WHERE rn <= quota")
 def q_stratified(spark, sf):
     return SM.stratified_sample(clustered_orders(spark, sf), "cluster", 1000, "o_orderkey").select("o_orderkey", "cluster")
+
+
+# ====================================================================== density clustering
+from .operators import dbscan as DB  # noqa: E402
+
+
+def _emb_dims(spark, sf, dims):
+    e, names = embedding_features(spark, sf, len(dims), dims[0])
+    return e, names
+
+
+@register("eps_join_embeddings_d3", O.eps_join_sql([0, 1, 2], 0.05))
+def q_eps_join(spark, sf):
+    e, fs = _emb_dims(spark, sf, [0, 1, 2])
+    return DB.eps_join(e, fs, 0.05, "vec_id").select("id_a", "id_b", rnd(F.col("distance")).alias("distance"))
+
+
+@register("dbscan_embeddings_d3", O.dbscan_sql([0, 1, 2], 0.05, 5))
+def q_dbscan_d3(spark, sf):
+    e, fs = _emb_dims(spark, sf, [0, 1, 2])
+    return DB.dbscan(e, fs, 0.05, 5, "vec_id")
+
+
+@register("dbscan_embeddings_d3_wide", O.dbscan_sql([0, 1, 2], 0.08, 5))
+def q_dbscan_d3_wide(spark, sf):
+    e, fs = _emb_dims(spark, sf, [0, 1, 2])
+    return DB.dbscan(e, fs, 0.08, 5, "vec_id")
+
+
+@register("dbscan_embeddings_full", O.dbscan_sql(list(range(64)), 1.15, 5))
+def q_dbscan_full(spark, sf):
+    e, fs = _emb_dims(spark, sf, list(range(64)))
+    return DB.dbscan(e, fs, 1.15, 5, "vec_id")
+
+
+@register("dbscan_sampled_embeddings_d3", O.dbscan_sql([0, 1, 2], 0.05, 5).replace(
+    "SELECT p.vec_id, CAST(", "SELECT p.vec_id, CAST(", 1).replace(",\n       core.i IS NOT NULL AS is_core", "", 1))
+def q_dbscan_sampled(spark, sf):
+    e, fs = _emb_dims(spark, sf, [0, 1, 2])
+    return DB.dbscan_sampled(e, fs, 0.05, 5, "vec_id", sample_size=15000)
+
+
+PROP_SQL = (f"WITH pts AS (SELECT vec_id, label, {O.emb_cols(range(64))} FROM embeddings),\n"
+            f"smp AS (SELECT * FROM pts ORDER BY {O.phash('vec_id')}, vec_id LIMIT 100),\n"
+            "pr AS (SELECT p.vec_id, s.vec_id AS sid, s.label AS sl, " +
+            O.sqdist([f"e{i}" for i in range(64)], "p.", "s.{f}") + " AS d2 FROM pts p, smp s)\n"
+            "SELECT vec_id, arg_min(sid, (d2, sid)) AS nn_id, CAST(arg_min(sl, (d2, sid)) AS INTEGER) AS nn_label, "
+            + O.r6("sqrt(min(d2))") + " AS nn_dist FROM pr GROUP BY vec_id")
+
+
+@register("propagate_nearest_embeddings", PROP_SQL)
+def q_propagate(spark, sf):
+    e = _emb(spark, sf)
+    smp = SM.uniform_sample(e, 100, "vec_id")
+    nn = A.propagate_nearest(e, smp, EMB, "vec_id", "vec_id", "label")
+    return nn.select("vec_id", "nn_id", "nn_label", rnd(F.col("nn_dist")).alias("nn_dist"))
+
+
+def _emb_evaluated(spark, sf):
+    e = _emb(spark, sf)
+    given = Q.evaluate(e, "label", EMB, "vec_id", "Labels", 5000)
+    lab = DB.dbscan(e, EMB, 1.15, 5, "vec_id")
+    d = e.drop("label").join(lab.select("vec_id", F.col("cluster").alias("label")), "vec_id")
+    dbs = Q.evaluate(d, "label", EMB, "vec_id", "DBSCAN", 5000)
+    return given, dbs
+
+
+def _eval_sql():
+    dbscan = O.dbscan_sql(list(range(64)), 1.15, 5)
+    ctes, final = dbscan[len("WITH RECURSIVE "):].split("\nSELECT p.vec_id", 1)
+    fs = [f"e{i}" for i in range(64)]
+    parts = [
+        ctes, "dbres AS (SELECT p.vec_id" + final + ")",
+        "dbl AS (SELECT vec_id, cluster AS label, embedding, " +
+        O.emb_cols(range(64)).replace("embedding[", "e.embedding[") + " FROM dbres JOIN embeddings e USING (vec_id))",
+        f"gl AS (SELECT vec_id, label, embedding, {O.emb_cols(range(64))} FROM embeddings)",
+        O.silhouette_sql("gl", "_g"), O.db_sql("gl", fs, sx="_g"),
+        O.silhouette_sql("dbl", "_d"), O.db_sql("dbl", fs, sx="_d"),
+    ]
+    return "WITH RECURSIVE " + ",\n".join(parts)
+
+
+EVAL_CTES = _eval_sql()
+
+
+@register("evaluate_labels_embeddings", EVAL_CTES + "\n" + O.evaluate_sql("Labels", "gl", EMB, "_g"))
+def q_evaluate(spark, sf):
+    return _emb_evaluated(spark, sf)[0]
+
+
+@register("compare_algorithms_embeddings", EVAL_CTES + "\n" + O.evaluate_sql("Labels", "gl", EMB, "_g") +
+          "\nUNION ALL\n" + O.evaluate_sql("DBSCAN", "dbl", EMB, "_d"))
+def q_compare(spark, sf):
+    return Q.compare_algorithms(list(_emb_evaluated(spark, sf)))
