@@ -45,26 +45,31 @@ def nearest_centroid(df: DataFrame, centres, features: Sequence[str], k: int | N
     """Id of the nearest centre (squared Euclidean; ties -> lowest id).
 
     ``centres`` is a DataFrame (cid in 0..k-1, one column per feature) or a
-    list of k coordinate lists.  A missing centre never wins."""
+    list of k coordinate lists.  A centre table is collected first - it has
+    k rows by construction - so the centres enter the plan as literals and
+    the k distance expressions stay small enough for whole-stage codegen."""
     xs = [F.col(f).cast("double") for f in features]
     if isinstance(centres, DataFrame):
         if k is None:
             raise ValueError("k is required with a centre DataFrame")
-        d = df.withColumn(_CEN, centres_struct(centres, features, k, cid))
-        cen = [[F.col(f"{_CEN}.c{j}_{i}") for i in range(len(features))] for j in range(k)]
-    else:
-        k = len(centres)
-        d = df
-        cen = [[F.lit(float(v)) for v in row] for row in centres]
-    dn = [f"_d{j}" for j in range(k)]
+        got = {int(r[cid]): [r[f] for f in features]
+               for r in centres.select(cid, *features).collect()}          # k rows
+        missing = [j for j in range(k) if j not in got]
+        if missing:
+            raise ValueError(f"centre ids {missing} missing from the centre table")
+        centres = [got[j] for j in range(k)]
+    k = len(centres)
+    d = df
+    cen = [[F.lit(None if v is None else float(v)).cast("double") for v in row] for row in centres]
+    dn = [f"__dist{j}" for j in range(k)]
     d = d.withColumns({dn[j]: _sq_dist(xs, cen[j]) for j in range(k)})
     md = F.col(dn[0]) if k == 1 else F.least(*[F.col(c) for c in dn])
-    d = d.withColumn("_md", md)
-    arg = F.coalesce(*[F.when(F.col(dn[j]) == F.col("_md"), F.lit(j)) for j in range(k)])
+    d = d.withColumn("__mind", md)
+    arg = F.coalesce(*[F.when(F.col(dn[j]) == F.col("__mind"), F.lit(j)) for j in range(k)])
     d = d.withColumn(out, arg.cast("int"))
     if dist2_col:
-        d = d.withColumn(dist2_col, F.col("_md"))
-    return d.drop(*dn, "_md", *([_CEN] if _CEN in d.columns else []))
+        d = d.withColumn(dist2_col, F.col("__mind"))
+    return d.drop(*dn, "__mind", *([_CEN] if _CEN in d.columns else []))
 
 
 def label_join(df: DataFrame, labels: DataFrame, on: str, label_col: str,

@@ -89,11 +89,12 @@ def kmeans(df: DataFrame, features: Sequence[str], k: int, n_init: int = 10,
     caller persists ``df`` if it is reused (all fits read it)."""
     fs = present(df, features)
     data = _assemble(df.select(*fs), fs)
-    # reference tol is relative to the mean feature variance; Spark's is an
-    # absolute centre shift
+    # the reference stops when the summed squared centre shift is below
+    # tol x mean feature variance; Spark stops when every centre moved less
+    # than its tol (a distance), hence the square root
     var = df.agg(*[F.var_pop(F.col(f)).alias(f) for f in fs]).first()
     mean_var = sum(float(var[f] or 0.0) for f in fs) / max(len(fs), 1)
-    abs_tol = tol * mean_var
+    abs_tol = (tol * mean_var) ** 0.5
     best = None
     for r in range(n_init):
         model = KMeans(k=k, seed=seed + r, maxIter=max_iter, tol=abs_tol,

@@ -404,7 +404,7 @@ def q_crosstab(spark, sf):
           f"{O.pct('count(*)', 'sum(count(*)) OVER (PARTITION BY cluster)')} AS pct FROM labr GROUP BY cluster, o_orderpriority),\n"
           "ct2 AS (SELECT row, value, " + O.r6("pct") + " AS pct FROM ct),\n"
           "m AS (SELECT value, sum(pct) / (SELECT count(DISTINCT row) FROM ct2) AS m FROM ct2 GROUP BY value)\n"
-          f"SELECT value, {O.r6('m')} AS mean_pct, row_number() OVER (ORDER BY m DESC, value) AS rank FROM m "
+          f"SELECT value, {O.r6('m')} AS mean_pct, CAST(row_number() OVER (ORDER BY m DESC, value) AS INTEGER) AS rank FROM m "
           "QUALIFY rank <= 3")
 def q_top_columns(spark, sf):
     return PR.top_columns(PR.crosstab_pct(clustered_orders_raw(spark, sf), "cluster", "o_orderpriority"), 3)
@@ -458,8 +458,8 @@ def q_kpis(spark, sf):
     return PR.overview_kpis(clustered_orders_raw(spark, sf), "cluster", "o_custkey", "o_orderpriority")
 
 
-@register("head_per_cluster_orders", f"WITH {CL}\nSELECT o_orderkey, cluster, row_number() OVER (PARTITION BY cluster "
-          "ORDER BY o_orderkey) AS position FROM labr QUALIFY position <= 5")
+@register("head_per_cluster_orders", f"WITH {CL}\nSELECT o_orderkey, cluster, CAST(row_number() OVER (PARTITION BY cluster "
+          "ORDER BY o_orderkey) AS INTEGER) AS position FROM labr QUALIFY position <= 5")
 def q_head(spark, sf):
     h = PR.head_per_group(clustered_orders_raw(spark, sf), "cluster", "o_orderkey", 5)
     return h.select("o_orderkey", "cluster", "position")
@@ -667,3 +667,259 @@ def q_evaluate(spark, sf):
           "\nUNION ALL\n" + O.evaluate_sql("DBSCAN", "dbl", EMB, "_d"))
 def q_compare(spark, sf):
     return Q.compare_algorithms(list(_emb_evaluated(spark, sf)))
+
+
+# ====================================================================== search / serving
+from .operators import charts as CH  # noqa: E402
+from .operators import search as SE  # noqa: E402
+
+PART_FAM = f"pf AS (SELECT *, {O.keyword_case('p_name', PART_KEYWORDS)} AS family FROM part)"
+
+
+def _part_fam(spark, sf):
+    p = table(spark, sf, "part")
+    return p.withColumn("family", keyword_family("p_name", PART_KEYWORDS))
+
+
+def _rx(col, q):
+    return f"coalesce(regexp_matches(lower({col}), '{q}'), false)"
+
+
+@register("explore_parts", f"WITH {PART_FAM}\nSELECT p_partkey, p_name, p_brand, p_type, family FROM pf "
+          f"WHERE p_type = 'SMALL' AND family = 'Temperature' AND ({_rx('p_name', 'gear|rod')} OR {_rx('p_brand', 'gear|rod')})")
+def q_explore(spark, sf):
+    f = SE.explore(_part_fam(spark, sf), {"p_type": "SMALL", "family": "Temperature"}, "gear|rod",
+                   ["p_name", "p_brand"])
+    return f.select("p_partkey", "p_name", "p_brand", "p_type", "family")
+
+
+@register("explore_display_parts", f"WITH {PART_FAM}\nSELECT p_partkey, p_name, p_brand, family, p_type FROM pf "
+          f"WHERE {_rx('p_name', 'o')} OR {_rx('p_brand', 'o')} ORDER BY p_partkey LIMIT 500")
+def q_explore_display(spark, sf):
+    f = SE.explore(_part_fam(spark, sf), {}, "o", ["p_name", "p_brand"])
+    return SE.explore_display(f, ["p_name", "p_brand", "family", "p_type"], "p_partkey", 500)
+
+
+@register("explore_count_parts", f"WITH {PART_FAM}\nSELECT count(*) AS n_matching, (SELECT count(*) FROM part) AS n_total "
+          f"FROM pf WHERE family = 'Age' AND ({_rx('p_name', 'bolt')} OR {_rx('p_brand', 'bolt')})")
+def q_explore_count(spark, sf):
+    p = _part_fam(spark, sf)
+    return SE.explore_count(p, SE.explore(p, {"family": "Age"}, "bolt", ["p_name", "p_brand"]))
+
+
+@register("find_parts", "SELECT p_partkey, p_name, p_brand, concat_ws(' - ', p_name, p_brand) AS display FROM part "
+          f"WHERE {_rx('p_name', 'old')} ORDER BY p_partkey LIMIT 20")
+def q_find(spark, sf):
+    return SE.find_items(table(spark, sf, "part"), "p_name", "old", "p_partkey", "p_brand", 20)
+
+
+@register("distinct_part_types", "SELECT DISTINCT p_type FROM part WHERE p_type IS NOT NULL")
+def q_distinct_values(spark, sf):
+    return SE.distinct_values(table(spark, sf, "part"), "p_type")
+
+
+@register("similar_orders_batch", f"WITH {O.clustered_orders_sql()},\n"
+          "qs AS (SELECT l.* FROM lab l JOIN (SELECT o_orderkey FROM ofeat ORDER BY o_totalprice DESC, o_orderkey LIMIT 5) t USING (o_orderkey)),\n"
+          "c AS (SELECT q.o_orderkey AS query_id, l.o_orderkey, sqrt(" + O.sqdist(ORDER_FEATURES, "l.", "q.{f}") + ") AS dist "
+          "FROM lab l JOIN qs q ON l.cluster = q.cluster WHERE l.o_orderkey <> q.o_orderkey)\n"
+          "SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY dist, o_orderkey) AS INTEGER) AS rank, "
+          f"o_orderkey, {O.r6('dist')} AS distance, round(1.0::DOUBLE / (1.0::DOUBLE + dist), 4) AS similarity_score FROM c "
+          "QUALIFY rank <= 10")
+def q_similar_batch(spark, sf):
+    lab = clustered_orders(spark, sf)
+    qs = order_features(spark, sf).orderBy(F.desc("o_totalprice"), "o_orderkey").limit(5).select("o_orderkey")
+    queries = lab.join(F.broadcast(qs), "o_orderkey")  # top-5 report: 5 rows
+    return SE.similar_items_many(lab, queries, ORDER_FEATURES, "o_orderkey", "cluster", 10)
+
+
+@register("item_profile_order", f"WITH {O.ORDER_FEATURES_CTE},\n"
+          "q AS (SELECT * FROM ofeat ORDER BY o_totalprice DESC, o_orderkey LIMIT 1),\n"
+          "rg AS (SELECT " + ", ".join(f"min({f}) AS lo_{f}, max({f}) AS hi_{f}" for f in ORDER_FEATURES) + " FROM ofeat)\n" +
+          O.union_all([f"SELECT '{f}' AS axis, {O.r6(f'({f} - lo_{f}) / (hi_{f} - lo_{f} + 1e-10)')} AS value FROM q, rg"
+                       for f in ORDER_FEATURES]))
+def q_item_profile(spark, sf):
+    f = order_features(spark, sf)
+    qid = f.orderBy(F.desc("o_totalprice"), "o_orderkey").limit(1).first()["o_orderkey"]
+    return SE.item_profile(f, qid, ORDER_FEATURES, "o_orderkey")
+
+
+# ====================================================================== chart data
+DOC_FAM = f"df AS (SELECT *, {O.keyword_case('text', GENRE_KEYWORDS)} AS family FROM documents)"
+
+
+def _doc_fam(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", "lang", keyword_family("text").alias("family"))
+
+
+@register("genre_mix_documents", f"WITH {DOC_FAM}\nSELECT lang AS row, family AS value, count(*) AS count, "
+          f"{O.r6(O.pct('count(*)', 'sum(count(*)) OVER (PARTITION BY lang)'))} AS pct FROM df GROUP BY lang, family")
+def q_genre_mix(spark, sf):
+    return CH.category_mix(_doc_fam(spark, sf), "lang", "family")
+
+
+@register("genre_heatmap_documents", f"WITH {DOC_FAM},\nct AS (SELECT lang AS row, family AS value, count(*) AS count, "
+          f"{O.r6(O.pct('count(*)', 'sum(count(*)) OVER (PARTITION BY lang)'))} AS pct FROM df GROUP BY lang, family),\n"
+          "m AS (SELECT value, sum(pct) / (SELECT count(DISTINCT row) FROM ct) AS m FROM ct GROUP BY value),\n"
+          "t AS (SELECT value, CAST(row_number() OVER (ORDER BY round(m, 6) DESC, value) AS INTEGER) AS rank FROM m QUALIFY rank <= 10)\n"
+          "SELECT row, value, rank, count, pct FROM ct JOIN t USING (value)")
+def q_genre_heatmap(spark, sf):
+    return CH.category_mix(_doc_fam(spark, sf), "lang", "family", 10)
+
+
+@register("decade_mix_sentence_orders", f"WITH {CL}, {DEC_SQL}\nSELECT count(DISTINCT decade) AS n_decades, "
+          "printf('Cluster mix across %d decades with enough rows.', count(DISTINCT decade)) AS sentence FROM dbc")
+def q_decade_sentence(spark, sf):
+    c = clustered_orders_raw(spark, sf).withColumn("decade", decade_of_timestamp("o_orderdate"))
+    return CH.decade_mix_sentence(PR.decade_by_cluster(c, "cluster", "decade", 50))
+
+
+@register("pca_2d_orders")
+def q_pca(spark, sf):
+    rows, _ = CH.pca_2d(clustered_orders(spark, sf), ORDER_FEATURES, "o_orderkey")
+    return rows
+
+
+@register("pca_variance_orders")
+def q_pca_var(spark, sf):
+    _, ratios = CH.pca_2d(clustered_orders(spark, sf), ORDER_FEATURES, "o_orderkey")
+    return ratios
+
+
+# ====================================================================== model fits (no exact SQL form)
+from .operators import hierarchy as H  # noqa: E402
+from .operators import kmeans as KM  # noqa: E402
+
+
+def _zorders(spark, sf):
+    f = order_features(spark, sf).select("o_orderkey", *ORDER_FEATURES)
+    z, _ = T.scale(f, ORDER_FEATURES, "standard")
+    return z
+
+
+@register("kmeans_orders_k3")
+def q_kmeans(spark, sf):
+    z = _zorders(spark, sf).persist()
+    cen, cost = KM.kmeans(z, ORDER_FEATURES, 3, n_init=5, seed=42)
+    lab = A.nearest_centroid(z, cen, ORDER_FEATURES, 3, out="cluster")
+    return PR.cluster_sizes(lab, "cluster").withColumn("inertia", F.lit(round(cost, 4)))
+
+
+@register("minibatch_kmeans_orders_k3")
+def q_minibatch(spark, sf):
+    z = _zorders(spark, sf).persist()
+    cen, cost = KM.minibatch_kmeans(z, ORDER_FEATURES, 3, 2048, 3, 100, 42, "o_orderkey")
+    return cen.withColumn("inertia_all_rows", F.lit(round(cost, 4)))
+
+
+def _sweep(spark, sf):
+    z = _zorders(spark, sf)
+    return KM.kmeans_sweep(z, ORDER_FEATURES, "o_orderkey", range(2, 11), n_init=3, max_iter=100,
+                           silhouette_sample=5000)
+
+
+@register("kmeans_sweep_orders")
+def q_sweep(spark, sf):
+    return _sweep(spark, sf)
+
+
+@register("k_recommendation_orders")
+def q_recommend_k(spark, sf):
+    return KM.recommend_k(_sweep(spark, sf))
+
+
+@register("k_comparison_orders")
+def q_k_comparison(spark, sf):
+    return KM.k_comparison(_zorders(spark, sf), ORDER_FEATURES, "o_orderkey", (3, 6), n_init=5)
+
+
+@register("hierarchical_orders_k3")
+def q_hier(spark, sf):
+    labels, _ = H.hierarchical(_zorders(spark, sf), ORDER_FEATURES, 3, "o_orderkey", "ward", 200)
+    return PR.cluster_sizes(labels, "cluster")
+
+
+@register("dendrogram_orders")
+def q_dendro(spark, sf):
+    _, dendro = H.hierarchical(_zorders(spark, sf), ORDER_FEATURES, 3, "o_orderkey", "ward", 200)
+    return H.dendrogram_table(dendro, 30)
+
+
+@register("assign_from_sample_orders")
+def q_assign_from_sample(spark, sf):
+    z = _zorders(spark, sf).persist()
+    smp = SM.uniform_sample(z, 8000, "o_orderkey")
+    lab, _ = H.hierarchical(smp, ORDER_FEATURES, 3, "o_orderkey", "ward", 200)
+    labelled = smp.join(lab, "o_orderkey")
+    out = A.assign_from_sample(z, labelled, ORDER_FEATURES, "cluster", 3)
+    return PR.cluster_sizes(out, "cluster")
+
+
+# ====================================================================== sources, sinks, reports
+from pyspark.sql.types import (DoubleType, IntegerType, LongType, StringType,  # noqa: E402
+                               StructField, StructType)
+
+from .session import scratch_path  # noqa: E402
+from .sources import files as IO  # noqa: E402
+from .sources import reports as RP  # noqa: E402
+
+PART_SCHEMA = StructType([StructField("p_partkey", LongType()), StructField("p_name", StringType()),
+                          StructField("p_brand", StringType()), StructField("p_type", StringType()),
+                          StructField("p_size", IntegerType()), StructField("p_retailprice", DoubleType())])
+
+
+@register("csv_roundtrip_part", "SELECT * FROM part")
+def q_csv_roundtrip(spark, sf):
+    path = scratch_path(spark, "part-csv")
+    IO.write_table(table(spark, sf, "part"), path, "csv")
+    return IO.read_table(spark, path, PART_SCHEMA, "csv")
+
+
+@register("read_first_existing_export", f"WITH {CL}, {PROFILE_SQL}, {NAMES_SQL}\n"
+          "SELECT o_orderkey, labr.cluster, coalesce(cluster_label, 'Other') AS cluster_label FROM labr LEFT JOIN names USING (cluster)")
+def q_read_first_existing(spark, sf):
+    lab = A.label_join(clustered_orders_raw(spark, sf), _orders_named(spark, sf), "cluster", "cluster_label")
+    base = scratch_path(spark, "export")
+    IO.write_table(lab.select("o_orderkey", "cluster", "cluster_label"), base + "/v1", partition_by=["cluster"])
+    back = IO.read_first_existing(spark, [base + "/v2", base + "/v1"], fill={"cluster_label": "Other"})
+    return back.select("o_orderkey", F.col("cluster").cast("int").alias("cluster"), "cluster_label")
+
+
+@register("metrics_json_roundtrip", O.describe_sql("lineitem", LINE_FEATURES))
+def q_metrics_json(spark, sf):
+    d = S.describe(table(spark, sf, "lineitem"), LINE_FEATURES)
+    path = IO.write_metrics(d, scratch_path(spark, "metrics"))
+    return spark.read.schema(d.schema).json(path)
+
+
+@register("saved_scaled_reload", f"WITH {O.ORDER_FEATURES_CTE}, {O.zscore_cte('z', 'ofeat', 'o_orderkey', ORDER_FEATURES)}\n"
+          "SELECT o_orderkey, " + ", ".join(f"{O.r6(f)} AS {f}" for f in ORDER_FEATURES) + " FROM z")
+def q_saved_scaled(spark, sf):
+    f = order_features(spark, sf).select("o_orderkey", *ORDER_FEATURES)
+    z, _ = T.scale(f, ORDER_FEATURES, "standard")
+    z = z.select("o_orderkey", *[rnd(F.col(c)).alias(c) for c in ORDER_FEATURES])
+    paths = IO.save_results({"scaled": z}, scratch_path(spark, "results"))
+    n = f.count()
+    return IO.load_or_recompute(spark, paths["scaled"], n, lambda: z)
+
+
+@register("insights_report_orders")
+def q_insights(spark, sf):
+    f = order_features(spark, sf)
+    return RP.insights_report(f, ORDER_FEATURES, ["o_orderpriority", "o_orderstatus"], None, 15)
+
+
+@register("summary_report_orders")
+def q_summary(spark, sf):
+    z = clustered_orders(spark, sf)
+    kc = KM.k_comparison(z, ORDER_FEATURES, "o_orderkey", (3, 6), n_init=2)
+    km = Q.evaluate(z, "cluster", ORDER_FEATURES, "o_orderkey", "K-Means", 5000, with_inertia=True)
+    hl, _ = H.hierarchical(z.select("o_orderkey", *ORDER_FEATURES), ORDER_FEATURES, 3, "o_orderkey")
+    hz = z.drop("cluster").join(hl, "o_orderkey")
+    hi = Q.evaluate(hz, "cluster", ORDER_FEATURES, "o_orderkey", "Hierarchical", 5000)
+    comp = Q.compare_algorithms([km, hi])
+    raw = clustered_orders_raw(spark, sf)
+    prof = PR.cluster_profile(raw, "cluster", ORDER_FEATURES)
+    names = PR.name_clusters(prof, ORDER_NAME_RULES)
+    sizes = PR.cluster_sizes(raw, "cluster")
+    mix = PR.crosstab_pct(raw, "cluster", "o_orderpriority")
+    return RP.summary_report(kc, comp, prof, names, sizes, mix)
