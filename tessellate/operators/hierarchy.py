@@ -33,12 +33,16 @@ LINKAGES = ("ward", "complete", "average", "single")
 
 
 def micro_clusters(df: DataFrame, features: Sequence[str], n_micro: int = 200, seed: int = 42,
-                   max_iter: int = 20) -> tuple[DataFrame, KMeansModel]:
-    """Rows -> micro-cluster id (column ``micro``) by distributed k-means."""
+                   max_iter: int = 10) -> tuple[DataFrame, KMeansModel]:
+    """Rows -> micro-cluster id (column ``micro``) by distributed k-means.
+
+    Micro-clusters only summarise the data for the merge, so a random start
+    and few rounds suffice (k-means|| with hundreds of centres costs more
+    than it gains here)."""
     fs = present(df, features)
     vec = VectorAssembler(inputCols=list(fs), outputCol="_v").transform(df)
     model = KMeans(k=n_micro, seed=seed, maxIter=max_iter, featuresCol="_v",
-                   predictionCol="micro", initMode="k-means||").fit(vec)
+                   predictionCol="micro", initMode="random").fit(vec)
     return model.transform(vec).drop("_v"), model
 
 

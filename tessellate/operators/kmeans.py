@@ -14,6 +14,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
@@ -25,6 +26,7 @@ from .assign import nearest_centroid
 from .sample import uniform_sample
 
 _VEC = "_features_vec"
+MAX_PARALLEL_FITS = 4
 
 
 def initial_centres_first_rows(df: DataFrame, features: Sequence[str], id_col: str, k: int
@@ -95,14 +97,19 @@ def kmeans(df: DataFrame, features: Sequence[str], k: int, n_init: int = 10,
     var = df.agg(*[F.var_pop(F.col(f)).alias(f) for f in fs]).first()
     mean_var = sum(float(var[f] or 0.0) for f in fs) / max(len(fs), 1)
     abs_tol = (tol * mean_var) ** 0.5
-    best = None
-    for r in range(n_init):
+    data = data.persist()
+
+    def fit(r):
         model = KMeans(k=k, seed=seed + r, maxIter=max_iter, tol=abs_tol,
                        featuresCol=_VEC, initMode="k-means||").fit(data)
-        cost = model.summary.trainingCost
-        if best is None or cost < best[1]:
-            best = (model, cost)
-    model, cost = best
+        return r, model, model.summary.trainingCost
+
+    # restarts are independent: submit them from a few driver threads so
+    # their many small iteration jobs overlap on the cluster
+    with ThreadPoolExecutor(max_workers=max(1, min(n_init, MAX_PARALLEL_FITS))) as pool:
+        fits = list(pool.map(fit, range(n_init)))
+    data.unpersist()
+    _, model, cost = min(fits, key=lambda t: (t[2], t[0]))
     rows = [(j, *[float(v) for v in c]) for j, c in enumerate(model.clusterCenters())]
     cen = df.sparkSession.createDataFrame(rows, ["cid", *fs])
     relab = canonical_relabel(cen, fs)

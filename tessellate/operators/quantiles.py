@@ -19,6 +19,12 @@ median over 100 TB.  Here the work is spread instead:
 Same result as pandas ``quantile`` / DuckDB ``quantile_cont`` / Spark
 ``percentile``.  ``approx=True`` switches to ``percentile_approx`` (mergeable
 sketch, one pass) for callers that accept bounded rank error.
+
+Size check: Spark's exact ``percentile`` is a single aggregate whose state is
+a map of the distinct values of a group.  When every group has at most
+``MAX_EXACT_MAP`` values (a count proves it) that map is small and the single
+aggregate is used; above the bound the range-slice method runs, so nothing
+proportional to the data ever meets in one task.
 """
 
 from __future__ import annotations
@@ -30,6 +36,8 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 
+MAX_EXACT_MAP = 100_000
+
 _V = "_qv"
 _C = "_qc"
 _PID = "_qpid"
@@ -37,11 +45,13 @@ _PID = "_qpid"
 
 def grouped_quantiles(df: DataFrame, value: str, probs: Sequence[float],
                       group_cols: Sequence[str] = (), approx: bool = False,
-                      accuracy: int = 10000, num_ranges: int | None = None
-                      ) -> DataFrame:
+                      accuracy: int = 10000, num_ranges: int | None = None,
+                      method: str = "auto") -> DataFrame:
     """Long table (*group_cols, prob, q) of exact linear-interpolated quantiles.
 
-    NULL values are ignored; groups without values produce no rows.
+    ``method``: "auto" (size-checked choice), "map" (single aggregate),
+    "ranges" (range slices).  NULL values are ignored; groups without values
+    produce no rows.
     """
     g = list(group_cols)
     probs = [float(p) for p in probs]
@@ -54,6 +64,17 @@ def grouped_quantiles(df: DataFrame, value: str, probs: Sequence[float],
                  .select(*g, F.element_at(F.array(*[F.lit(p) for p in probs]),
                                           F.col("_i") + 1).alias("prob"), "q")
 
+    if method == "auto":
+        # a group's value map is bounded by its row count: one cheap count job
+        n_max = base.groupBy(*g).agg(F.count(F.lit(1)).alias("_n")) \
+                    .agg(F.max("_n").alias("m")).first()["m"]
+        method = "map" if n_max is not None and n_max <= MAX_EXACT_MAP else "ranges"
+    if method == "map":
+        qs = base.groupBy(*g).agg(F.percentile(_V, F.array(*[F.lit(p) for p in probs])).alias("_qs"))
+        return qs.select(*g, F.posexplode("_qs").alias("_i", "q")) \
+                 .select(*g, F.element_at(F.array(*[F.lit(p) for p in probs]),
+                                          F.col("_i") + 1).alias("prob"), "q")
+
     spark = df.sparkSession
     parts = num_ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
     counts = base.groupBy(*g, _V).agg(F.count(F.lit(1)).alias(_C))
@@ -113,11 +134,12 @@ def long_values(df: DataFrame, features: Sequence[str], name: str = "feature",
 
 
 def feature_quantiles(df: DataFrame, features: Sequence[str], probs: Sequence[float],
-                      group_cols: Sequence[str] = (), approx: bool = False
-                      ) -> DataFrame:
+                      group_cols: Sequence[str] = (), approx: bool = False,
+                      method: str = "auto") -> DataFrame:
     """(*group_cols, feature, prob, q) for many features in one job."""
     lv = long_values(df, features, keep=group_cols)
-    return grouped_quantiles(lv, "value", probs, [*group_cols, "feature"], approx=approx)
+    return grouped_quantiles(lv, "value", probs, [*group_cols, "feature"], approx=approx,
+                             method=method)
 
 
 def wide_quantiles(qlong: DataFrame, features: Sequence[str], probs: Sequence[float],

@@ -4,9 +4,10 @@ Conventions
 * every result is a small long-format DataFrame (one row per feature, pair,
   value or bin);
 * per-feature moments for *all* features are computed by one aggregate job;
-  quantiles by one distributed job (``quantiles.feature_quantiles``);
-* thresholds computed from the data reach the second pass as a scalar
-  subquery (a one-row result evaluated once), never as a join or a collect;
+  quantiles by one distributed job (``quantiles.feature_quantiles``), whose
+  method is chosen from the approximate distinct counts of the moments job;
+* those per-feature results (#features rows) are collected once and thresholds
+  reach the next pass as literals - no join, no re-computation;
 * NaN counts as missing (as in pandas): callers clean with ``nan_to_null``.
 """
 
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import numeric_fields, pct, present, rnd, safe_div
 from ..functions.scalar import correlation_strength
-from .quantiles import feature_quantiles, wide_quantiles
+from .quantiles import MAX_EXACT_MAP, feature_quantiles
 
 ND = 6  # output rounding for doubles
 
@@ -127,22 +128,46 @@ def _g1_g2(n, g1, g2):
     return G1, G2
 
 
-def feature_moments(df: DataFrame, features: Sequence[str]) -> DataFrame:
-    """(feature, n, mean, std, std_pop, min, max, skew, kurt) for all features
-    in one aggregate job; skew/kurt are the bias-corrected G1/G2."""
+def feature_moments(df: DataFrame, features: Sequence[str], with_ndv: bool = False) -> DataFrame:
+    """(feature, n, mean, std, std_pop, min, max, skew, kurt[, ndv]) for all
+    features in one aggregate job; skew/kurt are the bias-corrected G1/G2,
+    ndv an approximate distinct count (used to size the quantile method)."""
     fs = present(df, features)
     structs = []
     for f in fs:
         x = F.col(f).cast("double")
+        extra = [F.approx_count_distinct(x, 0.02).alias("ndv")] if with_ndv else []
         structs.append(F.struct(
             F.lit(f).alias("feature"), F.count(x).alias("n"), F.avg(x).alias("mean"),
             F.stddev_samp(x).alias("std"), F.stddev_pop(x).alias("std_pop"),
             F.min(x).alias("min"), F.max(x).alias("max"),
-            F.skewness(x).alias("_g1"), F.kurtosis(x).alias("_g2")))
+            F.skewness(x).alias("_g1"), F.kurtosis(x).alias("_g2"), *extra))
     long = _explode_structs(df.agg(F.array(*structs).alias("s")), "s")
     G1, G2 = _g1_g2(F.col("n"), F.col("_g1"), F.col("_g2"))
     return long.select("feature", "n", "mean", "std", "std_pop", "min", "max",
-                       G1.alias("skew"), G2.alias("kurt"))
+                       G1.alias("skew"), G2.alias("kurt"), *(["ndv"] if with_ndv else []))
+
+
+MOMENT_SCHEMA = ("feature string, n long, mean double, std double, std_pop double, min double, "
+                 "max double, skew double, kurt double")
+
+
+def collected_moments(df: DataFrame, features: Sequence[str]) -> tuple[DataFrame, str]:
+    """Moments of every feature as a small in-memory table (one row per
+    feature, collected once) and the quantile method its counts allow."""
+    rows = feature_moments(df, features).collect()                     # #features rows
+    # the non-null count bounds the number of distinct values, so it proves
+    # the size of the single-aggregate value map at no extra cost
+    n_max = max([r["n"] or 0 for r in rows], default=0)
+    method = "map" if n_max <= MAX_EXACT_MAP else "ranges"
+    return df.sparkSession.createDataFrame([tuple(r) for r in rows], MOMENT_SCHEMA), method
+
+
+def collected_quantiles(df: DataFrame, features: Sequence[str], probs: Sequence[float],
+                        method: str = "auto", approx: bool = False) -> dict[tuple[str, float], float]:
+    """{(feature, p): q} - #features x #probs values, computed in one job."""
+    q = feature_quantiles(df, features, probs, approx=approx, method=method).collect()
+    return {(r["feature"], float(r["prob"])): r["q"] for r in q}
 
 
 # ---------------------------------------------------------------- A5, A6, A7
@@ -150,12 +175,11 @@ def describe(df: DataFrame, features: Sequence[str] | None = None,
              approx: bool = False) -> DataFrame:
     """A5: count, mean, std, min, 25/50/75 %, max per numeric column."""
     fs = present(df, features) if features else numeric_fields(df)
-    m = feature_moments(df, fs)
-    q = feature_quantiles(df, fs, [0.25, 0.5, 0.75], approx=approx)
-    qw = q.groupBy("feature").agg(
-        *[F.max(F.when(F.col("prob") == p, F.col("q"))).alias(nm)
-          for p, nm in ((0.25, "p25"), (0.5, "p50"), (0.75, "p75"))])
-    j = m.join(F.broadcast(qw), "feature", "left")  # both sides: one row per feature
+    m, method = collected_moments(df, fs)
+    q = collected_quantiles(df, fs, [0.25, 0.5, 0.75], method, approx)
+    j = m.withColumns({nm: F.create_map(*[x for f in fs for x in (F.lit(f), F.lit(q.get((f, p))))])
+                       [F.col("feature")].cast("double")
+                       for p, nm in ((0.25, "p25"), (0.5, "p50"), (0.75, "p75"))})
     return j.select("feature", F.col("n").alias("count"),
                     *[rnd(F.col(c), ND).alias(c) for c in
                       ("mean", "std", "min", "p25", "p50", "p75", "max")])
@@ -169,76 +193,81 @@ def feature_summary(df: DataFrame, features: Sequence[str]) -> DataFrame:
                     rnd(F.col("max") - F.col("min")).alias("range"))
 
 
+def _bounds(df: DataFrame, fs: Sequence[str], approx: bool, method: str = "auto",
+            whisker: float = 1.5) -> dict[str, tuple[float, float, float, float, float]]:
+    """feature -> (q1, median, q3, lower, upper) from one quantile job."""
+    q = collected_quantiles(df, fs, [0.25, 0.5, 0.75], method, approx)
+    out = {}
+    for f in fs:
+        q1, med, q3 = q.get((f, 0.25)), q.get((f, 0.5)), q.get((f, 0.75))
+        if q1 is None:
+            out[f] = (None, None, None, None, None)
+        else:
+            out[f] = (q1, med, q3, q1 - whisker * (q3 - q1), q3 + whisker * (q3 - q1))
+    return out
+
+
 def iqr_bounds(df: DataFrame, features: Sequence[str], approx: bool = False,
                whisker: float = 1.5) -> DataFrame:
     """(feature, q1, median, q3, iqr, lower, upper), one row per feature."""
     fs = present(df, features)
-    q = feature_quantiles(df, fs, [0.25, 0.5, 0.75], approx=approx)
-    w = q.groupBy("feature").agg(
-        F.max(F.when(F.col("prob") == 0.25, F.col("q"))).alias("q1"),
-        F.max(F.when(F.col("prob") == 0.5, F.col("q"))).alias("median"),
-        F.max(F.when(F.col("prob") == 0.75, F.col("q"))).alias("q3"))
-    iqr = F.col("q3") - F.col("q1")
-    return w.select("feature", "q1", "median", "q3", iqr.alias("iqr"),
-                    (F.col("q1") - whisker * iqr).alias("lower"),
-                    (F.col("q3") + whisker * iqr).alias("upper"))
+    b = _bounds(df, fs, approx, whisker=whisker)
+    rows = [(f, *v, None if v[0] is None else v[2] - v[0]) for f, v in b.items()]
+    t = df.sparkSession.createDataFrame(
+        rows, "feature string, q1 double, median double, q3 double, lower double, upper double, iqr double")
+    return t.select("feature", "q1", "median", "q3", "iqr", "lower", "upper")
 
 
-def _bounds_scalar(df: DataFrame, features: Sequence[str], approx: bool,
-                   whisker: float = 1.5):
-    """One-row struct of per-feature bounds as a scalar subquery column."""
-    fs = present(df, features)
-    q = feature_quantiles(df, fs, [0.25, 0.75], approx=approx)
-    one = wide_quantiles(q, fs, [0.25, 0.75], ["q1", "q3"])
-    fields = []
-    for f in fs:
-        q1, q3 = F.col(f"{f}__q1"), F.col(f"{f}__q3")
-        fields += [(q1 - whisker * (q3 - q1)).alias(f"{f}__lo"),
-                   (q3 + whisker * (q3 - q1)).alias(f"{f}__hi")]
-    return one.select(F.struct(*fields).alias("b")).scalar()
+def _outlier_flag(f: str, lo, hi):
+    if lo is None:
+        return F.lit(False)
+    return F.coalesce((F.col(f) < F.lit(lo)) | (F.col(f) > F.lit(hi)), F.lit(False))
 
 
-def _outlier_flags(df: DataFrame, features: Sequence[str], approx: bool) -> DataFrame:
-    fs = present(df, features)
-    with_b = df.withColumn("_b", _bounds_scalar(df, fs, approx))
-    flags = {f"_o_{f}": F.coalesce((F.col(f) < F.col(f"_b.{f}__lo")) |
-                                   (F.col(f) > F.col(f"_b.{f}__hi")), F.lit(False))
-             for f in fs}
-    return with_b.withColumns(flags)
-
-
-def iqr_outliers(df: DataFrame, features: Sequence[str], approx: bool = False) -> DataFrame:
-    """Count and share of values outside [Q1-1.5 IQR, Q3+1.5 IQR]."""
-    fs = present(df, features)
-    fl = _outlier_flags(df, fs, approx)
+def _outlier_counts(df: DataFrame, fs: Sequence[str], bounds) -> DataFrame:
     structs = [F.struct(F.lit(f).alias("feature"),
-                        F.sum(F.col(f"_o_{f}").cast("long")).alias("n_outliers"),
+                        F.sum(_outlier_flag(f, bounds[f][3], bounds[f][4]).cast("long")).alias("n_outliers"),
                         F.count(F.lit(1)).alias("_n")) for f in fs]
-    long = _explode_structs(fl.agg(F.array(*structs).alias("s")), "s")
+    long = _explode_structs(df.agg(F.array(*structs).alias("s")), "s")
     return long.select("feature", "n_outliers",
                        rnd(pct(F.col("n_outliers"), F.col("_n"))).alias("pct_outliers"))
 
 
+def iqr_outliers(df: DataFrame, features: Sequence[str], approx: bool = False) -> DataFrame:
+    """Count and share of values outside [Q1-1.5 IQR, Q3+1.5 IQR].
+
+    Two passes: the quantiles (a #features-row result), then one counting
+    pass with the bounds as literals."""
+    fs = present(df, features)
+    return _outlier_counts(df, fs, _bounds(df, fs, approx))
+
+
 def rows_with_outlier(df: DataFrame, features: Sequence[str], approx: bool = False) -> DataFrame:
     """Rows with at least one outlying feature, and their share."""
     fs = present(df, features)
-    fl = _outlier_flags(df, fs, approx)
+    b = _bounds(df, fs, approx)
     any_o = F.lit(False)
     for f in fs:
-        any_o = any_o | F.col(f"_o_{f}")
-    return fl.agg(F.sum(any_o.cast("long")).alias("n_rows_with_outlier"),
+        any_o = any_o | _outlier_flag(f, b[f][3], b[f][4])
+    return df.agg(F.sum(any_o.cast("long")).alias("n_rows_with_outlier"),
                   F.count(F.lit(1)).alias("_n")) \
              .select("n_rows_with_outlier",
                      rnd(pct(F.col("n_rows_with_outlier"), F.col("_n"))).alias("pct_rows"))
 
 
 def feature_deepdive(df: DataFrame, features: Sequence[str], approx: bool = False) -> DataFrame:
-    """Range, mean, median, std, skew, kurtosis, IQR and outliers per feature."""
+    """Range, mean, median, std, skew, kurtosis, IQR and outliers per
+    feature: moments (one pass), quantiles (one pass), outlier counts (one
+    pass)."""
     fs = present(df, features)
-    m = feature_moments(df, fs)
-    b = iqr_bounds(df, fs, approx)
-    o = iqr_outliers(df, fs, approx)
-    j = m.join(F.broadcast(b), "feature").join(F.broadcast(o), "feature")
+    m, method = collected_moments(df, fs)
+    b = _bounds(df, fs, approx, method)
+    o = _outlier_counts(df, fs, b)
+
+    def lut(i):
+        return F.create_map(*[x for f in fs for x in (F.lit(f), F.lit(b[f][i]))])[F.col("feature")] \
+            .cast("double")
+    j = m.withColumns({"median": lut(1), "iqr": lut(2) - lut(0)}).join(F.broadcast(o), "feature")
     return j.select("feature", rnd(F.col("min")).alias("min"), rnd(F.col("max")).alias("max"),
                     rnd(F.col("max") - F.col("min")).alias("range"),
                     rnd(F.col("mean")).alias("mean"), rnd(F.col("median")).alias("median"),

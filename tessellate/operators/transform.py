@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import present, rnd
-from .quantiles import feature_quantiles, wide_quantiles
+from .quantiles import feature_quantiles
 
 _P = "_params"
 
@@ -113,14 +113,13 @@ def winsorize(df: DataFrame, columns: Sequence[str], upper_percentile: float = 0
     cs = present(df, columns)
     if not cs:
         return df, df.sparkSession.createDataFrame([], "column string, threshold double, n_clipped long")
-    q = feature_quantiles(df, cs, [upper_percentile], approx=approx)
-    one = wide_quantiles(q, cs, [upper_percentile], ["t"])
-    d = df.withColumn(_P, _as_scalar(one))
-    clipped = d.withColumns({c: F.when(F.col(c) > F.col(f"{_P}.{c}__t"), F.col(f"{_P}.{c}__t"))
-                             .otherwise(F.col(c).cast("double")) for c in cs}).drop(_P)
-    counts = d.agg(*[F.sum(F.when(F.col(c) > F.col(f"{_P}.{c}__t"), 1).otherwise(0))
-                     .cast("long").alias(c) for c in cs])
-    report = counts.unpivot([], cs, "column", "n_clipped").join(
-        F.broadcast(q.select(F.col("feature").alias("column"), rnd(F.col("q")).alias("threshold"))),
-        "column")
+    q = {r["feature"]: r["q"] for r in
+         feature_quantiles(df, cs, [upper_percentile], approx=approx).collect()}  # one per column
+    t = {c: F.lit(q.get(c)).cast("double") for c in cs}
+    clipped = df.withColumns({c: F.when(F.col(c) > t[c], t[c]).otherwise(F.col(c).cast("double"))
+                              for c in cs})
+    counts = df.agg(*[F.sum(F.when(F.col(c) > t[c], 1).otherwise(0)).cast("long").alias(c)
+                      for c in cs])
+    report = counts.unpivot([], cs, "column", "n_clipped").withColumn(
+        "threshold", rnd(F.create_map(*[x for c in cs for x in (F.lit(c), t[c])])[F.col("column")]))
     return clipped, report.select("column", "threshold", "n_clipped")
