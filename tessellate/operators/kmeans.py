@@ -69,6 +69,24 @@ def kmeans_lloyd(df: DataFrame, features: Sequence[str], init_centres: DataFrame
     return df.sparkSession.createDataFrame(rows, schema)
 
 
+def lloyd_sweep(df: DataFrame, features: Sequence[str], id_col: str,
+                k_values: Sequence[int] = tuple(range(2, 11)), n_iter: int = 3) -> DataFrame:
+    """C3, deterministic core: (k, inertia) after ``n_iter`` Lloyd rounds from
+    the first k rows, for each k.  Reads a persisted copy of ``df``; every
+    round and every inertia is one pass with k literal centres."""
+    fs = present(df, features)
+    base = df.select(id_col, *fs).persist()
+    rows = []
+    for k in k_values:
+        init = initial_centres_first_rows(base, fs, id_col, k)
+        cen = kmeans_lloyd(base, fs, init, k, n_iter)
+        lab = nearest_centroid(base, cen, fs, k, out="_cl", dist2_col="_d2")
+        rows.append((int(k), float(lab.agg(F.sum("_d2")).first()[0])))
+    base.unpersist()
+    return df.sparkSession.createDataFrame(rows, "k int, inertia double") \
+             .select("k", rnd(F.col("inertia")).alias("inertia"))
+
+
 def canonical_relabel(centres: DataFrame, features: Sequence[str], cid: str = "cid"
                       ) -> DataFrame:
     """(old cid, new cid): ids ordered by centre coordinates (k rows)."""

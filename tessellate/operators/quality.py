@@ -175,14 +175,15 @@ def compare_algorithms(metrics: Sequence[DataFrame]) -> DataFrame:
     return out
 
 
-def recommend(comparison: DataFrame) -> DataFrame:
-    """DBSCAN if its silhouette beats K-Means and it found >= 2 clusters."""
-    km = comparison.where(F.col("algorithm") == "K-Means").agg(
+def recommend(comparison: DataFrame, baseline: str = "K-Means") -> DataFrame:
+    """DBSCAN if its silhouette beats the baseline's and it found >= 2
+    clusters, else the baseline."""
+    km = comparison.where(F.col("algorithm") == baseline).agg(
         F.max("silhouette_score").alias("s")).scalar()
     db = comparison.where(F.col("algorithm") == "DBSCAN").agg(
         F.max(F.struct("silhouette_score", "n_clusters")).alias("s")).scalar()
     pick = F.when((db.getField("silhouette_score") > km) & (db.getField("n_clusters") >= 2),
-                  F.lit("DBSCAN")).otherwise(F.lit("K-Means"))
+                  F.lit("DBSCAN")).otherwise(F.lit(baseline))
     return comparison.sparkSession.range(1).select(pick.alias("recommended"))
 
 

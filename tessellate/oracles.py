@@ -346,3 +346,38 @@ def evaluate_sql(name: str, src: str, fs: Sequence[str], sx: str = "") -> str:
             f"(SELECT davies_bouldin FROM dbv{sx}) AS davies_bouldin_index, CAST(NULL AS DOUBLE) AS inertia, "
             f"count(DISTINCT CASE WHEN label <> -1 THEN label END) AS n_clusters, "
             f"CAST(sum(CASE WHEN label = -1 THEN 1 ELSE 0 END) AS BIGINT) AS n_noise FROM {src}")
+
+
+def lloyd_sweep_sql(ks: Sequence[int] = tuple(range(2, 11)), n_iter: int = 3) -> str:
+    """CTE chain ending in ``sweep`` (k, inertia) over the z-scored orders."""
+    fs = ORDER_FEATURES
+    parts = [ORDER_FEATURES_CTE, zscore_cte("z", "ofeat", "o_orderkey", fs)]
+    sels = []
+    for k in ks:
+        parts.append(first_rows_centres(f"k{k}_c0", "z", "o_orderkey", fs, k))
+        chain, final = lloyd_ctes(f"k{k}", "z", f"k{k}_c0", fs, k, n_iter, "o_orderkey")
+        parts.append(chain)
+        parts.append(assign_cte(f"k{k}_lab", "z", final, fs, k, "o_orderkey"))
+        sels.append(f"SELECT CAST({k} AS INTEGER) AS k, {r6('sum(md)')} AS inertia FROM k{k}_lab")
+    parts.append("sweep AS (" + "\nUNION ALL\n".join(sels) + ")")
+    return ",\n".join(parts)
+
+
+def elbow_sql(sweep: str = "sweep", sensitivity: float = 1.0) -> str:
+    """CTEs computing the Kneedle knee of ``sweep`` (k, inertia); ends in ``elbow``."""
+    return f"""kn AS (SELECT k, inertia AS y, row_number() OVER (ORDER BY k) - 1 AS i,
+        (k - min(k) OVER ()) / (max(k) OVER () - min(k) OVER ()) AS xn,
+        (inertia - min(inertia) OVER ()) / (max(inertia) OVER () - min(inertia) OVER ()) AS yn0 FROM {sweep}),
+kn2 AS (SELECT *, max(yn0) OVER () - yn0 AS yn FROM kn),
+kn3 AS (SELECT *, yn - xn AS yd FROM kn2),
+kn4 AS (SELECT *, coalesce(lag(yd) OVER (ORDER BY k), yd) AS prv, coalesce(lead(yd) OVER (ORDER BY k), yd) AS nxt,
+        lead(yd) OVER (ORDER BY k) AS nx, abs(xn - lag(xn) OVER (ORDER BY k)) AS dx FROM kn3),
+kn5 AS (SELECT *, yd >= prv AND yd >= nxt AS is_max, yd <= prv AND yd <= nxt AS is_min, avg(dx) OVER () AS step FROM kn4),
+kn6 AS (SELECT *, last_value(CASE WHEN is_min THEN 0.0 WHEN is_max THEN yd - {sensitivity} * step END IGNORE NULLS)
+          OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS thr,
+        last_value(CASE WHEN is_max THEN k END IGNORE NULLS)
+          OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS kmax,
+        min(CASE WHEN is_max THEN i END) OVER () AS first_max FROM kn5),
+elbow AS (SELECT (SELECT arg_min(kmax, i) FROM kn6 WHERE i >= first_max AND xn < 1.0 AND nx < thr) AS knee,
+          coalesce((SELECT arg_min(kmax, i) FROM kn6 WHERE i >= first_max AND xn < 1.0 AND nx < thr),
+                   (SELECT k FROM kn6 WHERE i = 2)) AS elbow_k)"""

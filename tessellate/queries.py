@@ -923,3 +923,60 @@ def q_summary(spark, sf):
     sizes = PR.cluster_sizes(raw, "cluster")
     mix = PR.crosstab_pct(raw, "cluster", "o_orderpriority")
     return RP.summary_report(kc, comp, prof, names, sizes, mix)
+
+
+# ====================================================================== deterministic k search, remaining operators
+SWEEP_SQL = O.lloyd_sweep_sql()
+
+
+def _lloyd_sweep(spark, sf):
+    return KM.lloyd_sweep(_zorders(spark, sf), ORDER_FEATURES, "o_orderkey", range(2, 11), 3)
+
+
+@register("lloyd_sweep_orders", f"WITH {SWEEP_SQL}\nSELECT * FROM sweep")
+def q_lloyd_sweep(spark, sf):
+    return _lloyd_sweep(spark, sf)
+
+
+@register("elbow_orders", f"WITH {SWEEP_SQL},\n{O.elbow_sql()}\nSELECT knee, elbow_k FROM elbow")
+def q_elbow(spark, sf):
+    return Q.elbow_k(_lloyd_sweep(spark, sf))
+
+
+@register("elbow_points_orders", f"WITH {SWEEP_SQL},\n{O.elbow_sql()}\n"
+          "SELECT k, inertia, k = (SELECT elbow_k FROM elbow) AS chosen FROM sweep")
+def q_elbow_points(spark, sf):
+    sweep = _lloyd_sweep(spark, sf)
+    return CH.elbow_points(sweep, Q.elbow_k(sweep).select("elbow_k").scalar())
+
+
+@register("select_features_orders", f"WITH {O.ORDER_FEATURES_CTE}\nSELECT o_orderkey, " + ", ".join(ORDER_FEATURES) + " FROM ofeat")
+def q_select_features(spark, sf):
+    sel, missing = C.select_features(order_features(spark, sf), ORDER_FEATURES + ["tempo"], "o_orderkey")
+    assert missing == ["tempo"]
+    return sel
+
+
+@register("drop_noise_dbscan_d3", O.dbscan_sql([0, 1, 2], 0.05, 5).replace(
+    "\nSELECT p.vec_id, CAST(", "\n, res AS (SELECT p.vec_id, CAST(", 1) + ")\nSELECT vec_id, cluster FROM res WHERE cluster <> -1")
+def q_drop_noise(spark, sf):
+    e, fs = _emb_dims(spark, sf, [0, 1, 2])
+    return C.drop_noise(DB.dbscan(e, fs, 0.05, 5, "vec_id"), "cluster").select("vec_id", "cluster")
+
+
+@register("attach_labels_orders", f"WITH {CL}\nSELECT o_orderkey, " + ", ".join(ORDER_FEATURES) +
+          ", cluster AS cluster_kmeans, CASE WHEN n_lines > 4 THEN 1 ELSE 0 END AS many_lines FROM labr")
+def q_attach_labels(spark, sf):
+    f = order_features(spark, sf).select("o_orderkey", *ORDER_FEATURES)
+    km = clustered_orders(spark, sf).select("o_orderkey", F.col("cluster").alias("cluster_kmeans"))
+    ml = f.select("o_orderkey", F.when(F.col("n_lines") > 4, 1).otherwise(0).alias("many_lines"))
+    return A.attach_labels(f, {"cluster_kmeans": km, "many_lines": ml}, "o_orderkey")
+
+
+@register("recommend_algorithm_embeddings", EVAL_CTES + ",\ncmp AS (" + O.evaluate_sql("Labels", "gl", EMB, "_g") +
+          "\nUNION ALL\n" + O.evaluate_sql("DBSCAN", "dbl", EMB, "_d") + ")\n"
+          "SELECT CASE WHEN (SELECT silhouette_score FROM cmp WHERE algorithm = 'DBSCAN') > "
+          "(SELECT silhouette_score FROM cmp WHERE algorithm = 'Labels') AND "
+          "(SELECT n_clusters FROM cmp WHERE algorithm = 'DBSCAN') >= 2 THEN 'DBSCAN' ELSE 'Labels' END AS recommended")
+def q_recommend(spark, sf):
+    return Q.recommend(Q.compare_algorithms(list(_emb_evaluated(spark, sf))), baseline="Labels")
