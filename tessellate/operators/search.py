@@ -100,6 +100,9 @@ def similar_items(df: DataFrame, query_id, features: Sequence[str], id_col: str,
                       similarity_score(F.col("_dist")).alias("similarity_score"))
 
 
+MAX_BROADCAST_QUERIES = 100_000
+
+
 def similar_items_many(df: DataFrame, queries: DataFrame, features: Sequence[str], id_col: str,
                        cluster_col: str, k: int = 10) -> DataFrame:
     """J6 for a set of query rows, batched as an equi-join on cluster.
@@ -107,10 +110,16 @@ def similar_items_many(df: DataFrame, queries: DataFrame, features: Sequence[str
     Each query meets only the rows of its own cluster; a per-partition rank
     limit runs before the shuffle of the ranking window.  Cost is
     |queries| x |cluster| distance evaluations - the query set is the
-    operator's input, not a cap."""
+    operator's input, not a cap.  A query set of checked size is broadcast;
+    a larger one is shuffle-joined on the cluster, where AQE splits a skewed
+    cluster's partition."""
     fs = present(df, features)
     q = queries.select(F.col(id_col).alias("query_id"), F.col(cluster_col).alias("_qc"),
                        *[F.col(f).cast("double").alias(f"_q_{f}") for f in fs])
+    if q.count() <= MAX_BROADCAST_QUERIES:
+        # checked size: every candidate row meets its cluster's queries map-side,
+        # so a hot cluster is never shuffled to one task
+        q = F.broadcast(q)
     cand = df.select(id_col, F.col(cluster_col).alias("_qc"),
                      *[F.col(f).cast("double").alias(f) for f in fs])
     j = cand.join(q, "_qc").where(F.col(id_col) != F.col("query_id"))

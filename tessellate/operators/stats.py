@@ -277,12 +277,33 @@ def feature_deepdive(df: DataFrame, features: Sequence[str], approx: bool = Fals
 
 
 # ---------------------------------------------------------------- A10, A11, V2
+MAX_PAIRWISE_FEATURES = 16
+
+
+def _correlation_gramian(df: DataFrame, fs: Sequence[str]) -> DataFrame:
+    """Wide tables: one distributed Gramian (treeAggregate of d x d blocks)
+    over the rows without NULLs, instead of d^2 aggregate expressions."""
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.stat import Correlation
+    vec = VectorAssembler(inputCols=list(fs), outputCol="_v", handleInvalid="skip") \
+        .transform(df.select(*[F.col(f).cast("double").alias(f) for f in fs]))
+    m = Correlation.corr(vec, "_v", "pearson").first()[0].toArray()      # d x d
+    rows = [(a, b, None if m[i, j] != m[i, j] else float(m[i, j]))
+            for i, a in enumerate(fs) for j, b in enumerate(fs)]
+    out = df.sparkSession.createDataFrame(rows, "feature_1 string, feature_2 string, r double")
+    return out.select("feature_1", "feature_2", rnd(F.col("r")).alias("r"))
+
+
 def correlation_matrix(df: DataFrame, features: Sequence[str]) -> DataFrame:
     """A10: Pearson r of every feature pair (pairwise-complete rows) in one job.
 
     Built from population co-moments with a guarded divide: a constant column
-    gives NULL instead of raising under ANSI mode."""
+    gives NULL instead of raising under ANSI mode.  Above
+    ``MAX_PAIRWISE_FEATURES`` features the d^2 expressions would defeat
+    code generation, so a Gramian over complete rows is used instead."""
     fs = present(df, features)
+    if len(fs) > MAX_PAIRWISE_FEATURES:
+        return _correlation_gramian(df, fs)
     structs = []
     for i, a in enumerate(fs):
         for j, b in enumerate(fs):

@@ -54,3 +54,23 @@ def test_streaming_scorer_matches_batch(spark):
     got = {r.id: (r.cluster, r.cluster_label) for r in spark.table("scored_stream").collect()}
     want = {r.id: (r.cluster, r.cluster_label) for r in scorer.score(batch).collect()}
     assert got == want and len(got) == 50
+
+
+def test_clustering_run_end_to_end(spark):
+    from tessellate.plans.clustering_run import RunConfig, run
+    from tessellate.plans.tables import ORDER_FEATURES, order_features
+    out = tempfile.mkdtemp(prefix="tess-run-")
+    cfg = RunConfig(features=ORDER_FEATURES, id_col="o_orderkey", date_col="o_orderdate",
+                    family_source="o_orderpriority", family_keywords=(("urgent", "Urgent"), ("low", "Low")),
+                    k_values=(2, 3, 4, 5), k_candidates=(2, 3), sweep_n_init=1, n_init=1,
+                    dbscan_eps=0.8, dbscan_sample=500, hier_sample=500, silhouette_sample=500,
+                    name_rules=())
+    res = run(spark, order_features(spark, "/root/testdata/sf0.001"), cfg, out)
+    m = {r.algorithm: r for r in res["metrics"].collect()}
+    assert set(m) == {"K-Means", "DBSCAN", "Hierarchical"}
+    n = order_features(spark, "/root/testdata/sf0.001").count()
+    assert res["export"].count() == n
+    assert sum(r["count"] for r in res["sizes"].collect()) == n
+    assert res["report"].count() > 5
+    for sub in ("clustered", "clustered_csv", "metrics", "results", "report", "labels"):
+        assert os.path.isdir(os.path.join(out, sub))
