@@ -73,15 +73,18 @@ def connected_components(vertices: DataFrame, edges: DataFrame, max_rounds: int
     labels = cut_lineage(vertices.select("id", F.col("id").alias("comp")).distinct())
     for _ in range(max_rounds):
         nb = e.join(labels.withColumnRenamed("id", "dst"), "dst").select(
-            F.col("src").alias("id"), "comp")
-        new = labels.unionByName(nb).groupBy("id").agg(F.min("comp").alias("comp"))
+            F.col("src").alias("id"), "comp", F.lit(None).cast("long").alias("_own"))
+        own = labels.select("id", "comp", F.col("comp").alias("_own"))
+        new = own.unionByName(nb).groupBy("id").agg(F.min("comp").alias("comp"),
+                                                     F.max("_own").alias("_old"))
         parent = new.select(F.col("id").alias("comp"), F.col("comp").alias("_pc"))
         new = new.join(parent, "comp", "left").select(
-            "id", F.least(F.col("comp"), F.coalesce(F.col("_pc"), F.col("comp"))).alias("comp"))
+            "id", F.least(F.col("comp"), F.coalesce(F.col("_pc"), F.col("comp"))).alias("comp"),
+            "_old")
         new = cut_lineage(new)
-        changed = new.join(labels.withColumnRenamed("comp", "_old"), "id") \
-                     .where(F.col("comp") != F.col("_old")).limit(1).count()
-        labels = new
+        # the change flag travels with the round's checkpoint: no extra join
+        changed = new.where(F.col("comp") != F.col("_old")).limit(1).count()
+        labels = new.drop("_old")
         if changed == 0:
             break
     return labels

@@ -61,7 +61,14 @@ def query_order(spark: SparkSession, sf_dir: str):
                  .alias("q")).scalar()
 
 
+def most_expensive(lab: DataFrame):
+    """Scalar: the most expensive clustered order (ties -> smallest key),
+    read from the persisted clustered table (no second pass over lineitem)."""
+    return lab.agg(F.min_by(ORDER_ID, F.struct(-F.col("raw_o_totalprice"), F.col(ORDER_ID)))
+                   .alias("q")).scalar()
+
+
 def similar_orders(spark: SparkSession, sf_dir: str, top: int = TOP) -> DataFrame:
     lab = clustered_orders(spark, sf_dir)
-    return similar_items(lab, query_order(spark, sf_dir), ORDER_FEATURES, ORDER_ID,
+    return similar_items(lab, most_expensive(lab), ORDER_FEATURES, ORDER_ID,
                          cluster_col="cluster", k=top, extra_cols=["cluster"])
