@@ -168,7 +168,8 @@ def propagate_nearest(df: DataFrame, sample: DataFrame, features: Sequence[str],
     sel = sample.select(F.col(sample_id).cast("long").alias("_sid"),
                         F.col(label_col).cast("int").alias("_lab"),
                         *[F.col(f).cast("double").alias(f) for f in fs])
-    blocks = max(1, -(-n // max_broadcast))
+    # hash blocks of about half the bound each, so a block stays under it
+    blocks = 1 if n <= max_broadcast else -(-2 * n // max_broadcast)
     parts = []
     for b in range(blocks):
         if blocks == 1:

@@ -28,7 +28,7 @@ from __future__ import annotations
 import itertools
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import present
@@ -61,6 +61,17 @@ def eps_join(df: DataFrame, features: Sequence[str], eps: float, id_col: str,
                     F.sqrt("_d2").alias("distance"))
 
 
+def consecutive_index(df: DataFrame, order_col: str, out: str) -> DataFrame:
+    """0-based position of each row in ``order_col`` order, computed by a
+    range-partitioned sort and ``zipWithIndex`` (only per-partition counts
+    reach the driver)."""
+    spark = df.sparkSession
+    ordered = df.select(order_col).orderBy(order_col)
+    rdd = ordered.rdd.zipWithIndex().map(lambda t: (t[0][0], int(t[1])))
+    schema = f"`{order_col}` {dict(df.dtypes)[order_col]}, `{out}` int"
+    return spark.createDataFrame(rdd, schema)
+
+
 def connected_components(vertices: DataFrame, edges: DataFrame, max_rounds: int = 200
                          ) -> DataFrame:
     """(id, comp) with comp = smallest id in the component.
@@ -108,10 +119,9 @@ def dbscan(df: DataFrame, features: Sequence[str], eps: float, min_samples: int,
                     .join(core_ids.withColumnRenamed("p", "id_b"), "id_b") \
                     .select(F.col("id_a").alias("src"), F.col("id_b").alias("dst"))
     comp = connected_components(cores, cc_edges)
-    # number clusters by their smallest core id (one row per cluster)
-    firsts = comp.select("comp").distinct()
-    numbered = firsts.select("comp", (F.row_number().over(Window.orderBy("comp")) - 1)
-                             .cast("int").alias("cluster"))
+    # number clusters by their smallest core id: a distributed consecutive
+    # index (the cluster count can grow with the data, so no single-task window)
+    numbered = consecutive_index(comp.select("comp").distinct(), "comp", "cluster")
     core_lab = comp.join(numbered, "comp").select(F.col("id").alias("p"), "cluster")
     # border: smallest cluster among core neighbours
     border = both.join(core_lab.withColumnRenamed("p", "q"), "q") \
