@@ -46,18 +46,26 @@ def eps_join(df: DataFrame, features: Sequence[str], eps: float, id_col: str,
     pts = df.select(F.col(id_col).alias("_id"), *[F.col(f).cast("double").alias(f) for f in fs])
     cells = {f"_g{i}": F.floor(F.col(f) / F.lit(float(eps))).cast("long") for i, f in enumerate(gf)}
     pts = pts.withColumns(cells)
-    offsets = list(itertools.product((-1, 0, 1), repeat=len(gf)))
+    # half neighbourhood: offsets that are lexicographically >= 0 meet every
+    # unordered pair of neighbouring cells exactly once (the zero offset also
+    # meets same-cell pairs, kept once by the id order)
+    offsets = [o for o in itertools.product((-1, 0, 1), repeat=len(gf)) if o >= (0,) * len(gf)]
     off_arr = F.array(*[F.array(*[F.lit(o) for o in off]) for off in offsets])
     a = pts.select("_id", *[F.col(c).alias(f"a_{c}") for c in cells],
                    *[F.col(f).alias(f"a_{f}") for f in fs])
     b = pts.select(F.col("_id").alias("_idb"), F.explode(off_arr).alias("_off"),
                    *list(cells), *[F.col(f).alias(f"b_{f}") for f in fs])
-    b = b.select("_idb", *[(F.col(c) + F.col("_off")[i]).alias(f"a_{c}") for i, c in enumerate(cells)],
+    zero = F.lit(True)
+    for i in range(len(gf)):
+        zero = zero & (F.col("_off")[i] == 0)
+    b = b.select("_idb", zero.alias("_same"),
+                 *[(F.col(c) + F.col("_off")[i]).alias(f"a_{c}") for i, c in enumerate(cells)],
                  *[F.col(f"b_{f}") for f in fs])
-    j = a.join(b, [f"a_{c}" for c in cells]).where(F.col("_id") < F.col("_idb"))
+    j = a.join(b, [f"a_{c}" for c in cells]).where(
+        (~F.col("_same")) | (F.col("_id") < F.col("_idb")))
     d2 = _sq_dist([F.col(f"a_{f}") for f in fs], [F.col(f"b_{f}") for f in fs])
     return j.withColumn("_d2", d2).where(F.col("_d2") <= F.lit(float(eps) * float(eps))) \
-            .select(F.col("_id").alias("id_a"), F.col("_idb").alias("id_b"),
+            .select(F.least("_id", "_idb").alias("id_a"), F.greatest("_id", "_idb").alias("id_b"),
                     F.sqrt("_d2").alias("distance"))
 
 
