@@ -130,7 +130,7 @@ def davies_bouldin(df: DataFrame, label_col: str, features: Sequence[str],
     k = intra.agg(F.count(F.lit(1)).alias("k"), F.max("s").alias("smax")).select(
         F.struct("k", "smax").alias("x")).scalar()
     mmax = pairs.agg(F.max("distance").alias("m")).scalar()
-    # clusters whose every other centroid coincides contribute 0 (sklearn: R -> 0)
+    # a coincident centroid pair adds nothing; a cluster with no other centroid apart adds 0
     total = per.agg(F.sum("d").alias("t")).select(F.coalesce(F.col("t"), F.lit(0.0)).alias("t"))
     val = F.when(k.getField("k") < 2, F.lit(None).cast("double")) \
            .when((k.getField("smax") == 0) | (F.coalesce(mmax, F.lit(0.0)) == 0), F.lit(0.0)) \

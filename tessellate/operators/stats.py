@@ -72,8 +72,8 @@ def missing_report(df: DataFrame, only_positive: bool = True) -> DataFrame:
     """A3: nulls (NaN included) and their share per column."""
     n = F.count(F.lit(1))
     structs = [F.struct(F.lit(c).alias("column"),
-                        F.sum(F.when(_is_missing(df, c), 1).otherwise(0)).cast("long")
-                        .alias("n_missing"), n.alias("_n"))
+                        F.coalesce(F.sum(F.when(_is_missing(df, c), 1).otherwise(0)), F.lit(0))
+                        .cast("long").alias("n_missing"), n.alias("_n"))
                for c in df.columns]
     long = _explode_structs(df.agg(F.array(*structs).alias("s")), "s")
     out = long.select("column", "n_missing",
@@ -83,7 +83,7 @@ def missing_report(df: DataFrame, only_positive: bool = True) -> DataFrame:
 
 def total_missing(df: DataFrame) -> DataFrame:
     expr = sum((F.when(_is_missing(df, c), 1).otherwise(0) for c in df.columns), F.lit(0))
-    return df.agg(F.sum(expr).cast("long").alias("total_missing"))
+    return df.agg(F.coalesce(F.sum(expr), F.lit(0)).cast("long").alias("total_missing"))
 
 
 # ---------------------------------------------------------------- A4
@@ -226,7 +226,8 @@ def _outlier_flag(f: str, lo, hi):
 
 def _outlier_counts(df: DataFrame, fs: Sequence[str], bounds) -> DataFrame:
     structs = [F.struct(F.lit(f).alias("feature"),
-                        F.sum(_outlier_flag(f, bounds[f][3], bounds[f][4]).cast("long")).alias("n_outliers"),
+                        F.coalesce(F.sum(_outlier_flag(f, bounds[f][3], bounds[f][4]).cast("long")),
+                                   F.lit(0)).cast("long").alias("n_outliers"),
                         F.count(F.lit(1)).alias("_n")) for f in fs]
     long = _explode_structs(df.agg(F.array(*structs).alias("s")), "s")
     return long.select("feature", "n_outliers",
@@ -249,7 +250,7 @@ def rows_with_outlier(df: DataFrame, features: Sequence[str], approx: bool = Fal
     any_o = F.lit(False)
     for f in fs:
         any_o = any_o | _outlier_flag(f, b[f][3], b[f][4])
-    return df.agg(F.sum(any_o.cast("long")).alias("n_rows_with_outlier"),
+    return df.agg(F.coalesce(F.sum(any_o.cast("long")), F.lit(0)).cast("long").alias("n_rows_with_outlier"),
                   F.count(F.lit(1)).alias("_n")) \
              .select("n_rows_with_outlier",
                      rnd(pct(F.col("n_rows_with_outlier"), F.col("_n"))).alias("pct_rows"))

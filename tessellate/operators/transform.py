@@ -118,8 +118,8 @@ def winsorize(df: DataFrame, columns: Sequence[str], upper_percentile: float = 0
     t = {c: F.lit(q.get(c)).cast("double") for c in cs}
     clipped = df.withColumns({c: F.when(F.col(c) > t[c], t[c]).otherwise(F.col(c).cast("double"))
                               for c in cs})
-    counts = df.agg(*[F.sum(F.when(F.col(c) > t[c], 1).otherwise(0)).cast("long").alias(c)
-                      for c in cs])
+    counts = df.agg(*[F.coalesce(F.sum(F.when(F.col(c) > t[c], 1).otherwise(0)), F.lit(0))
+                      .cast("long").alias(c) for c in cs])
     report = counts.unpivot([], cs, "column", "n_clipped").withColumn(
         "threshold", rnd(F.create_map(*[x for c in cs for x in (F.lit(c), t[c])])[F.col("column")]))
     return clipped, report.select("column", "threshold", "n_clipped")
