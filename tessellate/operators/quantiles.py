@@ -46,7 +46,7 @@ _PID = "_qpid"
 def grouped_quantiles(df: DataFrame, value: str, probs: Sequence[float],
                       group_cols: Sequence[str] = (), approx: bool = False,
                       accuracy: int = 10000, num_ranges: int | None = None,
-                      method: str = "auto") -> DataFrame:
+                      method: str = "auto", slice_col: str | None = None) -> DataFrame:
     """Long table (*group_cols, prob, q) of exact linear-interpolated quantiles.
 
     ``method``: "auto" (size-checked choice), "map" (single aggregate),
@@ -55,7 +55,8 @@ def grouped_quantiles(df: DataFrame, value: str, probs: Sequence[float],
     """
     g = list(group_cols)
     probs = [float(p) for p in probs]
-    base = df.select(*[F.col(c) for c in g], F.col(value).cast("double").alias(_V)) \
+    extra = [F.col(slice_col).alias(_PID)] if slice_col else []
+    base = df.select(*[F.col(c) for c in g], F.col(value).cast("double").alias(_V), *extra) \
              .where(F.col(_V).isNotNull())
     if approx:
         qs = base.groupBy(*g).agg(
@@ -76,14 +77,19 @@ def grouped_quantiles(df: DataFrame, value: str, probs: Sequence[float],
                                           F.col("_i") + 1).alias("prob"), "q")
 
     spark = df.sparkSession
-    parts = num_ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    counts = base.groupBy(*g, _V).agg(F.count(F.lit(1)).alias(_C))
-    ranged = counts.repartitionByRange(parts, *[F.col(c) for c in g], F.col(_V)) \
-                   .withColumn(_PID, F.spark_partition_id())
-    # The slices are read twice (totals, then ranks).  Range bounds come from
-    # sampling, so two evaluations could disagree on which slice holds a
-    # value; a reliable checkpoint fixes one partitioning for both reads.
-    ranged = cut_lineage(ranged)
+    if slice_col:
+        # slices given by a deterministic function of the value (monotone
+        # buckets): every read agrees without materialising anything
+        ranged = base.groupBy(*g, _PID, _V).agg(F.count(F.lit(1)).alias(_C))
+    else:
+        parts = num_ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        counts = base.groupBy(*g, _V).agg(F.count(F.lit(1)).alias(_C))
+        ranged = counts.repartitionByRange(parts, *[F.col(c) for c in g], F.col(_V)) \
+                       .withColumn(_PID, F.spark_partition_id())
+        # The slices are read twice (totals, then ranks).  Range bounds come
+        # from sampling, so two evaluations could disagree on which slice
+        # holds a value; a reliable checkpoint fixes one partitioning.
+        ranged = cut_lineage(ranged)
 
     # offsets of each (group, range partition) slice: O(partitions + groups) rows
     slice_tot = ranged.groupBy(*g, _PID).agg(F.sum(_C).alias("_st"))
@@ -137,11 +143,50 @@ def feature_quantiles(df: DataFrame, features: Sequence[str], probs: Sequence[fl
                       group_cols: Sequence[str] = (), approx: bool = False,
                       method: str = "auto") -> DataFrame:
     """(*group_cols, feature, prob, q) for many features in one job."""
+    if not group_cols and not approx and method in ("auto", "ranges", "buckets"):
+        n_max = None
+        if method == "auto":
+            counts = df.agg(*[F.count(F.col(f)).alias(f) for f in features]).first()
+            n_max = max(counts[f] or 0 for f in features)
+        if method != "auto" or n_max > MAX_EXACT_MAP:
+            return bucketed_quantiles(df, features, probs)
+        method = "map"
     lv = long_values(df, features, keep=group_cols)
     return grouped_quantiles(lv, "value", probs, [*group_cols, "feature"], approx=approx,
                              method=method)
 
 
+def bucketed_quantiles(df: DataFrame, features: Sequence[str], probs: Sequence[float],
+                       slices: int | None = None) -> DataFrame:
+    """Exact per-feature quantiles with value slices cut at approximate
+    quantiles: one sketch pass gives <= ``slices`` split points per feature
+    (a #features x slices array - bounded), ML's ``Bucketizer`` maps every
+    value to its slice by binary search, and the rank arithmetic of
+    :func:`grouped_quantiles` runs per slice.  Slices hold about n/slices
+    rows each, a repeated value collapses to one counted row, and nothing is
+    checkpointed."""
+    from pyspark.ml.feature import Bucketizer
+    spark = df.sparkSession
+    k = slices or max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    cuts = [i / k for i in range(1, k)]
+    acc = max(200, 8 * k)  # rank error ~1/(8 slices): slices stay balanced
+    row = df.agg(*[F.percentile_approx(F.col(f).cast("double"), cuts, acc).alias(f)
+                   for f in features]).first()                        # #features x k values
+    splits = []
+    for f in features:
+        inner = sorted({float(v) for v in (row[f] or []) if v is not None})
+        splits.append([float("-inf"), *inner, float("inf")])
+    wide = df.select(*[F.col(f).cast("double").alias(f) for f in features])
+    outs = [f"_b_{i}" for i in range(len(features))]
+    b = Bucketizer(splitsArray=splits, inputCols=list(features), outputCols=outs,
+                   handleInvalid="keep").transform(wide)
+    pairs = [F.struct(F.col(f).alias("v"), F.col(o).cast("int").alias("s")).alias(f)
+             for f, o in zip(features, outs)]
+    lv = b.select(*pairs).unpivot([], list(features), "feature", "_vs") \
+          .select("feature", F.col("_vs.v").alias("value"), F.col("_vs.s").alias("_slice"))
+    return grouped_quantiles(lv, "value", probs, ["feature"], method="ranges", slice_col="_slice")
+
+
 def wide_quantiles(qlong: DataFrame, features: Sequence[str], probs: Sequence[float],
                    names: Sequence[str]) -> DataFrame:
     """Turn a global (feature, prob, q) table into one row with columns

@@ -38,6 +38,19 @@ def test_quantiles_match_numpy(spark, method):
             assert got[(g, p)] == pytest.approx(float(np.quantile(vals, p)), abs=1e-12)
 
 
+def test_bucketed_feature_quantiles_match_numpy(spark):
+    from tessellate.operators.quantiles import feature_quantiles
+    rng = np.random.default_rng(11)
+    a = np.round(rng.lognormal(0, 1, 3000), 3)
+    b = np.where(rng.random(3000) < 0.4, 7.0, rng.normal(0, 1, 3000))   # a hot value
+    df = spark.createDataFrame([(float(x), float(y)) for x, y in zip(a, b)], "a double, b double")
+    probs = [0.0, 0.05, 0.25, 0.5, 0.75, 0.95, 1.0]
+    got = {(r.feature, r.prob): r.q for r in feature_quantiles(df, ["a", "b"], probs, method="buckets").collect()}
+    for name, vals in (("a", a), ("b", b)):
+        for p in probs:
+            assert got[(name, p)] == pytest.approx(float(np.quantile(vals, p)), abs=1e-9)
+
+
 def test_quantiles_ignore_nulls_and_empty(spark):
     df = spark.createDataFrame([(None,), (1.0,), (3.0,)], "v double")
     got = grouped_quantiles(df, "v", [0.5], method="ranges").collect()
