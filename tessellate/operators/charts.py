@@ -14,6 +14,9 @@ from ..functions.columns import present, rnd
 from .profile import crosstab_pct, top_columns
 
 
+WIDE = 16
+
+
 def elbow_points(sweep: DataFrame, chosen_k) -> DataFrame:
     """V4: the sweep table with the chosen k flagged."""
     k = chosen_k if not isinstance(chosen_k, int) else F.lit(chosen_k)
@@ -26,21 +29,34 @@ def pca_2d(df: DataFrame, features: Sequence[str], id_col: str, n_components: in
     data, sign fixed so each component's largest-magnitude loading is
     positive.  Returns (rows (id, pc1, pc2), (component, variance_ratio)).
 
-    The d x d covariance comes from one aggregate job; only that matrix is
-    decomposed on the driver."""
+    The d x d covariance comes from one aggregate job (a Gramian for wide
+    tables); only that matrix is decomposed on the driver."""
     fs = present(df, features)
     d = len(fs)
-    aggs = [F.avg(F.col(f).cast("double")).alias(f"m_{f}") for f in fs]
-    for i in range(d):
-        for j in range(i, d):
-            aggs.append(F.covar_samp(F.col(fs[i]).cast("double"), F.col(fs[j]).cast("double"))
-                        .alias(f"c_{i}_{j}"))
-    row = df.agg(*aggs).first()
-    mean = np.array([row[f"m_{f}"] for f in fs], dtype=float)
-    cov = np.zeros((d, d))
-    for i in range(d):
-        for j in range(i, d):
-            cov[i, j] = cov[j, i] = row[f"c_{i}_{j}"] or 0.0
+    if d > WIDE:
+        # wide tables: one JVM-side Gramian (ML correlation over complete rows)
+        # scaled by the standard deviations, instead of d^2 aggregate expressions
+        from pyspark.ml.feature import VectorAssembler
+        from pyspark.ml.stat import Correlation
+        clean = df.select(*[F.col(f).cast("double").alias(f) for f in fs]).na.drop()
+        st = clean.agg(*[F.avg(f) for f in fs], *[F.stddev_samp(f) for f in fs]).first()
+        mean = np.array(st[:d], dtype=float)
+        sd = np.nan_to_num(np.array(st[d:], dtype=float))
+        vec = VectorAssembler(inputCols=list(fs), outputCol="_v").transform(clean)
+        corr = np.nan_to_num(Correlation.corr(vec, "_v").first()[0].toArray())
+        cov = corr * np.outer(sd, sd)
+    else:
+        aggs = [F.avg(F.col(f).cast("double")).alias(f"m_{f}") for f in fs]
+        for i in range(d):
+            for j in range(i, d):
+                aggs.append(F.covar_samp(F.col(fs[i]).cast("double"), F.col(fs[j]).cast("double"))
+                            .alias(f"c_{i}_{j}"))
+        row = df.agg(*aggs).first()
+        mean = np.array([row[f"m_{f}"] for f in fs], dtype=float)
+        cov = np.zeros((d, d))
+        for i in range(d):
+            for j in range(i, d):
+                cov[i, j] = cov[j, i] = row[f"c_{i}_{j}"] or 0.0
     vals, vecs = np.linalg.eigh(cov)
     order = np.argsort(vals)[::-1][:n_components]
     comps = vecs[:, order]
