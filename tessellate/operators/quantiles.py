@@ -77,6 +77,10 @@ def grouped_quantiles(df: DataFrame, value: str, probs: Sequence[float],
                                           F.col("_i") + 1).alias("prob"), "q")
 
     spark = df.sparkSession
+    if not slice_col and method in ("ranges", "buckets") and g:
+        sliced = _bucket_groups(base, g, spark)
+        if sliced is not None:
+            base, slice_col = sliced, _PID
     if slice_col:
         # slices given by a deterministic function of the value (monotone
         # buckets): every read agrees without materialising anything
@@ -131,6 +135,36 @@ def grouped_quantiles(df: DataFrame, value: str, probs: Sequence[float],
     return agg.select(*g, "prob", q.alias("q"))
 
 
+MAX_SPLIT_GROUPS = 100_000
+
+
+def _bucket_groups(base: DataFrame, g: Sequence[str], spark) -> DataFrame | None:
+    """Attach a deterministic slice id to every (group, value): slices are cut
+    at approximate per-group quantiles (one sketch pass); the split table has
+    one row per group and is broadcast only when the group count is below
+    ``MAX_SPLIT_GROUPS``.  The slice is the number of splits <= value, found
+    by an unrolled binary search (log2(slices) codegen'd steps)."""
+    k = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    cuts = [i / k for i in range(1, k)]
+    splits = base.groupBy(*g).agg(
+        F.array_sort(F.array_distinct(F.percentile_approx(_V, cuts, max(200, 8 * k))))
+        .alias("_splits"))
+    if splits.count() > MAX_SPLIT_GROUPS:
+        return None
+    d = base.join(F.broadcast(splits), list(g)).withColumn("_n", F.size("_splits")) \
+            .withColumn(_PID, F.lit(0))
+    step = 1
+    while step * 2 <= k:
+        step *= 2
+    while step >= 1:
+        cand = F.col(_PID) + step
+        d = d.withColumn(_PID, F.when((cand <= F.col("_n")) &
+                                      (F.element_at("_splits", cand) <= F.col(_V)), cand)
+                         .otherwise(F.col(_PID)))
+        step //= 2
+    return d.drop("_splits", "_n")
+
+
 def long_values(df: DataFrame, features: Sequence[str], name: str = "feature",
                 value: str = "value", keep: Sequence[str] = ()) -> DataFrame:
     """Unpivot feature columns into (keep..., feature, value) as doubles."""

@@ -353,3 +353,31 @@ def test_crosstab_and_top_columns(spark):
     assert ct[(0, "a")] == pytest.approx(66.666667) and ct[(1, "b")] == 100.0
     top = [(r.value, r.mean_pct) for r in PR.top_columns(PR.crosstab_pct(df, "c", "v")).orderBy("rank").collect()]
     assert top[0][0] == "b" and top[0][1] == pytest.approx((33.333333 + 100) / 2, abs=1e-5)
+
+
+def test_grouped_bucket_quantiles_match_numpy(spark):
+    rng = np.random.default_rng(12)
+    rows = []
+    for g, n in (("hot", 4000), ("x", 300), ("y", 1)):
+        vals = np.where(rng.random(n) < 0.3, 5.0, np.round(rng.normal(0, 2, n), 4))
+        rows += [(g, float(v)) for v in vals]
+    df = spark.createDataFrame(rows, "g string, v double")
+    probs = [0.0, 0.25, 0.5, 0.9, 1.0]
+    got = {(r.g, r.prob): r.q for r in grouped_quantiles(df, "v", probs, ["g"], method="buckets").collect()}
+    for g in ("hot", "x", "y"):
+        vals = np.array([v for gg, v in rows if gg == g])
+        for p in probs:
+            assert got[(g, p)] == pytest.approx(float(np.quantile(vals, p)), abs=1e-9)
+
+
+def test_grouped_quantiles_many_groups_fallback(spark, monkeypatch):
+    from tessellate.operators import quantiles as QT
+    monkeypatch.setattr(QT, "MAX_SPLIT_GROUPS", 0)      # force the range-slice path
+    rng = np.random.default_rng(13)
+    rows = [(int(g), float(v)) for g, v in zip(rng.integers(0, 5, 800), rng.normal(0, 1, 800))]
+    df = spark.createDataFrame(rows, "g long, v double")
+    got = {(r.g, r.prob): r.q for r in QT.grouped_quantiles(df, "v", [0.1, 0.5, 0.9], ["g"], method="ranges").collect()}
+    for g in range(5):
+        vals = np.array([v for gg, v in rows if gg == g])
+        for p in (0.1, 0.5, 0.9):
+            assert got[(g, p)] == pytest.approx(float(np.quantile(vals, p)), abs=1e-9)
