@@ -979,3 +979,21 @@ def q_attach_labels(spark, sf):
           "(SELECT n_clusters FROM cmp WHERE algorithm = 'DBSCAN') >= 2 THEN 'DBSCAN' ELSE 'Labels' END AS recommended")
 def q_recommend(spark, sf):
     return Q.recommend(Q.compare_algorithms(list(_emb_evaluated(spark, sf))), baseline="Labels")
+
+
+# ====================================================================== wide feature sets (64-dim embeddings)
+@register("correlation_matrix_embeddings",
+          "WITH ex AS (SELECT vec_id, generate_subscripts(embedding, 1) AS i, CAST(unnest(embedding) AS DOUBLE) AS x "
+          "FROM embeddings)\n"
+          "SELECT 'e' || CAST(a.i - 1 AS VARCHAR) AS feature_1, 'e' || CAST(b.i - 1 AS VARCHAR) AS feature_2, "
+          + O.r6("CASE WHEN a.i = b.i THEN CASE WHEN var_pop(a.x) > 0 THEN 1.0 END "
+                 "ELSE covar_pop(a.x, b.x) / NULLIF(sqrt(var_pop(a.x) * var_pop(b.x)), 0) END") +
+          " AS r FROM ex a JOIN ex b USING (vec_id) GROUP BY a.i, b.i")
+def q_corr_emb(spark, sf):
+    return S.correlation_matrix(_emb(spark, sf), EMB)
+
+
+@register("pca_2d_embeddings")
+def q_pca_emb(spark, sf):
+    rows, _ = CH.pca_2d(_emb(spark, sf), EMB, "vec_id")
+    return rows
