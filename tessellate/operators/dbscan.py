@@ -26,8 +26,10 @@ Connected components
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -109,10 +111,152 @@ def connected_components(vertices: DataFrame, edges: DataFrame, max_rounds: int
     return labels
 
 
+def _number_and_border(pts: DataFrame, comp: DataFrame, core_nb: DataFrame, id_col: str,
+                       noise: int) -> DataFrame:
+    """Cluster ids from components (by smallest core id) and border labels
+    (smallest cluster among core neighbours).  ``pts`` (p, is_core),
+    ``comp`` (id, comp), ``core_nb`` (p, q): q is a core within eps of p."""
+    numbered = consecutive_index(comp.select("comp").distinct(), "comp", "cluster")
+    core_lab = comp.join(numbered, "comp").select(F.col("id").alias("p"), "cluster")
+    border = core_nb.join(core_lab.withColumnRenamed("p", "q"), "q") \
+                    .groupBy("p").agg(F.min("cluster").alias("_bc"))
+    out = pts.join(core_lab, "p", "left").join(border, "p", "left")
+    lab = F.when(F.col("is_core"), F.col("cluster")).otherwise(
+        F.coalesce(F.col("_bc"), F.lit(noise))).cast("int")
+    return out.select(F.col("p").alias(id_col), lab.alias("cluster"), "is_core")
+
+
+def _dbscan_grid(df: DataFrame, fs: Sequence[str], eps: float, min_samples: int, id_col: str,
+                 noise: int) -> DataFrame:
+    """Exact DBSCAN for <= 3 features on cells of side eps/sqrt(d).
+
+    A cell is *tight* when the bounding box of its points has diameter
+    <= eps: all its points are then mutual neighbours.  Every (point, nearby
+    cell) pair is classified by box distances as *full* (both cells tight and
+    the whole box within eps: counted, no pairs), *none* (box farther than
+    eps) or *partial* (exact point pairs).  Cores connect by star edges to
+    their tight cell's smallest core and to the smallest core of full
+    cells, plus exact core pairs - the same components as the full eps-graph
+    without ever listing the pairs inside a dense cell, so a cell holding a
+    third of the rows costs a group count, not a quadratic join."""
+    d = len(fs)
+    e2 = float(eps) * float(eps)
+    side = float(eps) / math.sqrt(d)
+    pts = df.select(F.col(id_col).cast("long").alias("p"),
+                    *[F.col(f).cast("double").alias(f"x{i}") for i, f in enumerate(fs)])
+    pts = pts.withColumns({f"c{i}": F.floor(F.col(f"x{i}") / F.lit(side)).cast("long") for i in range(d)})
+    pts = pts.persist(StorageLevel.MEMORY_AND_DISK)
+    ckeys = [f"c{i}" for i in range(d)]
+    cells = pts.groupBy(*ckeys).agg(
+        F.count(F.lit(1)).alias("n"),
+        *[F.min(f"x{i}").alias(f"lo{i}") for i in range(d)],
+        *[F.max(f"x{i}").alias(f"hi{i}") for i in range(d)])
+    diam2 = _sq_dist([F.col(f"hi{i}") for i in range(d)], [F.col(f"lo{i}") for i in range(d)])
+    cells = cells.withColumn("tight", diam2 <= F.lit(e2)).persist(StorageLevel.MEMORY_AND_DISK)
+    # nearby cells: offsets whose cell gap can still be <= eps
+    offs = [o for o in itertools.product(range(-2, 3), repeat=d)
+            if sum(max(abs(v) - 1, 0) ** 2 for v in o) <= d]
+    off_arr = F.array(*[F.array(*[F.lit(v) for v in o]) for o in offs])
+    near = cells.select(*[F.col(c).alias(f"n{c}") for c in ckeys], "n", "tight",
+                        *[F.col(f"lo{i}") for i in range(d)], *[F.col(f"hi{i}") for i in range(d)],
+                        F.explode(off_arr).alias("_o"))
+    near = near.select(*[(F.col(f"n{c}") + F.col("_o")[i]).alias(c) for i, c in enumerate(ckeys)],
+                       *[F.col(f"n{c}") for c in ckeys], "n", F.col("tight").alias("ntight"),
+                       *[F.col(f"lo{i}") for i in range(d)], *[F.col(f"hi{i}") for i in range(d)])
+    own = cells.select(*ckeys, F.col("tight").alias("otight"))
+    pc = pts.join(own, ckeys).join(near, ckeys)   # point x non-empty nearby cell
+    far = [F.greatest(F.abs(F.col(f"x{i}") - F.col(f"lo{i}")), F.abs(F.col(f"x{i}") - F.col(f"hi{i}")))
+           for i in range(d)]
+    gap = [F.greatest(F.col(f"lo{i}") - F.col(f"x{i}"), F.col(f"x{i}") - F.col(f"hi{i}"), F.lit(0.0))
+           for i in range(d)]
+    zero = [F.lit(0.0)] * d
+    maxd2, mind2 = _sq_dist(far, zero), _sq_dist(gap, zero)
+    full = F.col("otight") & F.col("ntight") & (maxd2 <= F.lit(e2))
+    pc = pc.select("p", *[F.col(f"x{i}") for i in range(d)], *[F.col(f"n{c}") for c in ckeys],
+                   "n", F.when(full, F.lit("full")).when(mind2 > F.lit(e2), F.lit("none"))
+                   .otherwise(F.lit("partial")).alias("kind")).where(F.col("kind") != "none")
+    pc = pc.persist(StorageLevel.MEMORY_AND_DISK)
+    # exact pairs only for partial (point, cell) combinations
+    part = pc.where(F.col("kind") == "partial").select(
+        "p", *[F.col(f"x{i}").alias(f"a{i}") for i in range(d)],
+        *[F.col(f"n{c}").alias(c) for c in ckeys])
+    others = pts.select(F.col("p").alias("q"), *ckeys, *[F.col(f"x{i}").alias(f"b{i}") for i in range(d)])
+    pair_d2 = _sq_dist([F.col(f"a{i}") for i in range(d)], [F.col(f"b{i}") for i in range(d)])
+    pairs = part.join(others, ckeys).where(F.col("p") != F.col("q")) \
+                .where(pair_d2 <= F.lit(e2)).select("p", "q").persist(StorageLevel.MEMORY_AND_DISK)
+    # neighbour counts (self included): full cells by count, partial by pairs
+    full_n = pc.where(F.col("kind") == "full").groupBy("p").agg(F.sum("n").alias("_fn"))
+    pair_n = pairs.groupBy("p").agg(F.count(F.lit(1)).alias("_pn"))
+    self_in_full = pc.where((F.col("kind") == "full") &
+                            F.expr(" AND ".join(f"n{c} = floor(x{i} / {side!r})" for i, c in enumerate(ckeys))))
+    self_in_full = self_in_full.select("p").distinct().withColumn("_sf", F.lit(1))
+    deg = pts.select("p").join(full_n, "p", "left").join(pair_n, "p", "left") \
+             .join(self_in_full, "p", "left")
+    deg_all = F.coalesce(F.col("_fn"), F.lit(0)) + F.coalesce(F.col("_pn"), F.lit(0)) + \
+        F.when(F.col("_sf").isNull(), F.lit(1)).otherwise(F.lit(0))
+    core = deg.select("p", (deg_all >= min_samples).alias("is_core")) \
+              .persist(StorageLevel.MEMORY_AND_DISK)
+    # smallest core per cell; star edges and full-cell representative edges
+    pcell = pts.select("p", *ckeys).join(core, "p")
+    mincore = pcell.where("is_core").groupBy(*ckeys).agg(F.min("p").alias("rep"))
+    tight_cells = cells.where("tight").select(*ckeys)
+    star = pcell.where("is_core").join(tight_cells, ckeys).join(mincore, ckeys) \
+                .select(F.col("p").alias("src"), F.col("rep").alias("dst"))
+    full_rep = pc.where(F.col("kind") == "full").select(
+        "p", *[F.col(f"n{c}").alias(c) for c in ckeys]).join(mincore, ckeys).select("p", "rep")
+    is_core_p = core.where("is_core").select("p")
+    rep_edges = full_rep.join(is_core_p, "p").select(F.col("p").alias("src"), F.col("rep").alias("dst"))
+    core_q = core.where("is_core").select(F.col("p").alias("q"))
+    core_pairs = pairs.join(is_core_p, "p").join(core_q, "q").select(
+        F.col("p").alias("src"), F.col("q").alias("dst"))
+    comp = connected_components(is_core_p.select(F.col("p").alias("id")),
+                                star.unionByName(rep_edges).unionByName(core_pairs))
+    # core neighbours of every point: representatives of full cells, exact pairs
+    core_nb = full_rep.select("p", F.col("rep").alias("q")).unionByName(
+        pairs.join(core_q, "q").select("p", "q"))
+    return _number_and_border(core, comp, core_nb, id_col, noise)
+
+
+PAIR_BUDGET_PER_ROW = 64
+
+
+def candidate_pairs(df: DataFrame, features: Sequence[str], eps: float,
+                    grid_features: Sequence[str] | None = None) -> tuple[int, int]:
+    """(rows, candidate pairs of the eps-join) from coarse cell counts only:
+    one aggregate plus a join of the (much smaller) cell table."""
+    gf = list(grid_features or list(features)[:3])
+    cells = {f"_g{i}": F.floor(F.col(f).cast("double") / F.lit(float(eps))).cast("long")
+             for i, f in enumerate(gf)}
+    cnt = df.select(*[v.alias(k) for k, v in cells.items()]).groupBy(*cells).agg(
+        F.count(F.lit(1)).alias("n")).persist()
+    offsets = [o for o in itertools.product((-1, 0, 1), repeat=len(gf)) if o >= (0,) * len(gf)]
+    near = cnt.select(*[F.col(k).alias(f"m{k}") for k in cells], F.col("n").alias("m"),
+                      F.explode(F.array(*[F.array(*[F.lit(v) for v in o]) for o in offsets])).alias("_o"))
+    near = near.select(*[(F.col(f"m{k}") + F.col("_o")[i]).alias(k) for i, k in enumerate(cells)],
+                       "m", F.expr(" AND ".join(f"_o[{i}] = 0" for i in range(len(gf)))).alias("_same"))
+    j = cnt.join(near, list(cells))
+    pairs = F.when(F.col("_same"), F.col("n") * (F.col("n") - 1) / 2).otherwise(F.col("n") * F.col("m"))
+    row = j.agg(F.sum(pairs).alias("p")).first()
+    rows = cnt.agg(F.sum("n").alias("r")).first()["r"] or 0
+    cnt.unpersist()
+    return int(rows), int(row["p"] or 0)
+
+
 def dbscan(df: DataFrame, features: Sequence[str], eps: float, min_samples: int, id_col: str,
-           grid_features: Sequence[str] | None = None, noise: int = -1) -> DataFrame:
-    """(id, cluster, is_core) for every row; noise is -1."""
+           grid_features: Sequence[str] | None = None, noise: int = -1,
+           method: str = "auto") -> DataFrame:
+    """(id, cluster, is_core) for every row; noise is -1.
+
+    ``auto`` is a size check: the eps-join runs while its candidate pairs
+    (estimated from coarse cell counts) stay within ``PAIR_BUDGET_PER_ROW``
+    per row; beyond that - dense or hot cells - inputs with <= 3 features use
+    the tight-cell grid, which lists no pairs inside dense cells."""
     fs = present(df, features)
+    if method == "auto" and len(fs) <= 3 and not grid_features:
+        rows, cand = candidate_pairs(df, fs, eps)
+        method = "grid" if cand > PAIR_BUDGET_PER_ROW * max(rows, 1) else "pairs"
+    if method == "grid":
+        return _dbscan_grid(df, fs, eps, min_samples, id_col, noise)
     pairs = cut_lineage(eps_join(df, fs, eps, id_col, grid_features))
     both = pairs.select(F.col("id_a").alias("p"), F.col("id_b").alias("q")).unionByName(
         pairs.select(F.col("id_b").alias("p"), F.col("id_a").alias("q")))

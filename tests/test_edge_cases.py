@@ -381,3 +381,28 @@ def test_grouped_quantiles_many_groups_fallback(spark, monkeypatch):
         vals = np.array([v for gg, v in rows if gg == g])
         for p in (0.1, 0.5, 0.9):
             assert got[(g, p)] == pytest.approx(float(np.quantile(vals, p)), abs=1e-9)
+
+
+@pytest.mark.parametrize("dims,seed", [(1, 3), (2, 4), (3, 5), (3, 6)])
+def test_grid_dbscan_hot_blob_matches_scan(spark, dims, seed):
+    rng = np.random.default_rng(seed)
+    blob = rng.normal(0.5, 0.004, (300, dims))                 # a hot cell: most rows
+    rest = rng.uniform(0, 1, (120, dims))
+    grid = np.round(rng.uniform(0, 1, (40, dims)) / 0.05) * 0.05  # points on cell boundaries
+    X = np.round(np.vstack([blob, rest, grid]), 6)
+    cols = ", ".join(f"x{i} double" for i in range(dims))
+    df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(X)], f"id long, {cols}")
+    fs = [f"x{i}" for i in range(dims)]
+    for eps, m in ((0.05, 4), (0.1, 6)):
+        got = {r.id: r.cluster for r in DB.dbscan(df, fs, eps, m, "id", method="grid").collect()}
+        assert [got[i] for i in range(len(X))] == list(_dbscan_scan(X, eps, m))
+
+
+def test_dbscan_auto_switches_to_grid_on_hot_cell(spark):
+    rng = np.random.default_rng(21)
+    X = np.round(np.vstack([rng.normal(0.5, 0.002, (400, 2)), rng.uniform(0, 1, (50, 2))]), 6)
+    df = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(X)], "id long, x double, y double")
+    rows, cand = DB.candidate_pairs(df, ["x", "y"], 0.05)
+    assert rows == 450 and cand > DB.PAIR_BUDGET_PER_ROW * rows
+    got = {r.id: r.cluster for r in DB.dbscan(df, ["x", "y"], 0.05, 5, "id").collect()}
+    assert [got[i] for i in range(len(X))] == list(_dbscan_scan(X, 0.05, 5))
