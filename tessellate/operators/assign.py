@@ -31,14 +31,6 @@ def _sq_dist(xs: Sequence[Column], cs: Sequence[Column]) -> Column:
     return out
 
 
-def centres_struct(centres: DataFrame, features: Sequence[str], k: int,
-                   cid: str = "cid") -> Column:
-    """k-row centre table -> one scalar struct with fields c{j}_{i}."""
-    fields = [F.max(F.when(F.col(cid) == j, F.col(f).cast("double"))).alias(f"c{j}_{i}")
-              for j in range(k) for i, f in enumerate(features)]
-    return centres.agg(F.struct(*fields).alias("c")).scalar()
-
-
 def nearest_centroid(df: DataFrame, centres, features: Sequence[str], k: int | None = None,
                      cid: str = "cid", out: str = "cluster",
                      dist2_col: str | None = None) -> DataFrame:

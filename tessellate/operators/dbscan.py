@@ -271,17 +271,7 @@ def dbscan(df: DataFrame, features: Sequence[str], eps: float, min_samples: int,
                     .join(core_ids.withColumnRenamed("p", "id_b"), "id_b") \
                     .select(F.col("id_a").alias("src"), F.col("id_b").alias("dst"))
     comp = connected_components(cores, cc_edges)
-    # number clusters by their smallest core id: a distributed consecutive
-    # index (the cluster count can grow with the data, so no single-task window)
-    numbered = consecutive_index(comp.select("comp").distinct(), "comp", "cluster")
-    core_lab = comp.join(numbered, "comp").select(F.col("id").alias("p"), "cluster")
-    # border: smallest cluster among core neighbours
-    border = both.join(core_lab.withColumnRenamed("p", "q"), "q") \
-                 .groupBy("p").agg(F.min("cluster").alias("_bc"))
-    out = pts.join(core_lab, "p", "left").join(border, "p", "left")
-    lab = F.when(F.col("is_core"), F.col("cluster")).otherwise(
-        F.coalesce(F.col("_bc"), F.lit(noise))).cast("int")
-    return out.select(F.col("p").alias(id_col), lab.alias("cluster"), "is_core")
+    return _number_and_border(pts, comp, both, id_col, noise)
 
 
 def dbscan_sampled(df: DataFrame, features: Sequence[str], eps: float, min_samples: int,

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import present, rnd
-from .assign import _sq_dist, centroids_of, nearest_centroid, pairwise_centroids
+from .assign import _sq_dist, centroids_of, pairwise_centroids
 from .sample import uniform_sample
 
 MAX_SILHOUETTE_SAMPLE = 20_000

@@ -221,14 +221,3 @@ def bucketed_quantiles(df: DataFrame, features: Sequence[str], probs: Sequence[f
     return grouped_quantiles(lv, "value", probs, ["feature"], method="ranges", slice_col="_slice")
 
 
-def wide_quantiles(qlong: DataFrame, features: Sequence[str], probs: Sequence[float],
-                   names: Sequence[str]) -> DataFrame:
-    """Turn a global (feature, prob, q) table into one row with columns
-    ``{feature}__{name}`` - a single-row table, safe to use as a scalar."""
-    aggs = []
-    for f in features:
-        for p, nm in zip(probs, names):
-            aggs.append(F.max(F.when((F.col("feature") == f) &
-                                     (F.abs(F.col("prob") - F.lit(float(p))) < 1e-12),
-                                     F.col("q"))).alias(f"{f}__{nm}"))
-    return qlong.agg(*aggs)

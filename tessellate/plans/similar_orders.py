@@ -53,14 +53,6 @@ def clustered_orders_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
                     *[F.col(f"raw_{f}").alias(f) for f in ORDER_FEATURES])
 
 
-def query_order(spark: SparkSession, sf_dir: str):
-    """The order asked about: the most expensive order that has lines
-    (ties -> smallest key), as a scalar."""
-    f = order_features(spark, sf_dir)
-    return f.agg(F.min_by(ORDER_ID, F.struct(-F.col("o_totalprice"), F.col(ORDER_ID)))
-                 .alias("q")).scalar()
-
-
 def most_expensive(lab: DataFrame):
     """Scalar: the most expensive clustered order (ties -> smallest key),
     read from the persisted clustered table (no second pass over lineitem)."""
