@@ -61,3 +61,14 @@ def numeric_fields(df: DataFrame) -> list[str]:
 
 def text_fields(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if f.dataType.typeName() == "string"]
+
+
+MAX_BROADCAST_ROWS = 1_000_000
+
+
+def bounded_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """Broadcast hint only after counting the rows; the table is persisted
+    first so the count and the join share one computation.  Above the bound
+    the plain join lets AQE pick the strategy and split skewed keys."""
+    df = df.persist()
+    return F.broadcast(df) if df.count() <= max_rows else df

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import present
+from ..functions.columns import bounded_broadcast, present
 
 _CEN = "_cen"
 
@@ -66,8 +66,10 @@ def nearest_centroid(df: DataFrame, centres, features: Sequence[str], k: int | N
 
 def label_join(df: DataFrame, labels: DataFrame, on: str, label_col: str,
                default_to_id: bool = False) -> DataFrame:
-    """Id -> text lookup of a k-row label table; missing -> NULL (or id)."""
-    j = df.join(F.broadcast(labels.select(on, label_col)), on, "left")
+    """Id -> text lookup of a label table (k rows for cluster names);
+    missing -> NULL (or id).  Broadcast after a size check, so the (possibly
+    hot) cluster column is never shuffled for it."""
+    j = df.join(bounded_broadcast(labels.select(on, label_col)), on, "left")
     if default_to_id:
         j = j.withColumn(label_col, F.coalesce(F.col(label_col), F.col(on).cast("string")))
     return j

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import present, rnd
+from ..functions.columns import bounded_broadcast, present, rnd
 from .assign import _sq_dist, centroids_of, pairwise_centroids
 from .sample import uniform_sample
 
@@ -118,7 +118,7 @@ def davies_bouldin(df: DataFrame, label_col: str, features: Sequence[str],
     src = df.where(F.col(label_col) != noise)
     cen = centroids_of(src, fs, label_col, "cid", noise=None)
     cen_c = cen.select(F.col("cid").alias(label_col), *[F.col(f).alias(f"_c_{f}") for f in fs])
-    joined = src.join(F.broadcast(cen_c), label_col)  # k rows: one per cluster
+    joined = src.join(bounded_broadcast(cen_c), label_col)  # one row per cluster, counted
     dist = F.sqrt(_sq_dist([F.col(f).cast("double") for f in fs], [F.col(f"_c_{f}") for f in fs]))
     intra = joined.groupBy(F.col(label_col).alias("cid")).agg(F.avg(dist).alias("s"))
     pairs = pairwise_centroids(cen, fs).where(F.col("cid_a") != F.col("cid_b"))
@@ -145,7 +145,7 @@ def inertia(df: DataFrame, label_col: str, features: Sequence[str],
     fs = present(df, features)
     cen = centres if centres is not None else centroids_of(df, fs, label_col, "cid", noise=None)
     cen_c = cen.select(F.col("cid").alias(label_col), *[F.col(f).alias(f"_c_{f}") for f in fs])
-    joined = df.join(F.broadcast(cen_c), label_col)
+    joined = df.join(bounded_broadcast(cen_c), label_col)
     d2 = _sq_dist([F.col(f).cast("double") for f in fs], [F.col(f"_c_{f}") for f in fs])
     return joined.agg(rnd(F.sum(d2)).alias("inertia"))
 

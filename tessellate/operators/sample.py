@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.columns import bounded_broadcast
+
 HASH_M = 2147483647
 HASH_A = 2654435761 % HASH_M
 
@@ -43,7 +45,7 @@ def stratified_sample(df: DataFrame, label_col: str, n: int, id_col: str,
     quota = F.greatest(F.lit(1), F.floor(F.lit(float(n)) * F.col("_size") / total).cast("long"))
     w = Window.partitionBy(label_col).orderBy(portable_hash(id_col, seed), F.col(id_col))
     ranked = df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n)
-    return ranked.join(F.broadcast(sizes.select(label_col, quota.alias("_q"))), label_col) \
+    return ranked.join(bounded_broadcast(sizes.select(label_col, quota.alias("_q"))), label_col) \
                  .where(F.col("_rn") <= F.col("_q")).drop("_rn", "_q")
 
 
