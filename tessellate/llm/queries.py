@@ -11,7 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_replay, token_prefix
+from . import (bpe_replay, covering_simhash, digest_index, hilbert_pack, host_suffix, license_scan, mil_toxicity,
+               multi_index, reshard, token_prefix)
 from .common import per_worker, table
 
 QUERIES = {}
@@ -64,3 +65,84 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     return (table(spark, sf_dir, "documents").select("doc_id", "text")
             .mapInArrow(digests, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"))
+
+
+@register("op2_digest_index", """
+SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
+       doc_id = min(doc_id) OVER w AS kept, text_sha256
+FROM (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', ' ', 'g')) AS text_sha256
+      FROM documents)
+WINDOW w AS (PARTITION BY text_sha256)""")
+def op2_digest_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents absorbed into a new digest index."""
+    return digest_index.DigestIndex(spark).absorb(table(spark, sf_dir, "documents"))
+
+
+@register("op9_covering_simhash")
+def op9_covering_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and near-duplicate component of every document."""
+    groups = covering_simhash.simhash_groups(table(spark, sf_dir, "documents"))
+    return groups.select("doc_id", covering_simhash.hex_fingerprint("fp").alias("fingerprint"), "component_id")
+
+
+SEQUENCE_LENGTH = 2048
+
+
+@register("op10_hilbert_pack")
+def op10_hilbert_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of the packed documents, its ids as a checksum."""
+    pieces = hilbert_pack.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"),
+                               end_id=1, length=SEQUENCE_LENGTH)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"),
+                         "doc_tokens", "sequence_id", "offset")
+
+
+@register("op3_multi_index")
+def op3_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all vectors at cosine 0.9 or more."""
+    found = multi_index.near_vectors(table(spark, sf_dir, "embeddings"), threshold=0.9)
+    return found.withColumn("kept", F.col("vec_id") == F.col("component_id"))
+
+
+#: The table has no paths; files are laid out by source, language and blocks of 64 ids.
+DOCUMENT_PATH = "concat_ws('/', coalesce(source, '-'), coalesce(lang, '-'), CAST(floor(doc_id / 64) AS BIGINT), concat(doc_id, '.txt'))"
+
+
+@register("op4_license_scan", license_scan.oracle_sql(DOCUMENT_PATH, "line_no = 0"))
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stated or inherited licence of every document.  A document that opens
+    with a licence statement stands as the licence file of its directory."""
+    docs = table(spark, sf_dir, "documents").withColumn("path", F.expr(DOCUMENT_PATH))
+    return license_scan.license_scan(docs, licence_file=lambda rows: F.col("line_no") == 0)
+
+
+OLD_SHARDS, NEW_SHARDS = 12, 16
+
+
+@register("op5_flow_reshard")
+def op5_flow_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents moved from 12 hashed shards to 16 of equal bytes."""
+    rows = reshard.sized_rows(table(spark, sf_dir, "documents"), OLD_SHARDS)
+    placed = reshard.reshard(rows, NEW_SHARDS)
+    return placed.select(F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+                         F.lit(None).cast("int").alias("grown_shard"), "old_shard")
+
+
+@register("op6_host_suffix")
+def op6_host_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return host_suffix.extract_main_text(table(spark, sf_dir, "pages"))
+
+
+def held_out(id_col: str = "doc_id"):
+    return F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0
+
+
+@register("op8_mil_toxicity")
+def op8_mil_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document by a model fitted without the held-out fold."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = mil_toxicity.train(docs, labels.where(~held_out()))
+    scored = mil_toxicity.score(docs, model)
+    return scored.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score",
+                         (F.col("score") >= 0.5).cast("int").alias("predicted"), "worst_start", "worst_end")
