@@ -1,13 +1,14 @@
 """Toxicity by multiple-instance learning over sentences.
 
 Only documents carry labels.  A document is a bag of sentences; a sentence has
-the probability sigmoid(bias + sum of the weights of its distinct words), and
-a document is toxic unless every sentence is clean (noisy-or):
-1 - prod(1 - p_s).  Bias and weights are fitted to document labels through
+the probability sigmoid(bias + sum of the weights of its distinct words), a
+word's weight being the sum over its features: the word and its first 4 to 8
+letters, so that stems count whatever their endings.  A document is toxic
+unless every sentence is clean (noisy-or): 1 - prod(1 - p_s).  Bias and weights are fitted to document labels through
 that product, so the sentence scores locate what made a document toxic.
 
 The fit takes a bounded sample of the labelled documents (``FIT_ROWS`` rows of
-each label in the order of a hash of their id, a documented parameter); words
+each label in the order of a hash of their id, a documented parameter); features
 need ``MIN_DOCS`` documents of the sample.  Scoring covers every row and whole
 texts, without a bound.
 
@@ -20,6 +21,7 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -30,16 +32,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import GenerationCache
+
 FIT_ROWS = 3000
 MIN_DOCS = 4
 ROUNDS = 150
 START_BIAS = -8.0
+RATE = 0.2
 SENTENCE = re.compile(r"[^.!?\n]+[.!?\n]*")
 WORD = re.compile(r"\w+")
+STEMS = range(4, 9)
+WORD_CACHE = 200_000
 
 
-def sentences(text: str) -> Iterator[re.Match]:
-    return SENTENCE.finditer(text)
+def features(word: str) -> list[str]:
+    """The word itself and its beginnings (marked by a hyphen)."""
+    return [word, *(word[:n] + "-" for n in STEMS if n <= len(word))]
 
 
 def softplus(z: float) -> float:
@@ -51,14 +59,20 @@ class SentenceModel:
     bias: float = START_BIAS
     weights: dict[str, float] = field(default_factory=dict)
 
+    def __post_init__(self):
+        self.words = GenerationCache(lambda w: sum(self.weights.get(f, 0.0) for f in features(w)), WORD_CACHE)
+
+    def __reduce__(self):
+        return SentenceModel, (self.bias, self.weights)
+
     def logits(self, text: str) -> list[tuple[float, int, int]]:
         """(logit, start, end) of the sentences with a weighted word."""
-        get, out = self.weights.get, []
+        weight, out = self.words.__getitem__, []
         low = text.lower()
         same = len(low) == len(text)
         for m in SENTENCE.finditer(low if same else text):
             s = m.group() if same else m.group().lower()
-            z = sum(w for w in map(get, set(WORD.findall(s))) if w is not None)
+            z = sum(map(weight, sorted(set(WORD.findall(s)))))
             if z:
                 out.append((self.bias + z, m.start(), m.end()))
         return out
@@ -89,45 +103,55 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
 
 
 def fit(texts: list[str], labels: list[int], min_docs: int = MIN_DOCS, rounds: int = ROUNDS,
-        shrink: float = 2e-4) -> SentenceModel:
+        shrink: float = 3e-4) -> SentenceModel:
     """Noisy-or likelihood by full-batch Adam with soft thresholding of the weights."""
     if not texts or min(labels) == max(labels):
         return SentenceModel()
-    bags = [[set(WORD.findall(m.group().lower())) for m in sentences(t)] for t in texts]
-    seen = Counter(w for b in bags for w in set().union(*b))
-    vocab = {w: i for i, w in enumerate(sorted(w for w, n in seen.items() if n >= min_docs))}
+    ids: dict[str, int] = {}
+    word_of, sentence_of, bag_of = array("i"), array("i"), array("i")
+    for k, text in enumerate(texts):
+        for m in SENTENCE.finditer(text):
+            words = {ids.setdefault(w, len(ids)) for w in WORD.findall(m.group().lower())}
+            word_of.extend(words)
+            sentence_of.extend([len(bag_of)] * len(words))
+            bag_of.append(k)
+    word_of, sentence_of, bag_of = (np.frombuffer(x, np.int32) if len(x) else np.zeros(0, np.int32)
+                                    for x in (word_of, sentence_of, bag_of))
+    docs_of = np.bincount(np.unique(bag_of[sentence_of].astype(np.int64) * max(len(ids), 1) + word_of) % max(len(ids), 1),
+                          minlength=len(ids)).tolist()
+    seen: Counter = Counter()
+    for word, i in ids.items():
+        for f in features(word):
+            seen[f] += docs_of[i]
+    vocab = {f: i for i, f in enumerate(sorted(f for f, n in seen.items() if n >= min_docs))}
     if not vocab:
         return SentenceModel()
-    sentence_of, word_of, bag_of = [], [], []
-    n = 0
-    for k, bag in enumerate(bags):
-        for words in bag:
-            known = [vocab[w] for w in words if w in vocab]
-            word_of += known
-            sentence_of += [n] * len(known)
-            bag_of.append(k)
-            n += 1
-    sentence_of, word_of, bag_of = (np.array(x, np.int64) for x in (sentence_of, word_of, bag_of))
+    has = [(i, vocab[f]) for word, i in ids.items() for f in features(word) if f in vocab]
+    of_word, of_feature = (np.array(x, np.int32) for x in zip(*has))
+    del has, seen, docs_of
+    n_words, n = len(ids), len(bag_of)
     y = np.array(labels, np.float64)
     share = np.where(y == 1, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1))  # both labels weigh the same
     w = np.zeros(len(vocab) + 1)
     w[-1] = START_BIAS
     m, v = np.zeros_like(w), np.zeros_like(w)
     for t in range(1, rounds + 1):
-        z = w[-1] + np.bincount(sentence_of, weights=w[word_of], minlength=n)
+        word = np.bincount(of_word, weights=w[of_feature], minlength=n_words)
+        z = w[-1] + np.bincount(sentence_of, weights=word[word_of], minlength=n)
         clean = np.bincount(bag_of, weights=np.logaddexp(0.0, z), minlength=len(y))
         slope = np.where(y == 1, -1.0 / np.expm1(np.clip(clean, 1e-9, 500.0)), 1.0) * share
         d = slope[bag_of] / (1.0 + np.exp(-z))
         g = np.empty_like(w)
-        g[:-1] = np.bincount(word_of, weights=d[sentence_of], minlength=len(vocab))
+        of = np.bincount(word_of, weights=d[sentence_of], minlength=n_words)
+        g[:-1] = np.bincount(of_feature, weights=of[of_word], minlength=len(vocab))
         g[-1] = d.sum()
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
-        rate = 0.3 * min(1.0, 2.0 * (1.0 - t / (rounds + 1)))
+        rate = RATE * min(1.0, 2.0 * (1.0 - t / (rounds + 1)))
         scale = np.sqrt(v / (1 - 0.99 ** t)) + 1e-8
         w -= rate * (m / (1 - 0.9 ** t)) / scale
         pull = rate * shrink / scale[:-1]
         w[:-1] = np.sign(w[:-1]) * np.maximum(np.abs(w[:-1]) - np.minimum(pull, 1.0), 0.0)
-    return SentenceModel(float(w[-1]), {word: float(w[i]) for word, i in vocab.items() if w[i] != 0.0})
+    return SentenceModel(float(w[-1]), {f: float(w[i]) for f, i in vocab.items() if w[i] != 0.0})
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
