@@ -14,7 +14,9 @@ from __future__ import annotations
 
 import base64
 import heapq
+from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +26,7 @@ from pyspark.sql import types as T
 
 from .common import ChunkTable, chunk_of, file_bytes, per_worker
 
-CACHE_ENTRIES = 250_000
+CACHE_ENTRIES = 400_000
 
 
 def read_ranks(rank_file: bytes) -> dict[bytes, int]:
@@ -32,80 +34,95 @@ def read_ranks(rank_file: bytes) -> dict[bytes, int]:
     return {base64.b64decode(a): int(b) for a, b in map(bytes.split, rank_file.splitlines())}
 
 
-def replay_merges(words: list[bytes], ranks: dict[bytes, int]) -> list[list[int]]:
+class Merges:
+    """The pairs of tokens that may merge, by the ranks of their results."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.bytes_of = {r: t for t, r in ranks.items()}
+        self.pairs: dict[int, int] = {}  # left id << 32 | right id -> rank of the merged token
+        for token, rank in ranks.items():
+            for cut in range(1, len(token)):
+                a, b = ranks.get(token[:cut]), ranks.get(token[cut:])
+                if a is not None and b is not None:
+                    self.pairs[a << 32 | b] = rank
+        self.single = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
+        self.first = np.full((257, 257), -1, np.int64)  # rank of two adjacent bytes; 256 ends a word
+        for x in range(256):
+            for y in range(256):
+                self.first[x, y] = ranks.get(bytes([x, y]), -1)
+
+
+def replay_merges(words: list[bytes], merges: Merges) -> list[list[int]]:
     """Ids of each word: all merges applied in rank order over all words,
     leftmost first within a word."""
-    tokens: list[bytes | None] = []
-    first: list[int] = []
-    for w in words:
-        first.append(len(tokens))
-        tokens += [w[i:i + 1] for i in range(len(w))]
-        tokens.append(None)  # no merge crosses the end of a word
-    n = len(tokens)
-    right = list(range(1, n + 1))
-    left = list(range(-1, n - 1))
-    index: dict[int, list[int]] = {}  # rank of the merged token -> positions of its left part
-    get = ranks.get
-    for i in range(n - 1):
-        a, b = tokens[i], tokens[i + 1]
-        if a is not None and b is not None:
-            r = get(a + b)
-            if r is not None:
-                if r in index:
-                    index[r].append(i)
-                else:
-                    index[r] = [i]
+    lengths = np.fromiter(map(len, words), np.int64, len(words))
+    letters = np.full(int(lengths.sum()) + len(words) + 1, 256, np.int64)  # an end before and after each word
+    starts = np.cumsum(lengths + 1) - lengths
+    inside = np.ones(len(letters), bool)
+    inside[0] = False
+    inside[starts + lengths] = False
+    letters[inside] = np.frombuffer(b"".join(words), np.uint8)
+    rank_at = np.full(len(letters), -1, np.int64)
+    rank_at[:-1] = merges.first[letters[:-1], letters[1:]]
+    token = np.where(letters < 256, merges.single[np.minimum(letters, 255)], -1).tolist()
+    order = np.argsort(rank_at, kind="stable")
+    order = order[np.searchsorted(rank_at[order], 0):]
+    ranks, cuts = np.unique(rank_at[order], return_index=True)
+    index = {int(r): part.tolist() for r, part in zip(ranks, np.split(order, cuts[1:]))}  # rank -> places of its pairs
+    pending = rank_at.tolist()
+    right = list(range(1, len(token) + 1))
+    left = list(range(-1, len(token) - 1))
     heap = list(index)
     heapq.heapify(heap)
+    get = merges.pairs.get
     while heap:
         rank = heapq.heappop(heap)
         places = index.pop(rank, None)
         if places is None:
             continue
         places.sort()
-        for k, i in enumerate(places):
-            a = tokens[i]
-            if a is None:
-                continue
-            j = right[i]
-            b = tokens[j] if j < n else None
-            if b is None or get(a + b) != rank:
+        for n, i in enumerate(places):
+            if pending[i] != rank:
                 continue  # a neighbour has been merged meanwhile
-            merged = a + b
-            tokens[i], tokens[j] = merged, None
-            after = right[j]
-            right[i] = after
-            if after < n:
-                left[after] = i
+            j = right[i]
+            k = right[j]
+            token[i], token[j] = rank, -1
+            pending[j] = -1
+            right[i], left[k] = k, i
             lower = False
-            for p, x, y in ((left[i], None, merged), (i, merged, None)):
-                if p < 0:
-                    continue
-                if x is None:
-                    x = tokens[p]
-                    if x is None:
-                        continue
+            r = get(rank << 32 | token[k]) if token[k] >= 0 else None
+            if r is None:
+                pending[i] = -1
+            else:
+                pending[i] = r
+                if r in index:
+                    index[r].append(i)
+                else:
+                    index[r] = [i]
+                    heapq.heappush(heap, r)
+                lower = r < rank
+            h = left[i]
+            if token[h] >= 0:
+                r = get(token[h] << 32 | rank)
+                if r is None:
+                    pending[h] = -1
                 else:
-                    y = tokens[after] if after < n else None
-                    if y is None:
-                        continue
-                r = get(x + y)
-                if r is not None:
+                    pending[h] = r
                     if r in index:
-                        index[r].append(p)
+                        index[r].append(h)
                     else:
-                        index[r] = [p]
+                        index[r] = [h]
                         heapq.heappush(heap, r)
                     lower |= r < rank
             if lower:  # the new pair goes first: come back to the rest of this rank
-                index.setdefault(rank, []).extend(places[k + 1:])
+                index.setdefault(rank, []).extend(places[n + 1:])
                 heapq.heappush(heap, rank)
                 break
     out = []
-    for w, start in zip(words, first):
-        ids, i, end = [], start, start + len(w)
+    for start, length in zip(starts.tolist(), lengths.tolist()):
+        ids, i, end = [], start, start + length
         while i < end:
-            ids.append(ranks[tokens[i]])
+            ids.append(token[i])
             i = right[i]
         out.append(ids)
     return out
@@ -117,8 +134,8 @@ class MergeReplay(ChunkTable):
     def __init__(self, data: bytes, entries: int = CACHE_ENTRIES):
         super().__init__(entries)
         pattern, rank_file = data.split(b"\0", 1) if b"\0" in data[:4096] else (b"", data)
-        self.ranks = read_ranks(rank_file)
-        self.bytes_of = {r: t for t, r in self.ranks.items()}
+        self.merges = Merges(read_ranks(rank_file))
+        self.bytes_of = self.merges.bytes_of
         self.piece = regex.compile(pattern.decode())
 
     def pieces(self, chunk: str) -> list[str]:
@@ -128,8 +145,8 @@ class MergeReplay(ChunkTable):
         """Per chunk its ids as little-endian unsigned 32-bit integers."""
         pieces = {k: self.pieces(chunk_of(k)) for k in keys}
         distinct = list({p for ps in pieces.values() for p in ps})
-        ids = dict(zip(distinct, replay_merges([p.encode() for p in distinct], self.ranks)))
-        return {k: np.array([i for p in ps for i in ids[p]], "<u4").tobytes() for k, ps in pieces.items()}
+        ids = dict(zip(distinct, replay_merges([p.encode() for p in distinct], self.merges)))
+        return {k: array("I", chain.from_iterable(map(ids.__getitem__, ps))).tobytes() for k, ps in pieces.items()}
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers."""
