@@ -9,9 +9,9 @@ every pair within the radius meets in one of the 2^(r+1) - 1 tables.
 Only distinct fingerprints enter the tables.  A bucket of at most
 ``MAX_BUCKET`` is verified by exact bit distances and gives the links of a
 star for each of its groups, never all pairs.  A larger bucket is dealt again
-by a covering of the positions its mask leaves free, until it fits: once the
-free positions are at most log2(MAX_BUCKET) it must, since its members are
-distinct.  Nothing is dropped.
+by a covering of the positions its mask leaves free, until it fits: every mask
+keeps a position, and once the free positions are at most log2(MAX_BUCKET) the
+bucket must fit, since its members are distinct.  Nothing is dropped.
 
 Null texts count as empty and have fingerprint zero; fingerprints of zero link
 like any others.  Null ids never become a component's id unless nothing else
@@ -71,20 +71,22 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def covering_masks(positions: list[int], radius: int) -> list[int]:
-    """Masks over some bit positions: any ``radius`` positions are all outside one of them."""
+    """Masks over some bit positions: any ``radius`` positions are all outside
+    one of them.  Where the positions are too few for every v to keep one, the
+    masks are radius + 1 disjoint groups of them, with the same promise."""
     vectors = (1 << (radius + 1)) - 1
     dealt = [(p, i % vectors + 1) for i, p in enumerate(positions)]
-    return [sum(1 << p for p, m in dealt if (m & v).bit_count() & 1) for v in range(1, vectors + 1)]
+    masks = [sum(1 << p for p, m in dealt if (m & v).bit_count() & 1) for v in range(1, vectors + 1)]
+    return masks if all(masks) else [sum(1 << p for p in positions[g::radius + 1]) for g in range(radius + 1)]
 
 
-@functools.lru_cache(maxsize=100_000)
-def path_mask(path: tuple[int, ...], radius: int) -> int:
-    """Union of the masks chosen along a path of nested coverings."""
-    mask = 0
-    for step in path:
-        free = [p for p in range(BITS) if not mask >> p & 1]
-        mask |= covering_masks(free, radius)[step]
-    return mask
+@functools.lru_cache(maxsize=10_000)
+def path_masks(path: tuple[int, ...], radius: int) -> list[int]:
+    """The masks of the covering nested below a path of chosen masks, each with
+    the positions that the path has kept already."""
+    kept = path_masks(path[:-1], radius)[path[-1]] if path else 0
+    free = [p for p in range(BITS) if not kept >> p & 1]
+    return [kept | m for m in covering_masks(free, radius)]
 
 
 def _steps(code: int, radius: int) -> tuple[int, ...]:
@@ -99,15 +101,12 @@ def _steps(code: int, radius: int) -> tuple[int, ...]:
 def dealt_rows(rows: DataFrame, radius: int) -> DataFrame:
     """(code, key, fp): each (code, fp) once per table of the covering of the
     positions that the masks behind ``code`` leave free."""
-    tables = (1 << (radius + 1)) - 1
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             codes, fps = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for code in np.unique(codes).tolist():
                 fp = fps[codes == code]
-                for step in range(tables):
-                    mask = path_mask((*_steps(code, radius), step), radius)
+                for step, mask in enumerate(path_masks(_steps(code, radius), radius)):
                     key = (fp.view(np.uint64) & np.uint64(mask)).view(np.int64)
                     new = np.full(len(fp), (code << (radius + 1)) | (step + 1), np.int64)
                     yield pa.RecordBatch.from_arrays([pa.array(new), pa.array(key), pa.array(fp)], names=["code", "key", "fp"])
@@ -182,6 +181,8 @@ def near_links(distinct: DataFrame, radius: int = 3, largest: int = MAX_BUCKET)
     """(fp, link) over a table of distinct fingerprints: links that connect
     exactly what distances of at most ``radius`` bits connect."""
     rows = distinct.select(F.lit(0).cast("long").alias("code"), "fp")
+    if largest < 1 << radius:
+        raise ValueError("a bucket must hold 2**radius fingerprints: so many may lie within the radius of each other")
     found = None
     while True:
         level = written(dealt_rows(rows, radius).repartition("code", "key").sortWithinPartitions("code", "key")

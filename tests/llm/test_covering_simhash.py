@@ -6,7 +6,7 @@ import xxhash
 
 from tessellate.llm import queries
 from tessellate.llm.common import table
-from tessellate.llm.covering_simhash import (covering_masks, deduplicate, fingerprint, near_links, path_mask,
+from tessellate.llm.covering_simhash import (covering_masks, deduplicate, fingerprint, near_links, path_masks,
                                              simhash_groups)
 from tests.conftest import SF_SMALL
 from tests.llm import edge
@@ -56,9 +56,17 @@ def test_every_pair_within_the_radius_meets_in_a_table():
     for _ in range(3000):
         differ = sum(1 << p for p in rng.sample(positions, 3))
         assert any(not differ & m for m in masks)
-    free = [p for p in positions if not path_mask((4,), 3) >> p & 1]
-    for three in itertools.combinations(free, 3):  # the nested covering keeps the promise on what is left
-        assert any(not sum(1 << p for p in three) & path_mask((4, s), 3) for s in range(15))
+    path = ()
+    while True:  # nested coverings keep the promise on what is left, and always keep a position more
+        kept = path_masks(path, 3)[4 % len(path_masks(path, 3))]
+        path += (4 % len(path_masks(path, 3)),)
+        free = [p for p in positions if not kept >> p & 1]
+        if len(free) <= 3:
+            break
+        below = path_masks(path, 3)
+        assert all(m & ~kept for m in below)
+        for three in itertools.combinations(free[:20], 3):
+            assert any(not sum(1 << p for p in three) & m for m in below)
 
 
 def test_large_buckets_are_dealt_again_and_lose_nothing(spark):
@@ -68,7 +76,7 @@ def test_large_buckets_are_dealt_again_and_lose_nothing(spark):
     fps |= {base ^ (v << 10) for v in range(64)}  # a dense group within six positions
     fps |= {rng.getrandbits(64) for _ in range(100)}
     signed = [(f - (1 << 64) if f >> 63 else f,) for f in sorted(fps)]
-    links = near_links(spark.createDataFrame(signed, "fp long"), 3, largest=4).collect()
+    links = near_links(spark.createDataFrame(signed, "fp long"), 3, largest=8).collect()
     want = plain_components(sorted(fps), sorted(fps))
     label = {f: f for f in fps}
 
