@@ -100,29 +100,33 @@ def transfers(blocks: list[tuple[int, int, int]], flow: dict[tuple[int, int], in
 
 def settle(sizes: dict[int, int], targets: dict[int, int], pool: dict[int, list[tuple[int, int]]]) -> dict[int, int]:
     """Moves (row -> new shard) of pooled rows (size, row) that bring the shard
-    sizes towards the targets: each time from the shard most above to the one
-    most below, the largest row that fits."""
+    sizes towards the targets.  Between the shard most above its target and the
+    one most below, the row (or the exchange of two) that comes nearest to half
+    their difference is taken, as long as it brings them closer."""
     over = {j: sizes.get(j, 0) - targets[j] for j in targets}
-    pool = {j: sorted(rows) for j, rows in pool.items()}
+    pool = {j: sorted(pool.get(j, [])) for j in targets}
     moved: dict[int, int] = {}
-    for _ in range(sum(map(len, pool.values()))):
+    for _ in range(4 * sum(map(len, pool.values()))):
+        a = max(over, key=lambda j: (over[j], j))
         b = min(over, key=lambda j: (over[j], j))
-        best = None
-        for a in sorted((j for j in over if pool.get(j)), key=lambda j: (-over[j], j)):
-            need = max(over[a] - over[b], 0)  # a row of less than this brings the two closer
-            k = bisect.bisect_left(pool[a], (max(1, (need + 1) // 2 + 1), -1)) - 1
-            if k < 0 and pool[a][0][0] < need:
-                k = 0
-            if k >= 0:
-                best = (a, k)
-                break
-        if best is None:
+        half = (over[a] - over[b]) / 2
+        best = None  # (distance from half, size, row, size back, row back)
+        for size, row in pool[a]:
+            k = bisect.bisect_left(pool[b], (size - half, -1))
+            for back in [(0, None), *pool[b][max(0, k - 1):k + 1]]:
+                trial = (abs(size - back[0] - half), size, row, *back)
+                if best is None or trial[0] < best[0]:
+                    best = trial
+        if best is None or best[0] >= half:
             break
-        a, k = best
-        size, row = pool[a].pop(k)
-        moved[row] = b
-        over[a] -= size
-        over[b] += size
+        _, size, row, size_back, row_back = best
+        for x, y, s, r in ((a, b, size, row), (b, a, size_back, row_back)):
+            if r is not None:
+                pool[x].remove((s, r))
+                bisect.insort(pool[y], (s, r))
+                over[x] -= s
+                over[y] += s
+                moved[r] = y
     return moved
 
 

@@ -36,7 +36,8 @@ def test_transfers_cover_every_block():
 
 def test_settle_balances():
     sizes, targets = {0: 100, 1: 80}, {0: 90, 1: 90}
-    assert settle(sizes, targets, {0: [(3, 1), (7, 2), (50, 3)], 1: []}) in ({2: 1, 1: 1}, {1: 1, 2: 1})
+    assert settle(sizes, targets, {0: [(3, 1), (7, 2), (50, 3)], 1: []}) == {1: 1, 2: 1}
+    assert settle(sizes, targets, {0: [(30, 1)], 1: [(20, 2)]}) == {1: 1, 2: 0}
     assert settle({0: 5, 1: 5}, {0: 5, 1: 5}, {0: [(1, 1)], 1: [(1, 2)]}) == {}
 
 
