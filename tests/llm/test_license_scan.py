@@ -40,7 +40,7 @@ def test_root_licence_covers_all(spark):
 
 def test_statements(spark):
     rows = [(None, "Licensed under CC BY-NC 4.0."), (None, "licensed under cc by 4.0"), (None, "the license under which"),
-            (None, "x\n\nRELEASED UNDER THE MIT LICENSE"), (None, "Licensed under the Apache License, Version 2.0. " + "other words " * 9)]
+            (None, "x\n\nRELEASED UNDER THE MIT LICENSE"), (None, "Licensed under the Apache License, Version 2.0. " + " ".join(f"word{i}" for i in range(9)))]
     got = {r["id"]: (r["licence"], r["line_no"]) for r in stated_licences(files(spark, rows)).collect()}
     assert got == {0: ("CC-BY-NC-4.0", 0), 1: ("CC-BY-4.0", 0), 3: ("MIT", 2)}
 
