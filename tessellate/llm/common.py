@@ -146,6 +146,20 @@ class ChunkTable:
             yield from block
 
 
+def _byte_letters() -> list[str]:
+    """The printable letter that byte-level BPE uses for each byte."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    letters, extra = {b: chr(b) for b in plain}, 256
+    for b in range(256):
+        if b not in letters:
+            letters[b] = chr(extra)
+            extra += 1
+    return [letters[b] for b in range(256)]
+
+
+BYTE_LETTERS = dict(enumerate(_byte_letters()))
+
+
 _PER_WORKER: dict = {}
 
 

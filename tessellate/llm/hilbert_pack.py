@@ -14,6 +14,9 @@ Rows with a null id sort first.  Further columns are not carried.
 
 from __future__ import annotations
 
+import functools
+import unicodedata
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,9 +26,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from .common import UNSURE_SPACE, ChunkTable, file_bytes, per_worker, written
+from .common import BYTE_LETTERS, UNSURE_SPACE, ChunkTable, GenerationCache, file_bytes, per_worker, written
 
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 250_000
 HASH_BUCKETS = 1024
 DIMENSIONS = 3
 BITS = 16
@@ -85,17 +88,59 @@ class WordIds(ChunkTable):
     def __init__(self, tokenizer_json: bytes, entries: int = CACHE_ENTRIES):
         super().__init__(entries)
         self.tok = Tokenizer.from_buffer(tokenizer_json)
+        self.model = self.tok.model
         self.n_ids = max(self.tok.get_vocab(with_added_tokens=True).values()) + 1
         self.dtype = np.dtype("<u2" if self.n_ids <= 1 << 16 else "<u4")
+        self.code = "H" if self.n_ids <= 1 << 16 else "I"
         self.projection = Projection(self.n_ids)
+        self.plain = GenerationCache(self._plain_word, entries // 3)
+        # a word of letters is one piece for the model if the tokenizer lower-cases and splits letters off marks
+        probe = ["Straße", "ÉLAN", "don", "xyzzy"]
+        self.splits_words = all(self._whole(w + m) == self._word(w) + self._whole(m) for w in probe for m in ("", ",", "."))
+
+    def _whole(self, text: str) -> list[int]:
+        return self.tok.encode(text, add_special_tokens=False).ids
+
+    def _word(self, word: str) -> list[int]:
+        low = word.lower()
+        letters = low if low.isascii() else low.encode().decode("latin-1").translate(BYTE_LETTERS)
+        return [t.id for t in self.model.tokenize(letters)]
+
+    def _plain_word(self, word: str) -> bytes:
+        """Ids of a word of letters, nothing where the library must see all of it
+        (marks that compose, a sigma whose lower case depends on its place)."""
+        low = word.lower()
+        if not word.isascii() and not (low.isalpha() and "Σ" not in word and unicodedata.is_normalized("NFC", word)):
+            return b""
+        return array(self.code, self._word(word)).tobytes()
 
     @staticmethod
     def words(text: str) -> list[str]:
         return [text] if UNSURE_SPACE.search(text) else text.split()
 
     def values(self, keys: list[str]) -> dict[str, bytes]:
-        encoded = self.tok.encode_batch_fast(keys, add_special_tokens=False)
-        return {k: np.array(e.ids, self.dtype).tobytes() for k, e in zip(keys, encoded)}
+        out, rest = {}, []
+        for key in keys:
+            ids = b""
+            if self.splits_words:
+                if key.isalpha():
+                    ids = self.plain[key]
+                elif key[-1:] in ",." and key[:-1].isalpha():
+                    ids = self.plain[key[:-1]]
+                    ids = ids and ids + self.mark(key[-1])
+            if ids:
+                out[key] = ids
+            else:
+                rest.append(key)
+        for at in range(0, len(rest), 2_000):
+            part = rest[at:at + 2_000]
+            for key, e in zip(part, self.tok.encode_batch_fast(part, add_special_tokens=False)):
+                out[key] = array(self.code, e.ids).tobytes()
+        return out
+
+    @functools.lru_cache(maxsize=8)
+    def mark(self, mark: str) -> bytes:
+        return array(self.code, self._whole(mark)).tobytes()
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         for words in self.blocks(texts, self.words):

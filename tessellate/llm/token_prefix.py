@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from .common import ChunkTable, GenerationCache, chunk_keys, chunk_of, file_bytes, per_worker
+from .common import BYTE_LETTERS, ChunkTable, GenerationCache, chunk_keys, chunk_of, file_bytes, per_worker
 
 #: Split of byte-level BPE before its merges (the library's own pattern).
 PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -35,17 +35,6 @@ CONTRACTIONS = frozenset(["'re", "'ve", "'ll"])
 CACHE_ENTRIES = 300_000
 
 
-def _byte_letters() -> list[str]:
-    """The printable letter that byte-level BPE uses for each byte."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    letters, extra = {b: chr(b) for b in plain}, 256
-    for b in range(256):
-        if b not in letters:
-            letters[b] = chr(extra)
-            extra += 1
-    return [letters[b] for b in range(256)]
-
-
 class PrefixTable(ChunkTable):
     """Token counts of all prefixes under one byte-level BPE tokenizer."""
 
@@ -59,7 +48,7 @@ class PrefixTable(ChunkTable):
         self.reach: dict[str, int] = {}  # longest token by its last three letters
         for t in self.vocab:
             self.reach[t[-3:]] = max(self.reach.get(t[-3:], 0), len(t))
-        self.letters = dict(enumerate(_byte_letters()))
+        self.letters = BYTE_LETTERS
         self.whole = GenerationCache(self._is_whole, entries)
         self.apart = GenerationCache(self._stay_apart, entries)
 
