@@ -135,15 +135,19 @@ def _nn_block(features: Sequence[str], id_col: str, s_ids: np.ndarray, s_lab: np
                 d2 = xn2[:, None] + s_n2[None, :] - 2.0 * (xb @ s_x.T)
                 mn = d2.min(axis=1)
                 tol = 1e-9 * (xn2 + s_n2.max()) + 1e-12
-                for r in range(len(xb)):
-                    cand = np.flatnonzero(d2[r] <= mn[r] + tol[r])
+                pick = d2.argmin(axis=1)
+                diff = s_x[pick] - xb
+                best_i[lo:lo + len(xb)] = pick
+                best_d[lo:lo + len(xb)] = (diff * diff).sum(axis=1)
+                close = d2 <= (mn + tol)[:, None]
+                for r in np.flatnonzero(close.sum(axis=1) > 1):  # ties within rounding, decided exactly
+                    cand = np.flatnonzero(close[r])
                     diff = s_x[cand] - xb[r]
                     exact = (diff * diff).sum(axis=1)
                     m = exact.min()
-                    pick = cand[exact == m][0]  # sample sorted by id: lowest id wins
-                    best_i[lo + r] = pick
+                    best_i[lo + r] = cand[exact == m][0]  # sample sorted by id: lowest id wins
                     best_d[lo + r] = m
-            yield pd.DataFrame({id_col: pdf[id_col].to_numpy(),
+            yield pd.DataFrame({id_col: pdf[id_col],
                                 "nn_id": s_ids[best_i], "nn_label": s_lab[best_i],
                                 "nn_dist2": best_d})
     return run
@@ -153,13 +157,15 @@ def propagate_nearest(df: DataFrame, sample: DataFrame, features: Sequence[str],
                       id_col: str, sample_id: str, label_col: str,
                       max_broadcast: int = MAX_BROADCAST_SAMPLE) -> DataFrame:
     """Exact 1-NN of every row among the labelled sample; returns
-    (id_col, nn_id, nn_label, nn_dist).  Ties -> lowest sample id."""
+    (id_col, nn_id, nn_label, nn_dist).  Ties -> lowest sample id; an empty
+    sample gives NULLs."""
     fs = present(df, features)
     n = sample.count()
-    schema = f"`{id_col}` long, nn_id long, nn_label int, nn_dist2 double"
-    src = df.select(F.col(id_col).cast("long").alias(id_col),
+    kind, sample_kind = (t.schema[c].dataType.simpleString() for t, c in ((df, id_col), (sample, sample_id)))
+    schema = f"`{id_col}` {kind}, nn_id {sample_kind}, nn_label int, nn_dist2 double"
+    src = df.select(F.col(id_col),
                     *[F.col(f).cast("double").alias(f) for f in fs])
-    sel = sample.select(F.col(sample_id).cast("long").alias("_sid"),
+    sel = sample.select(F.col(sample_id).alias("_sid"),
                         F.col(label_col).cast("int").alias("_lab"),
                         *[F.col(f).cast("double").alias(f) for f in fs])
     # hash blocks of about half the bound each, so a block stays under it
@@ -171,12 +177,16 @@ def propagate_nearest(df: DataFrame, sample: DataFrame, features: Sequence[str],
         else:  # bounded blocks by id range rank, each collected separately
             blk = sel.where(F.pmod(F.xxhash64("_sid"), F.lit(blocks)) == b)
         pdf = blk.toPandas().sort_values("_sid", kind="mergesort")
+        if not len(pdf):
+            continue
         fn = _nn_block(fs, id_col, pdf["_sid"].to_numpy(), pdf["_lab"].to_numpy(),
                        pdf[list(fs)].to_numpy(dtype=np.float64))
         parts.append(src.mapInPandas(fn, schema))
+    if not parts:
+        return src.select(id_col, F.lit(None).cast(sample_kind).alias("nn_id"), F.lit(None).cast("int").alias("nn_label"),
+                          F.lit(None).cast("double").alias("nn_dist"))
     res = parts[0]
     if blocks > 1:
-        res = parts[0]
         for p in parts[1:]:
             res = res.unionByName(p)
         best = F.min(F.struct("nn_dist2", "nn_id", "nn_label"))

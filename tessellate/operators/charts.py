@@ -29,22 +29,19 @@ def pca_2d(df: DataFrame, features: Sequence[str], id_col: str, n_components: in
     data, sign fixed so each component's largest-magnitude loading is
     positive.  Returns (rows (id, pc1, pc2), (component, variance_ratio)).
 
-    The d x d covariance comes from one aggregate job (a Gramian for wide
-    tables); only that matrix is decomposed on the driver."""
+    The d x d covariance (pairwise-complete) comes from one aggregate job (a
+    masked Gramian for wide tables); only that matrix is decomposed on the driver."""
     fs = present(df, features)
     d = len(fs)
     if d > WIDE:
-        # wide tables: one JVM-side Gramian (ML correlation over complete rows)
-        # scaled by the standard deviations, instead of d^2 aggregate expressions
-        from pyspark.ml.feature import VectorAssembler
-        from pyspark.ml.stat import Correlation
-        clean = df.select(*[F.col(f).cast("double").alias(f) for f in fs]).na.drop()
-        st = clean.agg(*[F.avg(f) for f in fs], *[F.stddev_samp(f) for f in fs]).first()
-        mean = np.array(st[:d], dtype=float)
-        sd = np.nan_to_num(np.array(st[d:], dtype=float))
-        vec = VectorAssembler(inputCols=list(fs), outputCol="_v").transform(clean)
-        corr = np.nan_to_num(Correlation.corr(vec, "_v").first()[0].toArray())
-        cov = corr * np.outer(sd, sd)
+        # wide tables: the same pairwise-complete covariances from masked pair sums
+        from .stats import pair_sums
+        mean = np.array([m or 0.0 for m in df.agg(*[F.avg(F.col(f).cast("double")) for f in fs]).first()])
+        cov = np.zeros((d, d))
+        for t in pair_sums(df, fs):
+            if t["n"] > 1:
+                c = (t["sxy"] - t["sx"] * t["sy"] / t["n"]) / (t["n"] - 1)
+                cov[t["i"], t["j"]] = cov[t["j"], t["i"]] = c
     else:
         aggs = [F.avg(F.col(f).cast("double")).alias(f"m_{f}") for f in fs]
         for i in range(d):

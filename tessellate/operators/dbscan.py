@@ -82,17 +82,20 @@ def consecutive_index(df: DataFrame, order_col: str, out: str) -> DataFrame:
     return spark.createDataFrame(rdd, schema)
 
 
-def connected_components(vertices: DataFrame, edges: DataFrame, max_rounds: int = 200
+def connected_components(vertices: DataFrame, edges: DataFrame, max_rounds: int | None = None
                          ) -> DataFrame:
     """(id, comp) with comp = smallest id in the component.
 
     ``vertices`` has column ``id``; ``edges`` has ``src``, ``dst`` (either
-    direction suffices)."""
+    direction suffices).  Rounds run until no label changes; with
+    ``max_rounds`` it raises if they do not suffice."""
     e = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"),
                                                             F.col("src").alias("dst")))
     e = cut_lineage(e.where(F.col("src") != F.col("dst")).distinct())
     labels = cut_lineage(vertices.select("id", F.col("id").alias("comp")).distinct())
-    for _ in range(max_rounds):
+    for done in itertools.count():
+        if max_rounds is not None and done >= max_rounds:
+            raise RuntimeError(f"components still change after {max_rounds} rounds")
         nb = e.join(labels.withColumnRenamed("id", "dst"), "dst").select(
             F.col("src").alias("id"), "comp", F.lit(None).cast("long").alias("_own"))
         own = labels.select("id", "comp", F.col("comp").alias("_own"))
@@ -235,7 +238,8 @@ def candidate_pairs(df: DataFrame, features: Sequence[str], eps: float,
     near = near.select(*[(F.col(f"m{k}") + F.col("_o")[i]).alias(k) for i, k in enumerate(cells)],
                        "m", F.expr(" AND ".join(f"_o[{i}] = 0" for i in range(len(gf)))).alias("_same"))
     j = cnt.join(near, list(cells))
-    pairs = F.when(F.col("_same"), F.col("n") * (F.col("n") - 1) / 2).otherwise(F.col("n") * F.col("m"))
+    n = F.col("n").cast("double")
+    pairs = F.when(F.col("_same"), n * (n - 1) / 2).otherwise(n * F.col("m"))
     row = j.agg(F.sum(pairs).alias("p")).first()
     rows = cnt.agg(F.sum("n").alias("r")).first()["r"] or 0
     cnt.unpersist()

@@ -150,7 +150,7 @@ def minibatch_kmeans(df: DataFrame, features: Sequence[str], k: int, batch_size:
 
 def kmeans_sweep(df: DataFrame, features: Sequence[str], id_col: str,
                  k_values: Sequence[int] = tuple(range(2, 11)), n_init: int = 3,
-                 max_iter: int = 100, silhouette_sample: int = 5000, seed: int = 42
+                 max_iter: int = 100, silhouette_sample: int | None = 5000, seed: int = 42
                  ) -> DataFrame:
     """Per k inertia and (sampled) silhouette.  One small row per k."""
     from .quality import silhouette_score
@@ -185,7 +185,7 @@ def recommend_k(sweep: DataFrame) -> DataFrame:
 
 
 def k_comparison(df: DataFrame, features: Sequence[str], id_col: str, ks: Sequence[int] = (3, 6),
-                 n_init: int = 5, silhouette_sample: int = 5000, seed: int = 42) -> DataFrame:
+                 n_init: int = 5, silhouette_sample: int | None = 5000, seed: int = 42) -> DataFrame:
     """Silhouette, Davies-Bouldin, inertia and sizes for each k."""
     from .quality import davies_bouldin, silhouette_score
     fs = present(df, features)

@@ -131,9 +131,9 @@ def best_cluster(df: DataFrame, cluster_col: str, metric: str, noise: int = -1)
 
 
 def cluster_label_counts(df: DataFrame, cluster_col: str, label_col: str, id_col: str) -> DataFrame:
-    """The label of each cluster (from its first row by id) and the size."""
+    """The label of each cluster (its first non-null one by id) and the size."""
     return df.groupBy(F.col(cluster_col).alias("cluster")).agg(
-        F.min_by(label_col, F.col(id_col)).alias("cluster_label"),
+        F.min_by(label_col, F.when(F.col(label_col).isNotNull(), F.col(id_col))).alias("cluster_label"),
         F.count(F.lit(1)).alias("count"))
 
 

@@ -1,10 +1,10 @@
 """Cluster-quality metrics.
 
 Silhouette is the plain-Euclidean one (not Spark ML's squared-distance
-approximation).  It is quadratic by definition, so it is computed - like in
-the reference - on a bounded, reproducible sample: the sample matrix
-(n x d doubles, n checked) is shipped to the tasks once and the sample rows
-themselves are scored in parallel by an Arrow batch operator.
+approximation).  It is quadratic by definition, so the caller says on how many
+rows it is computed (a reproducible sample, or None for all): reference blocks
+of bounded size are shipped to the tasks and the rows are scored in parallel
+by an Arrow batch operator.
 
 Davies-Bouldin and inertia are linear: two aggregate jobs over all rows plus
 k x k centre arithmetic.
@@ -21,74 +21,81 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import bounded_broadcast, present, rnd
 from .assign import _sq_dist, centroids_of, pairwise_centroids
+from ..session import cut_lineage
 from .sample import uniform_sample
 
-MAX_SILHOUETTE_SAMPLE = 20_000
+REFERENCE_BLOCK = 20_000
 
 
-def _silhouette_fn(id_col: str, features: Sequence[str], s_x: np.ndarray,
-                   s_lab: np.ndarray, chunk: int = 64):
-    labels = np.unique(s_lab)
-    onehot = (s_lab[:, None] == labels[None, :]).astype(np.float64)
-    sizes = onehot.sum(axis=0)
+def _distance_sums(id_col: str, features: Sequence[str], s_x: np.ndarray, s_idx: np.ndarray, k: int,
+                   chunk: int = 64):
+    """Per row the sum of its distances to the block's rows of each label."""
+    onehot = np.zeros((len(s_idx), k))
+    onehot[np.arange(len(s_idx)), s_idx] = 1.0
 
     def run(batches):
         for pdf in batches:
             x = pdf[list(features)].to_numpy(dtype=np.float64)
-            own = pdf["_lab"].to_numpy()
-            a_out = np.zeros(len(x))
-            b_out = np.zeros(len(x))
-            s_out = np.zeros(len(x))
+            sums = np.zeros((len(x), k))
             for lo in range(0, len(x), chunk):
-                xb = x[lo:lo + chunk]
-                diff = xb[:, None, :] - s_x[None, :, :]
-                dist = np.sqrt((diff * diff).sum(axis=2))
-                sums = dist @ onehot                       # chunk x K
-                own_idx = np.searchsorted(labels, own[lo:lo + chunk])
-                n_own = sizes[own_idx]
-                a = np.where(n_own > 1, sums[np.arange(len(xb)), own_idx] /
-                             np.maximum(n_own - 1, 1), 0.0)
-                means = sums / sizes[None, :]
-                means[np.arange(len(xb)), own_idx] = np.inf
-                b = means.min(axis=1) if len(labels) > 1 else np.zeros(len(xb))
-                den = np.maximum(a, b)
-                s = np.where((n_own > 1) & (den > 0), (b - a) / np.where(den > 0, den, 1.0), 0.0)
-                a_out[lo:lo + chunk], b_out[lo:lo + chunk], s_out[lo:lo + chunk] = a, b, s
-            yield pd.DataFrame({id_col: pdf[id_col].to_numpy(),
-                                "cluster": own.astype(np.int64),
-                                "a": a_out, "b": b_out, "silhouette": s_out})
+                diff = x[lo:lo + chunk][:, None, :] - s_x[None, :, :]
+                sums[lo:lo + chunk] = np.sqrt((diff * diff).sum(axis=2)) @ onehot
+            yield pd.DataFrame({id_col: pdf[id_col], "cluster": pdf["_lab"].to_numpy(dtype=np.int64),
+                                "_sums": list(sums)})
     return run
 
 
 def silhouette_samples(df: DataFrame, label_col: str, features: Sequence[str], id_col: str,
-                       sample_size: int | None = 5000, seed: int = 42,
+                       sample_size: int | None = None, seed: int = 42,
                        drop_noise: bool = True, noise: int = -1) -> DataFrame:
-    """M1: per-row silhouette on a reproducible sample of at most
-    ``sample_size`` rows (all rows if the table is smaller).
+    """M1: per-row silhouette on a reproducible sample of ``sample_size`` rows
+    (None: all rows; also all if the table is smaller).
 
     Returns (id, cluster, a, b, silhouette); a excludes the point itself,
-    a singleton cluster scores 0."""
+    a singleton cluster scores 0.  The metric is quadratic in the sample: the
+    sample's rows are scored in parallel against reference blocks of at most
+    ``REFERENCE_BLOCK`` of them, whose sums are added up."""
     fs = present(df, features)
-    src = df.select(F.col(id_col).cast("long").alias(id_col),
-                    F.col(label_col).cast("long").alias("_lab"),
+    src = df.select(F.col(id_col), F.col(label_col).cast("long").alias("_lab"),
                     *[F.col(f).cast("double").alias(f) for f in fs])
     if drop_noise:
         src = src.where(F.col("_lab") != noise)
-    limit = min(sample_size or MAX_SILHOUETTE_SAMPLE, MAX_SILHOUETTE_SAMPLE)
-    sample = uniform_sample(src, limit, id_col, seed)
-    pdf = sample.toPandas()                       # bounded: <= limit rows
-    s_x = pdf[list(fs)].to_numpy(dtype=np.float64)
-    s_lab = pdf["_lab"].to_numpy()
-    parts = max(1, min(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")),
-                       len(pdf) // 256 + 1))
-    spread = sample.repartition(parts, id_col)
-    fn = _silhouette_fn(id_col, fs, s_x, s_lab)
-    schema = f"`{id_col}` long, cluster long, a double, b double, silhouette double"
-    return spread.mapInPandas(fn, schema)
+    sample = cut_lineage(src if sample_size is None else uniform_sample(src, sample_size, id_col, seed))
+    sizes = {r["_lab"]: r["n"] for r in sample.groupBy("_lab").agg(F.count(F.lit(1)).alias("n")).collect()}
+    labels = sorted(sizes)
+    n = sum(sizes.values())
+    blocks = max(1, -(-2 * n // REFERENCE_BLOCK)) if n > REFERENCE_BLOCK else 1
+    spread = sample.repartition(max(1, min(n // 256 + 1, 4096)), id_col)
+    schema = f"`{id_col}` {df.schema[id_col].dataType.simpleString()}, cluster long, _sums array<double>"
+    parts = None
+    for b in range(blocks):  # each reference block passes the driver on its own
+        blk = sample if blocks == 1 else sample.where(F.pmod(F.xxhash64(id_col), F.lit(blocks)) == b)
+        pdf = blk.toPandas()
+        if not len(pdf):
+            continue
+        fn = _distance_sums(id_col, fs, pdf[list(fs)].to_numpy(dtype=np.float64),
+                            np.searchsorted(labels, pdf["_lab"].to_numpy()), len(labels))
+        part = spread.mapInPandas(fn, schema)
+        parts = part if parts is None else parts.unionByName(part)
+    if parts is None:
+        return src.limit(0).select(id_col, F.col("_lab").alias("cluster"),
+                                   *[F.lit(0.0).alias(c) for c in ("a", "b", "silhouette")])
+    if blocks > 1:
+        parts = parts.groupBy(id_col, "cluster").agg(
+            F.array(*[F.sum(F.col("_sums")[i]) for i in range(len(labels))]).alias("_sums"))
+    own = F.create_map(*[x for i, lab in enumerate(labels) for x in (F.lit(lab), F.lit(i))])[F.col("cluster")]
+    n_own = F.create_map(*[x for lab in labels for x in (F.lit(lab), F.lit(float(sizes[lab])))])[F.col("cluster")]
+    means = F.array(*[F.when(own != i, F.col("_sums")[i] / float(sizes[lab])) for i, lab in enumerate(labels)])
+    t = parts.select(id_col, "cluster", n_own.alias("_n"),
+                     F.when(n_own > 1, F.get("_sums", own) / F.greatest(n_own - 1, F.lit(1.0))).otherwise(0.0).alias("a"),
+                     F.coalesce(F.array_min(F.filter(means, lambda m: m.isNotNull())), F.lit(0.0)).alias("b"))
+    den = F.greatest("a", "b")
+    s = F.when((F.col("_n") > 1) & (den > 0), (F.col("b") - F.col("a")) / F.when(den > 0, den).otherwise(1.0)).otherwise(0.0)
+    return t.select(id_col, "cluster", "a", "b", s.alias("silhouette"))
 
 
 def silhouette_score(df: DataFrame, label_col: str, features: Sequence[str], id_col: str,
-                     sample_size: int | None = 5000, seed: int = 42,
+                     sample_size: int | None = None, seed: int = 42,
                      drop_noise: bool = True) -> DataFrame:
     """M2: mean silhouette of the sample; fewer than 2 non-noise clusters -> -1.0."""
     s = silhouette_samples(df, label_col, features, id_col, sample_size, seed, drop_noise)
@@ -112,8 +119,8 @@ def davies_bouldin(df: DataFrame, label_col: str, features: Sequence[str],
 
     S_i = mean Euclidean distance to the centroid; R_ij = (S_i + S_j) / M_ij;
     index = mean_i max_{j != i} R_ij.  Coincident centroids are skipped;
-    all S_i == 0 or all M_ij == 0 -> 0.0; fewer than two clusters -> NULL
-    (the reference's +inf, which JSON cannot carry)."""
+    all S_i == 0 or all M_ij == 0 -> 0.0; fewer than two clusters -> +inf
+    (the JSON sink, which cannot carry it, writes null)."""
     fs = present(df, features)
     src = df.where(F.col(label_col) != noise)
     cen = centroids_of(src, fs, label_col, "cid", noise=None)
@@ -132,7 +139,7 @@ def davies_bouldin(df: DataFrame, label_col: str, features: Sequence[str],
     mmax = pairs.agg(F.max("distance").alias("m")).scalar()
     # a coincident centroid pair adds nothing; a cluster with no other centroid apart adds 0
     total = per.agg(F.sum("d").alias("t")).select(F.coalesce(F.col("t"), F.lit(0.0)).alias("t"))
-    val = F.when(k.getField("k") < 2, F.lit(None).cast("double")) \
+    val = F.when(k.getField("k") < 2, F.lit(float("inf"))) \
            .when((k.getField("smax") == 0) | (F.coalesce(mmax, F.lit(0.0)) == 0), F.lit(0.0)) \
            .otherwise(F.col("t") / k.getField("k"))
     return total.select(rnd(val).alias("davies_bouldin"))
@@ -151,7 +158,7 @@ def inertia(df: DataFrame, label_col: str, features: Sequence[str],
 
 
 def evaluate(df: DataFrame, label_col: str, features: Sequence[str], id_col: str,
-             algorithm: str, sample_size: int | None = 5000, with_inertia: bool = False,
+             algorithm: str, sample_size: int | None = None, with_inertia: bool = False,
              seed: int = 42) -> DataFrame:
     """M8: one row (algorithm, silhouette, davies_bouldin, inertia, n_clusters, n_noise)."""
     sil = silhouette_score(df, label_col, features, id_col, sample_size, seed).scalar()
@@ -190,14 +197,15 @@ def recommend(comparison: DataFrame, baseline: str = "K-Means") -> DataFrame:
 def elbow_k(sweep: DataFrame, k_col: str = "k", y_col: str = "inertia",
             sensitivity: float = 1.0) -> DataFrame:
     """M6: knee of a convex, decreasing curve (Kneedle, Satopaa et al. 2011),
-    falling back to the third k.  The sweep table has one row per k."""
+    falling back to the third k (a flat curve has no knee).  The sweep table
+    has one row per k."""
     w = Window.orderBy(k_col)
     wall = Window.partitionBy()
     t = sweep.select(F.col(k_col).alias("k"), F.col(y_col).cast("double").alias("y"))
     t = t.withColumns({
         "_i": F.row_number().over(w) - 1,
-        "_xn": (F.col("k") - F.min("k").over(wall)) / (F.max("k").over(wall) - F.min("k").over(wall)),
-        "_yn0": (F.col("y") - F.min("y").over(wall)) / (F.max("y").over(wall) - F.min("y").over(wall)),
+        "_xn": F.try_divide(F.col("k") - F.min("k").over(wall), (F.max("k").over(wall) - F.min("k").over(wall)).cast("double")),
+        "_yn0": F.try_divide(F.col("y") - F.min("y").over(wall), F.max("y").over(wall) - F.min("y").over(wall)),
     })
     t = t.withColumn("_yn", F.max("_yn0").over(wall) - F.col("_yn0"))
     t = t.withColumn("_yd", F.col("_yn") - F.col("_xn"))
@@ -217,6 +225,6 @@ def elbow_k(sweep: DataFrame, k_col: str = "k", y_col: str = "inertia",
     hits = t.where((F.col("_i") >= F.col("_first_max")) & (F.col("_xn") < 1.0) &
                    (F.col("_next") < F.col("_thr")))
     knee = hits.agg(F.min_by("_kmax", "_i").alias("knee")).scalar()
-    third = t.where(F.col("_i") == 2).agg(F.max("k").alias("k3")).scalar()
+    third = t.where(F.col("_i") <= 2).agg(F.max("k").alias("k3")).scalar()  # the last of fewer than three
     return sweep.sparkSession.range(1).select(
         knee.alias("knee"), F.coalesce(knee, third).alias("elbow_k"))

@@ -122,7 +122,14 @@ def similar_items_many(df: DataFrame, queries: DataFrame, features: Sequence[str
         q = F.broadcast(q)
     cand = df.select(id_col, F.col(cluster_col).alias("_qc"),
                      *[F.col(f).cast("double").alias(f) for f in fs])
-    j = cand.join(q, "_qc").where(F.col(id_col) != F.col("query_id"))
+    j = cand.join(q, "_qc")
+    lone = queries.where(F.col(cluster_col).isNull())
+    if not lone.isEmpty():
+        # like J6: a query row without a cluster searches the whole table, all rows
+        # streaming past the (stated) query rows
+        all_ = q.where("_qc is null").drop("_qc")
+        j = j.unionByName(cand.join(all_, F.lit(True)))
+    j = j.where(F.col(id_col) != F.col("query_id"))
     dist = F.sqrt(_sq_dist([F.col(f) for f in fs], [F.col(f"_q_{f}") for f in fs]))
     j = j.withColumn("_dist", dist)
     w = Window.partitionBy("query_id").orderBy("_dist", id_col)

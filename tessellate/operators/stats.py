@@ -88,14 +88,26 @@ def total_missing(df: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- A4
 def row_key(df: DataFrame, cols: Sequence[str] | None = None):
-    """Null-safe, fixed-width identity of a row (or of ``cols``).
+    """Null-safe, fixed-width identity of a row (or of ``cols``), the one that
+    ``dropDuplicates`` uses: timestamps to the microsecond, both zeros alike.
 
     A SHA-256 of the JSON form keeps shuffles small for long text rows and
     distinguishes (NULL, 'x') from ('x', NULL)."""
     cols = list(cols or df.columns)
     if len(cols) == 1:
         return F.col(f"`{cols[0]}`")
-    return F.sha2(F.to_json(F.struct(*[F.col(f"`{c}`") for c in cols])), 256)
+    kinds = dict(df.dtypes)
+
+    def exact(c):
+        x = F.col(f"`{c}`")
+        if kinds[c] == "timestamp":
+            x = F.unix_micros(x)
+        elif kinds[c] == "timestamp_ntz":
+            x = F.unix_micros(F.to_timestamp_ltz(x))
+        elif kinds[c] in ("double", "float"):
+            x = x + F.lit(0.0)
+        return x.alias(c)
+    return F.sha2(F.to_json(F.struct(*[exact(c) for c in cols])), 256)
 
 
 def duplicate_count(df: DataFrame, cols: Sequence[str] | None = None,
@@ -281,16 +293,48 @@ def feature_deepdive(df: DataFrame, features: Sequence[str], approx: bool = Fals
 MAX_PAIRWISE_FEATURES = 16
 
 
+def pair_sums(df: DataFrame, fs: Sequence[str]) -> list:
+    """Per feature pair (i <= j) the sums over the rows where both are present:
+    (i, j, n, sx, sy, sxx, syy, sxy), of values less their column mean.  Each
+    task sends its d(d+1)/2 partial sums once, whatever its rows."""
+    import numpy as np
+    import pandas as pd
+    d = len(fs)
+    src = df.select(*[F.col(f).cast("double").alias(f) for f in fs])
+    means = [m or 0.0 for m in src.agg(*[F.avg(f) for f in fs]).first()]
+    upper = np.triu_indices(d)
+
+    def run(batches):
+        total = np.zeros((6, d, d))
+        for pdf in batches:
+            x = pdf.to_numpy(dtype=np.float64, na_value=np.nan) - np.array(means)
+            there = (~np.isnan(x)).astype(np.float64)
+            x = np.where(there > 0, x, 0.0)
+            sq = x * x
+            total += np.stack([there.T @ there, x.T @ there, there.T @ x, sq.T @ there, there.T @ sq, x.T @ x])
+        yield pd.DataFrame({"i": upper[0].astype(np.int64), "j": upper[1].astype(np.int64),
+                            **{c: t[upper] for c, t in zip(PAIR_SUMS, total)}})
+
+    parts = src.mapInPandas(run, "i long, j long, " + ", ".join(f"{c} double" for c in PAIR_SUMS))
+    return parts.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in PAIR_SUMS]).collect()  # d(d+1)/2 rows
+
+
+PAIR_SUMS = ["n", "sx", "sy", "sxx", "syy", "sxy"]
+
+
 def _correlation_gramian(df: DataFrame, fs: Sequence[str]) -> DataFrame:
-    """Wide tables: one distributed Gramian (treeAggregate of d x d blocks)
-    over the rows without NULLs, instead of d^2 aggregate expressions."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.stat import Correlation
-    vec = VectorAssembler(inputCols=list(fs), outputCol="_v", handleInvalid="skip") \
-        .transform(df.select(*[F.col(f).cast("double").alias(f) for f in fs]))
-    m = Correlation.corr(vec, "_v", "pearson").first()[0].toArray()      # d x d
-    rows = [(a, b, None if m[i, j] != m[i, j] else float(m[i, j]))
-            for i, a in enumerate(fs) for j, b in enumerate(fs)]
+    """Wide tables: pairwise-complete Pearson r from masked Gramian sums,
+    instead of d^2 aggregate expressions."""
+    rows = []
+    for t in pair_sums(df, fs):
+        r = None
+        if t["n"] > 0:
+            va, vb = t["sxx"] - t["sx"] ** 2 / t["n"], t["syy"] - t["sy"] ** 2 / t["n"]
+            if va > 1e-12 * t["sxx"] and vb > 1e-12 * t["syy"]:
+                r = 1.0 if t["i"] == t["j"] else float((t["sxy"] - t["sx"] * t["sy"] / t["n"]) / (va * vb) ** 0.5)
+        rows.append((fs[t["i"]], fs[t["j"]], r))
+        if t["i"] != t["j"]:
+            rows.append((fs[t["j"]], fs[t["i"]], r))
     out = df.sparkSession.createDataFrame(rows, "feature_1 string, feature_2 string, r double")
     return out.select("feature_1", "feature_2", rnd(F.col("r")).alias("r"))
 
@@ -301,7 +345,7 @@ def correlation_matrix(df: DataFrame, features: Sequence[str]) -> DataFrame:
     Built from population co-moments with a guarded divide: a constant column
     gives NULL instead of raising under ANSI mode.  Above
     ``MAX_PAIRWISE_FEATURES`` features the d^2 expressions would defeat
-    code generation, so a Gramian over complete rows is used instead."""
+    code generation, so the same pair sums come from a masked Gramian."""
     fs = present(df, features)
     if len(fs) > MAX_PAIRWISE_FEATURES:
         return _correlation_gramian(df, fs)

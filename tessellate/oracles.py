@@ -11,8 +11,6 @@ from collections.abc import Sequence
 
 ORDER_FEATURES = ["o_totalprice", "n_lines", "sum_qty", "avg_disc", "avg_tax"]
 LINE_FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
-HASH_M = 2147483647
-HASH_A = 2654435761 % HASH_M
 
 
 def r6(e: str, nd: int = 6) -> str:
@@ -24,7 +22,7 @@ def pct(part: str, whole: str) -> str:
 
 
 def phash(id_expr: str, seed: int = 42) -> str:
-    return f"((({id_expr} % {HASH_M}) * {HASH_A} + {seed}) % {HASH_M})"
+    return f"CAST('0x' || substr(md5(coalesce(CAST({id_expr} AS VARCHAR), '') || '#{seed}'), 1, 15) AS BIGINT)"
 
 
 ORDER_FEATURES_CTE = """of_li AS (
@@ -332,7 +330,7 @@ def db_sql(src: str, fs: Sequence[str], label: str = "label", sx: str = "") -> s
             f"pairs{sx} AS (SELECT a.cid AS ca, b.cid AS cb, {pdist} AS dist FROM cen{sx} a, cen{sx} b WHERE a.cid <> b.cid),\n"
             f"r{sx} AS (SELECT ca, max((ia.s + ib.s) / dist) AS d FROM pairs{sx} JOIN intra{sx} ia ON ia.cid = ca "
             f"JOIN intra{sx} ib ON ib.cid = cb WHERE dist > 0 GROUP BY ca),\n"
-            f"dbv{sx} AS (SELECT " + r6(f"CASE WHEN (SELECT count(*) FROM intra{sx}) < 2 THEN NULL "
+            f"dbv{sx} AS (SELECT " + r6(f"CASE WHEN (SELECT count(*) FROM intra{sx}) < 2 THEN CAST('Infinity' AS DOUBLE) "
                                         f"WHEN (SELECT max(s) FROM intra{sx}) = 0 OR coalesce((SELECT max(dist) FROM pairs{sx}), 0) = 0 THEN 0.0 "
                                         f"ELSE coalesce((SELECT sum(d) FROM r{sx}), 0) / (SELECT count(*) FROM intra{sx}) END") +
             " AS davies_bouldin)")

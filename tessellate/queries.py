@@ -528,20 +528,32 @@ def _emb(spark, sf):
 @register("silhouette_samples_embeddings", f"WITH {SIL_SQL}\nSELECT vec_id, CAST(cluster AS BIGINT) AS cluster, "
           f"{O.r6('a')} AS a, {O.r6('b')} AS b, {O.r6('s')} AS silhouette FROM sil")
 def q_sil_samples(spark, sf):
-    s = Q.silhouette_samples(_emb(spark, sf), "label", EMB, "vec_id", 5000)
+    s = Q.silhouette_samples(_emb(spark, sf), "label", EMB, "vec_id", None)
+    return s.select("vec_id", "cluster", *[rnd(F.col(c)).alias(c) for c in ("a", "b", "silhouette")])
+
+
+SIL_300 = SIL_SQL.replace("FROM embeddings a, embeddings b", "FROM smp a, smp b")
+
+
+@register("silhouette_samples_embeddings_n300",
+          f"WITH smp AS (SELECT * FROM embeddings ORDER BY {O.phash('vec_id')}, vec_id LIMIT 300),\n{SIL_300}\n"
+          f"SELECT vec_id, CAST(cluster AS BIGINT) AS cluster, {O.r6('a')} AS a, {O.r6('b')} AS b, {O.r6('s')} AS silhouette FROM sil")
+def q_sil_samples_n300(spark, sf):
+    """A sample smaller than the table."""
+    s = Q.silhouette_samples(_emb(spark, sf), "label", EMB, "vec_id", 300)
     return s.select("vec_id", "cluster", *[rnd(F.col(c)).alias(c) for c in ("a", "b", "silhouette")])
 
 
 @register("silhouette_score_embeddings", f"WITH {SIL_SQL}\nSELECT {O.r6('avg(s)')} AS silhouette_score FROM sil")
 def q_sil_score(spark, sf):
-    return Q.silhouette_score(_emb(spark, sf), "label", EMB, "vec_id", 5000)
+    return Q.silhouette_score(_emb(spark, sf), "label", EMB, "vec_id", None)
 
 
 @register("silhouette_by_cluster_embeddings", f"WITH {SIL_SQL}\nSELECT CAST(cluster AS BIGINT) AS cluster, count(*) AS n, "
           f"{O.r6('avg(s)')} AS mean_silhouette, {O.r6('(SELECT avg(s) FROM sil)')} AS overall, "
           "avg(s) < (SELECT avg(s) FROM sil) AS weak FROM sil GROUP BY cluster")
 def q_sil_by_cluster(spark, sf):
-    return Q.silhouette_by_cluster(Q.silhouette_samples(_emb(spark, sf), "label", EMB, "vec_id", 5000))
+    return Q.silhouette_by_cluster(Q.silhouette_samples(_emb(spark, sf), "label", EMB, "vec_id", None))
 
 
 @register("davies_bouldin_embeddings", f"WITH {EMB_SQL},\n" + _db_sql("emb", EMB, "label"))
@@ -556,7 +568,7 @@ def q_db_emb(spark, sf):
           "CAST(y_lower + row_number() OVER (PARTITION BY s.cluster ORDER BY round(s.s, 6), vec_id) - 1 AS BIGINT) AS y, "
           "CAST(y_lower AS BIGINT) AS y_lower, CAST(y_lower + size AS BIGINT) AS y_upper FROM sil s JOIN st USING (cluster)")
 def q_sil_diagram(spark, sf):
-    s = Q.silhouette_samples(_emb(spark, sf), "label", EMB, "vec_id", 5000)
+    s = Q.silhouette_samples(_emb(spark, sf), "label", EMB, "vec_id", None)
     s = s.withColumn("silhouette", rnd(F.col("silhouette")))
     out = SM.silhouette_order(s, "cluster", "silhouette", "vec_id")
     return out.select("cluster", "vec_id", "silhouette", "y", F.col("y_lower").cast("long").alias("y_lower"), "y_upper")
@@ -567,6 +579,21 @@ def q_uniform_sample(spark, sf):
     return SM.uniform_sample(table(spark, sf, "orders"), 1000, "o_orderkey").select("o_orderkey")
 
 
+@register("stratified_sample_orders_n2000", f"WITH {CL}, sz AS (SELECT cluster, count(*) AS size FROM labr GROUP BY cluster),\n"
+          "q AS (SELECT cluster, greatest(1, CAST(floor(2000.0::DOUBLE * size / (SELECT count(*) FROM labr)) AS BIGINT)) AS quota FROM sz)\n"
+          f"SELECT o_orderkey, cluster FROM (SELECT o_orderkey, cluster, row_number() OVER (PARTITION BY cluster ORDER BY {O.phash('o_orderkey')}, o_orderkey) AS rn FROM labr) "
+          "JOIN q USING (cluster) WHERE rn <= quota")
+def q_stratified_n2000(spark, sf):
+    return SM.stratified_sample(clustered_orders(spark, sf), "cluster", 2000, "o_orderkey").select("o_orderkey", "cluster")
+
+
+@register("uniform_sample_string_ids", "SELECT id, n_chars FROM (SELECT 'doc-' || doc_id AS id, n_chars FROM documents) "
+          f"ORDER BY {O.phash('id', 7)}, id LIMIT 150")
+def q_uniform_sample_strings(spark, sf):
+    d = table(spark, sf, "documents").select(F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("id"), "n_chars")
+    return SM.uniform_sample(d, 150, "id", seed=7)
+
+
 @register("stratified_sample_orders", f"WITH {CL}, sz AS (SELECT cluster, count(*) AS size FROM labr GROUP BY cluster),\n"
           "q AS (SELECT cluster, greatest(1, CAST(floor(1000.0::DOUBLE * size / (SELECT count(*) FROM labr)) AS BIGINT)) AS quota FROM sz)\n"
           f"SELECT o_orderkey, cluster FROM (SELECT o_orderkey, cluster, row_number() OVER (PARTITION BY cluster ORDER BY {O.phash('o_orderkey')}, o_orderkey) AS rn FROM labr) "
@@ -615,6 +642,31 @@ def q_dbscan_sampled(spark, sf):
     return DB.dbscan_sampled(e, fs, 0.05, 5, "vec_id", sample_size=15000)
 
 
+_SAMPLED = O.dbscan_sql([0, 1, 2], 0.12, 4).replace(
+    "FROM embeddings)", f"FROM embeddings ORDER BY {O.phash('vec_id')}, vec_id LIMIT 200)", 1).split("\nSELECT p.vec_id", 1)
+
+
+@register("dbscan_sampled_embeddings_d3_n200",
+          _SAMPLED[0] + ",\nlabs AS (SELECT p.vec_id AS sid, p.e0, p.e1, p.e2" + _SAMPLED[1] + "),\n"
+          f"al AS (SELECT vec_id, {O.emb_cols(range(3))} FROM embeddings),\n"
+          "pr AS (SELECT a.vec_id, l.sid, l.cluster, " + O.sqdist(["e0", "e1", "e2"], "a.", "l.{f}") + " AS d2 FROM al a, labs l)\n"
+          "SELECT vec_id, CAST(arg_min(cluster, (d2, sid)) AS INTEGER) AS cluster FROM pr GROUP BY vec_id")
+def q_dbscan_sampled_n200(spark, sf):
+    """A fit on a sample smaller than the table; the other rows take the label of their nearest sample row."""
+    e, fs = _emb_dims(spark, sf, [0, 1, 2])
+    return DB.dbscan_sampled(e, fs, 0.12, 4, "vec_id", sample_size=200)
+
+
+_GRID_SQL = O.dbscan_sql([0, 1, 2], 0.08, 5)
+
+
+@register("dbscan_embeddings_d3_grid", _GRID_SQL)
+def q_dbscan_grid(spark, sf):
+    """The dense-cell path, whatever the number of candidate pairs."""
+    e, fs = _emb_dims(spark, sf, [0, 1, 2])
+    return DB.dbscan(e, fs, 0.08, 5, "vec_id", method="grid")
+
+
 PROP_SQL = (f"WITH pts AS (SELECT vec_id, label, {O.emb_cols(range(64))} FROM embeddings),\n"
             f"smp AS (SELECT * FROM pts ORDER BY {O.phash('vec_id')}, vec_id LIMIT 100),\n"
             "pr AS (SELECT p.vec_id, s.vec_id AS sid, s.label AS sl, " +
@@ -633,10 +685,10 @@ def q_propagate(spark, sf):
 
 def _emb_evaluated(spark, sf):
     e = _emb(spark, sf)
-    given = Q.evaluate(e, "label", EMB, "vec_id", "Labels", 5000)
+    given = Q.evaluate(e, "label", EMB, "vec_id", "Labels", None)
     lab = DB.dbscan(e, EMB, 1.15, 5, "vec_id")
     d = e.drop("label").join(lab.select("vec_id", F.col("cluster").alias("label")), "vec_id")
-    dbs = Q.evaluate(d, "label", EMB, "vec_id", "DBSCAN", 5000)
+    dbs = Q.evaluate(d, "label", EMB, "vec_id", "DBSCAN", None)
     return given, dbs
 
 
@@ -993,6 +1045,23 @@ def q_corr_emb(spark, sf):
     return S.correlation_matrix(_emb(spark, sf), EMB)
 
 
+_HOLED = 18
+
+
+@register("correlation_matrix_embeddings_nulls",
+          "WITH ex AS (SELECT vec_id, generate_subscripts(embedding, 1) AS i, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings),\n"
+          f"ho AS (SELECT vec_id, i, x FROM ex WHERE i <= {_HOLED} AND vec_id % (i + 1) <> 0)\n"
+          "SELECT 'e' || CAST(a.i - 1 AS VARCHAR) AS feature_1, 'e' || CAST(b.i - 1 AS VARCHAR) AS feature_2, "
+          + O.r6("CASE WHEN a.i = b.i THEN CASE WHEN var_pop(a.x) > 0 THEN 1.0 END "
+                 "ELSE covar_pop(a.x, b.x) / NULLIF(sqrt(var_pop(a.x) * var_pop(b.x)), 0) END") +
+          " AS r FROM ho a JOIN ho b USING (vec_id) GROUP BY a.i, b.i")
+def q_corr_nulls(spark, sf):
+    """More features than aggregate expressions carry, each NULL in other rows."""
+    e = _emb(spark, sf).select("vec_id", *[F.when(F.col("vec_id") % (i + 2) != 0, F.col(f"e{i}")).alias(f"e{i}")
+                                           for i in range(_HOLED)])
+    return S.correlation_matrix(e, EMB[:_HOLED])
+
+
 @register("pca_2d_embeddings")
 def q_pca_emb(spark, sf):
     rows, _ = CH.pca_2d(_emb(spark, sf), EMB, "vec_id")

@@ -8,7 +8,9 @@ tests, local runs) is a fresh folder under the local temp dir used.
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,30 +22,42 @@ def build_session(master: str | None = None, app: str = "tessellate",
     """Session with the settings this library is tuned for.
 
     AQE is on (coalescing small shuffle partitions, skew-join splitting);
-    the UI is off; Arrow is used for the few pandas batch operators.
-    """
-    cpus = int(os.environ.get("BENCH_CPUS", os.cpu_count() or 8))
+    the UI is off; Arrow is used for the few pandas batch operators.  The
+    master, the number of shuffle partitions and the driver's memory are set
+    only if given: what spark-submit or the cluster says stands."""
     b = (SparkSession.builder
-         .master(master or f"local[{cpus}]")
          .appName(app)
          .config("spark.ui.enabled", "false")
-         .config("spark.sql.shuffle.partitions", str(shuffle_partitions or cpus))
          .config("spark.sql.adaptive.enabled", "true")
          .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
          .config("spark.sql.adaptive.skewJoin.enabled", "true")
          .config("spark.sql.session.timeZone", "UTC")
-         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-         .config("spark.driver.memory", os.environ.get("SPARK_DRIVER_MEMORY", "16g")))
+         .config("spark.sql.execution.arrow.pyspark.enabled", "true"))
+    if master:
+        b = b.master(master)
+    if shuffle_partitions:
+        b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+    if os.environ.get("SPARK_DRIVER_MEMORY"):
+        b = b.config("spark.driver.memory", os.environ["SPARK_DRIVER_MEMORY"])
     for k, v in (extra or {}).items():
         b = b.config(k, v)
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark)
+    if is_local(spark):
+        ensure_checkpoint_dir(spark)
     return spark
 
 
+def is_local(spark: SparkSession) -> bool:
+    """True when driver and executors are one process on this machine."""
+    master = spark.sparkContext.master
+    return master == "local" or master.startswith("local[")
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the reliable checkpoint folder, setting a local one only if unset."""
+    """Return the reliable checkpoint folder.  A local one is set, and removed
+    at exit, only where the setting is absent and all executors are this
+    machine's; on a cluster without the setting this raises."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
@@ -52,7 +66,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if conf_dir:
         sc.setCheckpointDir(conf_dir)
         return sc.getCheckpointDir() or conf_dir
+    if not is_local(spark):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     local = tempfile.mkdtemp(prefix="tessellate-ckpt-")
+    atexit.register(shutil.rmtree, local, ignore_errors=True)
     sc.setCheckpointDir(local)
     return sc.getCheckpointDir() or local
 

@@ -10,10 +10,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import stats as S
+from ..operators.profile import top_columns
 from ..operators.quality import recommend
 
 _COLS = ("section", "position", "key", "value")
@@ -108,8 +109,8 @@ def summary_report(k_comparison: DataFrame, comparison: DataFrame, profile: Data
     parts.append(_rows(prof, "4. clusters", F.format_string("cluster %d", F.col("cluster")),
                        F.format_string("%s - %d rows (%.1f%%)", F.col("cluster_label"), F.col("count"),
                                        F.col("pct")), F.col("cluster")))
-    w = Window.partitionBy("row").orderBy(F.desc("pct"), F.asc("value"))
-    top = mix.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= top_n)
+    # the categories of the highest mean share over clusters, the same for every cluster
+    top = mix.join(F.broadcast(top_columns(mix, top_n).select("value", F.col("rank").alias("_r"))), "value")  # top_n rows
     parts.append(_rows(top, "5. mix", F.format_string("cluster %s", F.col("row").cast("string")),
                        F.format_string("%s %.1f%%", F.col("value"), F.col("pct")),
                        F.col("_r")))

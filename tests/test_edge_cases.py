@@ -157,7 +157,7 @@ def test_samplers_small_tables(spark):
 def test_metric_guards(spark):
     one = spark.createDataFrame([(i, 0, float(i), 0.0) for i in range(5)], "id long, c int, x double, y double")
     assert Q.silhouette_score(one, "c", ["x", "y"], "id").first()[0] == -1.0
-    assert Q.davies_bouldin(one, "c", ["x", "y"]).first()[0] is None
+    assert Q.davies_bouldin(one, "c", ["x", "y"]).first()[0] == float("inf")
     same = spark.createDataFrame([(0, 0, -1.0, 0.0), (1, 0, 1.0, 0.0), (2, 1, 0.0, -1.0), (3, 1, 0.0, 1.0)],
                                  "id long, c int, x double, y double")
     assert Q.davies_bouldin(same, "c", ["x", "y"]).first()[0] == 0.0
