@@ -63,12 +63,17 @@ def text_fields(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if f.dataType.typeName() == "string"]
 
 
-MAX_BROADCAST_ROWS = 1_000_000
+MAX_BROADCAST_ROWS = 10_000
+MAX_BROADCAST_BYTES = 32 << 20
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint only after counting the rows; the table is persisted
-    first so the count and the join share one computation.  Above the bound
-    the plain join lets AQE pick the strategy and split skewed keys."""
-    df = df.persist()
-    return F.broadcast(df) if df.count() <= max_rows else df
+def bounded_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS, max_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
+    """Broadcast a table whose size has been checked, in rows and in bytes.
+
+    The check takes at most ``max_rows + 1`` rows; a table that fits is
+    broadcast from them (computed once, nothing stays cached).  Beyond either
+    bound the plain join lets AQE pick the strategy and split skewed keys."""
+    rows = df.limit(max_rows + 1).collect()
+    if len(rows) > max_rows or sum(len(str(v)) for r in rows for v in r) > max_bytes:
+        return df
+    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))

@@ -23,6 +23,12 @@ def elbow_points(sweep: DataFrame, chosen_k) -> DataFrame:
     return sweep.withColumn("chosen", F.col("k") == k)
 
 
+def silhouette_points(sweep: DataFrame) -> DataFrame:
+    """V4: (k, silhouette) of a sweep, the best k flagged (first k on ties)."""
+    best = sweep.agg(F.min_by("k", F.struct((-F.col("silhouette")).alias("neg"), F.col("k"))).alias("k")).scalar()
+    return sweep.select("k", rnd(F.col("silhouette")).alias("silhouette"), (F.col("k") == best).alias("best"))
+
+
 def pca_2d(df: DataFrame, features: Sequence[str], id_col: str, n_components: int = 2
            ) -> tuple[DataFrame, DataFrame]:
     """V7: projection on the leading principal components of the centred

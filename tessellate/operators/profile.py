@@ -16,7 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import pct, present, rnd
+from ..functions.columns import bounded_broadcast, pct, present, rnd
 from ..functions.scalar import CLUSTER_NAME_RULES, cluster_name, display_name
 from .stats import box_stats
 
@@ -72,12 +72,16 @@ def cluster_sizes(df: DataFrame, cluster_col: str) -> DataFrame:
 
 def crosstab_pct(df: DataFrame, row_col: str, col_col: str, drop_noise: bool = False,
                  noise: int = -1) -> DataFrame:
-    """Row-normalised % (long form: row, value, count, pct)."""
+    """Row-normalised % (long form: row, value, count, pct).
+
+    The row totals are one row per cluster, joined back after a size check:
+    no task holds all values of a cluster."""
     src = df.where(F.col(row_col) != noise) if drop_noise else df
     g = src.groupBy(F.col(row_col).alias("row"), F.col(col_col).alias("value")) \
            .agg(F.count(F.lit(1)).alias("count"))
-    tot = F.sum("count").over(Window.partitionBy("row"))
-    return g.select("row", "value", "count", rnd(pct(F.col("count"), tot)).alias("pct"))
+    tot = bounded_broadcast(src.groupBy(F.col(row_col).alias("_row")).agg(F.count(F.lit(1)).alias("_tot")))
+    return g.join(tot, g["row"].eqNullSafe(tot["_row"])).select(
+        "row", "value", "count", rnd(pct(F.col("count"), F.col("_tot"))).alias("pct"))
 
 
 def top_columns(crosstab: DataFrame, n: int | None = None) -> DataFrame:
@@ -85,6 +89,8 @@ def top_columns(crosstab: DataFrame, n: int | None = None) -> DataFrame:
     n_rows = crosstab.agg(F.count_distinct("row").alias("k")).scalar()
     m = crosstab.groupBy("value").agg((F.sum("pct") / n_rows).alias("_m"))
     w = Window.orderBy(F.desc("_m"), F.asc("value"))
+    if n:  # each task's top n meet, not all values
+        m = m.orderBy(F.desc("_m"), F.asc("value")).limit(n)
     ranked = m.select("value", rnd(F.col("_m")).alias("mean_pct"),
                       F.row_number().over(w).alias("rank"))
     return ranked.where(F.col("rank") <= n) if n else ranked

@@ -873,6 +873,36 @@ def q_sweep(spark, sf):
     return _sweep(spark, sf)
 
 
+def _label_sweep(spark, sf):
+    """(k, silhouette) of the embeddings' labels folded to k groups."""
+    e = _emb(spark, sf)
+    out = None
+    for k in (2, 3, 4, 5):
+        folded = e.withColumn("label", F.pmod(F.col("label"), F.lit(k)))
+        row = Q.silhouette_score(folded, "label", EMB, "vec_id", None).select(
+            F.lit(k).alias("k"), F.col("silhouette_score").alias("silhouette"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+_FOLDED = ",\n".join(f"f{k} AS (SELECT vec_id, label % {k} AS label, embedding FROM embeddings),\n" + O.silhouette_sql(f"f{k}", f"_{k}")
+                     for k in (2, 3, 4, 5))
+
+
+@register("silhouette_points_embeddings", f"WITH {_FOLDED},\nsw AS (" + " UNION ALL ".join(
+    f"SELECT {k} AS k, {O.r6('avg(s)')} AS silhouette FROM sil_{k}" for k in (2, 3, 4, 5)) +
+    ")\nSELECT CAST(k AS INTEGER) AS k, silhouette, k = (SELECT k FROM sw ORDER BY silhouette DESC, k LIMIT 1) AS best FROM sw")
+def q_silhouette_points(spark, sf):
+    return CH.silhouette_points(_label_sweep(spark, sf))
+
+
+@register("select_k_embeddings", f"WITH {_FOLDED},\nsw AS (" + " UNION ALL ".join(
+    f"SELECT {k} AS k, {O.r6('avg(s)')} AS silhouette FROM sil_{k}" for k in (2, 3, 4, 5)) +
+    ")\nSELECT CAST(k AS INTEGER) AS best_k FROM sw ORDER BY silhouette DESC, k LIMIT 1")
+def q_select_k(spark, sf):
+    return KM.select_k(_label_sweep(spark, sf))
+
+
 @register("k_recommendation_orders")
 def q_recommend_k(spark, sf):
     return KM.recommend_k(_sweep(spark, sf))
@@ -925,6 +955,17 @@ def q_csv_roundtrip(spark, sf):
     return IO.read_table(spark, path, PART_SCHEMA, "csv")
 
 
+@register("export_filtered_part", "SELECT p_partkey, p_name, p_brand, p_retailprice FROM part "
+          "WHERE p_size >= 25 AND p_brand IN ('Brand#11', 'Brand#12', 'Brand#13', 'Brand#21', 'Brand#22', 'Brand#23')")
+def q_export_filtered(spark, sf):
+    """A filtered table written as CSV and read back."""
+    path = scratch_path(spark, "part-filtered")
+    cols = ["p_partkey", "p_name", "p_brand", "p_retailprice"]
+    brands = [f"Brand#{a}{b}" for a in (1, 2) for b in (1, 2, 3)]
+    IO.export_filtered(table(spark, sf, "part"), (F.col("p_size") >= 25) & F.col("p_brand").isin(brands), path, cols)
+    return IO.read_table(spark, path, StructType([f for f in PART_SCHEMA.fields if f.name in cols]), "csv")
+
+
 @register("read_first_existing_export", f"WITH {CL}, {PROFILE_SQL}, {NAMES_SQL}\n"
           "SELECT o_orderkey, labr.cluster, coalesce(cluster_label, 'Other') AS cluster_label FROM labr LEFT JOIN names USING (cluster)")
 def q_read_first_existing(spark, sf):

@@ -95,6 +95,14 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet",
     return path
 
 
+def export_filtered(df: DataFrame, condition, path: str, columns: Sequence[str] | None = None,
+                    fmt: str = "csv") -> str:
+    """Write the rows that satisfy ``condition`` (all of them, the chosen
+    columns), as a serving page offers its filtered table for download."""
+    rows = df.where(condition)
+    return write_table(rows.select(*columns) if columns else rows, path, fmt)
+
+
 def write_metrics(df: DataFrame, path: str) -> str:
     """Metrics as JSON lines; +/-inf and NaN become NULL."""
     fixed = df.withColumns({f.name: F.when(F.col(f.name).isin(float("inf"), float("-inf")) |
