@@ -997,7 +997,8 @@ def q_saved_scaled(spark, sf):
 @register("insights_report_orders")
 def q_insights(spark, sf):
     f = order_features(spark, sf)
-    return RP.insights_report(f, ORDER_FEATURES, ["o_orderpriority", "o_orderstatus"], None, 15)
+    return RP.insights_report(f, ORDER_FEATURES, ["o_orderpriority", "o_orderstatus"], None, 15,
+                              id_col="o_orderkey", name_col="o_custkey", date_col="o_orderdate")
 
 
 @register("summary_report_orders")
@@ -1014,7 +1015,9 @@ def q_summary(spark, sf):
     names = PR.name_clusters(prof, ORDER_NAME_RULES)
     sizes = PR.cluster_sizes(raw, "cluster")
     mix = PR.crosstab_pct(raw, "cluster", "o_orderpriority")
-    return RP.summary_report(kc, comp, prof, names, sizes, mix)
+    by_decade = PR.decade_by_cluster(raw.withColumn("decade", decade_of_timestamp("o_orderdate")), "cluster", "decade")
+    return RP.summary_report(kc, comp, prof, names, sizes, mix, decades=by_decade,
+                             popularity=PR.best_cluster(raw, "cluster", "o_totalprice"))
 
 
 # ====================================================================== deterministic k search, remaining operators
