@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import ChunkTable, chunk_of, file_bytes, per_worker
+from .common import ChunkTable, chunk_of, file_bytes, per_worker, slices, texts_to_python
 
 CACHE_ENTRIES = 400_000
 
@@ -170,12 +170,12 @@ def encode(df: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         replay = per_worker(MergeReplay, vocabulary.value)
-        for batch in batches:
+        for batch in slices(batches):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(list(replay.encode(texts)), pa.binary())], names=schema.names)
 
-    return df.select(id_col, text_col).mapInArrow(run, schema)
+    return texts_to_python(df, id_col, text_col).mapInArrow(run, schema)
 
 
 def decode(encoded: DataFrame, rank_path: str, pattern: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
@@ -186,7 +186,7 @@ def decode(encoded: DataFrame, rank_path: str, pattern: str, ids_col: str = "ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         replay = per_worker(MergeReplay, vocabulary.value)
-        for batch in batches:
+        for batch in slices(batches):
             texts = pa.array([replay.decode(x or b"") for x in batch.column(at).to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns, texts], names=schema.names)
 

@@ -164,8 +164,36 @@ _PER_WORKER: dict = {}
 
 
 def per_worker(kind: type, data: bytes):
-    """One ``kind(data)`` per Python worker, kept over its tasks."""
+    """One ``kind(data)`` per Python worker, kept over its tasks until the
+    worker turns to another operator."""
     key = (kind, hashlib.sha1(data).digest())
     if key not in _PER_WORKER:
+        release()
         _PER_WORKER[key] = kind(data)
     return _PER_WORKER[key]
+
+
+def release() -> None:
+    """Drop what an earlier operator has left in this Python worker."""
+    _PER_WORKER.clear()
+
+
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def texts_to_python(df: DataFrame, *columns: str) -> DataFrame:
+    """Columns on their way to Python.  Whole texts make Spark's default Arrow
+    batch of 10,000 rows large on both sides; unless the session says
+    otherwise, batches get 1,000 rows."""
+    spark = df.sparkSession
+    if spark.conf.get(ARROW_ROWS, "10000") == "10000":
+        spark.conf.set(ARROW_ROWS, "1000")
+    return df.select(*columns) if columns else df
+
+
+def slices(batches, rows: int = 512):
+    """Arrow batches in pieces of few rows, so that only their texts are
+    Python objects at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)

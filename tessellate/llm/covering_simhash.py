@@ -24,14 +24,13 @@ import functools
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import free_name, written
+from .common import free_name, release, slices, texts_to_python, written
 from .components import components
 
 SEED = 42
@@ -63,11 +62,12 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     schema = T.StructType([T.StructField(id_col, df.schema[id_col].dataType), T.StructField("fp", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        release()
+        for batch in slices(batches):
             fps = np.array([fingerprint(t.as_py() or "", shingle) for t in batch.column(1)], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=schema.names)
 
-    return df.select(id_col, text_col).mapInArrow(run, schema)
+    return texts_to_python(df, id_col, text_col).mapInArrow(run, schema)
 
 
 def covering_masks(positions: list[int], radius: int) -> list[int]:
@@ -222,13 +222,18 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 radius: int = 3) -> DataFrame:
     """The rows of ``docs`` that stay, one of each group (that of the smallest
     id; of repeated rows one), with their columns."""
-    @F.pandas_udf(T.LongType())
-    def fp_of(texts: pd.Series) -> pd.Series:
-        return pd.Series(np.array([fingerprint(t or "", shingle) for t in texts], np.uint64).view(np.int64))
-
     groups = simhash_groups(docs, id_col, text_col, shingle, radius)
     fp, keep, keep_fp = (free_name(docs, n) for n in ("fp_", "keep_", "keepfp_"))
     stay = groups.select(F.col("component_id").alias(keep), F.col("keep_fp").alias(keep_fp)).distinct()
-    tagged = docs.withColumn(fp, fp_of(F.col(text_col)))
+    at = docs.columns.index(text_col)
+    schema = T.StructType([*docs.schema.fields, T.StructField(fp, T.LongType())])
+
+    def tag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        for batch in slices(batches):
+            fps = np.array([fingerprint(t.as_py() or "", shingle) for t in batch.column(at)], np.uint64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fps.view(np.int64))], names=schema.names)
+
+    tagged = texts_to_python(docs).mapInArrow(tag, schema)
     joined = tagged.join(stay, tagged[id_col].eqNullSafe(stay[keep]) & (tagged[fp] == stay[keep_fp]), "left_semi")
     return joined.dropDuplicates([id_col, fp]).select(*(joined[c] for c in docs.columns))

@@ -26,9 +26,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from .common import BYTE_LETTERS, UNSURE_SPACE, ChunkTable, GenerationCache, file_bytes, per_worker, written
+from .common import BYTE_LETTERS, UNSURE_SPACE, ChunkTable, GenerationCache, file_bytes, per_worker, release, slices, texts_to_python, written
 
-CACHE_ENTRIES = 250_000
+CACHE_ENTRIES = 200_000
 HASH_BUCKETS = 1024
 DIMENSIONS = 3
 BITS = 16
@@ -159,7 +159,7 @@ def tokenized(df: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "do
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = per_worker(WordIds, vocabulary.value)
         end = np.array([end_id], words.dtype).tobytes()
-        for batch in batches:
+        for batch in slices(batches):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             ids, vectors = [], []
             for b in words.encode(texts):
@@ -173,7 +173,7 @@ def tokenized(df: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "do
                 [batch.column(0), pa.array(place, pa.int64()), pa.array(n, pa.int64()), pa.array(ids, pa.binary())],
                 names=schema.names)
 
-    return df.select(id_col, text_col).mapInArrow(run, schema)
+    return texts_to_python(df, id_col, text_col).mapInArrow(run, schema)
 
 
 def powers_of_two(n: int) -> list[int]:
@@ -207,7 +207,8 @@ def pack(df: DataFrame, tokenizer_path: str, end_id: int, length: int = 2048, id
                 [pa.array(columns[0], id_type), *(pa.array(columns[k], pa.binary() if k == 3 else pa.int64())
                                                   for k in range(1, 7))], names=schema.names)
 
-        for batch in batches:
+        release()
+        for batch in slices(batches):
             for doc, n, ids in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 ids = np.frombuffer(ids, f"<u{len(ids) // n}").astype(width)
                 start = 0

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import GenerationCache
+from .common import GenerationCache, release, slices, texts_to_python
 
 FIT_ROWS = 3000
 MIN_DOCS = 4
@@ -42,7 +42,7 @@ RATE = 0.2
 SENTENCE = re.compile(r"[^.!?\n]+[.!?\n]*")
 WORD = re.compile(r"\w+")
 STEMS = range(4, 9)
-WORD_CACHE = 200_000
+WORD_CACHE = 50_000
 
 
 def features(word: str) -> list[str]:
@@ -126,9 +126,13 @@ def fit(texts: list[str], labels: list[int], min_docs: int = MIN_DOCS, rounds: i
     vocab = {f: i for i, f in enumerate(sorted(f for f, n in seen.items() if n >= min_docs))}
     if not vocab:
         return SentenceModel()
-    has = [(i, vocab[f]) for word, i in ids.items() for f in features(word) if f in vocab]
-    of_word, of_feature = (np.array(x, np.int32) for x in zip(*has))
-    del has, seen, docs_of
+    del seen, docs_of
+    of_word, of_feature = array("i"), array("i")
+    for word, i in ids.items():
+        known = [vocab[f] for f in features(word) if f in vocab]
+        of_word.extend([i] * len(known))
+        of_feature.extend(known)
+    of_word, of_feature = np.frombuffer(of_word, np.int32), np.frombuffer(of_feature, np.int32)
     n_words, n = len(ids), len(bag_of)
     y = np.array(labels, np.float64)
     share = np.where(y == 1, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1))  # both labels weigh the same
@@ -173,7 +177,8 @@ def score(df: DataFrame, model: SentenceModel, id_col: str = "doc_id", text_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for batch in batches:
+        release()
+        for batch in slices(batches):
             scores, starts, ends = [], [], []
             for t in batch.column(1):
                 p, hits = m.score(t.as_py() or "")
@@ -184,7 +189,7 @@ def score(df: DataFrame, model: SentenceModel, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()),
                                               pa.array(starts, pa.int64()), pa.array(ends, pa.int64())], names=schema.names)
 
-    return df.select(id_col, text_col).mapInArrow(run, schema)
+    return texts_to_python(df, id_col, text_col).mapInArrow(run, schema)
 
 
 def offending_sentences(df: DataFrame, model: SentenceModel, threshold: float = 0.5, id_col: str = "doc_id",
@@ -197,7 +202,8 @@ def offending_sentences(df: DataFrame, model: SentenceModel, threshold: float =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for batch in batches:
+        release()
+        for batch in slices(batches):
             at, rows = [], []
             for i, t in enumerate(batch.column(1)):
                 text = t.as_py() or ""
@@ -212,16 +218,19 @@ def offending_sentences(df: DataFrame, model: SentenceModel, threshold: float =
                     [batch.column(0).take(pa.array(at)), pa.array(a, pa.int64()), pa.array(b, pa.int64()),
                      pa.array(s, pa.string()), pa.array(p, pa.float64())], names=schema.names)
 
-    return df.select(id_col, text_col).mapInArrow(run, schema)
+    return texts_to_python(df, id_col, text_col).mapInArrow(run, schema)
 
 
 def reject_toxic(docs: DataFrame, model: SentenceModel, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that score below the threshold, with their columns."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf(T.DoubleType())
-    def score_of(texts):
-        import pandas as pd
-        return pd.Series([shared.value.score(t or "")[0] for t in texts], dtype="float64")
+    at = docs.columns.index(text_col)
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        release()
+        for batch in slices(batches):
+            yield batch.filter(pa.array([m.score(t.as_py() or "")[0] < threshold for t in batch.column(at)], pa.bool_()))
 
-    return docs.where(score_of(F.col(text_col)) < threshold)
+    return texts_to_python(docs).mapInArrow(clean, docs.schema)

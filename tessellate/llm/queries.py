@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from . import (bpe_replay, covering_simhash, digest_index, hilbert_pack, host_suffix, license_scan, mil_toxicity,
                multi_index, reshard, token_prefix)
-from .common import per_worker, table
+from .common import per_worker, slices, table, texts_to_python
 
 QUERIES = {}
 ORACLES = {}
@@ -51,7 +51,7 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         replay = per_worker(bpe_replay.MergeReplay, vocabulary.value)
         decimal = list(map(str, range(max(replay.bytes_of) + 1)))
-        for batch in batches:
+        for batch in slices(batches):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             n, ids_hash, text_hash = [], [], []
             for ids in replay.encode(texts):
@@ -63,7 +63,7 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                 [batch.column(0), pa.array(n, pa.int64()), pa.array(ids_hash, pa.string()), pa.array(text_hash, pa.string())],
                 names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return (table(spark, sf_dir, "documents").select("doc_id", "text")
+    return (texts_to_python(table(spark, sf_dir, "documents"), "doc_id", "text")
             .mapInArrow(digests, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"))
 
 

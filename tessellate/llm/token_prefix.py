@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from .common import BYTE_LETTERS, ChunkTable, GenerationCache, chunk_keys, chunk_of, file_bytes, per_worker
+from .common import BYTE_LETTERS, ChunkTable, GenerationCache, chunk_keys, chunk_of, file_bytes, per_worker, slices, texts_to_python
 
 #: Split of byte-level BPE before its merges (the library's own pattern).
 PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -174,7 +174,7 @@ def prefix_token_counts(df: DataFrame, tokenizer_path: str, id_col: str = "doc_i
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = per_worker(PrefixTable, vocabulary.value)
-        for batch in batches:
+        for batch in slices(batches):
             n_bytes, n_tokens, stored, fits = [], [], [], [[] for _ in budgets]
             texts = [t or "" for t in batch.column(1).to_pylist()]
             for text, keys in zip(texts, tables.blocks(texts)):
@@ -193,7 +193,7 @@ def prefix_token_counts(df: DataFrame, tokenizer_path: str, id_col: str = "doc_i
                 arrays.append(pa.array(stored, pa.binary()))
             yield pa.RecordBatch.from_arrays(arrays, names=names)
 
-    return df.select(id_col, text_col).mapInArrow(count, T.StructType(fields))
+    return texts_to_python(df, id_col, text_col).mapInArrow(count, T.StructType(fields))
 
 
 def tokens_of_prefix(deltas: str | Column, n_chars: str | Column) -> Column:
