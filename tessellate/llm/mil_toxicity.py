@@ -12,6 +12,9 @@ each label in the order of a hash of their id, a documented parameter); features
 need ``MIN_DOCS`` documents of the sample.  Scoring covers every row and whole
 texts, without a bound.
 
+The bias stays at most ``MAX_BIAS``: a sentence without a weighted word is
+clean, and thousands of such sentences do not add up to a toxic document.
+
 A text without sentences (null, empty, white space) scores 0.  Labels, ids and
 other columns are never features.  With no labelled row of either label the
 model has no weights and every text scores near 0.
@@ -37,7 +40,7 @@ from .common import GenerationCache, release, slices, texts_to_python
 FIT_ROWS = 3000
 MIN_DOCS = 4
 ROUNDS = 150
-START_BIAS = -8.0
+MAX_BIAS = -10.0
 RATE = 0.2
 SENTENCE = re.compile(r"[^.!?\n]+[.!?\n]*")
 WORD = re.compile(r"\w+")
@@ -56,7 +59,7 @@ def softplus(z: float) -> float:
 
 @dataclass
 class SentenceModel:
-    bias: float = START_BIAS
+    bias: float = MAX_BIAS
     weights: dict[str, float] = field(default_factory=dict)
 
     def __post_init__(self):
@@ -137,7 +140,7 @@ def fit(texts: list[str], labels: list[int], min_docs: int = MIN_DOCS, rounds: i
     y = np.array(labels, np.float64)
     share = np.where(y == 1, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1))  # both labels weigh the same
     w = np.zeros(len(vocab) + 1)
-    w[-1] = START_BIAS
+    w[-1] = MAX_BIAS
     m, v = np.zeros_like(w), np.zeros_like(w)
     for t in range(1, rounds + 1):
         word = np.bincount(of_word, weights=w[of_feature], minlength=n_words)
@@ -153,6 +156,7 @@ def fit(texts: list[str], labels: list[int], min_docs: int = MIN_DOCS, rounds: i
         rate = RATE * min(1.0, 2.0 * (1.0 - t / (rounds + 1)))
         scale = np.sqrt(v / (1 - 0.99 ** t)) + 1e-8
         w -= rate * (m / (1 - 0.9 ** t)) / scale
+        w[-1] = min(w[-1], MAX_BIAS)
         pull = rate * shrink / scale[:-1]
         w[:-1] = np.sign(w[:-1]) * np.maximum(np.abs(w[:-1]) - np.minimum(pull, 1.0), 0.0)
     return SentenceModel(float(w[-1]), {f: float(w[i]) for f, i in vocab.items() if w[i] != 0.0})
