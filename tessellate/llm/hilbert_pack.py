@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 from tokenizers import Tokenizer
 
 from .common import BYTE_LETTERS, UNSURE_SPACE, ChunkTable, GenerationCache, file_bytes, per_worker, release, slices, texts_to_python, written
@@ -194,7 +195,7 @@ def pack(df: DataFrame, tokenizer_path: str, end_id: int, length: int = 2048, id
                            *(T.StructField(c, T.LongType()) for c in ("start", "length")),
                            T.StructField("ids", T.BinaryType()),
                            *(T.StructField(c, T.LongType()) for c in ("doc_tokens", "sequence_id", "offset"))])
-    id_type = pa.int64() if isinstance(schema[0].dataType, T.LongType) else None
+    id_type = to_arrow_type(schema[0].dataType)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext

@@ -78,13 +78,12 @@ def stated_licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     statements = template_words(templates)
     vocabulary = sorted({w for _, _, ws in statements for w in ws})
     lines = written(line_words(docs, vocabulary, id_col, text_col), "licence-lines")
-    n_lines = docs.agg(F.sum(F.size(F.split(text_or_empty(text_col), "\n"))).cast("double").alias("n")).select(
-        F.coalesce("n", F.lit(0.0)).alias("n"))
+    n_lines = float(docs.agg(F.sum(F.size(F.split(text_or_empty(text_col), "\n"))).alias("n")).first()["n"] or 0)
     seen = lines.select(F.explode("known").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("df"))
     words = spark.createDataFrame([(w,) for w in vocabulary], "word string")
-    idf = (words.join(seen, "word", "left").crossJoin(n_lines)  # one row
-           .select("word", (F.log((1 + F.col("n")) / (1 + F.coalesce("df", F.lit(0)))) + 1).alias("idf"),
-                   (F.log(1 + F.col("n")) + 1).alias("most")))
+    idf = words.join(seen, "word", "left").select(
+        "word", (F.log(F.lit(1 + n_lines) / (1 + F.coalesce("df", F.lit(0)))) + 1).alias("idf"),
+        (F.log(F.lit(1 + n_lines)) + 1).alias("most"))
     weights = {r["word"]: (r["idf"], r["most"]) for r in idf.collect()}  # the words of the templates
     most = next(iter(weights.values()))[1]
     squares = F.create_map(*[F.lit(x) for w in vocabulary for x in (w, weights[w][0] ** 2)])
