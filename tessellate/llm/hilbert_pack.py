@@ -29,7 +29,7 @@ from tokenizers import Tokenizer
 
 from .common import BYTE_LETTERS, UNSURE_SPACE, ChunkTable, GenerationCache, file_bytes, per_worker, release, slices, texts_to_python, written
 
-CACHE_ENTRIES = 200_000
+CACHE_ENTRIES = 350_000
 HASH_BUCKETS = 1024
 DIMENSIONS = 3
 BITS = 16
