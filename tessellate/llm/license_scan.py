@@ -2,11 +2,11 @@
 along directories.
 
 Every line of every text is a sparse vector of its distinct words, weighted by
-idf = ln((1 + lines) / (1 + lines with the word)) + 1.  Frequencies are counted
-over all lines for the words of the templates; any other word has the highest
-idf, that of a word not seen.  A line states the licence of the template with
-the highest cosine, from ``THRESHOLD`` on.  A bound on the cosine that needs
-only the line's own words leaves few lines to compare.
+idf = ln((1 + lines) / (1 + lines with the word)) + 1, counted over all lines
+for every word.  A line states the licence of the template with the highest
+cosine, from ``THRESHOLD`` on.  A bound on the cosine that holds for any idf of
+the words outside the templates (none is below 1) leaves few lines to compare;
+only their words are joined to the frequencies.
 
 A file's licence is the statement in it with the highest score (ties: the
 first line, then the licence's name).  A licence file covers its directory and
@@ -20,12 +20,14 @@ inherits nothing.  All of it is DataFrame functions.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.columns import bounded_broadcast
 from .common import text_or_empty, written
 
 THRESHOLD = 0.75
@@ -62,43 +64,60 @@ def template_words(templates: dict[str, list[str]]) -> list[tuple[str, int, list
             for name, texts in sorted(templates.items()) for k, text in enumerate(texts)]
 
 
+def words_of(line: Column) -> Column:
+    """The distinct words of a line."""
+    return F.array_remove(F.array_distinct(F.split(F.lower(line), SPLIT)), "")
+
+
 def line_words(docs: DataFrame, vocabulary: list[str], id_col: str, text_col: str) -> DataFrame:
-    """(id, line_no, n_words, known): lines that hold a word of the templates."""
+    """(id, line_no, words, known): lines that hold a word of the templates."""
     lines = docs.select(F.col(id_col).alias("id"), F.posexplode(F.split(text_or_empty(text_col), "\n")).alias("line_no", "line"))
-    words = lines.select("id", "line_no", F.array_remove(F.array_distinct(F.split(F.lower("line"), SPLIT)), "").alias("words"))
-    return (words.select("id", "line_no", F.size("words").alias("n_words"),
-                         F.array_intersect("words", F.array(*map(F.lit, vocabulary))).alias("known"))
+    return (lines.select("id", "line_no", words_of(F.col("line")).alias("words"))
+            .withColumn("known", F.array_intersect("words", F.array(*map(F.lit, vocabulary))))
             .where(F.size("known") > 0))
 
 
+def line_frequencies(docs: DataFrame, text_col: str) -> DataFrame:
+    """(word, df): the number of lines that hold each word; the empty word
+    stands for the line itself and counts them all."""
+    lines = docs.select(F.explode(F.split(text_or_empty(text_col), "\n")).alias("line"))
+    return (lines.select(F.explode(F.array_append(words_of(F.col("line")), F.lit(""))).alias("word"))
+            .groupBy("word").agg(F.count(F.lit(1)).alias("df")))
+
+
 def stated_licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     templates: dict[str, list[str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """(id, licence, score, line_no): the best statement of each id that has one."""
     spark = docs.sparkSession
     statements = template_words(templates)
     vocabulary = sorted({w for _, _, ws in statements for w in ws})
-    lines = written(line_words(docs, vocabulary, id_col, text_col), "licence-lines")
-    n_lines = float(docs.agg(F.sum(F.size(F.split(text_or_empty(text_col), "\n"))).alias("n")).first()["n"] or 0)
-    seen = lines.select(F.explode("known").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("df"))
-    words = spark.createDataFrame([(w,) for w in vocabulary], "word string")
-    idf = words.join(seen, "word", "left").select(
-        "word", (F.log(F.lit(1 + n_lines) / (1 + F.coalesce("df", F.lit(0)))) + 1).alias("idf"),
-        (F.log(F.lit(1 + n_lines)) + 1).alias("most"))
-    weights = {r["word"]: (r["idf"], r["most"]) for r in idf.collect()}  # the words of the templates
-    most = next(iter(weights.values()))[1]
-    squares = F.create_map(*[F.lit(x) for w in vocabulary for x in (w, weights[w][0] ** 2)])
+    seen = written(line_frequencies(docs, text_col), "licence-words")
+    df = {r["word"]: r["df"] for r in seen.where(F.col("word").isin(["", *vocabulary])).collect()}  # the words of the templates
+    n_lines = float(df.get("", 0))
+    square = {w: (math.log((1 + n_lines) / (1 + df.get(w, 0))) + 1) ** 2 for w in vocabulary}
+    squares = F.create_map(*[F.lit(x) for w in vocabulary for x in (w, square[w])])
     own = F.aggregate("known", F.lit(0.0), lambda acc, w: acc + F.element_at(squares, w))
-    norm = F.col("own") + (F.col("n_words") - F.size("known")) * F.lit(most * most)
-    near = (lines.withColumn("own", own).withColumn("norm", norm)
-            .where(F.col("own") >= F.lit(threshold * threshold * (1 - 1e-9)) * F.col("norm")))
-    of_word = spark.createDataFrame(
-        [(w, name, k, weights[w][0] ** 2, sum(weights[x][0] ** 2 for x in ws)) for name, k, ws in statements for w in ws],
-        "word string, licence string, statement int, square double, template double")
-    scored = (near.select("id", "line_no", "norm", F.explode("known").alias("word"))
-              .join(F.broadcast(of_word), "word")  # the words of the templates
-              .groupBy("id", "line_no", "licence", "statement")
-              .agg((F.sum("square") / F.sqrt(F.max("norm") * F.max("template"))).alias("score"))
-              .select("id", "line_no", "licence", F.round("score", 6).alias("score"))
+    template = [(name, k, ws, sum(square[w] for w in ws)) for name, k, ws in statements]
+    least = F.col("own") + F.size("words") - F.size("known")  # of the squared norm
+    most = F.least("own", F.col("own") * F.col("own") / min(size for *_, size in template))  # of the cosine's square times the norm's
+    near = written(line_words(docs, vocabulary, id_col, text_col).withColumn("own", own)
+                   .where(most >= F.lit(threshold * threshold * (1 - 1e-9)) * least)
+                   .select("id", "line_no", "words", "known").dropDuplicates(["id", "line_no", "words"]), "licence-lines")
+    of_word = spark.createDataFrame([(w, name, k, square[w], size) for name, k, ws, size in template for w in ws],
+                                    "word string, licence string, statement int, square double, template double")
+    line = ["id", "line_no", "words"]
+    floor = F.sum("square") / F.sqrt(F.max("template"))
+    dots = (near.select(*line, F.explode("known").alias("word"))
+            .join(F.broadcast(of_word), "word")  # the words of the templates
+            .groupBy(*line, "licence", "statement").agg(floor.alias("dot")))
+    in_near = near.select(F.explode("words").alias("word")).distinct()
+    idf = seen.join(in_near, "word").select(
+        "word", F.pow(F.log(F.lit(1 + n_lines) / (1 + F.col("df"))) + 1, 2).alias("square"))
+    norms = (near.select(*line, F.explode("words").alias("word")).join(bounded_broadcast(idf), "word")
+             .groupBy(*line).agg(F.sum("square").alias("norm")))
+    at = [a.eqNullSafe(b) for a, b in ((dots[c], norms[c]) for c in line)]
+    scored = (dots.join(norms, at[0] & at[1] & at[2])
+              .select(dots["id"], dots["line_no"], "licence", F.round(F.col("dot") / F.sqrt("norm"), 6).alias("score"))
               .where(F.col("score") >= threshold))
     best = F.min(F.struct((-F.col("score")).alias("order"), "line_no", "licence", "score"))
     return scored.groupBy("id").agg(best.alias("b")).select("id", "b.licence", "b.score", "b.line_no")

@@ -1,6 +1,10 @@
+import math
+import re
+from collections import Counter
+
 from pyspark.sql import functions as F
 
-from tessellate.llm.license_scan import license_scan, stated_licences
+from tessellate.llm.license_scan import SPLIT, license_scan, stated_licences, template_words, TEMPLATES
 from tests.llm import edge
 
 FILES = [
@@ -55,3 +59,25 @@ def test_edge_rows(spark):
     rows = license_scan(d).collect()
     assert len(rows) == len(edge.DOCS) and all(r["origin"] == "none" for r in rows)
     assert license_scan(edge.empty(spark).withColumn("path", F.lit("x"))).count() == 0
+
+
+def test_frequencies_of_all_words(spark):
+    texts = ["the quiet that runs on and que der die\n" * 40 + f"other{i} line{i}" for i in range(20)]
+    texts += ["The that on que: Released under the MIT License.", "Released under the MIT License. rare odd words here", None]
+    texts += [texts[-3]]
+    lines = [(i, k, set(re.split(SPLIT, x.lower())) - {""}) for i, t in enumerate(texts) for k, x in enumerate((t or "").split("\n"))]
+    df = Counter(w for _, _, ws in lines for w in ws)
+
+    def size(ws):
+        return sum((math.log((1 + len(lines)) / (1 + df[w])) + 1) ** 2 for w in ws)
+
+    want = {}
+    for i, k, ws in lines:
+        for name, _, t in template_words(TEMPLATES):
+            score = round(size(ws & set(t)) / math.sqrt(size(ws) * size(t)), 6) if ws else 0.0
+            if score >= 0.75:
+                want[i] = min(want.get(i, (0, 0, "")), (-score, k, name))
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["id"]: (-r["score"], r["line_no"], r["licence"]) for r in stated_licences(rows).collect()}
+    assert got.keys() == want.keys() >= {20} and got[20][2] == "MIT"
+    assert all(got[i][1:] == want[i][1:] and abs(got[i][0] - want[i][0]) < 2e-6 for i in want)
