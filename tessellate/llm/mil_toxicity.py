@@ -7,17 +7,21 @@ letters, so that stems count whatever their endings.  A document is toxic
 unless every sentence is clean (noisy-or): 1 - prod(1 - p_s).  Bias and weights are fitted to document labels through
 that product, so the sentence scores locate what made a document toxic.
 
+Sentences that are each almost surely clean (without a weighted word, or with a
+logit below ``WEAK``) add at most ``LEAK`` to -ln of a document's product when it
+is scored, so that no number of them makes a document toxic.  The fit keeps the
+whole sum, which holds such sentences down.
+
 The fit takes a bounded sample of the labelled documents (``FIT_ROWS`` rows of
 each label in the order of a hash of their id, a documented parameter); features
 need ``MIN_DOCS`` documents of the sample.  Scoring covers every row and whole
 texts, without a bound.
 
-The bias stays at most ``MAX_BIAS``: a sentence without a weighted word is
-clean, and thousands of such sentences do not add up to a toxic document.
+The bias stays at most ``MAX_BIAS``: a sentence without a weighted word is clean.
 
 A text without sentences (null, empty, white space) scores 0.  Labels, ids and
 other columns are never features.  With no labelled row of either label the
-model has no weights and every text scores near 0.
+model has no weights and every text scores below 0.1.
 """
 
 from __future__ import annotations
@@ -41,6 +45,8 @@ FIT_ROWS = 3000
 MIN_DOCS = 4
 ROUNDS = 150
 MAX_BIAS = -10.0
+WEAK = -2.0
+LEAK = 0.1
 RATE = 0.2
 SENTENCE = re.compile(r"[^.!?\n]+[.!?\n]*")
 WORD = re.compile(r"\w+")
@@ -86,7 +92,8 @@ class SentenceModel:
         if not text.strip():
             return 0.0, []
         hits = self.logits(text)
-        clean = (n - len(hits)) * softplus(self.bias) + sum(softplus(z) for z, _, _ in hits)
+        weak = (n - len(hits)) * softplus(self.bias) + sum(softplus(z) for z, _, _ in hits if z < WEAK)
+        clean = min(weak, LEAK) + sum(softplus(z) for z, _, _ in hits if z >= WEAK)
         return -math.expm1(-clean), hits
 
 

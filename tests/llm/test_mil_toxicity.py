@@ -40,6 +40,19 @@ def test_sentences_are_found_from_document_labels():
     assert model.score("clean words only. " * 3000)[0] < 0.5  # many sentences alone are not toxic
 
 
+def test_any_number_of_clean_sentences():
+    rng = random.Random(2)
+    model = mil_toxicity.fit(*bags(600, rng))
+    texts, labels = bags(2000, rng)
+    prose = " ".join(t for t, toxic in zip(texts, labels) if not toxic)
+    clean = (prose + " ") * (200_000 // prose.count(".") + 1)
+    for text in ("clean words only. " * 200_000, "1.5\n" * 200_000, clean):
+        assert model.score(text)[0] < 0.5 and mil_toxicity.SentenceModel().score(text)[0] < 0.1
+        assert model.score(text + "what a vile thing.")[0] >= 0.5
+    slight = mil_toxicity.SentenceModel(weights={"words": 0.3, "vile": 14.0})
+    assert slight.score("clean words only. " * 200_000)[0] < 0.1
+
+
 def test_noisy_or():
     model = mil_toxicity.SentenceModel(-3.0, {"bad": 2.0, "good": -1.0})
     p = [1 / (1 + 2.718281828459045 ** -z) for z in (-1.0, -4.0, -3.0)]
