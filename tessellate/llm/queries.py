@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import string
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,8 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (bpe_replay, covering_simhash, digest_index, hilbert_pack, host_suffix, license_scan, mil_toxicity,
-               multi_index, reshard, token_prefix)
+from . import (bpe_replay, covering_simhash, digest_index, hilbert_pack, host_suffix, license_scan, merkle_manifest,
+               mil_toxicity, multi_index, reshard, token_prefix)
 from .common import per_worker, slices, table, texts_to_python
 
 QUERIES = {}
@@ -146,3 +147,21 @@ def op8_mil_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = mil_toxicity.score(docs, model)
     return scored.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score",
                          (F.col("score") >= 0.5).cast("int").alias("predicted"), "worst_start", "worst_end")
+
+
+LEAF_FIELDS = ["doc_id", "source", "lang", "n_chars", "text"]
+
+
+@register("op11_merkle_manifest", merkle_manifest.oracle_sql(LEAF_FIELDS))
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, roots and proof of every document, and what its proof says of the
+    document presented: a third of them with their text lower-cased."""
+    docs = table(spark, sf_dir, "documents")
+    lower = F.translate("text", string.ascii_uppercase, string.ascii_lowercase)
+    changed = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    presented = merkle_manifest.leaf_digest([F.when(changed, lower).otherwise(F.col("text")) if c == "text" else F.col(c)
+                                             for c in LEAF_FIELDS])
+    found = merkle_manifest.manifest(docs, LEAF_FIELDS, carry={"presented": F.when(changed, presented)})
+    folded = found.withColumn("folded_root", merkle_manifest.fold(F.coalesce("presented", "leaf"), "steps"))
+    return folded.select("doc_id", "leaf", "subroot", "root", merkle_manifest.siblings_digest("steps").alias("proof_sha256"),
+                         "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
