@@ -12,8 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (bpe_replay, covering_simhash, digest_index, hilbert_pack, host_suffix, license_scan, merkle_manifest,
-               mil_toxicity, multi_index, reshard, token_prefix)
+from . import (bpe_replay, covering_simhash, digest_index, hilbert_pack, host_suffix, importance_resample, license_scan,
+               merkle_manifest, mil_toxicity, multi_index, reshard, token_prefix)
 from .common import per_worker, slices, table, texts_to_python
 
 QUERIES = {}
@@ -165,3 +165,13 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     folded = found.withColumn("folded_root", merkle_manifest.fold(F.coalesce("presented", "leaf"), "steps"))
     return folded.select("doc_id", "leaf", "subroot", "root", merkle_manifest.siblings_digest("steps").alias("proof_sha256"),
                          "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+DRAW_PERCENT = 5
+
+
+@register("op13_importance_resample", importance_resample.oracle_sql(DRAW_PERCENT))
+def op13_importance_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weight, score and rank of every document drawn towards the benchmark."""
+    return importance_resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"),
+                                        DRAW_PERCENT).select("doc_id", "n_features", "weight", "score", "rank")
