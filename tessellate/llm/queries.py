@@ -12,8 +12,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (bpe_replay, covering_simhash, digest_index, hilbert_pack, host_suffix, importance_resample, license_scan,
-               merkle_manifest, mil_toxicity, multi_index, reshard, token_prefix)
+from . import (bpe_replay, compression_quality, covering_simhash, digest_index, hilbert_pack, host_suffix,
+               importance_resample, license_scan, merkle_manifest, mil_toxicity, multi_index,
+               reshard, token_prefix)
 from .common import per_worker, slices, table, texts_to_python
 
 QUERIES = {}
@@ -175,3 +176,13 @@ def op13_importance_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weight, score and rank of every document drawn towards the benchmark."""
     return importance_resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"),
                                         DRAW_PERCENT).select("doc_id", "n_features", "weight", "score", "rank")
+
+
+@register("op12_compression_quality")
+def op12_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document by dictionaries built without the held-out fold."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = compression_quality.train(docs, labels.where(~held_out()))
+    scored = compression_quality.score(docs, model)
+    return scored.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score",
+                         (F.col("score") >= 0.3).cast("int").alias("predicted"))
