@@ -6,6 +6,8 @@ import hashlib
 import re
 from collections.abc import Callable
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -197,3 +199,29 @@ def slices(batches, rows: int = 512):
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+
+
+def byte_blocks(batches, column: int, size: int):
+    """Arrow batches dealt anew into blocks of about ``size`` bytes of one text
+    column (at least one row), so that work by block is neither tiny nor unbounded."""
+    held, used = [], 0
+
+    def block():
+        whole = pa.Table.from_batches(held).combine_chunks()
+        return pa.RecordBatch.from_arrays(
+            [c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in whole.columns], names=whole.column_names)
+
+    for batch in batches:
+        lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
+        at = 0
+        for i, n in enumerate(lengths):
+            if used and used + n > size:
+                if i > at:
+                    held.append(batch.slice(at, i - at))
+                yield block()
+                held, used, at = [], 0, i
+            used += n
+        if at < batch.num_rows:
+            held.append(batch.slice(at))
+    if held:
+        yield block()

@@ -14,9 +14,6 @@ Rows with a null id sort first.  Further columns are not carried.
 
 from __future__ import annotations
 
-import functools
-import unicodedata
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,14 +22,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
-from tokenizers import Tokenizer
 
-from .common import BYTE_LETTERS, UNSURE_SPACE, ChunkTable, GenerationCache, file_bytes, per_worker, release, slices, texts_to_python, written
+from .common import byte_blocks, file_bytes, per_worker, release, slices, texts_to_python, written
+from .word_bpe import WordIds, runs
 
-CACHE_ENTRIES = 350_000
 HASH_BUCKETS = 1024
 DIMENSIONS = 3
 BITS = 16
+BLOCK_BYTES = 6 << 20
+RANGE_BYTES = 64 << 20  # of ids, in one range of the curve
 
 
 def hilbert_index(points: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -72,9 +70,11 @@ class Projection:
         self.sign = rng.choice([-1.0, 1.0], n_ids)
         self.matrix = rng.standard_normal((HASH_BUCKETS, DIMENSIONS))
 
-    def vector(self, ids: np.ndarray) -> np.ndarray:
-        h = np.bincount(self.bucket[ids], weights=self.sign[ids], minlength=HASH_BUCKETS)
-        return np.sign(h) * np.log1p(np.abs(h))
+    def vectors(self, ids: np.ndarray, count: np.ndarray) -> np.ndarray:
+        """Damped bucket sums of documents given by their ids, end to end."""
+        at = np.repeat(np.arange(len(count)) * HASH_BUCKETS, count) + self.bucket[ids]
+        h = np.bincount(at, weights=self.sign[ids], minlength=len(count) * HASH_BUCKETS).reshape(len(count), HASH_BUCKETS)
+        return (np.sign(h) * np.log1p(np.abs(h))).astype(np.float32).astype(np.float64)
 
     def keys(self, vectors: np.ndarray) -> np.ndarray:
         norm = np.linalg.norm(vectors, axis=1, keepdims=True)
@@ -83,69 +83,20 @@ class Projection:
         return hilbert_index(np.minimum((unit * (1 << BITS)).astype(np.int64), (1 << BITS) - 1))
 
 
-class WordIds(ChunkTable):
-    """Ids of texts under a tokenizer that drops white space."""
-
-    def __init__(self, tokenizer_json: bytes, entries: int = CACHE_ENTRIES):
-        super().__init__(entries)
-        self.tok = Tokenizer.from_buffer(tokenizer_json)
-        self.model = self.tok.model
-        self.n_ids = max(self.tok.get_vocab(with_added_tokens=True).values()) + 1
-        self.dtype = np.dtype("<u2" if self.n_ids <= 1 << 16 else "<u4")
-        self.code = "H" if self.n_ids <= 1 << 16 else "I"
-        self.projection = Projection(self.n_ids)
-        self.plain = GenerationCache(self._plain_word, entries // 3)
-        # a word of letters is one piece for the model if the tokenizer lower-cases and splits letters off marks
-        probe = ["Straße", "ÉLAN", "don", "xyzzy"]
-        self.splits_words = all(self._whole(w + m) == self._word(w) + self._whole(m) for w in probe for m in ("", ",", "."))
-
-    def _whole(self, text: str) -> list[int]:
-        return self.tok.encode(text, add_special_tokens=False).ids
-
-    def _word(self, word: str) -> list[int]:
-        low = word.lower()
-        letters = low if low.isascii() else low.encode().decode("latin-1").translate(BYTE_LETTERS)
-        return [t.id for t in self.model.tokenize(letters)]
-
-    def _plain_word(self, word: str) -> bytes:
-        """Ids of a word of letters, nothing where the library must see all of it
-        (marks that compose, a sigma whose lower case depends on its place)."""
-        low = word.lower()
-        if not word.isascii() and not (low.isalpha() and "Σ" not in word and unicodedata.is_normalized("NFC", word)):
-            return b""
-        return array(self.code, self._word(word)).tobytes()
-
-    @staticmethod
-    def words(text: str) -> list[str]:
-        return [text] if UNSURE_SPACE.search(text) else text.split()
-
-    def values(self, keys: list[str]) -> dict[str, bytes]:
-        out, rest = {}, []
-        for key in keys:
-            ids = b""
-            if self.splits_words:
-                if key.isalpha():
-                    ids = self.plain[key]
-                elif key[-1:] in ",." and key[:-1].isalpha():
-                    ids = self.plain[key[:-1]]
-                    ids = ids and ids + self.mark(key[-1])
-            if ids:
-                out[key] = ids
-            else:
-                rest.append(key)
-        for at in range(0, len(rest), 2_000):
-            part = rest[at:at + 2_000]
-            for key, e in zip(part, self.tok.encode_batch_fast(part, add_special_tokens=False)):
-                out[key] = array(self.code, e.ids).tobytes()
-        return out
-
-    @functools.lru_cache(maxsize=8)
-    def mark(self, mark: str) -> bytes:
-        return array(self.code, self._whole(mark)).tobytes()
-
-    def encode(self, texts: list[str]) -> Iterator[bytes]:
-        for words in self.blocks(texts, self.words):
-            yield b"".join(map(self.cache.__getitem__, words))
+class PlacedIds:
+    """A worker's word ids and the projection of their counts."""
+
+    def __init__(self, tokenizer_json: bytes):
+        self.words = WordIds(tokenizer_json)
+        self.projection = Projection(self.words.n_ids)
+
+
+def parts(ids: np.ndarray, count: np.ndarray, rows: int = 256) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """A block's ids and counts, a few documents at a time."""
+    stop = np.concatenate([[0], np.cumsum(count)])
+    for at in range(0, len(count), rows):
+        n = count[at:at + rows]
+        yield ids[stop[at]:stop[at + len(n)]], n
 
 
 def tokenized(df: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "doc_id",
@@ -158,21 +109,18 @@ def tokenized(df: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "do
                            T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = per_worker(WordIds, vocabulary.value)
-        end = np.array([end_id], words.dtype).tobytes()
-        for batch in slices(batches):
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            ids, vectors = [], []
-            for b in words.encode(texts):
-                vectors.append(words.projection.vector(np.frombuffer(b, words.dtype)).astype(np.float32))
-                ids.append(b + end)
-            if not ids:
-                continue
-            place = words.projection.keys(np.array(vectors, np.float64))
-            n = [len(b) // words.dtype.itemsize for b in ids]
+        placed = per_worker(PlacedIds, vocabulary.value)
+        width = placed.words.dtype.itemsize
+        for block in byte_blocks(batches, 1, BLOCK_BYTES):
+            ids, count = placed.words.encode(block.column(1))
+            place = np.concatenate([placed.projection.keys(placed.projection.vectors(i, n)) for i, n in parts(ids, count)])
+            stop = np.cumsum(count + 1)
+            ended = np.full(int(stop[-1]), end_id, placed.words.dtype)
+            ended[runs(stop - count - 1, count)] = ids
+            binary = pa.Array.from_buffers(pa.binary(), len(count), [
+                None, pa.py_buffer(np.concatenate([[0], stop * width]).astype(np.int32).tobytes()), pa.py_buffer(ended.tobytes())])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(place, pa.int64()), pa.array(n, pa.int64()), pa.array(ids, pa.binary())],
-                names=schema.names)
+                [block.column(0), pa.array(place, pa.int64()), pa.array(count + 1, pa.int64()), binary], names=schema.names)
 
     return texts_to_python(df, id_col, text_col).mapInArrow(run, schema)
 
@@ -228,7 +176,12 @@ def pack(df: DataFrame, tokenizer_path: str, end_id: int, length: int = 2048, id
         if open_:
             yield batch_of(list(split_tail(open_, used, sequence, width.itemsize)))
 
-    return (tokens.repartitionByRange(F.col("place"), F.col(id_col))
+    total = tokens.agg(F.sum("n_tokens")).first()[0] or 0
+    ranges = -(-total * width.itemsize // RANGE_BYTES)
+    order = [F.col("place"), F.col(id_col)]
+    if ranges > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        order = [ranges, *order]
+    return (tokens.repartitionByRange(*order)
             .sortWithinPartitions("place", id_col).mapInArrow(cut, schema))
 
 
