@@ -4,23 +4,23 @@
   nearest-centre assignment is a narrow projection: k squared distances as
   scalar columns inside whole-stage codegen, ``least`` + first-equal for the
   argmin (ties -> lowest centre id).  No join, no shuffle.
-* 1-NN against a labelled sample ships the sample to the tasks only after its
-  size is checked; above the bound the sample is processed in bounded blocks
-  and the per-block winners are merged by a shuffle on row id.
+* 1-NN against a labelled sample searches the sample's cells (``metric``): no
+  side is collected or broadcast, whatever its size.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import bounded_broadcast, present
+from ..session import cut_lineage
+from .metric import finite, k_nearest
 
 _CEN = "_cen"
+CENTRE_BLOCK = 512
 
 
 def _sq_dist(xs: Sequence[Column], cs: Sequence[Column]) -> Column:
@@ -79,12 +79,14 @@ def pairwise_centroids(centres: DataFrame, features: Sequence[str], cid: str = "
                        ) -> DataFrame:
     """Euclidean distance between every ordered pair of the k centres.
 
-    Both sides are the k-row centre table (k is a model parameter), so the
-    pair table has k^2 rows regardless of the data size."""
-    rows = F.struct(F.col(cid).alias("id"), *[F.col(f).cast("double").alias(f) for f in features])
-    allc = centres.agg(F.collect_list(rows).alias("_all"))
-    a = allc.select(F.explode("_all").alias("a"), "_all")
-    pairs = a.select("a", F.explode("_all").alias("b"))
+    The centres are dealt to blocks of about ``CENTRE_BLOCK``; each meets every
+    block in an equi-join on the block number, so k^2 pairs are spread over the
+    tasks (density clustering can give many clusters)."""
+    rows = cut_lineage(centres.select(F.col(cid).alias("id"), *[F.col(f).cast("double").alias(f) for f in features]))
+    blocks = max(1, -(-rows.count() // CENTRE_BLOCK))
+    a = rows.select(F.struct(*rows.columns).alias("a"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    b = rows.select(F.struct(*rows.columns).alias("b"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"))
+    pairs = a.join(b, "block")
     d = F.sqrt(_sq_dist([F.col(f"a.{f}") for f in features], [F.col(f"b.{f}") for f in features]))
     return pairs.select(F.col("a.id").alias("cid_a"), F.col("b.id").alias("cid_b"),
                         d.alias("distance"))
@@ -117,79 +119,18 @@ def attach_labels(df: DataFrame, labels: dict[str, DataFrame], id_col: str = "ro
 
 
 # --------------------------------------------------------------------- J3
-MAX_BROADCAST_SAMPLE = 50_000
-
-
-def _nn_block(features: Sequence[str], id_col: str, s_ids: np.ndarray, s_lab: np.ndarray,
-              s_x: np.ndarray, chunk: int = 512):
-    s_n2 = (s_x * s_x).sum(axis=1)
-
-    def run(batches):
-        for pdf in batches:
-            x = pdf[list(features)].to_numpy(dtype=np.float64)
-            best_i = np.empty(len(x), dtype=np.int64)
-            best_d = np.empty(len(x), dtype=np.float64)
-            for lo in range(0, len(x), chunk):
-                xb = x[lo:lo + chunk]
-                xn2 = (xb * xb).sum(axis=1)
-                d2 = xn2[:, None] + s_n2[None, :] - 2.0 * (xb @ s_x.T)
-                mn = d2.min(axis=1)
-                tol = 1e-9 * (xn2 + s_n2.max()) + 1e-12
-                pick = d2.argmin(axis=1)
-                diff = s_x[pick] - xb
-                best_i[lo:lo + len(xb)] = pick
-                best_d[lo:lo + len(xb)] = (diff * diff).sum(axis=1)
-                close = d2 <= (mn + tol)[:, None]
-                for r in np.flatnonzero(close.sum(axis=1) > 1):  # ties within rounding, decided exactly
-                    cand = np.flatnonzero(close[r])
-                    diff = s_x[cand] - xb[r]
-                    exact = (diff * diff).sum(axis=1)
-                    m = exact.min()
-                    best_i[lo + r] = cand[exact == m][0]  # sample sorted by id: lowest id wins
-                    best_d[lo + r] = m
-            yield pd.DataFrame({id_col: pdf[id_col],
-                                "nn_id": s_ids[best_i], "nn_label": s_lab[best_i],
-                                "nn_dist2": best_d})
-    return run
-
-
 def propagate_nearest(df: DataFrame, sample: DataFrame, features: Sequence[str],
-                      id_col: str, sample_id: str, label_col: str,
-                      max_broadcast: int = MAX_BROADCAST_SAMPLE) -> DataFrame:
+                      id_col: str, sample_id: str, label_col: str, tile_rows: int | None = None) -> DataFrame:
     """Exact 1-NN of every row among the labelled sample; returns
     (id_col, nn_id, nn_label, nn_dist).  Ties -> lowest sample id; an empty
-    sample gives NULLs."""
+    sample gives NULLs, as does a row with a null, NaN or infinite feature (such
+    sample rows, and those without an id, are nobody's neighbour).  The sample is
+    searched by cells (``metric``); it may have any size and stays off the driver."""
     fs = present(df, features)
-    n = sample.count()
-    kind, sample_kind = (t.schema[c].dataType.simpleString() for t, c in ((df, id_col), (sample, sample_id)))
-    schema = f"`{id_col}` {kind}, nn_id {sample_kind}, nn_label int, nn_dist2 double"
-    src = df.select(F.col(id_col),
-                    *[F.col(f).cast("double").alias(f) for f in fs])
-    sel = sample.select(F.col(sample_id).alias("_sid"),
-                        F.col(label_col).cast("int").alias("_lab"),
-                        *[F.col(f).cast("double").alias(f) for f in fs])
-    # hash blocks of about half the bound each, so a block stays under it
-    blocks = 1 if n <= max_broadcast else -(-2 * n // max_broadcast)
-    parts = []
-    for b in range(blocks):
-        if blocks == 1:
-            blk = sel
-        else:  # bounded blocks by id range rank, each collected separately
-            blk = sel.where(F.pmod(F.xxhash64("_sid"), F.lit(blocks)) == b)
-        pdf = blk.toPandas().sort_values("_sid", kind="mergesort")
-        if not len(pdf):
-            continue
-        fn = _nn_block(fs, id_col, pdf["_sid"].to_numpy(), pdf["_lab"].to_numpy(),
-                       pdf[list(fs)].to_numpy(dtype=np.float64))
-        parts.append(src.mapInPandas(fn, schema))
-    if not parts:
-        return src.select(id_col, F.lit(None).cast(sample_kind).alias("nn_id"), F.lit(None).cast("int").alias("nn_label"),
-                          F.lit(None).cast("double").alias("nn_dist"))
-    res = parts[0]
-    if blocks > 1:
-        for p in parts[1:]:
-            res = res.unionByName(p)
-        best = F.min(F.struct("nn_dist2", "nn_id", "nn_label"))
-        res = res.groupBy(id_col).agg(best.alias("_b")).select(
-            id_col, "_b.nn_id", "_b.nn_label", "_b.nn_dist2")
-    return res.select(id_col, "nn_id", "nn_label", F.sqrt("nn_dist2").alias("nn_dist"))
+    labelled = sample.withColumn(label_col, F.col(label_col).cast("int"))
+    found, asked = k_nearest(df, labelled, fs, 1, id_col, sample_id, payload=label_col, tile_rows=tile_rows)
+    near = found.select("row", F.col("id").alias("nn_id"), F.col("payload").alias("nn_label"), F.col("distance").alias("nn_dist"))
+    known = asked.select("row", F.col("id").alias(id_col)).join(near, "row", "left").drop("row")
+    nothing = df.where(~finite(fs)).select(id_col, *(F.lit(None).cast(known.schema[c].dataType).alias(c)
+                                                     for c in ("nn_id", "nn_label", "nn_dist")))
+    return known.unionByName(nothing)

@@ -1,14 +1,20 @@
 """Density clustering and connected components.
 
 eps-join (J4)
-    Points are bucketed into grid cells of side ``eps`` on up to three of the
-    feature axes; every point meets the points of its own and the 3^m
-    neighbouring cells through an equi-join on the cell key, and the exact
-    distance over *all* features filters the candidates.  A dense cell is a
-    skewed join key, which AQE's skew-join splits across tasks.  In high
-    dimension the grid prunes little (SURVEY §4.3): the join stays exact but
-    approaches all pairs, which is why the reference - and ``dbscan_sampled``
-    - fit DBSCAN on a bounded sample and spread labels by 1-NN.
+    Up to three features: points are bucketed into grid cells of side ``eps``;
+    every point meets the points of its own and the 3^m neighbouring cells
+    through an equi-join on the cell key, and the exact distance filters the
+    candidates.  A dense cell is a skewed join key, which AQE's skew-join splits
+    across tasks.  More features: the cells of ``metric`` (distances to pivot
+    rows as range keys, pruned by the triangle inequality and by the planes
+    between pivots), so that clustered rows meet only the cells around them.
+    Rows without any structure leave nothing to prune: the join stays exact and
+    approaches all pairs.
+
+Copies
+    Rows of equal features are one point with a count (more than three
+    features; the grid of up to three features counts them by cell), so a group
+    of copies costs one row, not its pairs.
 
 DBSCAN (C6)
     core = neighbours (self included) >= min_samples; clusters are connected
@@ -36,6 +42,8 @@ from pyspark.sql import functions as F
 from ..functions.columns import present
 from ..session import cut_lineage
 from .assign import _sq_dist, propagate_nearest
+from .metric import finite, near_pairs
+from .ordered import numbered
 from .sample import uniform_sample
 
 
@@ -44,6 +52,8 @@ def eps_join(df: DataFrame, features: Sequence[str], eps: float, id_col: str,
     """Unordered pairs (id_a < id_b) within distance ``eps`` (self excluded),
     with their distance.  Exact on all features."""
     fs = present(df, features)
+    if len(fs) > 3 and not grid_features:
+        return near_pairs(df, fs, eps, id_col)
     gf = list(grid_features or fs[:3])
     pts = df.select(F.col(id_col).alias("_id"), *[F.col(f).cast("double").alias(f) for f in fs])
     cells = {f"_g{i}": F.floor(F.col(f) / F.lit(float(eps))).cast("long") for i, f in enumerate(gf)}
@@ -71,17 +81,6 @@ def eps_join(df: DataFrame, features: Sequence[str], eps: float, id_col: str,
                     F.sqrt("_d2").alias("distance"))
 
 
-def consecutive_index(df: DataFrame, order_col: str, out: str) -> DataFrame:
-    """0-based position of each row in ``order_col`` order, computed by a
-    range-partitioned sort and ``zipWithIndex`` (only per-partition counts
-    reach the driver)."""
-    spark = df.sparkSession
-    ordered = df.select(order_col).orderBy(order_col)
-    rdd = ordered.rdd.zipWithIndex().map(lambda t: (t[0][0], int(t[1])))
-    schema = f"`{order_col}` {dict(df.dtypes)[order_col]}, `{out}` int"
-    return spark.createDataFrame(rdd, schema)
-
-
 def connected_components(vertices: DataFrame, edges: DataFrame, max_rounds: int | None = None
                          ) -> DataFrame:
     """(id, comp) with comp = smallest id in the component.
@@ -97,7 +96,7 @@ def connected_components(vertices: DataFrame, edges: DataFrame, max_rounds: int
         if max_rounds is not None and done >= max_rounds:
             raise RuntimeError(f"components still change after {max_rounds} rounds")
         nb = e.join(labels.withColumnRenamed("id", "dst"), "dst").select(
-            F.col("src").alias("id"), "comp", F.lit(None).cast("long").alias("_own"))
+            F.col("src").alias("id"), "comp", F.lit(None).cast(labels.schema["id"].dataType).alias("_own"))
         own = labels.select("id", "comp", F.col("comp").alias("_own"))
         new = own.unionByName(nb).groupBy("id").agg(F.min("comp").alias("comp"),
                                                      F.max("_own").alias("_old"))
@@ -119,8 +118,8 @@ def _number_and_border(pts: DataFrame, comp: DataFrame, core_nb: DataFrame, id_c
     """Cluster ids from components (by smallest core id) and border labels
     (smallest cluster among core neighbours).  ``pts`` (p, is_core),
     ``comp`` (id, comp), ``core_nb`` (p, q): q is a core within eps of p."""
-    numbered = consecutive_index(comp.select("comp").distinct(), "comp", "cluster")
-    core_lab = comp.join(numbered, "comp").select(F.col("id").alias("p"), "cluster")
+    clusters = numbered(comp.select("comp").distinct(), ["comp"], "cluster")
+    core_lab = comp.join(clusters, "comp").select(F.col("id").alias("p"), "cluster")
     border = core_nb.join(core_lab.withColumnRenamed("p", "q"), "q") \
                     .groupBy("p").agg(F.min("cluster").alias("_bc"))
     out = pts.join(core_lab, "p", "left").join(border, "p", "left")
@@ -145,7 +144,7 @@ def _dbscan_grid(df: DataFrame, fs: Sequence[str], eps: float, min_samples: int,
     d = len(fs)
     e2 = float(eps) * float(eps)
     side = float(eps) / math.sqrt(d)
-    pts = df.select(F.col(id_col).cast("long").alias("p"),
+    pts = df.select(F.col(id_col).alias("p"),
                     *[F.col(f).cast("double").alias(f"x{i}") for i, f in enumerate(fs)])
     pts = pts.withColumns({f"c{i}": F.floor(F.col(f"x{i}") / F.lit(side)).cast("long") for i in range(d)})
     pts = pts.persist(StorageLevel.MEMORY_AND_DISK)
@@ -217,7 +216,10 @@ def _dbscan_grid(df: DataFrame, fs: Sequence[str], eps: float, min_samples: int,
     # core neighbours of every point: representatives of full cells, exact pairs
     core_nb = full_rep.select("p", F.col("rep").alias("q")).unionByName(
         pairs.join(core_q, "q").select("p", "q"))
-    return _number_and_border(core, comp, core_nb, id_col, noise)
+    found = cut_lineage(_number_and_border(core, comp, core_nb, id_col, noise))
+    for held in (pts, cells, pc, pairs, core):
+        held.unpersist()
+    return found
 
 
 PAIR_BUDGET_PER_ROW = 64
@@ -261,21 +263,39 @@ def dbscan(df: DataFrame, features: Sequence[str], eps: float, min_samples: int,
         method = "grid" if cand > PAIR_BUDGET_PER_ROW * max(rows, 1) else "pairs"
     if method == "grid":
         return _dbscan_grid(df, fs, eps, min_samples, id_col, noise)
-    pairs = cut_lineage(eps_join(df, fs, eps, id_col, grid_features))
+    points, point_of = _distinct_points(df, fs, id_col) if len(fs) > 3 else (
+        df.select(F.col(id_col).alias("p"), F.lit(1).cast("long").alias("copies"), *fs), None)
+    pairs = cut_lineage(eps_join(points, fs, eps, "p", grid_features))
     both = pairs.select(F.col("id_a").alias("p"), F.col("id_b").alias("q")).unionByName(
         pairs.select(F.col("id_b").alias("p"), F.col("id_a").alias("q")))
-    deg = both.groupBy("p").agg(F.count(F.lit(1)).alias("_deg"))
-    ids = df.select(F.col(id_col).alias("p"))
-    pts = ids.join(deg, "p", "left").select(
-        "p", ((F.coalesce(F.col("_deg"), F.lit(0)) + 1) >= min_samples).alias("is_core"))
-    pts = cut_lineage(pts)
+    near = both if point_of is None else both.join(points.select(F.col("p").alias("q"), F.col("copies").alias("_n")), "q")
+    deg = near.groupBy("p").agg((F.count(F.lit(1)) if point_of is None else F.sum("_n")).alias("_deg"))
+    pts = cut_lineage(points.select("p", "copies").join(deg, "p", "left").select(
+        "p", ((F.coalesce(F.col("_deg"), F.lit(0)) + F.col("copies")) >= min_samples).alias("is_core")))
     cores = pts.where("is_core").select(F.col("p").alias("id"))
     core_ids = pts.where("is_core").select("p")
     cc_edges = pairs.join(core_ids.withColumnRenamed("p", "id_a"), "id_a") \
                     .join(core_ids.withColumnRenamed("p", "id_b"), "id_b") \
                     .select(F.col("id_a").alias("src"), F.col("id_b").alias("dst"))
     comp = connected_components(cores, cc_edges)
-    return _number_and_border(pts, comp, both, id_col, noise)
+    found = _number_and_border(pts, comp, both, "p", noise)
+    if point_of is None:
+        return found.withColumnRenamed("p", id_col)
+    return point_of.join(found, "p").select(F.col("id").alias(id_col), "cluster", "is_core")
+
+
+def _distinct_points(df: DataFrame, fs: Sequence[str], id_col: str) -> tuple[DataFrame, DataFrame]:
+    """Distinct feature rows (p: their smallest id, copies, features), and the
+    point of every id (id, p).  A row with a null, NaN or infinite feature is a
+    point of its own."""
+    rows = df.select(F.col(id_col).alias("id"), *(F.col(f).cast("double").alias(f) for f in fs))
+    odd = rows.where(~finite(fs)).select(F.col("id").alias("p"), F.lit(1).cast("long").alias("copies"), *fs)
+    whole = cut_lineage(rows.where(finite(fs)).groupBy(*fs).agg(F.min("id").alias("p"), F.count(F.lit(1)).alias("copies")))
+    points = whole.select("p", "copies", *fs).unionByName(odd)
+    if whole.where("copies > 1").isEmpty():
+        return points, points.select(F.col("p").alias("id"), "p")
+    same = rows.where(finite(fs)).join(whole.select("p", *fs), list(fs)).select("id", "p")
+    return points, same.unionByName(odd.select(F.col("p").alias("id"), "p"))
 
 
 def dbscan_sampled(df: DataFrame, features: Sequence[str], eps: float, min_samples: int,

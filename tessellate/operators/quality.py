@@ -2,9 +2,8 @@
 
 Silhouette is the plain-Euclidean one (not Spark ML's squared-distance
 approximation).  It is quadratic by definition, so the caller says on how many
-rows it is computed (a reproducible sample, or None for all): reference blocks
-of bounded size are shipped to the tasks and the rows are scored in parallel
-by an Arrow batch operator.
+rows it is computed (a reproducible sample, or None for all): tiles of rows meet
+in a join, and a matrix kernel sums the distances of each pair of tiles.
 
 Davies-Bouldin and inertia are linear: two aggregate jobs over all rows plus
 k x k centre arithmetic.
@@ -15,83 +14,147 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema, to_arrow_type
 
 from ..functions.columns import bounded_broadcast, present, rnd
 from .assign import _sq_dist, centroids_of, pairwise_centroids
 from ..session import cut_lineage
+from .metric import exact, keyed, packed, products, tile_size
 from .sample import uniform_sample
 
-REFERENCE_BLOCK = 20_000
-
-
-def _distance_sums(id_col: str, features: Sequence[str], s_x: np.ndarray, s_idx: np.ndarray, k: int,
-                   chunk: int = 64):
-    """Per row the sum of its distances to the block's rows of each label."""
-    onehot = np.zeros((len(s_idx), k))
-    onehot[np.arange(len(s_idx)), s_idx] = 1.0
-
-    def run(batches):
-        for pdf in batches:
-            x = pdf[list(features)].to_numpy(dtype=np.float64)
-            sums = np.zeros((len(x), k))
-            for lo in range(0, len(x), chunk):
-                diff = x[lo:lo + chunk][:, None, :] - s_x[None, :, :]
-                sums[lo:lo + chunk] = np.sqrt((diff * diff).sum(axis=2)) @ onehot
-            yield pd.DataFrame({id_col: pdf[id_col], "cluster": pdf["_lab"].to_numpy(dtype=np.int64),
-                                "_sums": list(sums)})
-    return run
+def _tile_distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Distances of the rows of two tiles; where products lose the difference
+    in rounding, measured feature by feature."""
+    centre = y.mean(axis=0)
+    u, v = x - centre, y - centre
+    d2 = products(u, v)
+    scale = (u * u).sum(axis=1)[:, None] + (v * v).sum(axis=1)[None, :]
+    i, j = np.nonzero(d2 < 1e-5 * scale)
+    for lo in range(0, len(i), 65536):
+        p, q = i[lo:lo + 65536], j[lo:lo + 65536]
+        d2[p, q] = exact(x[p], y[q])
+    return np.sqrt(d2, out=d2)
 
 
 def silhouette_samples(df: DataFrame, label_col: str, features: Sequence[str], id_col: str,
                        sample_size: int | None = None, seed: int = 42,
-                       drop_noise: bool = True, noise: int = -1) -> DataFrame:
+                       drop_noise: bool = True, noise: int = -1, tile_rows: int | None = None) -> DataFrame:
     """M1: per-row silhouette on a reproducible sample of ``sample_size`` rows
     (None: all rows; also all if the table is smaller).
 
-    Returns (id, cluster, a, b, silhouette); a excludes the point itself,
-    a singleton cluster scores 0.  The metric is quadratic in the sample: the
-    sample's rows are scored in parallel against reference blocks of at most
-    ``REFERENCE_BLOCK`` of them, whose sums are added up."""
+    Returns (id, cluster, a, b, silhouette); a excludes the point itself, a
+    singleton cluster scores 0.  Rows without a label or with a null, NaN or
+    infinite feature have no distances and are left out.
+
+    The metric is quadratic in the sample.  The rows, sorted by label, are packed
+    into tiles; each pair of tiles meets once in an equi-join on tile numbers, a
+    matrix kernel gives both tiles the sums of distances by label, and the sums
+    of a tile are merged label by label in one pass.  No row reaches the driver;
+    a task holds two tiles."""
     fs = present(df, features)
-    src = df.select(F.col(id_col), F.col(label_col).cast("long").alias("_lab"),
-                    *[F.col(f).cast("double").alias(f) for f in fs])
+    d = len(fs)
+    size = tile_rows or tile_size(d)
+    src = df.where(F.col(label_col).isNotNull())
     if drop_noise:
-        src = src.where(F.col("_lab") != noise)
-    sample = cut_lineage(src if sample_size is None else uniform_sample(src, sample_size, id_col, seed))
-    sizes = {r["_lab"]: r["n"] for r in sample.groupBy("_lab").agg(F.count(F.lit(1)).alias("n")).collect()}
-    labels = sorted(sizes)
-    n = sum(sizes.values())
-    blocks = max(1, -(-2 * n // REFERENCE_BLOCK)) if n > REFERENCE_BLOCK else 1
-    spread = sample.repartition(max(1, min(n // 256 + 1, 4096)), id_col)
-    schema = f"`{id_col}` {df.schema[id_col].dataType.simpleString()}, cluster long, _sums array<double>"
-    parts = None
-    for b in range(blocks):  # each reference block passes the driver on its own
-        blk = sample if blocks == 1 else sample.where(F.pmod(F.xxhash64(id_col), F.lit(blocks)) == b)
-        pdf = blk.toPandas()
-        if not len(pdf):
-            continue
-        fn = _distance_sums(id_col, fs, pdf[list(fs)].to_numpy(dtype=np.float64),
-                            np.searchsorted(labels, pdf["_lab"].to_numpy()), len(labels))
-        part = spread.mapInPandas(fn, schema)
-        parts = part if parts is None else parts.unionByName(part)
-    if parts is None:
-        return src.limit(0).select(id_col, F.col("_lab").alias("cluster"),
-                                   *[F.lit(0.0).alias(c) for c in ("a", "b", "silhouette")])
-    if blocks > 1:
-        parts = parts.groupBy(id_col, "cluster").agg(
-            F.array(*[F.sum(F.col("_sums")[i]) for i in range(len(labels))]).alias("_sums"))
-    own = F.create_map(*[x for i, lab in enumerate(labels) for x in (F.lit(lab), F.lit(i))])[F.col("cluster")]
-    n_own = F.create_map(*[x for lab in labels for x in (F.lit(lab), F.lit(float(sizes[lab])))])[F.col("cluster")]
-    means = F.array(*[F.when(own != i, F.col("_sums")[i] / float(sizes[lab])) for i, lab in enumerate(labels)])
-    t = parts.select(id_col, "cluster", n_own.alias("_n"),
-                     F.when(n_own > 1, F.get("_sums", own) / F.greatest(n_own - 1, F.lit(1.0))).otherwise(0.0).alias("a"),
-                     F.coalesce(F.array_min(F.filter(means, lambda m: m.isNotNull())), F.lit(0.0)).alias("b"))
-    den = F.greatest("a", "b")
-    s = F.when((F.col("_n") > 1) & (den > 0), (F.col("b") - F.col("a")) / F.when(den > 0, den).otherwise(1.0)).otherwise(0.0)
-    return t.select(id_col, "cluster", "a", "b", s.alias("silhouette"))
+        src = src.where(F.col(label_col) != noise)
+    if sample_size is not None:
+        src = uniform_sample(src.select(id_col, label_col, *fs), sample_size, id_col, seed)
+    label = F.col(label_col).cast("long")
+    rows = keyed(src, fs, id=id_col, label=label, far=label.cast("double"))
+    tiles = cut_lineage(packed(rows, [], ["id", "label"], d, size).select("tile", "id", "label", "x"))
+    spans = [(r["part"], r["n"]) for r in tiles.groupBy(F.shiftright("tile", 33).alias("part")).agg(
+        F.count(F.lit(1)).alias("n")).orderBy("part").collect()]  # one row per partition
+    starts = dict(zip((part for part, _ in spans), np.cumsum([0, *(n for _, n in spans)]).tolist()))
+    total = sum(n for _, n in spans)
+    first = F.create_map(*(F.lit(v) for kv in starts.items() for v in kv)) if starts else F.create_map(F.lit(0), F.lit(0))
+    number = F.col("tile") - F.shiftleft(F.shiftright("tile", 33), 33) + first[F.shiftright("tile", 33)]
+    tiles = tiles.select(number.cast("long").alias("tile"), "id", "label", "x")
+
+    one = tiles.select(F.col("tile").alias("one"), F.col("label").alias("one_label"), F.col("x").alias("one_x"),
+                       F.explode(F.sequence(F.col("tile"), F.lit(max(total - 1, 0)).cast("long"))).alias("two"))
+    met = one.join(tiles.select("tile", "label", "x"), F.col("two") == F.col("tile")).select(
+        "one", "two", "one_label", "label", "one_x", "x")
+    partial = "tile long, other long, labels array<long>, counts array<long>, sums binary"
+
+    def meet(batches):
+        for b in batches:
+            for k in range(b.num_rows):
+                one, two = b.column(0)[k].as_py(), b.column(1)[k].as_py()
+                x, y = (np.frombuffer(b.column(c)[k].as_py()).reshape(-1, d) for c in (4, 5))
+                dist = _tile_distances(x, y)
+                if one == two:
+                    np.fill_diagonal(dist, 0.0)
+                for tile, other, column, sheet in ((one, two, 3, dist), (two, one, 2, dist.T)):
+                    labels, at, counts = np.unique(b.column(column)[k].values.to_numpy(), return_index=True, return_counts=True)
+                    sums = np.add.reduceat(sheet, at, axis=1)
+                    yield pa.RecordBatch.from_pylist([{"tile": tile, "other": other, "labels": labels.tolist(), "counts": counts.tolist(),
+                                                       "sums": np.ascontiguousarray(sums).tobytes()}], schema=partial_type)
+                    if one == two:
+                        break
+
+    partial_type = to_arrow_schema(T._parse_datatype_string(partial))
+    head = tiles.select("tile", F.lit(-1).cast("long").alias("other"), F.col("label").alias("labels"),
+                        F.lit(None).cast("array<long>").alias("counts"), F.lit(None).cast("binary").alias("sums"), "id")
+    id_array = head.schema["id"].dataType
+    sums = met.mapInArrow(meet, partial).withColumn("id", F.lit(None).cast(id_array)).select(head.columns)
+    gathered = head.union(sums).repartition("tile").sortWithinPartitions("tile", "other")
+    out = T.StructType([T.StructField(id_col, id_array.elementType), T.StructField("cluster", T.LongType()),
+                        *(T.StructField(c, T.DoubleType()) for c in ("a", "b", "silhouette"))])
+    id_type = to_arrow_type(id_array.elementType)
+
+    def merge(batches):
+        state = None
+        for b in batches:
+            for k in range(b.num_rows):
+                if b.column(1)[k].as_py() == -1:
+                    if state is not None:
+                        yield state.result(out.names, id_type)
+                    state = _TileSilhouette(b.column(5)[k].values, b.column(2)[k].values.to_numpy())
+                else:
+                    labels, counts = (b.column(c)[k].values.to_numpy() for c in (2, 3))
+                    state.add(labels, counts, np.frombuffer(b.column(4)[k].as_py()).reshape(-1, len(labels)))
+        if state is not None:
+            yield state.result(out.names, id_type)
+
+    return gathered.mapInArrow(merge, out)
+
+
+class _TileSilhouette:
+    """Distance sums of one tile's rows, fed label by label in rising order."""
+
+    def __init__(self, ids: pa.Array, labels: np.ndarray):
+        self.ids, self.labels = ids, labels
+        n = len(labels)
+        self.own, self.n_own, self.near = np.zeros(n), np.zeros(n), np.full(n, np.inf)
+        self.label, self.count, self.sums = None, 0, np.zeros(n)
+
+    def add(self, labels: np.ndarray, counts: np.ndarray, sums: np.ndarray) -> None:
+        for i, label in enumerate(labels.tolist()):
+            if label != self.label:
+                self.close()
+                self.label, self.count, self.sums = label, 0, np.zeros(len(self.labels))
+            self.count += int(counts[i])
+            self.sums += sums[:, i]
+
+    def close(self) -> None:
+        if self.count:
+            own = self.labels == self.label
+            self.own[own], self.n_own[own] = self.sums[own], self.count
+            self.near[~own] = np.minimum(self.near[~own], self.sums[~own] / self.count)
+
+    def result(self, names: list[str], id_type: pa.DataType) -> pa.RecordBatch:
+        self.close()
+        several = self.n_own > 1
+        a = np.where(several, self.own / np.maximum(self.n_own - 1, 1), 0.0)
+        b = np.where(np.isinf(self.near), 0.0, self.near)
+        most = np.maximum(a, b)
+        s = np.where(several & (most > 0), (b - a) / np.where(most > 0, most, 1.0), 0.0)
+        return pa.RecordBatch.from_arrays([self.ids.cast(id_type), pa.array(self.labels, pa.int64()), pa.array(a), pa.array(b),
+                                           pa.array(s)], names=names)
 
 
 def silhouette_score(df: DataFrame, label_col: str, features: Sequence[str], id_col: str,
@@ -123,7 +186,7 @@ def davies_bouldin(df: DataFrame, label_col: str, features: Sequence[str],
     (the JSON sink, which cannot carry it, writes null)."""
     fs = present(df, features)
     src = df.where(F.col(label_col) != noise)
-    cen = centroids_of(src, fs, label_col, "cid", noise=None)
+    cen = cut_lineage(centroids_of(src, fs, label_col, "cid", noise=None))
     cen_c = cen.select(F.col("cid").alias(label_col), *[F.col(f).alias(f"_c_{f}") for f in fs])
     joined = src.join(bounded_broadcast(cen_c), label_col)  # one row per cluster, counted
     dist = F.sqrt(_sq_dist([F.col(f).cast("double") for f in fs], [F.col(f"_c_{f}") for f in fs]))

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import present, rnd
 from ..functions.scalar import similarity_score
 from .assign import _sq_dist
+from .metric import k_nearest
 
 
 def text_match(c: str | Column, query: str, literal: bool = False) -> Column:
@@ -100,42 +101,20 @@ def similar_items(df: DataFrame, query_id, features: Sequence[str], id_col: str,
                       similarity_score(F.col("_dist")).alias("similarity_score"))
 
 
-MAX_BROADCAST_QUERIES = 100_000
-
-
 def similar_items_many(df: DataFrame, queries: DataFrame, features: Sequence[str], id_col: str,
-                       cluster_col: str, k: int = 10) -> DataFrame:
-    """J6 for a set of query rows, batched as an equi-join on cluster.
-
-    Each query meets only the rows of its own cluster; a per-partition rank
-    limit runs before the shuffle of the ranking window.  Cost is
-    |queries| x |cluster| distance evaluations - the query set is the
-    operator's input, not a cap.  A query set of checked size is broadcast;
-    a larger one is shuffle-joined on the cluster, where AQE splits a skewed
-    cluster's partition."""
+                       cluster_col: str, k: int = 10, tile_rows: int | None = None) -> DataFrame:
+    """J6 for any number of query rows, as a k-nearest join.
+
+    A query searches the cells (``metric``) of its own cluster: the nearest ones
+    for a first bound, then those that may hold a nearer row.  A query row
+    without a cluster searches the whole table, as in J6.  Neither side is
+    collected or broadcast; a hot cluster is many tiles in many tasks.  A query
+    with a null, NaN or infinite feature has no similar rows."""
     fs = present(df, features)
-    q = queries.select(F.col(id_col).alias("query_id"), F.col(cluster_col).alias("_qc"),
-                       *[F.col(f).cast("double").alias(f"_q_{f}") for f in fs])
-    if q.count() <= MAX_BROADCAST_QUERIES:
-        # checked size: every candidate row meets its cluster's queries map-side,
-        # so a hot cluster is never shuffled to one task
-        q = F.broadcast(q)
-    cand = df.select(id_col, F.col(cluster_col).alias("_qc"),
-                     *[F.col(f).cast("double").alias(f) for f in fs])
-    j = cand.join(q, "_qc")
-    lone = queries.where(F.col(cluster_col).isNull())
-    if not lone.isEmpty():
-        # like J6: a query row without a cluster searches the whole table, all rows
-        # streaming past the (stated) query rows
-        all_ = q.where("_qc is null").drop("_qc")
-        j = j.unionByName(cand.join(all_, F.lit(True)))
-    j = j.where(F.col(id_col) != F.col("query_id"))
-    dist = F.sqrt(_sq_dist([F.col(f) for f in fs], [F.col(f"_q_{f}") for f in fs]))
-    j = j.withColumn("_dist", dist)
-    w = Window.partitionBy("query_id").orderBy("_dist", id_col)
-    ranked = j.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", id_col, rnd(F.col("_dist")).alias("distance"),
-                         similarity_score(F.col("_dist")).alias("similarity_score"))
+    found, asked = k_nearest(queries, df, fs, k, id_col, id_col, group_col=cluster_col, exclude_self=True, tile_rows=tile_rows)
+    named = asked.select("row", F.col("id").alias("query_id"))
+    return found.join(named, "row").select("query_id", "rank", F.col("id").alias(id_col), rnd(F.col("distance")).alias("distance"),
+                                           similarity_score(F.col("distance")).alias("similarity_score"))
 
 
 def item_profile(df: DataFrame, item_id, features: Sequence[str], id_col: str) -> DataFrame:

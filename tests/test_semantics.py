@@ -13,13 +13,12 @@ from tessellate.operators import search as SE
 from tessellate.operators import stats as S
 
 
-def test_silhouette_honours_its_sample_and_blocks(spark, monkeypatch):
+def test_silhouette_honours_its_sample_and_tiles(spark):
     df = spark.range(300).select(F.col("id"), (F.col("id") % 3).alias("c"),
                                  (F.col("id") % 3 * 5 + F.col("id") / 100).alias("x"), (F.col("id") % 7 / 10).alias("y"))
     whole = Q.silhouette_samples(df, "c", ["x", "y"], "id").orderBy("id").collect()
     assert len(whole) == 300 and Q.silhouette_samples(df, "c", ["x", "y"], "id", 120).count() == 120
-    monkeypatch.setattr(Q, "REFERENCE_BLOCK", 50)
-    blocked = Q.silhouette_samples(df, "c", ["x", "y"], "id").orderBy("id").collect()
+    blocked = Q.silhouette_samples(df, "c", ["x", "y"], "id", tile_rows=23).orderBy("id").collect()
     assert [(r.id, r.cluster, round(r.silhouette, 9)) for r in blocked] == \
         [(r.id, r.cluster, round(r.silhouette, 9)) for r in whole]
 
