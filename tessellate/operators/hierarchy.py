@@ -15,6 +15,9 @@ time.  Instead:
 
 The merge log is the dendrogram table (C10).  Only the m-row summary is
 handled on the driver.
+
+``bisecting`` is the other way round (SURVEY C8 b): a divisive tree over all
+rows.  Each level halves the costliest leaves, all of them in the same jobs.
 """
 
 from __future__ import annotations
@@ -22,12 +25,17 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.columns import present
+from ..session import cut_lineage
+from .lloyd import Tree, means, totals
+from .metric import finite, keyed, matrix
 
 LINKAGES = ("ward", "complete", "average", "single")
 
@@ -40,7 +48,7 @@ def micro_clusters(df: DataFrame, features: Sequence[str], n_micro: int = 200, s
     and few rounds suffice (k-means|| with hundreds of centres costs more
     than it gains here)."""
     fs = present(df, features)
-    vec = VectorAssembler(inputCols=list(fs), outputCol="_v").transform(df)
+    vec = VectorAssembler(inputCols=list(fs), outputCol="_v", handleInvalid="skip").transform(df)
     model = KMeans(k=n_micro, seed=seed, maxIter=max_iter, featuresCol="_v",
                    predictionCol="micro", initMode="random").fit(vec)
     return model.transform(vec).drop("_v"), model
@@ -112,9 +120,15 @@ def hierarchical(df: DataFrame, features: Sequence[str], k: int, id_col: str,
                  linkage: str = "ward", n_micro: int = 200, seed: int = 42
                  ) -> tuple[DataFrame, DataFrame]:
     """(labels (id, cluster), dendrogram (merge_no, left, right, height,
-    size)).  ``n_micro`` bounds the driver-side merge."""
+    size)).  ``n_micro`` bounds the driver-side merge.  Rows with a null, NaN or
+    infinite feature are left out; without any other row both tables are empty."""
     fs = present(df, features)
+    spark = df.sparkSession
+    df = df.where(finite(fs))
     n_rows = df.count()
+    merges = "merge_no int, left long, right long, height double, size long"
+    if not n_rows:
+        return df.select(id_col, F.lit(0).alias("cluster")), spark.createDataFrame([], merges)
     m_target = max(min(n_micro, n_rows), k)
     micro, _ = micro_clusters(df.select(id_col, *fs), fs, m_target, seed)
     micro = micro.persist()
@@ -132,16 +146,97 @@ def hierarchical(df: DataFrame, features: Sequence[str], k: int, id_col: str,
     order = np.lexsort(cl_cen.T[::-1])
     remap = np.empty_like(order)
     remap[order] = np.arange(len(order))
-    spark = df.sparkSession
     mapping = spark.createDataFrame([(int(i), int(remap[c])) for i, c in zip(ids, leaf_cluster)],
                                     "micro int, cluster int")
-    labels = micro.join(F.broadcast(mapping), "micro").select(id_col, "cluster")
+    labels = cut_lineage(micro.join(F.broadcast(mapping), "micro").select(id_col, "cluster"))  # one row per micro-cluster
+    micro.unpersist()
     dendro = spark.createDataFrame(
         [(t + 1, int(a), int(b), float(h), int(s)) for t, (a, b, h, s) in enumerate(tree)],
-        "merge_no int, left long, right long, height double, size long")
+        merges)
     return labels, dendro
 
 
+def bisecting(df: DataFrame, features: Sequence[str], k: int, id_col: str, n_iter: int = 20
+              ) -> tuple[DataFrame, DataFrame]:
+    """C8 (b): (labels (id, cluster), tree (node, parent, depth, size, cost,
+    cluster, features...)).
+
+    The root holds all rows.  Per level the costliest leaves (summed squared
+    distances to their mean; ties by node) are split, as many as ``k`` allows: two
+    centres start one standard deviation to either side of the mean along the
+    widest feature (the first on ties) and take at most ``n_iter`` Lloyd rounds.
+    One pass over all rows serves all splits of a level.  Leaves without cost (one
+    row, copies) are not split, so there may be fewer than ``k`` clusters; they
+    are numbered in the order of their centres.  Everything is a function of the
+    rows: no random start.  Rows with a null, NaN or infinite feature are left out."""
+    fs = present(df, features)
+    d = len(fs)
+    rows = keyed(df, fs, id=id_col)
+    centres, left, right, parent, depth = [np.zeros(d)], [-1], [-1], [-1], [0]
+
+    def tree():
+        return Tree(np.array(centres), np.array(left), np.array(right))
+
+    def counted():
+        """Rows, cost about the mean, mean and variances of the leaves."""
+        t = totals(rows, [tree()], d)[0]
+        n = np.maximum(t.n, 1)[:, None]
+        mean = t.sums / n
+        return t, mean, np.maximum(t.squares / n - mean ** 2, 0.0)
+
+    t, mean, var = counted()
+    centres[0] = mean[0]
+    size, cost = {0: int(t.n[0])}, {0: float(var[0].sum() * t.n[0])}
+    leaves = 1
+    while leaves < k:
+        at = [i for i in range(len(centres)) if left[i] < 0 and size[i] > 1 and cost[i] > 1e-12 * max(cost[0], 1e-300)]
+        chosen = sorted(at, key=lambda i: (-cost[i], i))[:k - leaves]
+        if not chosen:
+            break
+        fresh = []
+        for i in sorted(chosen):
+            f = int(var[i].argmax())
+            for side in (-1.0, 1.0):
+                c = mean[i].copy()
+                c[f] += side * np.sqrt(var[i][f])
+                fresh.append(len(centres))
+                centres.append(c)
+                left.append(-1)
+                right.append(-1)
+                parent.append(i)
+                depth.append(depth[i] + 1)
+            left[i], right[i] = fresh[-2], fresh[-1]
+        for _ in range(n_iter):
+            t = totals(rows, [tree()], d)[0]
+            new = means(t, np.array(centres))
+            moved = max(float(((new[i] - centres[i]) ** 2).sum()) for i in fresh)
+            for i in fresh:
+                centres[i] = new[i]
+            if moved == 0.0:
+                break
+        t, mean, var = counted()  # of the leaves; inner nodes are done
+        for i in fresh:
+            size[i], cost[i] = int(t.n[i]), float(var[i].sum() * t.n[i])
+        leaves += len(chosen)
+    final = tree()
+    ends = [i for i in range(len(centres)) if left[i] < 0]
+    order = sorted(ends, key=lambda i: tuple(centres[i]))
+    cluster = np.full(len(centres), -1)
+    cluster[order] = np.arange(len(order))
+    kind = rows.schema["id"].dataType
+    schema = T.StructType([T.StructField(id_col, kind), T.StructField("cluster", T.IntegerType())])
+
+    def label(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cluster[final.assign(matrix(b.column(1), d))[0]], pa.int32())],
+                                             names=schema.names)
+
+    nodes = [(i, parent[i] if parent[i] >= 0 else None, depth[i], size[i], cost[i], int(cluster[i]) if left[i] < 0 else None,
+              *map(float, centres[i])) for i in range(len(centres)) if size[0]]
+    columns = ", ".join(["node int", "parent int", "depth int", "size long", "cost double", "cluster int"] + [f"`{f}` double" for f in fs])
+    return rows.select("id", "x").mapInArrow(label, schema), df.sparkSession.createDataFrame(nodes, columns)
+
+
 def dendrogram_table(dendro: DataFrame, last_p: int = 30, colour_ratio: float = 0.7) -> DataFrame:
     """The last ``p`` merges, flagged above ``colour_ratio`` x max height."""
     n = dendro.agg(F.max("merge_no").alias("n")).scalar()

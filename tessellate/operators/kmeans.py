@@ -9,6 +9,8 @@
   iterations, restarted ``n_init`` times (best training cost wins), with the
   relative tolerance of the reference converted to Spark's absolute one, and
   canonical cluster ids (ordered by centre coordinates).
+* The sweeps (C3, M10), their deterministic core and the mini-batch variant (C4)
+  run all k and restarts in the same jobs (``lloyd``).
 """
 
 from __future__ import annotations
@@ -16,14 +18,18 @@ from __future__ import annotations
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 
+import numpy as np
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import present, rnd
+from ..session import scratch_path
 from .assign import nearest_centroid
-from .sample import uniform_sample
+from .lloyd import Flat, lloyd_many, means, spread_centres, start_sample, totals
+from .metric import keyed
+from .sample import HASH_RANGE, portable_hash, uniform_sample
 
 _VEC = "_features_vec"
 MAX_PARALLEL_FITS = 4
@@ -72,21 +78,34 @@ def kmeans_lloyd(df: DataFrame, features: Sequence[str], init_centres: DataFrame
 def lloyd_sweep(df: DataFrame, features: Sequence[str], id_col: str,
                 k_values: Sequence[int] = tuple(range(2, 11)), n_iter: int = 3) -> DataFrame:
     """C3, deterministic core: (k, inertia) after ``n_iter`` Lloyd rounds from
-    the first k rows, for each k.  Reads a persisted copy of ``df``; every
-    round and every inertia is one pass with k literal centres."""
+    the first k rows, for each k.  One job per round for all k together."""
     fs = present(df, features)
-    base = df.select(id_col, *fs).persist()
-    rows = []
-    for k in k_values:
-        init = initial_centres_first_rows(base, fs, id_col, k)
-        cen = kmeans_lloyd(base, fs, init, k, n_iter)
-        lab = nearest_centroid(base, cen, fs, k, out="_cl", dist2_col="_d2")
-        rows.append((int(k), float(lab.agg(F.sum("_d2")).first()[0])))
-    base.unpersist()
-    return df.sparkSession.createDataFrame(rows, "k int, inertia double") \
+    rows = keyed(df, fs, id=id_col)
+    first = np.array([r["x"] for r in rows.orderBy("id").limit(max(k_values)).collect()], dtype=np.float64).reshape(-1, len(fs))
+    found = lloyd_many(rows, len(fs), [first[:k] for k in k_values], n_iter) if len(first) else []
+    return df.sparkSession.createDataFrame([(int(k), cost) for k, (_, cost) in zip(k_values, found)], "k int, inertia double") \
              .select("k", rnd(F.col("inertia")).alias("inertia"))
 
 
+def best_fits(rows: DataFrame, d: int, k_values: Sequence[int], n_init: int, max_iter: int, seed: int,
+              tol: float = 1e-4) -> dict[int, tuple[np.ndarray, float]]:
+    """Per k the centres (in the order of their coordinates) and inertia of the
+    best of ``n_init`` Lloyd runs over ``rows`` (id, x), started from spread rows
+    of a bounded sample.  All k and restarts share the jobs."""
+    sample = start_sample(rows, d, seed)
+    if not len(sample):
+        return {}
+    spread = totals(rows, [Flat(sample[:1])], d)[0]
+    n = max(int(spread.n[0]), 1)
+    variance = float(np.mean(spread.squares[0] / n - (spread.sums[0] / n) ** 2))
+    runs = [(k, spread_centres(sample, k, seed + 1000 * r + k)) for k in k_values for r in range(max(1, n_init))]
+    best: dict[int, tuple[np.ndarray, float]] = {}
+    for (k, _), (centres, cost) in zip(runs, lloyd_many(rows, d, [c for _, c in runs], max_iter, tol * max(variance, 0.0))):
+        if k not in best or cost < best[k][1]:
+            best[k] = (centres[np.lexsort(centres.T[::-1])], cost)
+    return best
+
+
 def canonical_relabel(centres: DataFrame, features: Sequence[str], cid: str = "cid"
                       ) -> DataFrame:
     """(old cid, new cid): ids ordered by centre coordinates (k rows)."""
@@ -136,34 +155,73 @@ def kmeans(df: DataFrame, features: Sequence[str], k: int, n_init: int = 10,
 
 
 def minibatch_kmeans(df: DataFrame, features: Sequence[str], k: int, batch_size: int = 2048,
-                     n_init: int = 3, max_iter: int = 100, seed: int = 42, id_col: str = "row_id"
-                     ) -> tuple[DataFrame, float]:
-    """C4: fit on a reproducible mini sample, score on all rows (re-aimed:
-    a sample fit, not a streaming solver).  Returns (centres, inertia on all)."""
+                     n_init: int = 3, max_iter: int = 100, seed: int = 42, id_col: str = "row_id",
+                     tol: float = 1e-4, starts: Sequence[np.ndarray] | None = None) -> tuple[DataFrame, float]:
+    """C4: mini-batch k-means.  Returns (centres, inertia on all rows).
+
+    The rows are written once in the order of a hash of their id; each round
+    reads a fresh range of it (about ``batch_size`` rows; the file statistics
+    prune the rest; after the last range the first comes again).  A centre moves
+    to the mean of all rows it has been given, in this and earlier rounds: its
+    step decays as one over their number.  Restarts (``n_init`` starts from spread
+    rows of a bounded sample, or ``starts``) share the rounds' jobs; the one of
+    least inertia over all rows wins.  A run ends after ``max_iter`` rounds or when
+    its centres move by no more than ``tol`` of the mean variance."""
     fs = present(df, features)
-    sample = uniform_sample(df, batch_size * max(1, n_init), id_col, seed)
-    cen, _ = kmeans(sample, fs, k, n_init=n_init, max_iter=max_iter, seed=seed)
-    assigned = nearest_centroid(df, cen, fs, k, out="_cl", dist2_col="_d2")
-    total = assigned.agg(F.sum("_d2").alias("i")).first()["i"]
-    return cen, float(total or 0.0)
+    d = len(fs)
+    spark = df.sparkSession
+    rows = keyed(df, fs, id=id_col)
+    path = scratch_path(spark, "minibatch")
+    hashed = rows.select("id", "x", portable_hash("id", seed).alias("h"))
+    hashed.repartitionByRange("h").sortWithinPartitions("h").write.parquet(path)
+    table = spark.read.parquet(path)
+    n = rows.count()
+    schema = ", ".join(["cid int"] + [f"`{f}` double" for f in fs])
+    if not n:
+        return spark.createDataFrame([], schema), 0.0
+    if starts is None:
+        sample = start_sample(rows, d, seed)
+        starts = [spread_centres(sample, k, seed + 1000 * r + k) for r in range(max(1, n_init))]
+    ranges = max(1, -(-n // batch_size))
+    width = -(-HASH_RANGE // ranges)
+    spread = totals(rows, [Flat(np.zeros((1, d)))], d)[0]
+    variance = float(np.mean(spread.squares[0] / n - (spread.sums[0] / n) ** 2))
+    centres = [np.array(s, dtype=np.float64) for s in starts]
+    given, live = [np.zeros(len(c)) for c in centres], list(range(len(centres)))
+    for t in range(max_iter):
+        if not live:
+            break
+        low = (t % ranges) * width
+        batch = table.where((F.col("h") >= low) & (F.col("h") < low + width))
+        still = []
+        for i, found in zip(live, totals(batch, [Flat(centres[i]) for i in live], d)):
+            given[i] += found.n
+            rate = np.where(found.n > 0, found.n / np.maximum(given[i], 1), 0.0)[:, None]
+            step = rate * (means(found, centres[i]) - centres[i])
+            centres[i] = centres[i] + step
+            if not tol or float((step ** 2).sum()) > tol * max(variance, 0.0):
+                still.append(i)
+        live = still
+    cost, best = min((float(found.cost.sum()), i) for i, found in enumerate(totals(rows, [Flat(c) for c in centres], d)))
+    c = centres[best][np.lexsort(centres[best].T[::-1])]
+    return spark.createDataFrame([(j, *map(float, v)) for j, v in enumerate(c)], schema), cost
 
 
 def kmeans_sweep(df: DataFrame, features: Sequence[str], id_col: str,
                  k_values: Sequence[int] = tuple(range(2, 11)), n_init: int = 3,
                  max_iter: int = 100, silhouette_sample: int | None = 5000, seed: int = 42
                  ) -> DataFrame:
-    """Per k inertia and (sampled) silhouette.  One small row per k."""
-    from .quality import silhouette_score
+    """Per k inertia and silhouette (of a sample of the given size, None:
+    all rows).  All k and restarts share the jobs of the fit, all k those of the
+    silhouettes."""
+    from .quality import silhouettes_of
     fs = present(df, features)
-    base = df.select(id_col, *fs).persist()
-    rows = []
-    for k in k_values:
-        cen, cost = kmeans(base, fs, k, n_init=n_init, max_iter=max_iter, seed=seed)
-        lab = nearest_centroid(base, cen, fs, k, out="cluster")
-        sil = silhouette_score(lab, "cluster", fs, id_col, silhouette_sample, seed).first()[0]
-        rows.append((int(k), float(cost), float(sil)))
-    base.unpersist()
-    return df.sparkSession.createDataFrame(rows, "k int, inertia double, silhouette double")
+    rows = keyed(df, fs, id=id_col)
+    fits = best_fits(rows, len(fs), k_values, n_init, max_iter, seed)
+    sample = rows if silhouette_sample is None else uniform_sample(rows, silhouette_sample, "id", seed)
+    scores = silhouettes_of(sample, [fits[k][0] for k in k_values if k in fits], len(fs))
+    out = [(int(k), fits[k][1], s) for k, s in zip((k for k in k_values if k in fits), scores)]
+    return df.sparkSession.createDataFrame(out, "k int, inertia double, silhouette double")
 
 
 def select_k(sweep: DataFrame, candidates: Sequence[int] | None = None) -> DataFrame:
@@ -185,22 +243,26 @@ def recommend_k(sweep: DataFrame) -> DataFrame:
 
 
 def k_comparison(df: DataFrame, features: Sequence[str], id_col: str, ks: Sequence[int] = (3, 6),
-                 n_init: int = 5, silhouette_sample: int | None = 5000, seed: int = 42) -> DataFrame:
-    """Silhouette, Davies-Bouldin, inertia and sizes for each k."""
-    from .quality import davies_bouldin, silhouette_score
+                 n_init: int = 5, silhouette_sample: int | None = 5000, seed: int = 42, max_iter: int = 300) -> DataFrame:
+    """Silhouette, Davies-Bouldin, inertia and sizes for each k; all k and
+    restarts share the jobs of the fit."""
+    from .quality import davies_bouldin, silhouettes_of
     fs = present(df, features)
-    base = df.select(id_col, *fs).persist()
+    d = len(fs)
+    rows = keyed(df, fs, id=id_col)
+    fits = best_fits(rows, d, ks, n_init, max_iter, seed)
+    ks = [k for k in ks if k in fits]
+    sample = rows if silhouette_sample is None else uniform_sample(rows, silhouette_sample, "id", seed)
+    scores = silhouettes_of(sample, [fits[k][0] for k in ks], d)
+    sizes = totals(rows, [Flat(fits[k][0]) for k in ks], d)
+    flat = rows.select("id", *(F.col("x")[i].alias(f) for i, f in enumerate(fs)))
     out = None
-    for k in ks:
-        cen, cost = kmeans(base, fs, k, n_init=n_init, seed=seed)
-        lab = nearest_centroid(base, cen, fs, k, out="cluster")
-        sil = silhouette_score(lab, "cluster", fs, id_col, silhouette_sample, seed).scalar()
-        db = davies_bouldin(lab, "cluster", fs).scalar()
-        sizes = lab.groupBy("cluster").count().agg(
-            F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("cluster", "count"))),
-                                     lambda s: s.getField("count").cast("string")), "/")
-            .alias("sizes"))
-        row = sizes.select(F.lit(k).alias("k"), sil.alias("silhouette"), db.alias("davies_bouldin"),
-                           rnd(F.lit(cost)).alias("inertia"), "sizes")
+    for k, score, t in zip(ks, scores, sizes):
+        lab = nearest_centroid(flat, fits[k][0].tolist(), fs, out="cluster")
+        row = davies_bouldin(lab, "cluster", fs).select(
+            F.lit(k).alias("k"), F.lit(score).alias("silhouette"), "davies_bouldin",
+            rnd(F.lit(fits[k][1])).alias("inertia"), F.lit("/".join(str(n) for n in t.n.tolist() if n)).alias("sizes"))
         out = row if out is None else out.unionByName(row)
+    if out is None:
+        return df.sparkSession.createDataFrame([], "k int, silhouette double, davies_bouldin double, inertia double, sizes string")
     return out

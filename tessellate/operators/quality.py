@@ -23,6 +23,7 @@ from pyspark.sql.pandas.types import to_arrow_schema, to_arrow_type
 from ..functions.columns import bounded_broadcast, present, rnd
 from .assign import _sq_dist, centroids_of, pairwise_centroids
 from ..session import cut_lineage
+from .lloyd import Flat, totals
 from .metric import exact, keyed, packed, products, tile_size
 from .sample import uniform_sample
 
@@ -40,6 +41,95 @@ def _tile_distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.sqrt(d2, out=d2)
 
 
+def _numbered_tiles(tiles: DataFrame) -> tuple[DataFrame, int]:
+    """Tiles numbered from 0 without gaps, and how many there are."""
+    spans = [(r["part"], r["n"]) for r in tiles.groupBy(F.shiftright("tile", 33).alias("part")).agg(
+        F.count(F.lit(1)).alias("n")).orderBy("part").collect()]  # one row per partition
+    starts = dict(zip((part for part, _ in spans), np.cumsum([0, *(n for _, n in spans)]).tolist()))
+    first = F.create_map(*(F.lit(v) for kv in starts.items() for v in kv)) if starts else F.create_map(F.lit(0), F.lit(0))
+    part = F.shiftright("tile", 33)
+    number = (F.col("tile") - F.shiftleft(part, 33) + first[part]).cast("long")
+    return tiles.withColumn("tile", number), sum(n for _, n in spans)
+
+
+def _tile_pairs(tiles: DataFrame, total: int) -> DataFrame:
+    """Every pair of tiles once (one <= two): each tile is listed with the
+    numbers it meets, and the others come to it by number."""
+    one = tiles.select(F.col("tile").alias("one"), *(F.col(c).alias(f"one_{c}") for c in tiles.columns if c != "tile"),
+                       F.explode(F.sequence(F.col("tile"), F.lit(max(total - 1, 0)).cast("long"))).alias("two"))
+    return one.join(tiles, F.col("two") == F.col("tile"))
+
+
+def silhouettes_of(rows: DataFrame, models: Sequence[np.ndarray], d: int, tile_rows: int | None = None) -> list[float]:
+    """Mean silhouette of ``rows`` (row, x) under several sets of centres (fewer
+    than two clusters with rows: -1.0).  The distances of each pair of tiles are
+    computed once for all of them."""
+    flats = [Flat(np.asarray(c)) for c in models]
+    if not flats:
+        return []
+    tiles = cut_lineage(packed(rows.select("row", "x", F.lit(0.0).alias("far")), [], [], d, tile_rows or tile_size(d)).select("tile", "x"))
+    sizes = [t.n for t in totals(rows, flats, d)]
+    tiles, total = _numbered_tiles(tiles)
+    width = sum(f.cells for f in flats)
+
+    def members(x):
+        sheet, at = np.zeros((len(x), width)), 0
+        for f in flats:
+            sheet[np.arange(len(x)), at + f.assign(x)[0]] = 1.0
+            at += f.cells
+        return sheet
+
+    def meet(batches):
+        for b in batches:
+            for k in range(b.num_rows):
+                one, two = b.column(0)[k].as_py(), b.column(1)[k].as_py()
+                x, y = (np.frombuffer(b.column(c)[k].as_py()).reshape(-1, d) for c in (2, 3))
+                dist = _tile_distances(x, y)
+                if one == two:
+                    np.fill_diagonal(dist, 0.0)
+                sums = [(one, dist @ members(y))] + ([(two, dist.T @ members(x))] if one != two else [])
+                yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in sums]), pa.array([s.tobytes() for _, s in sums], pa.binary())],
+                                                 names=["tile", "sums"])
+
+    met = _tile_pairs(tiles, total).select("one", "two", "one_x", "x").mapInArrow(meet, "tile long, sums binary")
+    gathered = tiles.withColumn("sums", F.lit(None).cast("binary")).unionByName(met.withColumn("x", F.lit(None).cast("binary"))) \
+                    .select("tile", "x", "sums").repartition("tile").sortWithinPartitions("tile", F.col("x").isNull())
+
+    def result(x, sums):
+        at = 0
+        for m, (f, n) in enumerate(zip(flats, sizes)):
+            own = f.assign(x)[0]
+            part = sums[:, at:at + f.cells]
+            at += f.cells
+            mine = np.take_along_axis(part, own[:, None], axis=1)[:, 0]
+            other = np.where(n[None, :] > 0, part / np.maximum(n, 1)[None, :], np.inf)
+            other[np.arange(len(x)), own] = np.inf
+            a, b = mine / np.maximum(n[own] - 1, 1), other.min(axis=1)
+            most = np.maximum(a, b)
+            good = (n[own] > 1) & (most > 0) & np.isfinite(b)
+            yield m, float(np.where(good, (b - a) / np.where(good, most, 1.0), 0.0).sum()), len(x)
+
+    def score(batches):
+        x, sums, out = None, None, []
+        for b in batches:
+            for k in range(b.num_rows):
+                if b.column(1)[k].is_valid:
+                    if x is not None:
+                        out += result(x, sums)
+                    x = np.frombuffer(b.column(1)[k].as_py()).reshape(-1, d)
+                    sums = np.zeros((len(x), width))
+                else:
+                    sums += np.frombuffer(b.column(2)[k].as_py()).reshape(len(x), width)
+        if x is not None:
+            out += result(x, sums)
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int32()), pa.array([r[1] for r in out], pa.float64()),
+                                          pa.array([r[2] for r in out], pa.int64())], names=["model", "s", "n"])
+
+    found = {r["model"]: r["s"] / r["n"] for r in gathered.mapInArrow(score, "model int, s double, n long")
+             .groupBy("model").agg(F.sum("s").alias("s"), F.sum("n").alias("n")).collect()}
+    return [float(found.get(m, 0.0)) if (n > 0).sum() > 1 else -1.0 for m, n in enumerate(sizes)]
+
+
 def silhouette_samples(df: DataFrame, label_col: str, features: Sequence[str], id_col: str,
                        sample_size: int | None = None, seed: int = 42,
                        drop_noise: bool = True, noise: int = -1, tile_rows: int | None = None) -> DataFrame:
@@ -66,18 +156,8 @@ def silhouette_samples(df: DataFrame, label_col: str, features: Sequence[str], i
     label = F.col(label_col).cast("long")
     rows = keyed(src, fs, id=id_col, label=label, far=label.cast("double"))
     tiles = cut_lineage(packed(rows, [], ["id", "label"], d, size).select("tile", "id", "label", "x"))
-    spans = [(r["part"], r["n"]) for r in tiles.groupBy(F.shiftright("tile", 33).alias("part")).agg(
-        F.count(F.lit(1)).alias("n")).orderBy("part").collect()]  # one row per partition
-    starts = dict(zip((part for part, _ in spans), np.cumsum([0, *(n for _, n in spans)]).tolist()))
-    total = sum(n for _, n in spans)
-    first = F.create_map(*(F.lit(v) for kv in starts.items() for v in kv)) if starts else F.create_map(F.lit(0), F.lit(0))
-    number = F.col("tile") - F.shiftleft(F.shiftright("tile", 33), 33) + first[F.shiftright("tile", 33)]
-    tiles = tiles.select(number.cast("long").alias("tile"), "id", "label", "x")
-
-    one = tiles.select(F.col("tile").alias("one"), F.col("label").alias("one_label"), F.col("x").alias("one_x"),
-                       F.explode(F.sequence(F.col("tile"), F.lit(max(total - 1, 0)).cast("long"))).alias("two"))
-    met = one.join(tiles.select("tile", "label", "x"), F.col("two") == F.col("tile")).select(
-        "one", "two", "one_label", "label", "one_x", "x")
+    tiles, total = _numbered_tiles(tiles)
+    met = _tile_pairs(tiles, total).select("one", "two", "one_label", "label", "one_x", "x")
     partial = "tile long, other long, labels array<long>, counts array<long>, sums binary"
 
     def meet(batches):

@@ -863,6 +863,37 @@ def q_minibatch(spark, sf):
     return cen.withColumn("inertia_all_rows", F.lit(round(cost, 4)))
 
 
+MB_ROUNDS, MB_BATCH = 6, 2000
+
+
+def _minibatch_sql(k=3):
+    """Rounds of mini-batch k-means from the first k rows, one range of the hash each, unrolled."""
+    fs = ORDER_FEATURES
+    parts = [O.ORDER_FEATURES_CTE, O.zscore_cte("z", "ofeat", "o_orderkey", fs),
+             f"h AS (SELECT *, {O.phash('o_orderkey')} AS h FROM z)",
+             f"w AS (SELECT CAST(ceil(count(*) / {MB_BATCH}::DOUBLE) AS BIGINT) AS ranges, "
+             f"CAST(ceil({SM.HASH_RANGE}::HUGEINT / ceil(count(*) / {MB_BATCH}::DOUBLE)) AS BIGINT) AS width FROM z)",
+             O.first_rows_centres("f0", "z", "o_orderkey", fs, k), "c0 AS (SELECT *, 0 AS given FROM f0)"]
+    for t in range(MB_ROUNDS):
+        parts.append(f"b{t} AS (SELECT h.* FROM h, w WHERE h >= ({t} % ranges) * width AND h < ({t} % ranges) * width + width)")
+        parts.append(O.assign_cte(f"a{t}", f"b{t}", f"c{t}", fs, k, "o_orderkey"))
+        parts.append(f"n{t} AS (SELECT cluster AS cid, count(*) AS n, " + ", ".join(f"avg({f}) AS m_{f}" for f in fs) + f" FROM a{t} GROUP BY cluster)")
+        parts.append(f"c{t + 1} AS (SELECT c.cid, given + coalesce(n, 0) AS given, " + ", ".join(
+            f"c.{f} + coalesce(n / (given + n)::DOUBLE * (m_{f} - c.{f}), 0) AS {f}" for f in fs) + f" FROM c{t} c LEFT JOIN n{t} USING (cid))")
+    parts.append(O.assign_cte("fin", "z", f"c{MB_ROUNDS}", fs, k, "o_orderkey"))
+    return ("WITH " + ",\n".join(parts) + f"\nSELECT CAST(row_number() OVER (ORDER BY {', '.join(fs)}) - 1 AS INTEGER) AS cid, "
+            + ", ".join(f"{O.r6(f)} AS {f}" for f in fs) + f", (SELECT {O.r6('sum(md)')} FROM fin) AS inertia FROM c{MB_ROUNDS}")
+
+
+@register("minibatch_rounds_orders", _minibatch_sql())
+def q_minibatch_rounds(spark, sf):
+    """Six rounds from the first three rows: every batch and step replayed in SQL."""
+    z = _zorders(spark, sf)
+    first = [[r[f] for f in ORDER_FEATURES] for r in z.orderBy("o_orderkey").limit(3).collect()]
+    cen, cost = KM.minibatch_kmeans(z, ORDER_FEATURES, 3, MB_BATCH, 1, MB_ROUNDS, 42, "o_orderkey", tol=0.0, starts=[first])
+    return cen.select("cid", *[rnd(F.col(f)).alias(f) for f in ORDER_FEATURES], rnd(F.lit(cost)).alias("inertia"))
+
+
 def _sweep(spark, sf):
     z = _zorders(spark, sf)
     return KM.kmeans_sweep(z, ORDER_FEATURES, "o_orderkey", range(2, 11), n_init=3, max_iter=100,
@@ -920,6 +951,13 @@ def q_hier(spark, sf):
     return PR.cluster_sizes(labels, "cluster")
 
 
+@register("bisecting_orders_k4")
+def q_bisecting(spark, sf):
+    """Leaves of the divisive tree over all orders."""
+    _, tree = H.bisecting(_zorders(spark, sf), ORDER_FEATURES, 4, "o_orderkey")
+    return tree.where("cluster is not null").select("cluster", "depth", "size", rnd(F.col("cost")).alias("cost"))
+
+
 @register("dendrogram_orders")
 def q_dendro(spark, sf):
     _, dendro = H.hierarchical(_zorders(spark, sf), ORDER_FEATURES, 3, "o_orderkey", "ward", 200)
