@@ -4,16 +4,19 @@ Unit vectors are cut in half and each half gets its own codebook; the product
 of the two is a grid of cells, and every distinct vector is filed under the
 cell of its two nearest codewords.  A vector looks for its neighbours in the
 cells nearest to it, in the order of the multi-sequence traversal (rising sum
-of its two codeword distances).  How many cells it visits is calibrated: for a
-bounded sample of vectors a neighbour at exactly the threshold cosine is made
-in a random direction, and enough cells are visited to find ``TARGET_RECALL``
-of them.  A pair is found when either end visits the other's cell.  Candidates
-are verified by their cosine in double precision, so no pair below the
-threshold links.
-
-Equal vectors are one entry with a count.  Vectors that are null, zero, of
-another dimension than most, or hold null or non-finite components link with
-nothing.  A cell row that holds many vectors is split into chunks of at most
+of its two codeword distances).  How many cells it visits is calibrated on a
+bounded sample of vectors: enough to find ``TARGET_RECALL`` of neighbours made at
+exactly the threshold cosine in random directions, of such neighbours in
+directions towards other vectors of the sample (data of low inner rank has its
+neighbours there), and of the sample's true links, found by brute force.  A pair
+is found when either end visits the other's cell.  Candidates are verified by
+their cosine in double precision, so no pair below the threshold links.
+
+Vectors are scaled by their largest component before their norm, so that every
+finite non-zero vector has a direction.  Each dimension has an index of its own;
+vectors of different dimensions do not link.  Equal vectors are one entry with a
+count.  Vectors that are null, zero, or hold null or non-finite components link
+with nothing.  Ids may have any type that orders.  A cell row that holds many vectors is split into chunks of at most
 ``CHUNK`` members; a task holds one chunk and streams its visitors past it.
 Pairs are never stored: a chunk gives counts and the links of a star for each
 group it finds.
@@ -28,12 +31,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import written
 from .components import components
 
 SAMPLE = 20_000
 CALIBRATION = 2_000
+LINKS = 20_000
 TARGET_RECALL = 0.98
 CHUNK = 2_048
 VISITORS = 1_024
@@ -100,31 +105,51 @@ def fit_index(sample: np.ndarray, n_vectors: int, threshold: float, target: floa
     h = sample.shape[1] // 2
     index = MultiIndex(_lloyd(sample[:, :h], k, rng), _lloyd(sample[:, h:], k, rng), k * k)
     x = sample[rng.permutation(len(sample))[:CALIBRATION]]
-    noise = rng.standard_normal(x.shape)
-    noise -= (noise * x).sum(axis=1, keepdims=True) * x
-    length = np.linalg.norm(noise, axis=1, keepdims=True)
-    near = threshold * x + np.sqrt(1 - threshold ** 2) * noise / np.where(length > 0, length, 1.0)
-    i, j = index.cells(x)
-    a, b = index.distances(near)
-    sums = a[:, :, None] + b[:, None, :] if k <= 128 else None
-    own = np.take_along_axis(a, i[:, None], 1)[:, 0] + np.take_along_axis(b, j[:, None], 1)[:, 0]
-    if sums is not None:
-        rank = (sums < own[:, None, None]).sum(axis=(1, 2)) + 1
-    else:  # the same count from the sorted right distances, one left codeword at a time
-        sb = np.sort(b, axis=1)
-        rank = np.array([sum(np.searchsorted(sb[r], own[r] - d) for d in a[r]) for r in range(len(x))]) + 1
-    index.visits = int(np.quantile(rank, target, method="higher"))
+    ranks = [_ranks(index, x, _at_cosine(x, rng.standard_normal(x.shape), threshold)),
+             _ranks(index, x, _at_cosine(x, sample[rng.integers(len(sample), size=len(x))], threshold))]
+    q, y = np.nonzero(x @ sample.T >= threshold)
+    apart = np.abs(x[q] - sample[y]).max(axis=1, initial=0.0) > 0
+    q, y = q[apart], y[apart]
+    if len(q) > LINKS:
+        some = rng.permutation(len(q))[:LINKS]
+        q, y = q[some], y[some]
+    if len(q):
+        ranks.append(_ranks(index, sample[y], x[q]))
+    index.visits = max(int(np.quantile(r, target, method="higher")) for r in ranks)
     return index
 
 
+def _at_cosine(x: np.ndarray, towards: np.ndarray, cosine: float) -> np.ndarray:
+    """Unit vectors at a cosine to the unit vectors ``x``, each turned towards another."""
+    turn = towards - (towards * x).sum(axis=1, keepdims=True) * x
+    length = np.linalg.norm(turn, axis=1, keepdims=True)
+    return cosine * x + np.sqrt(1 - cosine ** 2) * turn / np.where(length > 1e-9, length, 1.0)
+
+
+def _ranks(index: MultiIndex, x: np.ndarray, seekers: np.ndarray) -> np.ndarray:
+    """How many cells each seeker visits until it comes to the cell of its ``x``."""
+    out = []
+    for lo in range(0, len(x), 256):
+        i, j = index.cells(x[lo:lo + 256])
+        a, b = index.distances(seekers[lo:lo + 256])
+        own = np.take_along_axis(a, i[:, None], 1)[:, 0] + np.take_along_axis(b, j[:, None], 1)[:, 0]
+        if a.shape[1] <= 128:
+            out.append((a[:, :, None] + b[:, None, :] < own[:, None, None]).sum(axis=(1, 2)) + 1)
+        else:  # the same count from the sorted right distances, one left codeword at a time
+            sb = np.sort(b, axis=1)
+            out.append(np.array([sum(np.searchsorted(sb[r], own[r] - d) for d in a[r]) for r in range(len(a))]) + 1)
+    return np.concatenate(out)
+
+
 def _units(raw: list[bytes]) -> np.ndarray:
     v = np.frombuffer(b"".join(raw), "<f8").reshape(len(raw), -1)
+    v = v / np.abs(v).max(axis=1, keepdims=True)
     return v / np.linalg.norm(v, axis=1, keepdims=True)
 
 
 def clean_vectors(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """(id, raw): components as packed doubles, null where the vector links with nothing."""
-    schema = "id long, raw binary"
+    schema = T.StructType([T.StructField("id", df.schema[id_col].dataType), T.StructField("raw", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -132,7 +157,7 @@ def clean_vectors(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
             for v in batch.column(1).to_pylist():
                 x = np.array(v, np.float64) if v and None not in v else None
                 raw.append(None if x is None or not np.isfinite(x).all() or not x.any() else (x + 0.0).astype("<f8").tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(raw, pa.binary())], names=["id", "raw"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(raw, pa.binary())], names=["id", "raw"])
 
     return df.select(F.col(id_col), F.col(vector_col)).mapInArrow(run, schema)
 
@@ -259,13 +284,23 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
                  target: float = TARGET_RECALL) -> DataFrame:
     """One row per row of ``df``: id, n_links (other rows linked directly) and
     component_id (smallest id reachable, itself included)."""
-    spark = df.sparkSession
     rows = written(clean_vectors(df, id_col, vector_col), "vectors")
     sizes = rows.where("raw is not null").groupBy(F.length("raw").alias("n")).count().collect()  # one row per dimension
-    if not sizes:
+    decided = None
+    for n in sorted(r["n"] for r in sizes if r["count"] > 1):
+        part = _decided(rows.where(F.length("raw") == n), threshold, target)
+        decided = part if decided is None else decided.union(part)
+    if decided is None:
         return rows.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
-    width = max(sizes, key=lambda r: (r["count"], r["n"]))["n"]
-    distinct = written(rows.where(F.length("raw") == width).groupBy("raw")
+    return (rows.hint("merge").join(decided, "raw", "left")
+            .select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).alias("n_links"),
+                    F.coalesce("smallest", "id").alias("component_id")))
+
+
+def _decided(rows: DataFrame, threshold: float, target: float) -> DataFrame:
+    """(raw, n_links, smallest) of the distinct vectors of one dimension."""
+    spark = rows.sparkSession
+    distinct = written(rows.groupBy("raw")
                        .agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("weight"))
                        .select(F.monotonically_increasing_id().alias("key"), "raw", "weight", "first_id"), "vectors-distinct")
     sample = [bytes(r["raw"]) for r in distinct.select("raw").orderBy(F.xxhash64("raw"), "raw").limit(SAMPLE).collect()]
@@ -293,8 +328,5 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
                      .select("raw", "weight", "first_id", F.coalesce("component", "key").alias("component"),
                              F.coalesce("links", F.lit(0)).alias("links")), "vector-members")
     first = written(member.groupBy("component").agg(F.min("first_id").alias("smallest")), "vector-smallest")
-    decided = written(member.hint("merge").join(first, "component")
-                      .select("raw", (F.col("links") + F.col("weight") - 1).alias("n_links"), "smallest"), "vector-decided")
-    return (rows.hint("merge").join(decided, "raw", "left")
-            .select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).alias("n_links"),
-                    F.coalesce("smallest", "id").alias("component_id")))
+    return written(member.hint("merge").join(first, "component")
+                   .select("raw", (F.col("links") + F.col("weight") - 1).alias("n_links"), "smallest"), "vector-decided")

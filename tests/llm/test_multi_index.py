@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -63,6 +64,31 @@ def test_recall_against_all_pairs(spark):
     assert sum(got[i]["component_id"] == c for i, (_, c) in want.items()) >= 0.98 * len(rows)
 
 
+@pytest.mark.parametrize("rank", [4, 6, 10])
+def test_recall_on_vectors_of_low_inner_rank(spark, rank):
+    """Neighbours lie within the data's own few directions, not in random ones."""
+    rng = np.random.default_rng(rank)
+    x = rng.standard_normal((5000, rank)) @ rng.standard_normal((rank, 64))
+    rows = [(i, [float(c) for c in np.float32(v)], 0) for i, v in enumerate(x)]
+    u = np.float32(x).astype(np.float64)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    true = int((u @ u.T >= 0.9).sum()) - len(u)
+    got = sum(r["n_links"] for r in multi_index.near_vectors(spark.createDataFrame(rows, SCHEMA)).collect())
+    assert true > 1000 and 0.98 * true <= got <= true
+
+
+def test_every_finite_vector_and_every_dimension(spark):
+    """Components whose squares underflow or overflow, several dimensions, string ids."""
+    v, w = [1.0, 2.0, 3.0], [2.0, -1.0, 0.5, 1.0]
+    rows = [("a", v), ("b", [2 * c for c in v]), ("c", [c * 1e-200 for c in v]), ("d", [c * 1e200 for c in v]),
+            ("e", w), ("f", [c * 5e-324 for c in (4.0, -2.0, 1.0, 2.0)]), ("g", [c * 1e-300 for c in w]), ("h", [7.0]), ("i", [1e-310]), ("j", [-1.0]),
+            ("k", None), ("l", [0.0, -0.0])]
+    df = spark.createDataFrame(rows, "vec_id string, embedding array<double>").repartition(3)
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in multi_index.near_vectors(df).collect()}
+    assert got == {**{i: (3, "a") for i in "abcd"}, **{i: (2, "e") for i in "efg"}, "h": (1, "h"), "i": (1, "h"),
+                   **{i: (0, i) for i in "jkl"}}
+
+
 def test_links_are_counted_at_both_ends(spark):
     got = multi_index.near_vectors(spark.createDataFrame(planted(seed=3), SCHEMA), target=0.5).collect()
     links = {r["vec_id"]: r["n_links"] for r in got}
