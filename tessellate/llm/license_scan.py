@@ -170,14 +170,13 @@ vocabulary AS (SELECT DISTINCT word FROM template),
 files AS (SELECT doc_id, {path_sql} AS path, coalesce(text, '') AS text FROM documents),
 texts AS (SELECT doc_id, unnest(range(len(ls))) AS line_no, unnest(ls) AS line
           FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM files)),
-words AS (SELECT doc_id, line_no, list_distinct(string_split_regex(lower(line), '{SPLIT}')) AS ws FROM texts),
-seen AS (SELECT word, count(*) AS df FROM (SELECT unnest(ws) AS word FROM words) JOIN vocabulary USING (word) GROUP BY word),
+words AS (SELECT doc_id, line_no, unnest(list_distinct(list_filter(string_split_regex(lower(line), '{SPLIT}'), lambda w: w <> ''))) AS word FROM texts),
+seen AS (SELECT word, count(*) AS df FROM words GROUP BY word),
 total AS (SELECT count(*)::DOUBLE AS n FROM texts),
-idf AS (SELECT word, ln((1 + n) / (1 + coalesce(df, 0))) + 1 AS idf FROM vocabulary LEFT JOIN seen USING (word), total),
-known AS (SELECT doc_id, line_no, len(ws) - list_contains(ws, '')::INT AS n_words, word, idf
-          FROM (SELECT doc_id, line_no, ws, unnest(ws) AS word FROM words) JOIN idf USING (word)),
-norms AS (SELECT doc_id, line_no, sum(idf * idf) + (any_value(n_words) - count(*)) * power(ln(1 + any_value(n)) + 1, 2) AS norm
-          FROM known, total GROUP BY doc_id, line_no),
+idf AS (SELECT word, ln((1 + n) / (1 + coalesce(df, 0))) + 1 AS idf
+        FROM (SELECT word FROM seen UNION SELECT word FROM vocabulary) LEFT JOIN seen USING (word), total),
+known AS (SELECT doc_id, line_no, word, idf FROM words JOIN idf USING (word)),
+norms AS (SELECT doc_id, line_no, sum(idf * idf) AS norm FROM known GROUP BY doc_id, line_no),
 sizes AS (SELECT licence, statement, sum(idf * idf) AS size FROM template JOIN idf USING (word) GROUP BY licence, statement),
 scored AS (SELECT doc_id, line_no, licence, round(sum(idf * idf) / sqrt(any_value(norm) * any_value(size)), 6) AS score
            FROM known JOIN template USING (word) JOIN norms USING (doc_id, line_no) JOIN sizes USING (licence, statement)

@@ -2,9 +2,10 @@ import math
 import re
 from collections import Counter
 
+import duckdb
 from pyspark.sql import functions as F
 
-from tessellate.llm.license_scan import SPLIT, license_scan, stated_licences, template_words, TEMPLATES
+from tessellate.llm.license_scan import SPLIT, license_scan, oracle_sql, stated_licences, template_words, TEMPLATES
 from tests.llm import edge
 
 FILES = [
@@ -81,3 +82,20 @@ def test_frequencies_of_all_words(spark):
     got = {r["id"]: (-r["score"], r["line_no"], r["licence"]) for r in stated_licences(rows).collect()}
     assert got.keys() == want.keys() >= {20} and got[20][2] == "MIT"
     assert all(got[i][1:] == want[i][1:] and abs(got[i][0] - want[i][0]) < 2e-6 for i in want)
+
+
+def test_sql_is_the_same_formula(spark, tmp_path):
+    """Statements beside common and rare words: Spark and the SQL agree on every score."""
+    texts = ["Released under the MIT License. que", "The and of that to: Released under the MIT License.", "x\nLicensed under CC BY 4.0. für",
+             "Licensed under the Apache License, Version 2.0 for that die", None, "", "Released under the MIT License. zzz yyy xxx"]
+    texts += ["que das and that the of to for die"] * 60 + [f"für line{i}\nthe of" for i in range(9)]
+    docs = spark.createDataFrame([(i, t, f"s{i % 3}", "en") for i, t in enumerate(texts)], "doc_id long, text string, source string, lang string")
+    con = duckdb.connect()
+    con.register("documents", docs.toPandas())
+    path = "concat_ws('/', source, lang, concat(doc_id, '.txt'))"
+    want = con.execute(oracle_sql(path, "line_no = 0")).fetchall()
+    rows = license_scan(docs.withColumn("path", F.expr(path)), licence_file=lambda r: F.col("line_no") == 0).collect()
+    order = lambda r: r[0]
+    got, want = sorted(map(tuple, rows), key=order), sorted(want, key=order)
+    assert [(r[0], r[1], r[2], r[4], r[5], r[6]) for r in got] == [(r[0], r[1], r[2], r[4], r[5], r[6]) for r in want]
+    assert all(a[3] == b[3] or abs(a[3] - b[3]) < 2e-6 for a, b in zip(got, want)) and got[0][2] == "MIT" and got[0][3] > 0.98
