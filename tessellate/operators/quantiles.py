@@ -1,30 +1,22 @@
-"""Exact, linearly interpolated quantiles without funnelling a group through
-one task.
-
-Spark's exact ``percentile`` merges a value->count map of *every* distinct
-value of a group in a single final task, which does not survive a global
-median over 100 TB.  Here the work is spread instead:
-
-1. ``groupBy(group, value).count()``   - map-side combined distinct values;
-2. ``repartitionByRange(group, value)``- every range partition holds a sorted
-   slice of each group;
-3. per (group, partition) totals - a table of O(partitions + groups) rows -
-   give each slice its offset inside its group by a running sum;
-   (the sliced table is checkpointed once, so both reads see one partitioning);
-4. a running sum inside each slice gives every distinct value its rank span;
-5. only the (at most two per probability) values whose span covers the
-   interpolation ranks ``floor((n-1)p)`` and ``+1`` survive a filter and are
-   combined per (group, p).
+"""Exact, linearly interpolated quantiles by rank selection in counting passes.
+
+A quantile of n values lies between the values of two ranks.  Each pass counts
+the values of every group in bins, a monotone function of the value computed in
+the plan: first by sign and logarithm, then by equal parts of the bins that hold
+a wanted rank.  A pass leaves, for each wanted rank, one bin with its least and
+largest value and the rank within it; a bin of one value is the answer.  Bins
+narrow some 4,000-fold a pass, so a handful of passes end at a single double
+whatever the data; groups and features share the passes, and every size takes
+the same path.
+
+What crosses a shuffle are counts by group and bin (combined map-side), so a
+group or value that holds a third of the rows costs one row a task.  What is
+joined to the rows is one row per group, the bins still open; it is broadcast
+only if its checked size allows.  Each pass's open bins are checkpointed.
 
 Same result as pandas ``quantile`` / DuckDB ``quantile_cont`` / Spark
 ``percentile``.  ``approx=True`` switches to ``percentile_approx`` (mergeable
 sketch, one pass) for callers that accept bounded rank error.
-
-Size check: Spark's exact ``percentile`` is a single aggregate whose state is
-a map of the distinct values of a group.  When every group has at most
-``MAX_EXACT_MAP`` values (a count proves it) that map is small and the single
-aggregate is used; above the bound the range-slice method runs, so nothing
-proportional to the data ever meets in one task.
 """
 
 from __future__ import annotations
@@ -34,135 +26,92 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.columns import bounded_broadcast
 from ..session import cut_lineage
 
-MAX_EXACT_MAP = 100_000
+BINS = 4096
+LOG_BINS = 64  # per power of two, in the first pass
 
 _V = "_qv"
-_C = "_qc"
-_PID = "_qpid"
+
+
+def _first_bin(v: str) -> str:
+    """SQL of a monotone bin of any double: by sign and logarithm, NaN last."""
+    size = f"cast(floor(log2(abs({v})) * {LOG_BINS}) as int) + 100000"
+    return (f"CASE WHEN isnan({v}) THEN 900000 WHEN {v} = 0 THEN 0 WHEN abs({v}) = double('Infinity') THEN cast(signum({v}) as int) * 800000 "
+            f"ELSE cast(signum({v}) as int) * ({size}) END")
+
+
+def _inner_bin(v: str, low: str, high: str) -> str:
+    """SQL of a monotone bin of a value between two bounds (halved, so that the
+    difference of finite bounds is finite); the bounds fall into different bins."""
+    part = f"floor(({v} / 2 - {low} / 2) / ({high} / 2 - {low} / 2) * {BINS - 1})"
+    return f"CASE WHEN {v} >= {high} THEN {BINS - 1} WHEN {v} <= {low} THEN 0 ELSE least(greatest(cast({part} as int), 0), {BINS - 2}) END"
 
 
 def grouped_quantiles(df: DataFrame, value: str, probs: Sequence[float],
                       group_cols: Sequence[str] = (), approx: bool = False,
-                      accuracy: int = 10000, num_ranges: int | None = None,
-                      method: str = "auto", slice_col: str | None = None) -> DataFrame:
+                      accuracy: int = 10000) -> DataFrame:
     """Long table (*group_cols, prob, q) of exact linear-interpolated quantiles.
 
-    ``method``: "auto" (size-checked choice), "map" (single aggregate),
-    "ranges" (range slices).  NULL values are ignored; groups without values
-    produce no rows.
-    """
-    g = list(group_cols)
+    NULL values are ignored; groups without values produce no rows.  Null groups
+    are groups like any other.  NaN counts as the largest value."""
+    names = list(group_cols)
     probs = [float(p) for p in probs]
-    extra = [F.col(slice_col).alias(_PID)] if slice_col else []
-    base = df.select(*[F.col(c) for c in g], F.col(value).cast("double").alias(_V), *extra) \
-             .where(F.col(_V).isNotNull())
     if approx:
-        qs = base.groupBy(*g).agg(
-            F.percentile_approx(_V, probs, accuracy).alias("_qs"))
-        return qs.select(*g, F.posexplode("_qs").alias("_i", "q")) \
-                 .select(*g, F.element_at(F.array(*[F.lit(p) for p in probs]),
-                                          F.col("_i") + 1).alias("prob"), "q")
-
-    if method == "auto":
-        # a group's value map is bounded by its row count: one cheap count job
-        n_max = base.groupBy(*g).agg(F.count(F.lit(1)).alias("_n")) \
-                    .agg(F.max("_n").alias("m")).first()["m"]
-        method = "map" if n_max is not None and n_max <= MAX_EXACT_MAP else "ranges"
-    if method == "map":
-        qs = base.groupBy(*g).agg(F.percentile(_V, F.array(*[F.lit(p) for p in probs])).alias("_qs"))
-        return qs.select(*g, F.posexplode("_qs").alias("_i", "q")) \
-                 .select(*g, F.element_at(F.array(*[F.lit(p) for p in probs]),
-                                          F.col("_i") + 1).alias("prob"), "q")
-
-    spark = df.sparkSession
-    if not slice_col and method in ("ranges", "buckets") and g:
-        sliced = _bucket_groups(base, g, spark)
-        if sliced is not None:
-            base, slice_col = sliced, _PID
-    if slice_col:
-        # slices given by a deterministic function of the value (monotone
-        # buckets): every read agrees without materialising anything
-        ranged = base.groupBy(*g, _PID, _V).agg(F.count(F.lit(1)).alias(_C))
-    else:
-        parts = num_ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
-        counts = base.groupBy(*g, _V).agg(F.count(F.lit(1)).alias(_C))
-        ranged = counts.repartitionByRange(parts, *[F.col(c) for c in g], F.col(_V)) \
-                       .withColumn(_PID, F.spark_partition_id())
-        # The slices are read twice (totals, then ranks).  Range bounds come
-        # from sampling, so two evaluations could disagree on which slice
-        # holds a value; a reliable checkpoint fixes one partitioning.
-        ranged = cut_lineage(ranged)
-
-    # offsets of each (group, range partition) slice: O(partitions + groups) rows
-    slice_tot = ranged.groupBy(*g, _PID).agg(F.sum(_C).alias("_st"))
-    w_grp = Window.partitionBy(*g) if g else Window.partitionBy()
-    w_run = w_grp.orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = slice_tot.select(
-        *g, _PID,
-        F.coalesce(F.sum("_st").over(w_run), F.lit(0)).alias("_off"),
-        F.sum("_st").over(w_grp).alias("_n"))
-    if not g:
-        offsets = F.broadcast(offsets)  # one row per range partition
-
-    w_in = Window.partitionBy(*g, _PID).orderBy(_V) \
-                 .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    spans = ranged.withColumn("_cum", F.sum(_C).over(w_in)) \
-                  .join(offsets, on=[*g, _PID]) \
-                  .select(*g, _V, _C, "_n",
-                          (F.col("_off") + F.col("_cum") - F.col(_C)).alias("_lo_rank"),
-                          (F.col("_off") + F.col("_cum") - 1).alias("_hi_rank"))
-
-    # ranks needed per probability
-    with_p = spans.select(
-        "*", F.explode(F.array(*[F.lit(p) for p in probs])).alias("prob"))
-    h = (F.col("_n") - 1).cast("double") * F.col("prob")
-    lo_r = F.floor(h)
-    hi_r = F.least(lo_r + 1, F.col("_n") - 1)
-    covers_lo = (F.col("_lo_rank") <= lo_r) & (lo_r <= F.col("_hi_rank"))
-    covers_hi = (F.col("_lo_rank") <= hi_r) & (hi_r <= F.col("_hi_rank"))
-    picked = with_p.where(covers_lo | covers_hi).select(
-        *g, "prob", "_n",
-        F.when(covers_lo, F.col(_V)).alias("_vlo"),
-        F.when(covers_hi, F.col(_V)).alias("_vhi"))
-    agg = picked.groupBy(*g, "prob").agg(
-        F.max("_vlo").alias("_vlo"), F.max("_vhi").alias("_vhi"), F.max("_n").alias("_n"))
-    frac = (F.col("_n") - 1).cast("double") * F.col("prob") \
-        - F.floor((F.col("_n") - 1).cast("double") * F.col("prob"))
-    q = F.when(F.col("_vhi") == F.col("_vlo"), F.col("_vlo")) \
-         .otherwise(F.col("_vlo") + (F.col("_vhi") - F.col("_vlo")) * frac)
-    return agg.select(*g, "prob", q.alias("q"))
-
-
-MAX_SPLIT_GROUPS = 100_000
-
-
-def _bucket_groups(base: DataFrame, g: Sequence[str], spark) -> DataFrame | None:
-    """Attach a deterministic slice id to every (group, value): slices are cut
-    at approximate per-group quantiles (one sketch pass); the split table has
-    one row per group and is broadcast only when the group count is below
-    ``MAX_SPLIT_GROUPS``.  The slice is the number of splits <= value, found
-    by an unrolled binary search (log2(slices) codegen'd steps)."""
-    k = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    cuts = [i / k for i in range(1, k)]
-    splits = base.groupBy(*g).agg(
-        F.array_sort(F.array_distinct(F.percentile_approx(_V, cuts, max(200, 8 * k))))
-        .alias("_splits"))
-    if splits.count() > MAX_SPLIT_GROUPS:
-        return None
-    d = base.join(F.broadcast(splits), list(g)).withColumn("_n", F.size("_splits")) \
-            .withColumn(_PID, F.lit(0))
-    step = 1
-    while step * 2 <= k:
-        step *= 2
-    while step >= 1:
-        cand = F.col(_PID) + step
-        d = d.withColumn(_PID, F.when((cand <= F.col("_n")) &
-                                      (F.element_at("_splits", cand) <= F.col(_V)), cand)
-                         .otherwise(F.col(_PID)))
-        step //= 2
-    return d.drop("_splits", "_n")
+        base = df.select(*names, F.col(value).cast("double").alias(_V)).where(F.col(_V).isNotNull())
+        qs = base.groupBy(*names).agg(F.percentile_approx(_V, probs, accuracy).alias("_qs"))
+        return qs.select(*names, F.posexplode("_qs").alias("_i", "q")) \
+                 .select(*names, F.element_at(F.array(*[F.lit(p) for p in probs]), F.col("_i") + 1).alias("prob"), "q")
+    g = [f"_g{i}" for i in range(len(names))] or ["_g"]
+    keys = [F.col(c).alias(k) for c, k in zip(names, g)] or [F.lit(0).alias("_g")]
+    base = df.select(*keys, (F.col(value).cast("double") + F.lit(0.0)).alias(_V)).where(F.col(_V).isNotNull())
+
+    counted = _counts(base.withColumn("_bin", F.expr(_first_bin(_V))), g, [])
+    n = F.sum("n").over(Window.partitionBy(*g))
+    ranks = F.explode(F.array(*(F.struct(F.lit(p).alias("prob"), F.lit(up).alias("up")) for p in probs for up in (0, 1))))
+    at = F.col("n_all") - 1
+    wanted = (counted.select(*g, n.alias("n_all")).distinct().select(*g, "n_all", ranks.alias("r"))
+              .select(*g, "n_all", "r.prob", "r.up",
+                      F.least(F.floor(at * F.col("r.prob")) + F.col("r.up"), at).cast("long").alias("rank")))
+    open_ = cut_lineage(_chosen(counted, wanted, g, []))
+    done = open_.where("low <=> high")
+    while True:
+        still = open_.where("NOT (low <=> high)")
+        bins = bounded_broadcast(still.groupBy(*g).agg(F.collect_set(F.struct("low", "high")).alias("_bins")))
+        if still.isEmpty():
+            break
+        near = base.join(bins, [base[k].eqNullSafe(bins[k]) for k in g]).select(
+            *(base[k] for k in g), _V, F.explode(F.filter("_bins", lambda b: (b.low <= F.col(_V)) & (F.col(_V) <= b.high))).alias("_in"))
+        near = near.select(*g, _V, F.col("_in.low").alias("low"), F.col("_in.high").alias("high"))
+        counted = _counts(near.withColumn("_bin", F.expr(_inner_bin(_V, "low", "high"))), g, ["low", "high"])
+        open_ = cut_lineage(_chosen(counted, still, g, ["low", "high"]))
+        done = done.union(open_.where("low <=> high"))
+    frac = F.max((F.col("n_all") - 1) * F.col("prob") - F.floor((F.col("n_all") - 1) * F.col("prob"))).alias("frac")
+    ends = [F.max(F.when(F.col("up") == up, F.col("low"))).alias(name) for up, name in ((0, "a"), (1, "b"))]
+    q = F.when(F.col("a") == F.col("b"), F.col("a")).otherwise(F.col("a") + (F.col("b") - F.col("a")) * F.col("frac"))
+    return done.groupBy(*g, "prob").agg(frac, *ends).select(*(F.col(k).alias(c) for k, c in zip(g, names)), "prob", q.alias("q"))
+
+
+def _counts(rows: DataFrame, g: list[str], within: list[str]) -> DataFrame:
+    """Per group, outer bin and bin: values, the least and the largest, and the
+    values of the outer bin's bins before."""
+    counted = rows.groupBy(*g, *within, "_bin").agg(F.count(F.lit(1)).alias("n"), F.min(_V).alias("new_low"), F.max(_V).alias("new_high"))
+    before = Window.partitionBy(*g, *within).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    return counted.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
+
+
+def _chosen(counted: DataFrame, wanted: DataFrame, g: list[str], within: list[str]) -> DataFrame:
+    """The wanted ranks with the bin that holds each: its bounds, and the rank in it."""
+    w = wanted.select(*(F.col(c).alias(f"w_{c}") for c in wanted.columns))
+    same = [F.col(k).eqNullSafe(F.col(f"w_{k}")) for k in (*g, *within)]
+    held = (F.col("before") <= F.col("w_rank")) & (F.col("w_rank") < F.col("before") + F.col("n"))
+    on = held
+    for s in same:
+        on = on & s
+    return counted.join(w, on).select(*g, F.col("w_n_all").alias("n_all"), F.col("w_prob").alias("prob"), F.col("w_up").alias("up"),
+                                      (F.col("w_rank") - F.col("before")).alias("rank"),
+                                      F.col("new_low").alias("low"), F.col("new_high").alias("high"))
 
 
 def long_values(df: DataFrame, features: Sequence[str], name: str = "feature",
@@ -174,50 +123,6 @@ def long_values(df: DataFrame, features: Sequence[str], name: str = "feature",
 
 
 def feature_quantiles(df: DataFrame, features: Sequence[str], probs: Sequence[float],
-                      group_cols: Sequence[str] = (), approx: bool = False,
-                      method: str = "auto") -> DataFrame:
-    """(*group_cols, feature, prob, q) for many features in one job."""
-    if not group_cols and not approx and method in ("auto", "ranges", "buckets"):
-        n_max = None
-        if method == "auto":
-            counts = df.agg(*[F.count(F.col(f)).alias(f) for f in features]).first()
-            n_max = max(counts[f] or 0 for f in features)
-        if method != "auto" or n_max > MAX_EXACT_MAP:
-            return bucketed_quantiles(df, features, probs)
-        method = "map"
-    lv = long_values(df, features, keep=group_cols)
-    return grouped_quantiles(lv, "value", probs, [*group_cols, "feature"], approx=approx,
-                             method=method)
-
-
-def bucketed_quantiles(df: DataFrame, features: Sequence[str], probs: Sequence[float],
-                       slices: int | None = None) -> DataFrame:
-    """Exact per-feature quantiles with value slices cut at approximate
-    quantiles: one sketch pass gives <= ``slices`` split points per feature
-    (a #features x slices array - bounded), ML's ``Bucketizer`` maps every
-    value to its slice by binary search, and the rank arithmetic of
-    :func:`grouped_quantiles` runs per slice.  Slices hold about n/slices
-    rows each, a repeated value collapses to one counted row, and nothing is
-    checkpointed."""
-    from pyspark.ml.feature import Bucketizer
-    spark = df.sparkSession
-    k = slices or max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    cuts = [i / k for i in range(1, k)]
-    acc = max(200, 8 * k)  # rank error ~1/(8 slices): slices stay balanced
-    row = df.agg(*[F.percentile_approx(F.col(f).cast("double"), cuts, acc).alias(f)
-                   for f in features]).first()                        # #features x k values
-    splits = []
-    for f in features:
-        inner = sorted({float(v) for v in (row[f] or []) if v is not None})
-        splits.append([float("-inf"), *inner, float("inf")])
-    wide = df.select(*[F.col(f).cast("double").alias(f) for f in features])
-    outs = [f"_b_{i}" for i in range(len(features))]
-    b = Bucketizer(splitsArray=splits, inputCols=list(features), outputCols=outs,
-                   handleInvalid="keep").transform(wide)
-    pairs = [F.struct(F.col(f).alias("v"), F.col(o).cast("int").alias("s")).alias(f)
-             for f, o in zip(features, outs)]
-    lv = b.select(*pairs).unpivot([], list(features), "feature", "_vs") \
-          .select("feature", F.col("_vs.v").alias("value"), F.col("_vs.s").alias("_slice"))
-    return grouped_quantiles(lv, "value", probs, ["feature"], method="ranges", slice_col="_slice")
-
-
+                      group_cols: Sequence[str] = (), approx: bool = False) -> DataFrame:
+    """(*group_cols, feature, prob, q) for many features in the same passes."""
+    return grouped_quantiles(long_values(df, features, keep=group_cols), "value", probs, [*group_cols, "feature"], approx=approx)

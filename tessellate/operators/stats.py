@@ -5,7 +5,7 @@ Conventions
   value or bin);
 * per-feature moments for *all* features are computed by one aggregate job;
   quantiles by one distributed job (``quantiles.feature_quantiles``), whose
-  method is chosen from the approximate distinct counts of the moments job;
+  rank selection takes a handful of counting passes;
 * those per-feature results (#features rows) are collected once and thresholds
   reach the next pass as literals - no join, no re-computation;
 * NaN counts as missing (as in pandas): callers clean with ``nan_to_null``.
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import numeric_fields, pct, present, rnd, safe_div
 from ..functions.scalar import correlation_strength
-from .quantiles import MAX_EXACT_MAP, feature_quantiles
+from .quantiles import feature_quantiles
 
 ND = 6  # output rounding for doubles
 
@@ -143,7 +143,7 @@ def _g1_g2(n, g1, g2):
 def feature_moments(df: DataFrame, features: Sequence[str], with_ndv: bool = False) -> DataFrame:
     """(feature, n, mean, std, std_pop, min, max, skew, kurt[, ndv]) for all
     features in one aggregate job; skew/kurt are the bias-corrected G1/G2,
-    ndv an approximate distinct count (used to size the quantile method)."""
+    ndv an approximate distinct count."""
     fs = present(df, features)
     structs = []
     for f in fs:
@@ -164,21 +164,17 @@ MOMENT_SCHEMA = ("feature string, n long, mean double, std double, std_pop doubl
                  "max double, skew double, kurt double")
 
 
-def collected_moments(df: DataFrame, features: Sequence[str]) -> tuple[DataFrame, str]:
+def collected_moments(df: DataFrame, features: Sequence[str]) -> DataFrame:
     """Moments of every feature as a small in-memory table (one row per
-    feature, collected once) and the quantile method its counts allow."""
+    feature, collected once)."""
     rows = feature_moments(df, features).collect()                     # #features rows
-    # the non-null count bounds the number of distinct values, so it proves
-    # the size of the single-aggregate value map at no extra cost
-    n_max = max([r["n"] or 0 for r in rows], default=0)
-    method = "map" if n_max <= MAX_EXACT_MAP else "ranges"
-    return df.sparkSession.createDataFrame([tuple(r) for r in rows], MOMENT_SCHEMA), method
+    return df.sparkSession.createDataFrame([tuple(r) for r in rows], MOMENT_SCHEMA)
 
 
 def collected_quantiles(df: DataFrame, features: Sequence[str], probs: Sequence[float],
-                        method: str = "auto", approx: bool = False) -> dict[tuple[str, float], float]:
-    """{(feature, p): q} - #features x #probs values, computed in one job."""
-    q = feature_quantiles(df, features, probs, approx=approx, method=method).collect()
+                        approx: bool = False) -> dict[tuple[str, float], float]:
+    """{(feature, p): q} - #features x #probs values."""
+    q = feature_quantiles(df, features, probs, approx=approx).collect()
     return {(r["feature"], float(r["prob"])): r["q"] for r in q}
 
 
@@ -187,8 +183,8 @@ def describe(df: DataFrame, features: Sequence[str] | None = None,
              approx: bool = False) -> DataFrame:
     """A5: count, mean, std, min, 25/50/75 %, max per numeric column."""
     fs = present(df, features) if features else numeric_fields(df)
-    m, method = collected_moments(df, fs)
-    q = collected_quantiles(df, fs, [0.25, 0.5, 0.75], method, approx)
+    m = collected_moments(df, fs)
+    q = collected_quantiles(df, fs, [0.25, 0.5, 0.75], approx)
     j = m.withColumns({nm: F.create_map(*[x for f in fs for x in (F.lit(f), F.lit(q.get((f, p))))])
                        [F.col("feature")].cast("double")
                        for p, nm in ((0.25, "p25"), (0.5, "p50"), (0.75, "p75"))})
@@ -205,10 +201,9 @@ def feature_summary(df: DataFrame, features: Sequence[str]) -> DataFrame:
                     rnd(F.col("max") - F.col("min")).alias("range"))
 
 
-def _bounds(df: DataFrame, fs: Sequence[str], approx: bool, method: str = "auto",
-            whisker: float = 1.5) -> dict[str, tuple[float, float, float, float, float]]:
+def _bounds(df: DataFrame, fs: Sequence[str], approx: bool, whisker: float = 1.5) -> dict[str, tuple[float, float, float, float, float]]:
     """feature -> (q1, median, q3, lower, upper) from one quantile job."""
-    q = collected_quantiles(df, fs, [0.25, 0.5, 0.75], method, approx)
+    q = collected_quantiles(df, fs, [0.25, 0.5, 0.75], approx)
     out = {}
     for f in fs:
         q1, med, q3 = q.get((f, 0.25)), q.get((f, 0.5)), q.get((f, 0.75))
@@ -273,8 +268,8 @@ def feature_deepdive(df: DataFrame, features: Sequence[str], approx: bool = Fals
     feature: moments (one pass), quantiles (one pass), outlier counts (one
     pass)."""
     fs = present(df, features)
-    m, method = collected_moments(df, fs)
-    b = _bounds(df, fs, approx, method)
+    m = collected_moments(df, fs)
+    b = _bounds(df, fs, approx)
     o = _outlier_counts(df, fs, b)
 
     def lut(i):

@@ -24,14 +24,13 @@ from tessellate.operators.quantiles import grouped_quantiles
 
 
 # ------------------------------------------------------------------ quantiles
-@pytest.mark.parametrize("method", ["map", "ranges"])
-def test_quantiles_match_numpy(spark, method):
+def test_quantiles_match_numpy(spark):
     rng = random.Random(7)
     rows = [(g, float(rng.choice([rng.random(), 0.5, 1.0]))) for g in ("a", "b", "c") for _ in range(137)]
     rows += [("d", 3.0)]  # single-value group
     df = spark.createDataFrame(rows, "g string, v double")
     probs = [0.0, 0.1, 0.25, 0.5, 0.75, 0.95, 1.0]
-    got = {(r.g, r.prob): r.q for r in grouped_quantiles(df, "v", probs, ["g"], method=method).collect()}
+    got = {(r.g, r.prob): r.q for r in grouped_quantiles(df, "v", probs, ["g"]).collect()}
     for g in ("a", "b", "c", "d"):
         vals = np.array([v for gg, v in rows if gg == g])
         for p in probs:
@@ -45,7 +44,7 @@ def test_bucketed_feature_quantiles_match_numpy(spark):
     b = np.where(rng.random(3000) < 0.4, 7.0, rng.normal(0, 1, 3000))   # a hot value
     df = spark.createDataFrame([(float(x), float(y)) for x, y in zip(a, b)], "a double, b double")
     probs = [0.0, 0.05, 0.25, 0.5, 0.75, 0.95, 1.0]
-    got = {(r.feature, r.prob): r.q for r in feature_quantiles(df, ["a", "b"], probs, method="buckets").collect()}
+    got = {(r.feature, r.prob): r.q for r in feature_quantiles(df, ["a", "b"], probs).collect()}
     for name, vals in (("a", a), ("b", b)):
         for p in probs:
             assert got[(name, p)] == pytest.approx(float(np.quantile(vals, p)), abs=1e-9)
@@ -53,10 +52,10 @@ def test_bucketed_feature_quantiles_match_numpy(spark):
 
 def test_quantiles_ignore_nulls_and_empty(spark):
     df = spark.createDataFrame([(None,), (1.0,), (3.0,)], "v double")
-    got = grouped_quantiles(df, "v", [0.5], method="ranges").collect()
+    got = grouped_quantiles(df, "v", [0.5]).collect()
     assert got[0].q == 2.0
     empty = spark.createDataFrame([], "v double")
-    assert grouped_quantiles(empty, "v", [0.5], method="ranges").count() == 0
+    assert grouped_quantiles(empty, "v", [0.5]).count() == 0
 
 
 # ------------------------------------------------------------------ stats
@@ -363,7 +362,7 @@ def test_grouped_bucket_quantiles_match_numpy(spark):
         rows += [(g, float(v)) for v in vals]
     df = spark.createDataFrame(rows, "g string, v double")
     probs = [0.0, 0.25, 0.5, 0.9, 1.0]
-    got = {(r.g, r.prob): r.q for r in grouped_quantiles(df, "v", probs, ["g"], method="buckets").collect()}
+    got = {(r.g, r.prob): r.q for r in grouped_quantiles(df, "v", probs, ["g"]).collect()}
     for g in ("hot", "x", "y"):
         vals = np.array([v for gg, v in rows if gg == g])
         for p in probs:
@@ -372,17 +371,39 @@ def test_grouped_bucket_quantiles_match_numpy(spark):
 
 def test_grouped_quantiles_many_groups_fallback(spark, monkeypatch):
     from tessellate.operators import quantiles as QT
-    monkeypatch.setattr(QT, "MAX_SPLIT_GROUPS", 0)      # force the range-slice path
+    monkeypatch.setattr(QT, "bounded_broadcast", lambda t: t)      # the plain join
     rng = np.random.default_rng(13)
     rows = [(int(g), float(v)) for g, v in zip(rng.integers(0, 5, 800), rng.normal(0, 1, 800))]
     df = spark.createDataFrame(rows, "g long, v double")
-    got = {(r.g, r.prob): r.q for r in QT.grouped_quantiles(df, "v", [0.1, 0.5, 0.9], ["g"], method="ranges").collect()}
+    got = {(r.g, r.prob): r.q for r in QT.grouped_quantiles(df, "v", [0.1, 0.5, 0.9], ["g"]).collect()}
     for g in range(5):
         vals = np.array([v for gg, v in rows if gg == g])
         for p in (0.1, 0.5, 0.9):
             assert got[(g, p)] == pytest.approx(float(np.quantile(vals, p)), abs=1e-9)
 
 
+def test_quantiles_of_awkward_doubles(spark):
+    """Every magnitude, both signs, neighbours one bit apart, a hot value, infinities, signed zeros, a null group."""
+    rng = np.random.default_rng(17)
+    wide = rng.choice([-1.0, 1.0], 600) * 10.0 ** rng.uniform(-300, 300, 600)
+    bits = np.nextafter(1.0, 2.0) + np.arange(500) * np.spacing(1.0)
+    near = 1e300 * (1 + np.arange(400) * 2e-16)
+    groups = {"wide": np.concatenate([wide, [5e-324, -5e-324, 1.7976931348623157e308, -1.7976931348623157e308]]),
+              "bits": np.concatenate([bits, np.full(300, bits[7])]), "near": near, "zero": np.array([0.0, -0.0, 0.0, 1e-310]),
+              "inf": np.array([-np.inf, 1.0, 2.0, 3.0, np.inf]), None: rng.normal(size=50)}
+    df = spark.createDataFrame([(g, float(v)) for g, vs in groups.items() for v in vs] + [("none", None)], "g string, v double").repartition(6)
+    probs = [0.0, 0.01, 0.25, 0.5, 0.75, 0.999, 1.0]
+    got = {(r.g, r.prob): r.q for r in grouped_quantiles(df, "v", probs, ["g"]).collect()}
+    assert len(got) == len(groups) * len(probs)
+    for g, vs in groups.items():
+        vs = np.sort(vs)
+        for p in probs:
+            at = (len(vs) - 1) * p
+            lo, hi = vs[int(at)], vs[min(int(at) + 1, len(vs) - 1)]
+            want = lo if lo == hi else lo + (hi - lo) * (at - int(at))
+            assert got[g, p] == want or abs(got[g, p] - want) <= 1e-12 * max(abs(lo), abs(hi)) or (np.isnan(want) and np.isnan(got[g, p])), (g, p)
+
+
 @pytest.mark.parametrize("dims,seed", [(1, 3), (2, 4), (3, 5), (3, 6)])
 def test_grid_dbscan_hot_blob_matches_scan(spark, dims, seed):
     rng = np.random.default_rng(seed)
