@@ -831,7 +831,41 @@ def q_pca(spark, sf):
     return rows
 
 
-@register("pca_variance_orders")
+def _pca_sql(rounds=800):
+    """Two leading eigenvalues of the covariance of the z-scored orders by power
+    iteration: ``eig`` (l1, l2, total)."""
+    fs, d = ORDER_FEATURES, range(len(ORDER_FEATURES))
+    c = {(i, j): f"c{min(i, j)}_{max(i, j)}" for i in d for j in d}
+    cov = ", ".join(f"covar_samp({fs[i]}, {fs[j]}) AS {c[i, j]}" for i in d for j in d if i <= j)
+
+    def iterate(name, matrix):
+        step = ", ".join("(" + " + ".join(f"{matrix[i, j]} * x{j}" for j in d) + f") AS y{i}" for i in d)
+        norm = "sqrt(" + " + ".join(f"y{i} * y{i}" for i in d) + ")"
+        start = ", ".join(f"{1.0 + 0.37 * i}::DOUBLE AS x{i}" for i in d)
+        return (f"{name}(t, {', '.join(f'x{i}' for i in d)}, len) AS (SELECT 0, {start}, 0::DOUBLE UNION ALL "
+                f"SELECT t + 1, {', '.join(f'y{i} / {norm}' for i in d)}, {norm} FROM (SELECT t, {step} FROM {name}, "
+                f"{'cov' if name == 'p1' else 'cov2'} WHERE t < {rounds}) s)")
+
+    deflated = ", ".join(f"{c[i, j]} - len * x{i} * x{j} AS {c[i, j]}" for i in d for j in d if i <= j)
+    return ("WITH RECURSIVE " + ",\n".join([
+        O.ORDER_FEATURES_CTE, O.zscore_cte("z", "ofeat", "o_orderkey", fs), f"cov AS (SELECT {cov} FROM z)", iterate("p1", c),
+        f"cov2 AS (SELECT {deflated} FROM cov, p1 WHERE t = {rounds})", iterate("p2", c),
+        "eig AS (SELECT (SELECT len FROM p1 WHERE t = %d) AS l1, (SELECT len FROM p2 WHERE t = %d) AS l2, %s AS total FROM cov)"
+        % (rounds, rounds, " + ".join(c[i, i] for i in d))]))
+
+
+@register("pca_moments_orders", _pca_sql() + f"\nSELECT {O.r6('l1')} AS var_pc1, {O.r6('l2')} AS var_pc2, 0.0::DOUBLE AS cov, "
+          "0.0::DOUBLE AS mean_pc1, 0.0::DOUBLE AS mean_pc2 FROM eig")
+def q_pca_moments(spark, sf):
+    """The projections have the eigenvalues as variances, no covariance and mean zero."""
+    rows, _ = CH.pca_2d(_zorders(spark, sf), ORDER_FEATURES, "o_orderkey")
+    return rows.agg(*[rnd(e).alias(n) for e, n in (
+        (F.var_samp("pc1"), "var_pc1"), (F.var_samp("pc2"), "var_pc2"), (F.covar_samp("pc1", "pc2"), "cov"),
+        (F.avg("pc1"), "mean_pc1"), (F.avg("pc2"), "mean_pc2"))])
+
+
+@register("pca_variance_orders", _pca_sql() + "\nSELECT 'pc1' AS component, l1 / total AS variance_ratio FROM eig "
+          "UNION ALL SELECT 'pc2', l2 / total FROM eig")
 def q_pca_var(spark, sf):
     _, ratios = CH.pca_2d(clustered_orders(spark, sf), ORDER_FEATURES, "o_orderkey")
     return ratios
@@ -940,6 +974,26 @@ def q_recommend_k(spark, sf):
     return KM.recommend_k(_sweep(spark, sf))
 
 
+def _folded_inertia(k):
+    diffs = " + ".join(f"(e{i} - m{i}) * (e{i} - m{i})" for i in range(EMB_DIMS))
+    means = ", ".join(f"e{i}, avg(e{i}) OVER (PARTITION BY label % {k}) AS m{i}" for i in range(EMB_DIMS))
+    return f"SELECT sum({diffs}) FROM (SELECT {means} FROM emb)"
+
+
+@register("k_recommendation_embeddings", f"WITH {EMB_SQL},\n{_FOLDED},\nsw AS (" + " UNION ALL ".join(
+    f"SELECT {k} AS k, ({_folded_inertia(k)}) AS inertia, {O.r6('avg(s)')} AS silhouette FROM sil_{k}" for k in (2, 3, 4, 5)) +
+    f"),\n{O.elbow_sql('sw')}\nSELECT CAST(elbow_k AS INTEGER) AS elbow_k, "
+    "CAST((SELECT k FROM sw ORDER BY silhouette DESC, k LIMIT 1) AS INTEGER) AS silhouette_k, CAST(elbow_k AS INTEGER) AS recommended_k FROM elbow")
+def q_recommend_given(spark, sf):
+    """Elbow and silhouette choice over the embeddings' labels folded to k groups."""
+    e = _emb(spark, sf)
+    cost = None
+    for k in (2, 3, 4, 5):
+        row = Q.inertia(e.withColumn("label", F.col("label") % k), "label", EMB).select(F.lit(k).alias("k"), "inertia")
+        cost = row if cost is None else cost.unionByName(row)
+    return KM.recommend_k(cost.join(_label_sweep(spark, sf), "k"))
+
+
 @register("k_comparison_orders")
 def q_k_comparison(spark, sf):
     return KM.k_comparison(_zorders(spark, sf), ORDER_FEATURES, "o_orderkey", (3, 6), n_init=5)
@@ -974,6 +1028,18 @@ def q_assign_from_sample(spark, sf):
     return PR.cluster_sizes(out, "cluster")
 
 
+@register("assign_from_sample_labels", "WITH " + ",\n".join([
+    O.ORDER_FEATURES_CTE, O.zscore_cte("z", "ofeat", "o_orderkey", ORDER_FEATURES),
+    f"smp AS (SELECT * FROM z ORDER BY {O.phash('o_orderkey')}, o_orderkey LIMIT 2000)",
+    "cen AS (SELECT CAST(o_orderkey % 3 AS INTEGER) AS cid, " + ", ".join(f"avg({f}) AS {f}" for f in ORDER_FEATURES) + " FROM smp GROUP BY 1)",
+    O.assign_cte("al", "z", "cen", ORDER_FEATURES, 3, "o_orderkey")]) + "\nSELECT o_orderkey, cluster FROM al")
+def q_assign_given(spark, sf):
+    """Centroids of a sample with given labels, then the nearest for every order."""
+    z = _zorders(spark, sf)
+    smp = SM.uniform_sample(z, 2000, "o_orderkey").withColumn("cluster", (F.col("o_orderkey") % 3).cast("int"))
+    return A.assign_from_sample(z, smp, ORDER_FEATURES, "cluster", 3).select("o_orderkey", "cluster")
+
+
 # ====================================================================== sources, sinks, reports
 from pyspark.sql.types import (DoubleType, IntegerType, LongType, StringType,  # noqa: E402
                                StructField, StructType)
