@@ -8,6 +8,7 @@ from collections.abc import Callable
 
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,6 +49,27 @@ def free_name(df: DataFrame, stem: str) -> str:
     return name
 
 
+def located(docs: DataFrame) -> tuple[DataFrame, list[str]]:
+    """``docs`` with columns that name each row for good, and their names: file
+    and row of a Parquet scan (the same whatever the splits and executors), else a
+    number that is written with the rows once."""
+    if "_metadata" not in {c.lower() for c in docs.columns}:
+        names = [free_name(docs, "file_"), free_name(docs, "place_")]
+        try:
+            return docs.withColumns({n: F.col(f"_metadata.{c}") for n, c in zip(names, ("file_path", "row_index"))}), names
+        except AnalysisException:  # not a scan of Parquet files
+            pass
+    number = free_name(docs, "place_")
+    return written(docs.withColumn(number, F.monotonically_increasing_id()), "located"), [number]
+
+
+def only(rows: DataFrame, names: list[str], kept: DataFrame) -> DataFrame:
+    """The rows named in ``kept`` (columns ``names``).  Whole rows cross one
+    shuffle and are not sorted; a task holds the names of its share."""
+    return rows.join(kept.select(*names).hint("shuffle_hash"), names, "left_semi").select(
+        *(c for c in rows.columns if c not in names))
+
+
 def text_or_empty(c: str | Column) -> Column:
     return F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
 

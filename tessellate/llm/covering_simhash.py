@@ -21,7 +21,7 @@ is there.
 from __future__ import annotations
 
 import functools
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import free_name, release, slices, texts_to_python, written
+from .common import located, only, release, slices, texts_to_python, written
 from .components import components
 
 SEED = 42
@@ -57,17 +57,19 @@ def fingerprint(text: str, shingle: int = 3, seed: int = SEED, block: int = 1 <<
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """(id, fp): the fingerprint of each row as a signed long."""
-    schema = T.StructType([T.StructField(id_col, df.schema[id_col].dataType), T.StructField("fp", T.LongType())])
+def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3,
+                 carry: Sequence[str] = ()) -> DataFrame:
+    """(id, fp, columns of ``carry``): the fingerprint of each row as a signed long."""
+    schema = T.StructType([T.StructField(id_col, df.schema[id_col].dataType), T.StructField("fp", T.LongType()),
+                           *(df.schema[c] for c in carry)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
         for batch in slices(batches):
             fps = np.array([fingerprint(t.as_py() or "", shingle) for t in batch.column(1)], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=schema.names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64)), *batch.columns[2:]], names=schema.names)
 
-    return texts_to_python(df, id_col, text_col).mapInArrow(run, schema)
+    return texts_to_python(df, id_col, text_col, *carry).mapInArrow(run, schema)
 
 
 def covering_masks(positions: list[int], radius: int) -> list[int]:
@@ -194,23 +196,27 @@ def near_links(distinct: DataFrame, radius: int = 3, largest: int = MAX_BUCKET)
             return found
 
 
+def _members(fps: DataFrame, first: list, radius: int, largest: int) -> tuple[DataFrame, DataFrame]:
+    """(fp, component) of the distinct fingerprints, and (component, first): the
+    first of its rows in the order of the columns ``first``."""
+    distinct = written(fps.groupBy("fp").agg(F.min(F.struct(*first)).alias("first")), "simhash-distinct")
+    group = components(near_links(distinct, radius, largest), "fp", "link")
+    member = written(distinct.hint("merge").join(group, distinct["fp"] == group["node"], "left")
+                     .select("fp", "first", F.coalesce("component", "fp").alias("component")), "simhash-members")
+    smallest = written(member.groupBy("component").agg(F.min("first").alias("first")), "simhash-smallest")
+    return member, smallest
+
+
 def simhash_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3,
                    radius: int = 3, largest: int = MAX_BUCKET) -> DataFrame:
     """One row per row of ``df``: id, fp (signed long), component_id (smallest
-    id reachable over links of at most ``radius`` differing bits) and keep_fp
-    (the fingerprint of the row that carries it)."""
+    id reachable over links of at most ``radius`` differing bits)."""
     fps = written(fingerprints(df, id_col, text_col, shingle), "simhash-fps")
-    distinct = written(fps.groupBy("fp").agg(F.min(id_col).alias("first_id")), "simhash-distinct")
-    group = components(near_links(distinct, radius, largest), "fp", "link")
-    member = written(distinct.hint("merge").join(group, distinct["fp"] == group["node"], "left")
-                     .select("fp", "first_id", F.coalesce("component", "fp").alias("component")), "simhash-members")
-    smallest = written(member.groupBy("component").agg(
-        F.min(F.struct(F.col("first_id").isNull().alias("none"), "first_id", "fp")).alias("first")), "simhash-smallest")
-    decided = written(member.hint("merge").join(smallest, "component")
-                      .select(F.col("fp").alias("fp_"), F.col("first.first_id").alias("component_id"),
-                              F.col("first.fp").alias("keep_fp")), "simhash-decided")
+    member, smallest = _members(fps, [F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id")], radius, largest)
+    decided = written(member.drop("first").hint("merge").join(smallest, "component")
+                      .select(F.col("fp").alias("fp_"), F.col("first.id").alias("component_id")), "simhash-decided")
     return (fps.hint("merge").join(decided, fps["fp"] == decided["fp_"])
-            .select(id_col, "fp", "component_id", "keep_fp"))
+            .select(id_col, "fp", "component_id"))
 
 
 def hex_fingerprint(fp: str | Column) -> Column:
@@ -219,21 +225,12 @@ def hex_fingerprint(fp: str | Column) -> Column:
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3,
-                radius: int = 3) -> DataFrame:
+                radius: int = 3, largest: int = MAX_BUCKET) -> DataFrame:
     """The rows of ``docs`` that stay, one of each group (that of the smallest
-    id; of repeated rows one), with their columns."""
-    groups = simhash_groups(docs, id_col, text_col, shingle, radius)
-    fp, keep, keep_fp = (free_name(docs, n) for n in ("fp_", "keep_", "keepfp_"))
-    stay = groups.select(F.col("component_id").alias(keep), F.col("keep_fp").alias(keep_fp)).distinct()
-    at = docs.columns.index(text_col)
-    schema = T.StructType([*docs.schema.fields, T.StructField(fp, T.LongType())])
-
-    def tag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release()
-        for batch in slices(batches):
-            fps = np.array([fingerprint(t.as_py() or "", shingle) for t in batch.column(at)], np.uint64)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fps.view(np.int64))], names=schema.names)
-
-    tagged = texts_to_python(docs).mapInArrow(tag, schema)
-    joined = tagged.join(stay, tagged[id_col].eqNullSafe(stay[keep]) & (tagged[fp] == stay[keep_fp]), "left_semi")
-    return joined.dropDuplicates([id_col, fp]).select(*(joined[c] for c in docs.columns))
+    id; of repeated rows the first by its place), with their columns.  Texts are
+    fingerprinted once, decided on by the rows' names and moved once."""
+    rows, names = located(docs)
+    fps = written(fingerprints(rows, id_col, text_col, shingle, carry=names), "simhash-fps")
+    first = [F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), *names]
+    _, smallest = _members(fps, first, radius, largest)
+    return only(rows, names, smallest.select(*(F.col(f"first.{n}") for n in names)))

@@ -13,12 +13,13 @@ stays (a null id only if there is no other); of repeated rows of that id, one.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from .common import free_name, text_or_empty, written
+from .common import located, only, text_or_empty, written
 
 
 def normalised(text: str | Column) -> Column:
@@ -44,14 +45,17 @@ class DigestIndex:
     def table(self) -> DataFrame:
         return self.spark.table(self.name)
 
-    def absorb(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    def absorb(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: Sequence[str] = ()) -> DataFrame:
         """Decide over a batch and append its new digests.  One row per row of
         ``docs``: id, keep_id, group_size (rows of the batch with that text,
-        plus one when an earlier batch holds it), kept, text_sha256."""
+        plus one when an earlier batch holds it), kept, text_sha256, and the
+        columns ``carry`` of ``docs``; of repeated rows of an id the first by them stays."""
+        carried = [f"carried_{i}" for i in range(len(carry))]
         rows = written(docs.select(F.col(id_col).alias("id"), text_digest(text_col).alias("digest"),
-                                   F.monotonically_increasing_id().alias("row_no")), "digests")
+                                   F.monotonically_increasing_id().alias("row_no"),
+                                   *(F.col(c).alias(n) for c, n in zip(carry, carried))), "digests")
         groups = rows.groupBy("digest").agg(
-            F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "row_no")).alias("first"),
+            F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", *carried, "row_no")).alias("first"),
             F.count(F.lit(1)).alias("n"))
         batch = written(groups.select("digest", "n", F.col("first.id").alias("first_id"),
                                       F.col("first.row_no").alias("first_row")), "digest-groups")
@@ -66,14 +70,12 @@ class DigestIndex:
             F.col("id").alias(id_col), keep.alias("keep_id"),
             (F.col("n") + F.col("known").cast("long")).alias("group_size"),
             (~F.col("known") & (F.col("row_no") == F.col("first_row"))).alias("kept"),
-            F.col("digest").alias("text_sha256"))
+            F.col("digest").alias("text_sha256"), *(F.col(n).alias(c) for c, n in zip(carry, carried)))
 
 
 def deduplicate(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with their columns."""
-    decisions = index.absorb(docs, id_col, text_col).where("kept")
-    digest, keep = free_name(docs, "digest_"), free_name(docs, "keep_")
-    stay = decisions.select(F.col(id_col).alias(keep), F.col("text_sha256").alias(digest))
-    tagged = docs.withColumn(digest, text_digest(text_col))
-    joined = tagged.join(stay, (tagged[id_col].eqNullSafe(stay[keep])) & (tagged[digest] == stay[digest]), "left_semi")
-    return joined.dropDuplicates([id_col, digest]).select(*(joined[c] for c in docs.columns))
+    """The rows of ``docs`` that stay, with their columns.  Texts are read for
+    their digests, decided on by the rows' names and moved once."""
+    rows, names = located(docs)
+    kept = index.absorb(rows, id_col, text_col, carry=names).where("kept")
+    return only(rows, names, kept)
