@@ -5,8 +5,12 @@ the row), one small pre-aggregated table.  Bytes that stay cost nothing, bytes
 that move cost one each; the minimum-cost flow from old shard sizes to new
 capacities says how much each shard keeps and sends where.  Whole blocks are
 transferred; a block that a boundary of the flow crosses is split by rows.
-What rounding to rows leaves is settled with a bounded number of small rows
-per shard.  Only files of shards that gain or lose rows are rewritten.
+What rounding to rows leaves is settled in rounds: rows are counted by shard and
+size class (an eighth of a power of two), the counts say how many rows of which
+class go from shards above their target to shards below, and so many are taken
+by their place in shard and class; rounds go on while they narrow the spread.  A
+last few rows of every class are then exchanged one by one.  Only files of shards
+that gain or lose rows are rewritten.
 
 A row's size is the UTF-8 length of its text plus 1 (null: 1).  Null ids,
 repeated rows and ties are rows like any others; every row gets one place.
@@ -15,15 +19,18 @@ repeated rows and ties are rows like any others; every row gets one place.
 from __future__ import annotations
 
 import bisect
+import itertools
 from collections import defaultdict
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, located, written
+from .ordered import numbered, same
 
 BLOCKS_PER_SHARD = 256
-SETTLE_ROWS = 512
+CLASS_ROWS = 4  # rows of each shard and size class that may be exchanged singly
+CLASSES = 8      # per power of two
 SLOT_BLOCKS = 64
 
 
@@ -130,12 +137,76 @@ def settle(sizes: dict[int, int], targets: dict[int, int], pool: dict[int, list[
     return moved
 
 
-def reshard(rows: DataFrame, shards: int, blocks_per_shard: int = BLOCKS_PER_SHARD, settle_rows: int = SETTLE_ROWS,
+def class_moves(over: dict[int, int], counts: dict[tuple[int, int], tuple[int, int]]) -> dict[tuple[int, int], list[tuple[int, int]]]:
+    """(shard, class) -> [(rows, new shard)]: how many rows of which size class go
+    where, by their mean size; ``over`` is each shard's size above its target and
+    ``counts`` the rows and bytes of each shard and class.  Larger rows go first,
+    never more than what either side is off by."""
+    over, left = dict(over), {k: n for k, (n, _) in counts.items()}
+    classes: dict[int, list[int]] = defaultdict(list)
+    for shard, c in sorted(counts, reverse=True):
+        classes[shard].append(c)
+    moves: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
+    for _ in range(4 * len(over)):
+        a, b = max(over, key=lambda j: (over[j], j)), min(over, key=lambda j: (over[j], j))
+        room = min(over[a], -over[b]) if over[a] > 0 > over[b] else 0
+        sent = 0
+        for c in classes[a]:
+            n, size = counts[a, c]
+            k = min(left[a, c], int((room - sent) * n // size))
+            if k > 0:
+                moves[a, c].append((k, b))
+                left[a, c] -= k
+                sent += k * size // n
+        if not sent:
+            break
+        over[a] -= sent
+        over[b] += sent
+    return moves
+
+
+def _settled(placed: DataFrame, targets: dict[int, int]) -> DataFrame:
+    """``placed`` with the shards brought to their targets by rounds of class
+    moves (a written table each), as long as a round narrows the spread."""
+    spark = placed.sparkSession
+    kind = F.floor(F.log2(F.col("size")) * CLASSES).cast("int")
+
+    def state(rows):
+        counts = {(r["shard"], r["kind"]): (r["n"], r["bytes"]) for r in rows.groupBy("shard", kind.alias("kind")).agg(
+            F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes")).collect()}  # shards x classes rows
+        over = {j: -t for j, t in targets.items()}
+        for (j, _), (_, size) in counts.items():
+            over[j] += size
+        return counts, over, max(over.values(), default=0) - min(over.values(), default=0)
+
+    counts, over, spread = state(placed)
+    while True:
+        moves = class_moves(over, counts)
+        if not moves:
+            return placed
+        ends = [(j, c, list(itertools.accumulate(n for n, _ in m)), [to for _, to in m]) for (j, c), m in moves.items()]
+        plan = spark.createDataFrame(ends, "shard int, kind int, ends array<long>, to array<int>")
+        rows = placed.withColumn("kind", kind)
+        stay = rows.join(F.broadcast(plan), ["shard", "kind"], "left_anti").select(placed.columns)  # shards x classes rows
+        place = F.row_number().over(Window.partitionBy("shard", "kind").orderBy("row"))
+        picked = (rows.join(F.broadcast(plan), ["shard", "kind"]).withColumn("place", place)
+                  .withColumn("part", F.size(F.filter("ends", lambda e: e < F.col("place"))))
+                  .withColumn("shard", F.coalesce(F.get("to", F.col("part")), F.col("shard"))).select(placed.columns))
+        after = written(stay.unionByName(picked), "reshard")
+        counts, over, narrower = state(after)
+        if narrower >= spread:
+            discard(after)
+            return placed
+        discard(placed)
+        placed, spread = after, narrower
+
+
+def reshard(rows: DataFrame, shards: int, blocks_per_shard: int = BLOCKS_PER_SHARD, class_rows: int = CLASS_ROWS,
             slot_blocks: int = SLOT_BLOCKS) -> DataFrame:
     """``rows``: (row, size, old_shard, ...) with a distinct ``row`` per row.
     Returns ``rows`` with shard (0 .. shards-1) and slot (gapless from 0 in
-    each shard).  What the driver sees are sums per block and at most
-    ``settle_rows`` rows per shard."""
+    each shard).  What the driver sees are sums per block, counts per shard and
+    size class and ``class_rows`` rows of each of these."""
     spark = rows.sparkSession
     rows = rows.withColumn("block", F.pmod(F.xxhash64("row"), F.lit(blocks_per_shard)).cast("int"))
     sums = [(r["old_shard"], r["block"], r["bytes"]) for r in
@@ -159,13 +230,15 @@ def reshard(rows: DataFrame, shards: int, blocks_per_shard: int = BLOCKS_PER_SHA
                .drop("edges", "to", "middle", "part"))
     placed = written(inside.select(*rows.columns, "shard").unionByName(crossed.select(*rows.columns, "shard")), "reshard")
 
+    placed = _settled(placed, targets)
     now = {r["shard"]: r["bytes"] for r in placed.groupBy("shard").agg(F.sum("size").alias("bytes")).collect()}
-    rank = F.row_number().over(Window.partitionBy("shard").orderBy("size", "row"))
+    kind = F.floor(F.log2(F.col("size")) * CLASSES)
+    rank = F.row_number().over(Window.partitionBy("shard", kind).orderBy("row"))
     pool = defaultdict(list)
-    for r in placed.select("shard", "size", "row", rank.alias("k")).where(F.col("k") <= settle_rows).collect():
+    for r in placed.select("shard", "size", "row", rank.alias("k")).where(F.col("k") <= class_rows).collect():
         pool[r["shard"]].append((r["size"], r["row"]))
     moves = spark.createDataFrame(list(settle(now, targets, pool).items()), "row long, to int")
-    final = (placed.join(F.broadcast(moves), "row", "left")  # settle_rows x shards rows
+    final = (placed.join(F.broadcast(moves), "row", "left")  # class_rows rows of each shard and class
              .withColumn("shard", F.coalesce("to", "shard")).drop("to", "block")
              .withColumn("block", F.pmod(F.xxhash64("row"), F.lit(slot_blocks)).cast("int")))
     ahead = F.sum("n").over(Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
@@ -177,32 +250,42 @@ def reshard(rows: DataFrame, shards: int, blocks_per_shard: int = BLOCKS_PER_SHA
             .drop("block", "base", "number"))
 
 
+def sized(text_col: str) -> list:
+    """Size and checksum of a text."""
+    text = F.col(text_col)
+    return [(F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("size"),
+            F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32")]
+
+
 def sized_rows(docs: DataFrame, old_shards: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(row, id, size, text_crc32, old_shard) of a table laid out in
     ``old_shards`` shards by a hash of the id; written once, so that row numbers hold."""
-    text = F.col(text_col)
     return written(docs.select(
-        F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"),
-        (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("size"),
-        F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"),
+        F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), *sized(text_col),
         F.pmod(F.xxhash64(id_col), F.lit(old_shards)).cast("int").alias("old_shard")), "sized-rows")
 
 
-def rewrite(old_root: str, placed: DataFrame, new_root: str, id_col: str = "doc_id") -> DataFrame:
+def rewrite(old_root: str, placed: DataFrame, new_root: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rewrite the files of a table partitioned by ``shard`` under ``old_root``.
 
     Shards that gain or lose rows are written to ``new_root``; the others stay
-    where they are.  Rows of one id in one old shard move together.  Returns
-    the manifest (shard, path, rewritten) that together is the new table."""
+    where they are.  Rows are told apart by id, size and checksum; of rows alike
+    in these, as many go to each shard as ``placed`` says.  Returns the manifest
+    (shard, path, rewritten) that together is the new table."""
     spark = placed.sparkSession
     pairs = [(r["old_shard"], r["shard"]) for r in placed.select("old_shard", "shard").distinct().collect()]  # shards squared
     touched = sorted({s for a, b in pairs if a != b for s in (a, b)})
     sources = sorted({a for a, _ in pairs if a in touched})
-    place = placed.groupBy(F.col("id").alias("id_"), F.col("old_shard").alias("old_")).agg(F.min("shard").alias("to_"))
     if touched:
-        old = spark.read.parquet(old_root).where(F.col("shard").isin(sources))
-        moved = old.join(place, old[id_col].eqNullSafe(place["id_"]) & (old["shard"] == place["old_"]))
-        (moved.withColumn("shard", F.col("to_")).drop("id_", "old_", "to_")
+        old, names = located(spark.read.parquet(old_root).where(F.col("shard").isin(sources)))
+        alike = ["old_shard", "id", "size", "text_crc32"]
+        there = numbered(old.select(F.col("shard").alias("old_shard"), F.col(id_col).alias("id"), *sized(text_col), *names),
+                         alike, names, "rewrite-old")
+        goes = numbered(placed.where(F.col("old_shard").isin(sources)).select(*alike, "shard", "slot"),
+                        alike, ["shard", "slot"], "rewrite-new")
+        to = there.join(goes, same(there, goes, [*alike, "pos"])).select(*(there[n] for n in names), goes["shard"].alias("to_"))
+        moved = old.join(to, names)
+        (moved.withColumn("shard", F.col("to_")).drop("to_", *names)
          .write.partitionBy("shard").parquet(new_root))
     every = sorted({b for _, b in pairs} | set(touched))
     return spark.createDataFrame([(s, f"{new_root if s in touched else old_root}/shard={s}", s in touched) for s in every],
