@@ -77,11 +77,12 @@ def text_or_empty(c: str | Column) -> Column:
 class GenerationCache(dict):
     """dict that fills itself with ``compute(key)`` and holds at most two
     generations of ``limit`` entries, so memory stays bounded while frequent
-    keys stay in."""
+    keys stay in.  Text keys longer than ``longest`` are never kept (a whole text
+    can be one chunk), so that the bytes are bounded too."""
 
-    def __init__(self, compute: Callable, limit: int):
+    def __init__(self, compute: Callable, limit: int, longest: int | None = None):
         super().__init__()
-        self.compute, self.limit, self.old = compute, limit, {}
+        self.compute, self.limit, self.longest, self.old = compute, limit, longest, {}
 
     def __missing__(self, key):
         value = self.old.get(key)
@@ -91,6 +92,8 @@ class GenerationCache(dict):
         return value
 
     def put(self, key, value) -> None:
+        if self.longest is not None and len(key) > self.longest:
+            return
         if len(self) >= self.limit:
             self.old = dict(self)
             self.clear()
@@ -137,22 +140,29 @@ def chunk_of(key: str) -> str:
 
 class ChunkTable:
     """Values of chunks under one encoder, computed for the distinct missing
-    chunks of a block of texts at a time and kept in a bounded cache.
+    chunks of a block of texts at a time and kept in a cache that is bounded in
+    entries and in the length of a key; longer chunks live as long as their block.
     Subclasses give ``values(keys) -> dict``."""
 
     BLOCK_CHARS = 4_000_000
+    LONGEST_KEY = 64
 
     def __init__(self, entries: int):
-        self.cache = GenerationCache(lambda k: self.values([k])[k], entries)
+        self.passing: dict = {}
+        self.cache = GenerationCache(lambda k: self.passing[k] if k in self.passing else self.values([k])[k], entries, self.LONGEST_KEY)
 
     def values(self, keys: list[str]) -> dict:
         raise NotImplementedError
 
     def prepare(self, key_lists: list[list[str]]) -> None:
+        self.passing = {}
         missing = [k for k in set().union(*key_lists) if self.cache.lacks(k)]
         if missing:
             for k, v in self.values(missing).items():
-                self.cache.put(k, v)
+                if len(k) > self.LONGEST_KEY:
+                    self.passing[k] = v
+                else:
+                    self.cache.put(k, v)
 
     def blocks(self, texts: list[str], keys=chunk_keys):
         """The texts in order, each as its list of chunk keys, after the block

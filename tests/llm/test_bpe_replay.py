@@ -52,3 +52,15 @@ def test_edge_rows_round_trip(spark):
     rows = decode(encode(edge.docs(spark), path, P.PATTERN), path, P.PATTERN).collect()
     assert sorted(bytes(r["decoded"]).decode() for r in rows) == sorted(t[1] or "" for t in edge.DOCS)
     assert encode(edge.empty(spark), path, P.PATTERN).count() == 0
+
+
+def test_whole_texts_are_never_kept():
+    """Texts with odd space and texts without any space are one chunk each: encoded, not cached."""
+    enc, replay = library("byte_bpe_50k.tiktoken"), MergeReplay(tokenizer_data(P.path("byte_bpe_50k.tiktoken"), P.PATTERN))
+    texts = [f"a text {i} with a joiner \u200d and words enough to be a long one, longer than any word is" for i in range(50)]
+    texts += ["無" * 200 + str(i) for i in range(50)] + ["plain words beside them"]
+    for text, ids in zip(texts, replay.encode(texts)):
+        assert np.frombuffer(ids, "<u4").tolist() == enc.encode_ordinary(text)
+    assert 0 < len(replay.cache) < 120 and max(map(len, replay.cache)) <= 64
+    list(replay.encode(["plain"]))
+    assert replay.passing == {}
