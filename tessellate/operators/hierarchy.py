@@ -18,6 +18,10 @@ handled on the driver.
 
 ``bisecting`` is the other way round (SURVEY C8 b): a divisive tree over all
 rows.  Each level halves the costliest leaves, all of them in the same jobs.
+
+``single_linkage`` needs no summary: its merges are the edges of a minimum
+spanning tree over all rows, grown by components that each take their least
+outgoing edge (Boruvka), found through the cells of ``metric``.
 """
 
 from __future__ import annotations
@@ -35,7 +39,8 @@ from pyspark.sql import types as T
 from ..functions.columns import present
 from ..session import cut_lineage
 from .lloyd import Tree, means, totals
-from .metric import finite, keyed, matrix
+from .metric import Pivots, finite, keyed, matrix, nearest_other, tile_size
+from .ordered import numbered
 
 LINKAGES = ("ward", "complete", "average", "single")
 
@@ -237,6 +242,63 @@ def bisecting(df: DataFrame, features: Sequence[str], k: int, id_col: str, n_ite
     return rows.select("id", "x").mapInArrow(label, schema), df.sparkSession.createDataFrame(nodes, columns)
 
 
+def spanning_tree(df: DataFrame, features: Sequence[str], id_col: str, tile_rows: int | None = None) -> DataFrame:
+    """(a, b, distance), a < b: the minimum spanning tree of the rows by
+    Euclidean distance, ties by the ids.  Rows have distinct ids and finite
+    features.  In each round every component takes its least outgoing edge, so
+    their number halves at least; labels and edges of a round are checkpointed."""
+    from .dbscan import connected_components
+    fs = present(df, features)
+    d = len(fs)
+    rows = keyed(df, fs, id=id_col)
+    pivots = Pivots.of(rows, d, tile_rows or tile_size(d))
+    kind = rows.schema["id"].dataType.simpleString()
+    tree = df.sparkSession.createDataFrame([], f"a {kind}, b {kind}, distance double")
+    labels = rows.select("id", F.col("id").alias("comp"))
+    while len(pivots):
+        least = cut_lineage(nearest_other(rows.join(labels, "id").select("row", "id", "comp", "x"), pivots, d, tile_rows))
+        if least.isEmpty():
+            break
+        tree = tree.union(least.select("a", "b", "distance").distinct())
+        ends = (least.join(labels.select(F.col("id").alias("a"), F.col("comp").alias("src")), "a")
+                .join(labels.select(F.col("id").alias("b"), F.col("comp").alias("dst")), "b").select("src", "dst"))
+        merged = connected_components(least.select(F.col("comp").alias("id")), ends)
+        labels = cut_lineage(labels.join(merged.select(F.col("id").alias("comp"), F.col("comp").alias("_to")), "comp")
+                             .select("id", F.col("_to").alias("comp")))
+    return tree
+
+
+def single_linkage(df: DataFrame, features: Sequence[str], id_col: str, k: int | None = None, height: float | None = None,
+                   tile_rows: int | None = None, tree: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """C8 ``single`` on raw rows: (labels (id, cluster), tree (a, b, distance)).
+    A tree of an earlier call over the same rows is taken as it is.
+
+    The tree's edges in rising order are the merges.  It is cut into ``k`` clusters
+    (its k - 1 largest edges go, ties by the ids) or at ``height`` (edges beyond it
+    go).  Clusters are numbered by their smallest id.  Rows of equal features are
+    one point of the tree; rows with a null, NaN or infinite feature are left out."""
+    from .dbscan import _distinct_points, connected_components
+    if (k is None) == (height is None):
+        raise ValueError("give k or height")
+    fs = present(df, features)
+    points, point_of = _distinct_points(df.where(finite(fs) & F.col(id_col).isNotNull()), fs, id_col)
+    if tree is None:
+        tree = cut_lineage(spanning_tree(points, fs, "p", tile_rows))
+    kept = tree
+    if height is not None:
+        kept = tree.where(F.col("distance") <= float(height))
+    elif k > 1:
+        edge = F.struct("distance", "a", "b")
+        cut = tree.select(edge.alias("e")).orderBy(F.desc("e")).limit(k - 1).agg(F.min("e").alias("e")).first()["e"]  # k - 1 edges
+        if cut is not None:
+            kept = tree.where(edge < F.struct(*(F.lit(v).cast(tree.schema[c].dataType).alias(c) for c, v in zip(("distance", "a", "b"), cut))))
+    comp = connected_components(points.select(F.col("p").alias("id")), kept.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    number = numbered(comp.select("comp").distinct(), ["comp"], "cluster")
+    labels = (point_of.join(comp.select(F.col("id").alias("p"), "comp"), "p").join(number, "comp")
+              .select(F.col("id").alias(id_col), F.col("cluster").cast("int").alias("cluster")))
+    return labels, tree
+
+
 def dendrogram_table(dendro: DataFrame, last_p: int = 30, colour_ratio: float = 0.7) -> DataFrame:
     """The last ``p`` merges, flagged above ``colour_ratio`` x max height."""
     n = dendro.agg(F.max("merge_no").alias("n")).scalar()

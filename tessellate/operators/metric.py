@@ -197,14 +197,16 @@ def meet(seekers: DataFrame, tiles: DataFrame, pivots: Pivots, within: bool, rea
     ``within``, pivot distances no further apart than the seekers reach.  The
     index (one row per tile) decides; the tiles then meet by number."""
     s = seekers.select(*(F.col(c).alias(f"s_{c}") for c in seekers.columns))
-    index = tiles.select("cell", *(["grp"] if within else []), *INDEX, "n")
+    index = tiles.select("cell", *(["grp"] if within else []), *(["only"] if "only" in tiles.columns else []), *INDEX, "n")
     far = F.lit(reach) if reach is not None else F.col("s_top")
     far = far + SLACK * (F.col("s_hi") + F.col("hi") + pivots.scale())
     on = (F.col("cell") == F.col("s_cell")) & (F.col("s_lo") - F.col("hi") <= far) & (F.col("lo") - F.col("s_hi") <= far)
     if within:
         on = on & (F.col("s_grp").isNull() | (F.col("grp") == F.col("s_grp")))
+    if "only" in tiles.columns:  # tiles of one component have nothing for each other
+        on = on & F.coalesce(F.col("s_only") != F.col("only"), F.lit(True))
     listed = s.join(index, on).select(*s.columns, F.col("tile").alias("with"), F.col("n").alias("with_n"))
-    return listed.join(tiles.drop("cell", "grp", "lo", "hi", "top", "n"), F.col("with") == F.col("tile")).drop("tile")
+    return listed.join(tiles.drop("cell", "grp", "only", "lo", "hi", "top", "n"), F.col("with") == F.col("tile")).drop("tile")
 
 
 def seek(rows: DataFrame, d: int, reaching: Callable[[pa.RecordBatch, np.ndarray], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
@@ -413,3 +415,78 @@ def nearest_candidates(x: np.ndarray, y: np.ndarray, k: int) -> tuple[np.ndarray
     limit = np.partition(d2, min(k, len(y)) - 1, axis=1)[:, min(k, len(y)) - 1]
     slack = 1e-12 * ((u * u).sum(axis=1) + (v * v).sum(axis=1).max())
     return np.nonzero(d2 <= (limit * (1 + 1e-9) + 2 * slack)[:, None])
+
+
+# ------------------------------------------------------------------ the nearest row of another component
+def nearest_other(rows: DataFrame, pivots: Pivots, d: int, tile_rows: int | None = None) -> DataFrame:
+    """(comp, distance, a, b): per component of ``rows`` (row, id, comp, x) the
+    least pair (distance, smaller id, larger id) of a row in it and one outside.
+
+    Rows search the two nearest cells first; the least distance found by any row
+    of a component bounds the further search of all of them.  Tiles within one
+    component are never compared."""
+    size = tile_rows or tile_size(d)
+    m = len(pivots)
+
+    def tiled(found):
+        made = packed(found, ["cell"], ["id", "comp"], d, size)
+        one = F.array_min("comp")
+        return made.withColumn("only", F.when(one == F.array_max("comp"), one))
+
+    tiles = cut_lineage(tiled(homes(rows, pivots, d)))
+    n, near, far = radii(tiles, m)
+    kinds = {f.name: f.dataType for f in rows.schema}
+    schema = T.StructType([T.StructField("comp", kinds["comp"]), T.StructField("distance", T.DoubleType()),
+                           T.StructField("a", kinds["id"]), T.StructField("b", kinds["id"])])
+    id_type, comp_type = to_arrow_type(kinds["id"]), to_arrow_type(kinds["comp"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for t in range(b.num_rows):
+                sid, scomp, sx, ids, comp, ys = (b.column(c)[t] for c in range(6))
+                x, y = (np.frombuffer(v.as_py()).reshape(-1, d) for v in (sx, ys))
+                code = pa.concat_arrays([scomp.values.cast(comp_type), comp.values.cast(comp_type)]).dictionary_encode().indices.to_numpy()
+                mine, theirs = code[:len(x)], code[len(x):]
+                rank_of = np.empty(len(y), np.int64)
+                rank_of[pc.array_sort_indices(ids.values).to_numpy()] = np.arange(len(y))
+                centre = y.mean(axis=0)
+                u, v = x - centre, y - centre
+                d2 = products(u, v)
+                d2[mine[:, None] == theirs[None, :]] = np.inf
+                low = d2.min(axis=1)
+                slack = 2e-12 * ((u * u).sum(axis=1) + (v * v).sum(axis=1).max())
+                i, j = np.nonzero((d2 <= (low * (1 + 1e-9) + slack)[:, None]) & np.isfinite(d2))
+                if not len(i):
+                    continue
+                dist = np.sqrt(exact(x[i], y[j]))
+                order = np.lexsort((rank_of[j], dist, i))
+                first = order[np.unique(i[order], return_index=True)[1]]
+                one, two = sid.values.take(pa.array(i[first])).cast(id_type), ids.values.take(pa.array(j[first])).cast(id_type)
+                yield pa.RecordBatch.from_arrays([scomp.values.take(pa.array(i[first])).cast(comp_type), pa.array(dist[first]), one, two],
+                                                 names=schema.names)
+
+    def search(found: DataFrame) -> DataFrame:
+        sought = tiled(found)
+        pairs = meet(sought, tiles, pivots, False).select("s_id", "s_comp", "s_x", "id", "comp", "x").mapInArrow(run, schema)
+        return pairs.groupBy("comp").agg(F.min(F.struct("distance", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).alias("e"))
+
+    def nearest_two(x):
+        dist = pivots.distances(x)
+        wanted = np.zeros(dist.shape, bool)
+        np.put_along_axis(wanted, np.argsort(np.where(n[None, :] > 0, dist, np.inf), axis=1)[:, :2], True, axis=1)
+        return dist, wanted & (n > 0)
+
+    first = cut_lineage(search(seek(rows, d, lambda b, x: nearest_two(x))))
+    if m > 2:
+        bound = first.select(F.col("comp").alias("of"), F.col("e.distance").alias("reach"))
+        again = rows.join(bound, F.col("comp") == F.col("of"), "left").drop("of").withColumn(
+            "reach", F.coalesce("reach", F.lit(float("inf"))))
+        at = again.columns.index("reach")
+
+        def others(b, x):
+            dist, low = pivots.bounds(x, near, far)
+            reach = b.column(at).to_numpy(zero_copy_only=False)
+            return dist, (low <= reach[:, None]) & ~nearest_two(x)[1] & (n > 0)
+
+        first = first.union(search(seek(again, d, others))).groupBy("comp").agg(F.min("e").alias("e"))
+    return first.select("comp", "e.distance", "e.a", "e.b")

@@ -1012,6 +1012,17 @@ def q_bisecting(spark, sf):
     return tree.where("cluster is not null").select("cluster", "depth", "size", rnd(F.col("cost")).alias("cost"))
 
 
+_LINKED = O.dbscan_sql(list(range(64)), 1.05, 1)
+
+
+@register("single_linkage_embeddings_h", _LINKED.replace("\nSELECT p.vec_id, CAST(", "\n, res AS (SELECT p.vec_id, CAST(", 1)
+          + ")\nSELECT vec_id, cluster FROM res")
+def q_single_linkage(spark, sf):
+    """Single linkage over all vectors, cut at height 1.05: the components of pairs within it."""
+    labels, _ = H.single_linkage(_emb(spark, sf), EMB, "vec_id", height=1.05)
+    return labels
+
+
 @register("dendrogram_orders")
 def q_dendro(spark, sf):
     _, dendro = H.hierarchical(_zorders(spark, sf), ORDER_FEATURES, 3, "o_orderkey", "ward", 200)

@@ -154,3 +154,51 @@ def test_divisive_tree_of_odd_tables(spark):
     labels, _ = H.hierarchical(odd, FS, 3, "id", n_micro=10)  # a null feature no longer fails
     assert labels.count() == 50
     assert H.hierarchical(odd.where("false"), FS, 3, "id")[0].count() == 0
+
+
+def plain_tree(x):
+    """Edges (distance, a, b) of the minimum spanning tree, by growing it from row 0."""
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    inside, edges = {0}, []
+    while len(inside) < len(x):
+        edge = min((d[i, j], min(i, j), max(i, j)) for i in inside for j in range(len(x)) if j not in inside)
+        edges.append(edge)
+        inside |= {edge[1], edge[2]}
+    return sorted(edges)
+
+
+def plain_cut(n, edges):
+    label = list(range(n))
+    for _, a, b in edges:
+        low, high = sorted((label[a], label[b]))
+        label = [low if v == high else v for v in label]
+    order = {v: c for c, v in enumerate(sorted(set(label)))}
+    return [order[v] for v in label]
+
+
+def test_spanning_tree_and_single_linkage(spark):
+    rng = np.random.default_rng(8)
+    x = np.unique(np.vstack([points(30, 5), rng.integers(0, 3, (12, 3)) * 2.0]), axis=0)  # ties among grid points
+    x = x[rng.permutation(len(x))]
+    df = frame(spark, x).coalesce(2)
+    want = plain_tree(x)
+    labels, tree = H.single_linkage(df, FS, "id", k=4, tile_rows=6)
+    got = sorted((r["distance"], int(r["a"][1:]), int(r["b"][1:])) for r in tree.collect())
+    assert len(got) == len(want) and np.allclose([e[0] for e in got], [e[0] for e in want])
+    assert {r["id"]: r["cluster"] for r in labels.collect()} == {f"r{i:04d}": c for i, c in enumerate(plain_cut(len(x), want[:-3]))}
+    labels, _ = H.single_linkage(df, FS, "id", height=1.5, tree=tree)
+    assert {r["id"]: r["cluster"] for r in labels.collect()} == {
+        f"r{i:04d}": c for i, c in enumerate(plain_cut(len(x), [e for e in want if e[0] <= 1.5]))}
+
+
+def test_single_linkage_of_odd_tables(spark):
+    x = np.vstack([np.ones((20, 3)), np.zeros((5, 3)), [[9.0, 9, 9]]])  # copies are one point
+    df = frame(spark, x).union(spark.createDataFrame([("null", None, 1.0, 1.0)], "id string, a double, b double, c double"))
+    labels, tree = H.single_linkage(df, FS, "id", k=2)
+    assert tree.count() == 2 and {r["id"]: r["cluster"] for r in labels.collect()} == {f"r{i:04d}": int(i == 25) for i in range(26)}
+    labels, _ = H.single_linkage(df, FS, "id", k=9, tree=tree)
+    assert len({r["cluster"] for r in labels.collect()}) == 3
+    labels, tree = H.single_linkage(df.where("false"), FS, "id", k=2)
+    assert labels.count() == 0 and tree.count() == 0
+    with pytest.raises(ValueError):
+        H.single_linkage(df, FS, "id")
