@@ -288,14 +288,16 @@ def _distinct_points(df: DataFrame, fs: Sequence[str], id_col: str) -> tuple[Dat
     """Distinct feature rows (p: their smallest id, copies, features), and the
     point of every id (id, p).  A row with a null, NaN or infinite feature is a
     point of its own."""
-    rows = df.select(F.col(id_col).alias("id"), *(F.col(f).cast("double").alias(f) for f in fs))
-    odd = rows.where(~finite(fs)).select(F.col("id").alias("p"), F.lit(1).cast("long").alias("copies"), *fs)
-    whole = cut_lineage(rows.where(finite(fs)).groupBy(*fs).agg(F.min("id").alias("p"), F.count(F.lit(1)).alias("copies")))
-    points = whole.select("p", "copies", *fs).unionByName(odd)
+    rows = cut_lineage(df.select(F.col(id_col).alias("id"), finite(fs).alias("_ok"),
+                                 *(F.col(f).cast("double").alias(f) for f in fs)))
+    odd = rows.where(~F.col("_ok")).select(F.col("id").alias("p"), F.lit(1).cast("long").alias("copies"), *fs)
+    whole = cut_lineage(rows.where("_ok").groupBy(*fs).agg(F.min("id").alias("p"), F.count(F.lit(1)).alias("copies"))
+                        .select("p", "copies", *fs))
+    points = cut_lineage(whole.unionByName(odd))
     if whole.where("copies > 1").isEmpty():
         return points, points.select(F.col("p").alias("id"), "p")
-    same = rows.where(finite(fs)).join(whole.select("p", *fs), list(fs)).select("id", "p")
-    return points, same.unionByName(odd.select(F.col("p").alias("id"), "p"))
+    same = rows.where("_ok").join(whole.select("p", *fs), list(fs)).select("id", "p")
+    return points, cut_lineage(same.unionByName(odd.select(F.col("p").alias("id"), "p")))
 
 
 def dbscan_sampled(df: DataFrame, features: Sequence[str], eps: float, min_samples: int,

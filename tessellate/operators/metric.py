@@ -43,11 +43,10 @@ def tile_size(features: int) -> int:
 
 
 def finite(features: Sequence[str]):
-    """True where every feature is a finite number."""
-    ok = F.lit(True)
-    for f in features:
-        ok = ok & F.coalesce(F.abs(F.col(f).cast("double")) < float("inf"), F.lit(False))
-    return ok
+    """True where every feature is a finite number: one predicate, which the
+    optimizer does not take apart however many features there are."""
+    values = F.array(*(F.col(f).cast("double") for f in features))
+    return F.forall(values, lambda v: F.coalesce(F.abs(v) < float("inf"), F.lit(False)))
 
 
 def keyed(df: DataFrame, features: Sequence[str], **columns) -> DataFrame:
