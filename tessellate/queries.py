@@ -604,6 +604,7 @@ def q_stratified(spark, sf):
 
 # ====================================================================== density clustering
 from .operators import dbscan as DB  # noqa: E402
+from .session import cut_lineage  # noqa: E402
 
 
 def _emb_dims(spark, sf, dims):
@@ -687,7 +688,7 @@ def _emb_evaluated(spark, sf):
     e = _emb(spark, sf)
     given = Q.evaluate(e, "label", EMB, "vec_id", "Labels", None)
     lab = DB.dbscan(e, EMB, 1.15, 5, "vec_id")
-    d = e.drop("label").join(lab.select("vec_id", F.col("cluster").alias("label")), "vec_id")
+    d = cut_lineage(e.drop("label").join(lab.select("vec_id", F.col("cluster").alias("label")), "vec_id"))
     dbs = Q.evaluate(d, "label", EMB, "vec_id", "DBSCAN", None)
     return given, dbs
 
