@@ -284,20 +284,21 @@ def dbscan(df: DataFrame, features: Sequence[str], eps: float, min_samples: int,
     return point_of.join(found, "p").select(F.col("id").alias(id_col), "cluster", "is_core")
 
 
-def _distinct_points(df: DataFrame, fs: Sequence[str], id_col: str) -> tuple[DataFrame, DataFrame]:
+def _distinct_points(df: DataFrame, fs: Sequence[str], id_col: str, odd: bool = True) -> tuple[DataFrame, DataFrame]:
     """Distinct feature rows (p: their smallest id, copies, features), and the
     point of every id (id, p).  A row with a null, NaN or infinite feature is a
-    point of its own."""
-    rows = cut_lineage(df.select(F.col(id_col).alias("id"), finite(fs).alias("_ok"),
-                                 *(F.col(f).cast("double").alias(f) for f in fs)))
-    odd = rows.where(~F.col("_ok")).select(F.col("id").alias("p"), F.lit(1).cast("long").alias("copies"), *fs)
-    whole = cut_lineage(rows.where("_ok").groupBy(*fs).agg(F.min("id").alias("p"), F.count(F.lit(1)).alias("copies"))
-                        .select("p", "copies", *fs))
-    points = cut_lineage(whole.unionByName(odd))
+    point of its own; without ``odd`` it is left out."""
+    rows = cut_lineage(df.select(F.col(id_col).alias("id"), F.array(*(F.col(f).cast("double") for f in fs)).alias("x"),
+                                 finite(fs).alias("_ok")))
+    named = [F.col("x")[i].alias(f) for i, f in enumerate(fs)]
+    lone = rows.where(~F.col("_ok") if odd else F.lit(False))
+    whole = cut_lineage(rows.where("_ok").groupBy("x").agg(F.min("id").alias("p"), F.count(F.lit(1)).alias("copies")))
+    points = cut_lineage(whole.select("p", "copies", *named).unionByName(
+        lone.select(F.col("id").alias("p"), F.lit(1).cast("long").alias("copies"), *named)))
     if whole.where("copies > 1").isEmpty():
         return points, points.select(F.col("p").alias("id"), "p")
-    same = rows.where("_ok").join(whole.select("p", *fs), list(fs)).select("id", "p")
-    return points, cut_lineage(same.unionByName(odd.select(F.col("p").alias("id"), "p")))
+    same = rows.where("_ok").join(whole.select("p", "x"), "x").select("id", "p")
+    return points, cut_lineage(same.unionByName(lone.select("id", F.col("id").alias("p"))))
 
 
 def dbscan_sampled(df: DataFrame, features: Sequence[str], eps: float, min_samples: int,

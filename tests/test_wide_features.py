@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tessellate.operators import hierarchy as H
 from tessellate.operators import quality as Q
 from tests.test_metric import plain_silhouette
 
@@ -43,3 +44,15 @@ def test_silhouette_of_derived_labels(spark, vectors):
     want = plain_silhouette(x, np.arange(40) % 5 % 3)
     assert sorted(r["id"] for r in got) == list(range(40))
     assert all(abs(r["silhouette"] - want[r["id"]]) < 1e-9 for r in got)
+
+
+def test_single_linkage_of_array_features(spark, vectors):
+    x, df = vectors
+    with within(100):
+        labels = {r["id"]: r["cluster"] for r in H.single_linkage(df, FS, "id", height=8.5)[0].collect()}
+    comp = list(range(40))
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    for _ in range(40):
+        comp = [min(comp[j] for j in range(40) if d[i, j] <= 8.5) for i in range(40)]
+    order = {c: k for k, c in enumerate(sorted(set(comp)))}
+    assert labels == {i: order[c] for i, c in enumerate(comp)}
