@@ -136,7 +136,10 @@ def _dbscan_grid(df: DataFrame, fs: Sequence[str], eps: float, min_samples: int,
     <= eps: all its points are then mutual neighbours.  Every (point, nearby
     cell) pair is classified by box distances as *full* (both cells tight and
     the whole box within eps: counted, no pairs), *none* (box farther than
-    eps) or *partial* (exact point pairs).  Cores connect by star edges to
+    eps) or *partial* (exact point pairs).  A tight cell of ``min_samples``
+    points holds cores only (*sure*): its points need no counts, and two such cells
+    are one cell pair, linked or not; pairs are listed for the other points, the
+    thin outskirts of the clusters.  Cores connect by star edges to
     their tight cell's smallest core and to the smallest core of full
     cells, plus exact core pairs - the same components as the full eps-graph
     without ever listing the pairs inside a dense cell, so a cell holding a
@@ -154,18 +157,18 @@ def _dbscan_grid(df: DataFrame, fs: Sequence[str], eps: float, min_samples: int,
         *[F.min(f"x{i}").alias(f"lo{i}") for i in range(d)],
         *[F.max(f"x{i}").alias(f"hi{i}") for i in range(d)])
     diam2 = _sq_dist([F.col(f"hi{i}") for i in range(d)], [F.col(f"lo{i}") for i in range(d)])
-    cells = cells.withColumn("tight", diam2 <= F.lit(e2)).persist(StorageLevel.MEMORY_AND_DISK)
+    cells = cells.withColumn("tight", diam2 <= F.lit(e2)).withColumn("sure", F.col("tight") & (F.col("n") >= min_samples)).persist(StorageLevel.MEMORY_AND_DISK)
     # nearby cells: offsets whose cell gap can still be <= eps
     offs = [o for o in itertools.product(range(-2, 3), repeat=d)
             if sum(max(abs(v) - 1, 0) ** 2 for v in o) <= d]
     off_arr = F.array(*[F.array(*[F.lit(v) for v in o]) for o in offs])
-    near = cells.select(*[F.col(c).alias(f"n{c}") for c in ckeys], "n", "tight",
+    near = cells.select(*[F.col(c).alias(f"n{c}") for c in ckeys], "n", "tight", "sure",
                         *[F.col(f"lo{i}") for i in range(d)], *[F.col(f"hi{i}") for i in range(d)],
                         F.explode(off_arr).alias("_o"))
     near = near.select(*[(F.col(f"n{c}") + F.col("_o")[i]).alias(c) for i, c in enumerate(ckeys)],
-                       *[F.col(f"n{c}") for c in ckeys], "n", F.col("tight").alias("ntight"),
+                       *[F.col(f"n{c}") for c in ckeys], "n", F.col("tight").alias("ntight"), F.col("sure").alias("nsure"),
                        *[F.col(f"lo{i}") for i in range(d)], *[F.col(f"hi{i}") for i in range(d)])
-    own = cells.select(*ckeys, F.col("tight").alias("otight"))
+    own = cells.select(*ckeys, F.col("tight").alias("otight"), F.col("sure").alias("osure"))
     pc = pts.join(own, ckeys).join(near, ckeys)   # point x non-empty nearby cell
     far = [F.greatest(F.abs(F.col(f"x{i}") - F.col(f"lo{i}")), F.abs(F.col(f"x{i}") - F.col(f"hi{i}")))
            for i in range(d)]
@@ -174,29 +177,36 @@ def _dbscan_grid(df: DataFrame, fs: Sequence[str], eps: float, min_samples: int,
     zero = [F.lit(0.0)] * d
     maxd2, mind2 = _sq_dist(far, zero), _sq_dist(gap, zero)
     full = F.col("otight") & F.col("ntight") & (maxd2 <= F.lit(e2))
-    pc = pc.select("p", *[F.col(f"x{i}") for i in range(d)], *[F.col(f"n{c}") for c in ckeys],
-                   "n", F.when(full, F.lit("full")).when(mind2 > F.lit(e2), F.lit("none"))
+    pc = pc.select("p", *[F.col(f"x{i}") for i in range(d)], *ckeys, *[F.col(f"n{c}") for c in ckeys],
+                   "n", "osure", "nsure", F.when(full, F.lit("full")).when(mind2 > F.lit(e2), F.lit("none"))
                    .otherwise(F.lit("partial")).alias("kind")).where(F.col("kind") != "none")
     pc = pc.persist(StorageLevel.MEMORY_AND_DISK)
-    # exact pairs only for partial (point, cell) combinations
+    # exact pairs only for partial (point, cell) combinations, listed for points whose own cell does not make them cores
     part = pc.where(F.col("kind") == "partial").select(
-        "p", *[F.col(f"x{i}").alias(f"a{i}") for i in range(d)],
-        *[F.col(f"n{c}").alias(c) for c in ckeys])
+        "p", "osure", "nsure", *[F.col(f"x{i}").alias(f"a{i}") for i in range(d)],
+        *[F.col(c).alias(f"o{c}") for c in ckeys], *[F.col(f"n{c}").alias(c) for c in ckeys])
     others = pts.select(F.col("p").alias("q"), *ckeys, *[F.col(f"x{i}").alias(f"b{i}") for i in range(d)])
     pair_d2 = _sq_dist([F.col(f"a{i}") for i in range(d)], [F.col(f"b{i}") for i in range(d)])
-    pairs = part.join(others, ckeys).where(F.col("p") != F.col("q")) \
+    pairs = part.where(~F.col("osure")).join(others, ckeys).where(F.col("p") != F.col("q")) \
                 .where(pair_d2 <= F.lit(e2)).select("p", "q").persist(StorageLevel.MEMORY_AND_DISK)
+    # two cells of cores: one pair within eps links them, so only the cells are kept (each two once)
+    once = F.struct(*[F.col(f"o{c}").alias(c) for c in ckeys]) < F.struct(*ckeys)
+    linked = part.where(F.col("osure") & F.col("nsure") & once).join(others, ckeys).where(pair_d2 <= F.lit(e2)) \
+                 .select(*[f"o{c}" for c in ckeys], *ckeys).distinct()
+    linked = linked.unionByName(pc.where((F.col("kind") == "full") & F.col("osure")).select(
+        *[F.col(c).alias(f"o{c}") for c in ckeys], *[F.col(f"n{c}").alias(c) for c in ckeys]).distinct())
     # neighbour counts (self included): full cells by count, partial by pairs
-    full_n = pc.where(F.col("kind") == "full").groupBy("p").agg(F.sum("n").alias("_fn"))
+    full_n = pc.where((F.col("kind") == "full") & ~F.col("osure")).groupBy("p").agg(F.sum("n").alias("_fn"))
     pair_n = pairs.groupBy("p").agg(F.count(F.lit(1)).alias("_pn"))
-    self_in_full = pc.where((F.col("kind") == "full") &
+    self_in_full = pc.where((F.col("kind") == "full") & ~F.col("osure") &
                             F.expr(" AND ".join(f"n{c} = floor(x{i} / {side!r})" for i, c in enumerate(ckeys))))
     self_in_full = self_in_full.select("p").distinct().withColumn("_sf", F.lit(1))
-    deg = pts.select("p").join(full_n, "p", "left").join(pair_n, "p", "left") \
+    sure = pts.join(cells.where("sure").select(*ckeys), ckeys).select("p").distinct().withColumn("_sure", F.lit(True))
+    deg = pts.select("p").join(sure, "p", "left").join(full_n, "p", "left").join(pair_n, "p", "left") \
              .join(self_in_full, "p", "left")
     deg_all = F.coalesce(F.col("_fn"), F.lit(0)) + F.coalesce(F.col("_pn"), F.lit(0)) + \
         F.when(F.col("_sf").isNull(), F.lit(1)).otherwise(F.lit(0))
-    core = deg.select("p", (deg_all >= min_samples).alias("is_core")) \
+    core = deg.select("p", (F.col("_sure").isNotNull() | (deg_all >= min_samples)).alias("is_core")) \
               .persist(StorageLevel.MEMORY_AND_DISK)
     # smallest core per cell; star edges and full-cell representative edges
     pcell = pts.select("p", *ckeys).join(core, "p")
@@ -204,16 +214,19 @@ def _dbscan_grid(df: DataFrame, fs: Sequence[str], eps: float, min_samples: int,
     tight_cells = cells.where("tight").select(*ckeys)
     star = pcell.where("is_core").join(tight_cells, ckeys).join(mincore, ckeys) \
                 .select(F.col("p").alias("src"), F.col("rep").alias("dst"))
-    full_rep = pc.where(F.col("kind") == "full").select(
+    full_rep = pc.where((F.col("kind") == "full") & ~F.col("osure")).select(
         "p", *[F.col(f"n{c}").alias(c) for c in ckeys]).join(mincore, ckeys).select("p", "rep")
     is_core_p = core.where("is_core").select("p")
     rep_edges = full_rep.join(is_core_p, "p").select(F.col("p").alias("src"), F.col("rep").alias("dst"))
     core_q = core.where("is_core").select(F.col("p").alias("q"))
     core_pairs = pairs.join(is_core_p, "p").join(core_q, "q").select(
         F.col("p").alias("src"), F.col("q").alias("dst"))
+    cell_edges = linked.join(mincore, ckeys).withColumnRenamed("rep", "dst") \
+                       .join(mincore.select(*[F.col(c).alias(f"o{c}") for c in ckeys], F.col("rep").alias("src")),
+                             [f"o{c}" for c in ckeys]).select("src", "dst")
     comp = connected_components(is_core_p.select(F.col("p").alias("id")),
-                                star.unionByName(rep_edges).unionByName(core_pairs))
-    # core neighbours of every point: representatives of full cells, exact pairs
+                                star.unionByName(rep_edges).unionByName(core_pairs).unionByName(cell_edges))
+    # core neighbours of the points outside cells of cores: representatives of full cells, exact pairs
     core_nb = full_rep.select("p", F.col("rep").alias("q")).unionByName(
         pairs.join(core_q, "q").select("p", "q"))
     found = cut_lineage(_number_and_border(core, comp, core_nb, id_col, noise))
