@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import present
 from ..session import cut_lineage
 from .assign import _sq_dist, propagate_nearest
-from .metric import finite, near_pairs
+from .metric import Pivots, dealt_tiles, finite, keyed, near_counts, near_least, near_links, near_pairs, tile_size
 from .ordered import numbered
 from .sample import uniform_sample
 
@@ -118,10 +118,21 @@ def _number_and_border(pts: DataFrame, comp: DataFrame, core_nb: DataFrame, id_c
     """Cluster ids from components (by smallest core id) and border labels
     (smallest cluster among core neighbours).  ``pts`` (p, is_core),
     ``comp`` (id, comp), ``core_nb`` (p, q): q is a core within eps of p."""
-    clusters = numbered(comp.select("comp").distinct(), ["comp"], "cluster")
-    core_lab = comp.join(clusters, "comp").select(F.col("id").alias("p"), "cluster")
+    core_lab = _core_labels(comp)
     border = core_nb.join(core_lab.withColumnRenamed("p", "q"), "q") \
                     .groupBy("p").agg(F.min("cluster").alias("_bc"))
+    return _labelled(pts, core_lab, border, id_col, noise)
+
+
+def _core_labels(comp: DataFrame) -> DataFrame:
+    """(p, cluster) of the cores: components numbered by their smallest id."""
+    clusters = numbered(comp.select("comp").distinct(), ["comp"], "cluster")
+    return comp.join(clusters, "comp").select(F.col("id").alias("p"), "cluster")
+
+
+def _labelled(pts: DataFrame, core_lab: DataFrame, border: DataFrame, id_col: str, noise: int) -> DataFrame:
+    """Labels of ``pts`` (p, is_core) from those of the cores (p, cluster) and of
+    the border points (p, _bc)."""
     out = pts.join(core_lab, "p", "left").join(border, "p", "left")
     lab = F.when(F.col("is_core"), F.col("cluster")).otherwise(
         F.coalesce(F.col("_bc"), F.lit(noise))).cast("int")
@@ -235,6 +246,42 @@ def _dbscan_grid(df: DataFrame, fs: Sequence[str], eps: float, min_samples: int,
     return found
 
 
+def _dbscan_tiles(df: DataFrame, fs: Sequence[str], eps: float, min_samples: int, id_col: str, noise: int) -> DataFrame:
+    """DBSCAN whose pairs stay in the tasks: tiles meet tiles (``metric``) for the
+    neighbour counts, then the cores' for a forest of links, then the other points'
+    with the cores' for the least cluster.  What leaves a task is bounded by the
+    rows it holds, so disk and shuffle grow with the rows times a constant number
+    of parts, however many pairs lie within ``eps``."""
+    points, point_of = _distinct_points(df, fs, id_col) if len(fs) > 3 else (
+        df.select(F.col(id_col).alias("p"), F.lit(1).cast("long").alias("copies"), *fs), None)
+    d, size = len(fs), tile_size(len(fs))
+    rows = keyed(points.where(F.col("p").isNotNull()), fs, id="p", copies="copies")
+    pivots = Pivots.of(rows, d, size)
+
+    def tiled(found, value, radius=None):
+        return dealt_tiles(found, pivots, d, ["id", value], eps, size, radius)
+
+    none = rows.select(F.col("id").alias("p"), F.lit(0).cast("long").alias("n")).where(F.lit(False))
+    deg = near_counts(tiled(rows, "copies")[0], pivots, d, eps).withColumnRenamed("id", "p") if len(pivots) else none
+    pts = cut_lineage(points.select("p", "copies").join(deg, "p", "left").select(
+        "p", ((F.coalesce(F.col("n"), F.lit(0)) + F.col("copies")) >= min_samples).alias("is_core")))
+    cores = pts.where("is_core").select(F.col("p").alias("id")).distinct()
+    core_rows = rows.join(cores, "id")
+    links = near_links(tiled(core_rows, "copies")[0], pivots, d, eps) if len(pivots) else \
+        none.select(F.col("p").alias("src"), F.col("p").alias("dst"))
+    core_lab = cut_lineage(_core_labels(connected_components(cores, links)))
+    if len(pivots):
+        tiles, radius = tiled(core_rows.join(core_lab.select(F.col("p").alias("id"), F.col("cluster").cast("long")), "id"), "cluster")
+        others, _ = tiled(rows.join(cores, "id", "left_anti"), "copies", radius)
+        border = near_least(others, tiles, pivots, d, eps, "cluster").select(F.col("id").alias("p"), F.col("least").alias("_bc"))
+    else:
+        border = none.select("p", F.col("n").alias("_bc"))
+    found = _labelled(pts, core_lab, border, "p", noise)
+    if point_of is None:
+        return found.withColumnRenamed("p", id_col)
+    return point_of.join(found, "p").select(F.col("id").alias(id_col), "cluster", "is_core")
+
+
 PAIR_BUDGET_PER_ROW = 64
 
 
@@ -269,8 +316,11 @@ def dbscan(df: DataFrame, features: Sequence[str], eps: float, min_samples: int,
     ``auto`` is a size check: the eps-join runs while its candidate pairs
     (estimated from coarse cell counts) stay within ``PAIR_BUDGET_PER_ROW``
     per row; beyond that - dense or hot cells - inputs with <= 3 features use
-    the tight-cell grid, which lists no pairs inside dense cells."""
+    the tight-cell grid, which lists no pairs inside dense cells.
+    ``tiles``: pairs are met, not listed."""
     fs = present(df, features)
+    if method == "tiles":
+        return _dbscan_tiles(df, fs, eps, min_samples, id_col, noise)
     if method == "auto" and len(fs) <= 3 and not grid_features:
         rows, cand = candidate_pairs(df, fs, eps)
         method = "grid" if cand > PAIR_BUDGET_PER_ROW * max(rows, 1) else "pairs"
@@ -318,10 +368,11 @@ def dbscan_sampled(df: DataFrame, features: Sequence[str], eps: float, min_sampl
                    id_col: str, sample_size: int = 15000, seed: int = 42,
                    grid_features: Sequence[str] | None = None) -> DataFrame:
     """DBSCAN on a reproducible sample, every row takes the label of its
-    nearest sample point (noise spreads as noise).  (id, cluster)."""
+    nearest sample point (noise spreads as noise).  (id, cluster).  The sample is
+    bounded, so its tiles meet: a few matrix products, whatever its density."""
     fs = present(df, features)
     sample = cut_lineage(uniform_sample(df.select(id_col, *fs), sample_size, id_col, seed))
-    lab = dbscan(sample, fs, eps, min_samples, id_col, grid_features)
+    lab = cut_lineage(dbscan(sample, fs, eps, min_samples, id_col, grid_features, method="auto" if grid_features else "tiles"))
     labelled = sample.join(lab, id_col)
     nn = propagate_nearest(df, labelled, fs, id_col, id_col, "cluster")
     return nn.select(id_col, F.col("nn_label").alias("cluster"))
