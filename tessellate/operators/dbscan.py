@@ -267,7 +267,7 @@ def _dbscan_tiles(df: DataFrame, fs: Sequence[str], eps: float, min_samples: int
         "p", ((F.coalesce(F.col("n"), F.lit(0)) + F.col("copies")) >= min_samples).alias("is_core")))
     cores = pts.where("is_core").select(F.col("p").alias("id")).distinct()
     core_rows = rows.join(cores, "id")
-    links = near_links(tiled(core_rows, "copies")[0], pivots, d, eps) if len(pivots) else \
+    links = cut_lineage(near_links(tiled(core_rows, "copies")[0], pivots, d, eps)) if len(pivots) else \
         none.select(F.col("p").alias("src"), F.col("p").alias("dst"))
     core_lab = cut_lineage(_core_labels(connected_components(cores, links)))
     if len(pivots):
@@ -316,10 +316,10 @@ def dbscan(df: DataFrame, features: Sequence[str], eps: float, min_samples: int,
     ``auto`` is a size check: the eps-join runs while its candidate pairs
     (estimated from coarse cell counts) stay within ``PAIR_BUDGET_PER_ROW``
     per row; beyond that - dense or hot cells - inputs with <= 3 features use
-    the tight-cell grid, which lists no pairs inside dense cells.
-    ``tiles``: pairs are met, not listed."""
+    the tight-cell grid, which lists no pairs inside dense cells.  More features
+    go by ``tiles``: pairs are met, not listed."""
     fs = present(df, features)
-    if method == "tiles":
+    if method == "tiles" or (method == "auto" and len(fs) > 3 and not grid_features):
         return _dbscan_tiles(df, fs, eps, min_samples, id_col, noise)
     if method == "auto" and len(fs) <= 3 and not grid_features:
         rows, cand = candidate_pairs(df, fs, eps)

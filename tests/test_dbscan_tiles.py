@@ -43,6 +43,16 @@ def test_sampled_fit_lists_no_pairs(spark, counted):
     assert counted[0] < 2 * len(x)
 
 
+def test_many_features_list_no_pairs(spark, counted):
+    x = dense(6)
+    x[300:320] = x[300]  # copies
+    df = frame(spark, x).unionByName(spark.createDataFrame([(900, None)], "id long, x0 double"), allowMissingColumns=True)
+    rows = {r["id"]: (r["cluster"], r["is_core"]) for r in DB.dbscan(df, [f"x{f}" for f in range(6)], 0.25, 6, "id").collect()}
+    label, core = plain_dbscan(x, 0.25, 6)
+    assert rows == {**{i: (int(label[i]), bool(core[i])) for i in range(len(x))}, 900: (-1, False)}
+    assert counted[0] < 4 * len(x)
+
+
 def test_within_is_exact_at_the_radius():
     rng = np.random.default_rng(2)
     x = rng.integers(0, 4, (80, 5)) * 0.25 + 1000.0
