@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 
+from tessellate.operators import hierarchy as H
 from tessellate.sources import reports as RP
 
 
@@ -24,3 +25,9 @@ def test_insights_report_derives_its_table_once(derived):
     df, seen = derived
     rows = RP.insights_report(df, ["a", "b"], id_col="id").collect()
     assert seen.value == 120 and any(r["key"] == "rows" and r["value"] == "120" for r in rows)
+
+
+def test_hierarchical_derives_its_table_once(derived):
+    df, seen = derived
+    labels, _ = H.hierarchical(df, ["a", "b"], 3, "id", n_micro=20)
+    assert labels.count() == 120 and seen.value == 120
