@@ -11,6 +11,13 @@ substrings are unions of overlapping runs.  Tokens covered by a substring that
 occurs on at least ``MIN_PAGES`` distinct pages and ``MIN_SHARE`` of the
 host's pages are boilerplate; the unique runs stay.
 
+A marked article enters the array too, by the suffixes that start at its
+separators, compared to the next separator: whole blocks, of ``MIN_TOKENS``
+tokens with both.  A block on more than ``STORY_SHARE`` of the host's distinct
+articles, ``MIN_STORIES`` of them at least, is a notice and goes; what fewer
+articles share is text.  Articles of which ``NEAR_COPY`` or more would go are
+near copies of each other: they are no evidence and stay whole.
+
 The array is dealt by (host, leading tokens) and pre-aggregated, so a host
 with a third of all pages is spread like any other and its menu costs one
 partial count per task.
@@ -30,12 +37,16 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import slices, texts_to_python, written
 
 MIN_TOKENS = 6
 MIN_PAGES = 3
 MIN_SHARE = 0.02
+MIN_STORIES = 5
+STORY_SHARE = 0.5
+NEAR_COPY = 0.75
 SEPARATOR = "\x00"
 
 #: Elements whose content is never text of the page.
@@ -197,9 +208,29 @@ def unique_runs(texts: list[str], repeated: set[int], depth: int = MIN_TOKENS, h
     return out
 
 
+def block_heads(texts: list[str], depth: int = MIN_TOKENS, host: str = "") -> list[int | None]:
+    """Hash of the host and each block between its separators, None where they are fewer than ``depth`` tokens."""
+    out: list[int | None] = []
+    for text in texts:
+        words = text.split()
+        h = xxhash.xxh64_intdigest("\x01".join((host, SEPARATOR, *words, SEPARATOR)))
+        out.append(None if len(words) + 2 < depth else h - (1 << 64) if h >> 63 else h)
+    return out
+
+
+def own_blocks(texts: list[str], repeated: set[int], depth: int = MIN_TOKENS, host: str = "") -> list[str]:
+    """The blocks of an article without the repeated ones, or all of a near copy."""
+    heads = block_heads(texts, depth, host)
+    words = [len(t.split()) for t in texts]
+    if sum(n for n, h in zip(words, heads) if h in repeated) >= NEAR_COPY * sum(words):
+        return texts
+    return [t for t, h in zip(texts, heads) if h not in repeated]
+
+
 def judged_blocks(found: list[tuple[str, int, bool]]) -> tuple[list[str] | None, list[str] | None, list[str]]:
     """(article or None, unmarked blocks of a page without one or None, the
-    blocks whose repetition on other pages is evidence)."""
+    blocks whose repetition on other pages is evidence).  An article is judged
+    by its whole blocks, among articles; the others by their substrings."""
     kept = article(found)
     if kept is not None:
         return kept, None, [t for t, r, off in found if off or not r]
@@ -215,24 +246,36 @@ def page_key(page, value: str | None) -> int:
 
 
 def page_heads(pages: DataFrame, id_col: str, url_col: str, html_col: str, depth: int) -> DataFrame:
-    """(page, content, host, heads): the distinct suffix heads of each page's
-    evidence; page and content are hashes of id and html, and of html."""
+    """(page, content, host, heads, story, words, blocks): the distinct suffix
+    heads of each page's evidence; page and content are hashes of id and html, and
+    of html.  Of an article: the hash of its text, its words, and by head of its
+    blocks their words (null without one)."""
+    block = T.StructType([T.StructField("head", T.LongType()), T.StructField("words", T.IntegerType())])
     schema = T.StructType([T.StructField("page", T.LongType()), T.StructField("content", T.LongType()),
-                           T.StructField("host", T.StringType()), T.StructField("heads", T.ArrayType(T.LongType()))])
+                           T.StructField("host", T.StringType()), T.StructField("heads", T.ArrayType(T.LongType())),
+                           T.StructField("story", T.LongType()), T.StructField("words", T.IntegerType()),
+                           T.StructField("blocks", T.ArrayType(block))])
+    kinds = [to_arrow_type(f.dataType) for f in schema]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            keys, contents, heads = [], [], []
+            rows = []
             for page, host, value in zip(*(batch.column(k).to_pylist() for k in range(3))):
-                _, judged, evidence = judged_blocks(blocks(value or ""))
+                kept, judged, evidence = judged_blocks(blocks(value or ""))
                 found = set(suffix_heads(stream(evidence), depth, host))
                 if judged:
                     found |= set(suffix_heads(stream(judged), depth, host))
-                keys.append(page_key(page, value))
-                contents.append(xxhash.xxh64_intdigest(value or "") >> 1)
-                heads.append(sorted(found))
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(contents, pa.int64()), batch.column(1),
-                                              pa.array(heads, pa.list_(pa.int64()))], names=schema.names)
+                story = words = parts = None
+                if kept:
+                    counts: dict[int, int] = {}
+                    for text, h in zip(kept, block_heads(kept, depth, host)):
+                        if h is not None:
+                            counts[h] = counts.get(h, 0) + len(text.split())
+                    story, words = xxhash.xxh64_intdigest("\n".join(kept)) >> 1, sum(len(t.split()) for t in kept)
+                    parts = [{"head": h, "words": n} for h, n in counts.items()]
+                rows.append((page_key(page, value), xxhash.xxh64_intdigest(value or "") >> 1, host, sorted(found), story, words, parts))
+            columns = zip(*rows) if rows else [()] * len(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], names=schema.names)
 
     return texts_to_python(pages).select(id_col, host_of(url_col).alias("host"), html_col).mapInArrow(run, schema)
 
@@ -248,15 +291,44 @@ def repeated_heads(heads: DataFrame, min_pages: int = MIN_PAGES, min_share: floa
             .where(F.col("pages") >= min_share * F.col("of")).select("head", "pages"))
 
 
+def repeated_blocks(heads: DataFrame, min_stories: int = MIN_STORIES, min_share: float = STORY_SHARE) -> DataFrame:
+    """(host, gone): the heads of the blocks that repeat on enough of the host's
+    distinct articles, near copies aside; at most ``1 / min_share`` times as many as
+    an article has on average."""
+    stories = heads.where(F.col("story").isNotNull()).select("host", "story", "words", "blocks")
+    of = written(stories.groupBy("host").agg(F.count_distinct("story").alias("of")), "stories")
+    listed = stories.select("host", "story", F.explode("blocks.head").alias("head"))
+    # rows are at least as many as distinct articles: first those with enough rows at all, then on their host
+    often = listed.groupBy("head").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_stories).select("head")
+    common = (listed.join(often, "head", "left_semi").groupBy("head").agg(F.min("host").alias("host"), F.count(F.lit(1)).alias("n"))
+              .join(of, "host").where(F.col("n") > min_share * F.col("of")).select("head"))
+    seen = written(listed.join(written(common, "common-blocks"), "head", "left_semi").distinct(), "common-blocks-seen")
+
+    def repeated(seen: DataFrame, of: DataFrame) -> DataFrame:
+        enough = (F.col("n") >= min_stories) & (F.col("n") > min_share * F.col("of"))
+        return (seen.groupBy("host", "head").agg(F.count(F.lit(1)).alias("n")).join(of, "host").where(enough)
+                .groupBy("host").agg(F.collect_list("head").alias("gone")))
+
+    covered = F.aggregate(F.filter("blocks", lambda b: F.array_contains("gone", b["head"])), F.lit(0), lambda n, b: n + b["words"])
+    near = written(stories.join(repeated(seen, of), "host").where(covered >= NEAR_COPY * F.col("words"))
+                   .select("host", "story").distinct(), "near-copies")
+    others = of.join(near.groupBy("host").agg(F.count(F.lit(1)).alias("near")), "host", "left").select(
+        "host", (F.col("of") - F.coalesce("near", F.lit(0))).alias("of"))
+    return repeated(seen.join(near, ["host", "story"], "left_anti"), others)
+
+
 def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html",
                       min_tokens: int = MIN_TOKENS, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
     """(id, url, text, n_chars, n_repeated), one row per page; n_repeated is the
     number of its suffixes, outside its article, that its host repeats."""
     heads = written(page_heads(pages, id_col, url_col, html_col, min_tokens), "page-heads")
     repeated = written(repeated_heads(heads, min_pages, min_share), "repeated-heads")
+    blocks_ = written(repeated_blocks(heads), "repeated-blocks")
     covered = (heads.select("page", F.explode("heads").alias("head")).hint("merge")
-               .join(repeated.select("head"), "head")
-               .groupBy("page").agg(F.collect_set("head").alias("covered"))  # heads of one page
+               .join(repeated.select("head"), "head").select("page", "head", F.lit(None).cast("long").alias("block")))
+    cut = heads.join(blocks_, "host").select("page", F.lit(None).cast("long").alias("head"),
+                                             F.explode(F.array_intersect("blocks.head", "gone")).alias("block"))
+    covered = (covered.union(cut).groupBy("page").agg(F.collect_set("head").alias("covered"), F.collect_set("block").alias("cut"))  # of one page
                .withColumnRenamed("page", "page_"))
     fields = [T.StructField("id", pages.schema[id_col].dataType), T.StructField("url", pages.schema[url_col].dataType),
               T.StructField("page", T.LongType()), T.StructField("text", T.StringType()),
@@ -275,14 +347,18 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             texts, counts = [], []
-            for text, judged, gone, host in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4, 5))):
-                texts.append(text if judged is None else "\n".join(unique_runs(judged, set(gone or ()), min_tokens, host)))
+            for text, judged, gone, cut, host in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4, 5, 6))):
+                if judged is not None:
+                    text = "\n".join(unique_runs(judged, set(gone or ()), min_tokens, host))
+                elif cut:
+                    text = "\n".join(own_blocks(text.split("\n"), set(cut), min_tokens, host))
+                texts.append(text)
                 counts.append(len(gone or ()))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()),
                                               pa.array(counts, pa.int64())], names=out.names)
 
     parsed = texts_to_python(pages, id_col, url_col, html_col).mapInArrow(parse, T.StructType(fields))
     whole = (parsed.join(covered, parsed["page"] == covered["page_"], "left")
-             .select("id", "url", "text", "judged", "covered", host_of("url").alias("host")).mapInArrow(finish, out))
+             .select("id", "url", "text", "judged", "covered", "cut", host_of("url").alias("host")).mapInArrow(finish, out))
     return whole.select(F.col("id").alias(id_col), F.col("url").alias(url_col), "text",
                         F.char_length("text").cast("long").alias("n_chars"), "n_repeated")
