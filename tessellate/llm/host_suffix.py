@@ -33,13 +33,14 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import slices, texts_to_python, written
+from .common import sized_slices, texts_to_python, written
 
 MIN_TOKENS = 6
 MIN_PAGES = 3
@@ -241,6 +242,16 @@ def host_of(url: str) -> Column:
     return F.lower(F.coalesce(F.regexp_extract(F.coalesce(F.col(url), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1), F.lit("")))
 
 
+def html_bytes(batch: pa.RecordBatch) -> pa.Array:
+    return pc.fill_null(pc.binary_length(batch.column(2)), 0)
+
+
+def text_and_heads_bytes(batch: pa.RecordBatch) -> pa.Array:
+    """Of the text and the covered heads of each row, 40 bytes for a head (a Python int in a list)."""
+    heads = pc.cast(pc.fill_null(pc.list_value_length(batch.column(4)), 0), pa.int64())
+    return pc.add(pc.cast(pc.binary_length(batch.column(2)), pa.int64()), pc.multiply(heads, 40))
+
+
 def page_key(page, value: str | None) -> int:
     return xxhash.xxh64_intdigest(f"{page}\x00{value or ''}") >> 1
 
@@ -258,7 +269,7 @@ def page_heads(pages: DataFrame, id_col: str, url_col: str, html_col: str, depth
     kinds = [to_arrow_type(f.dataType) for f in schema]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in sized_slices(batches, html_bytes):
             rows = []
             for page, host, value in zip(*(batch.column(k).to_pylist() for k in range(3))):
                 kept, judged, evidence = judged_blocks(blocks(value or ""))
@@ -332,24 +343,24 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
                .withColumnRenamed("page", "page_"))
     fields = [T.StructField("id", pages.schema[id_col].dataType), T.StructField("url", pages.schema[url_col].dataType),
               T.StructField("page", T.LongType()), T.StructField("text", T.StringType()),
-              T.StructField("judged", T.ArrayType(T.StringType()))]
+              T.StructField("marked", T.BooleanType())]
     out = T.StructType([*fields[:2], fields[3], T.StructField("n_repeated", T.LongType())])
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in sized_slices(batches, html_bytes):
             rows = [(value or "", *judged_blocks(blocks(value or ""))) for value in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1),
                  pa.array([page_key(i, v) for i, (v, *_) in zip(batch.column(0).to_pylist(), rows)], pa.int64()),
-                 pa.array([None if kept is None else "\n".join(kept) for _, kept, _, _ in rows], pa.string()),
-                 pa.array([judged for _, _, judged, _ in rows], pa.list_(pa.string()))], names=[f.name for f in fields])
+                 pa.array(["\n".join(judged if kept is None else kept) for _, kept, judged, _ in rows], pa.string()),
+                 pa.array([kept is not None for _, kept, _, _ in rows], pa.bool_())], names=[f.name for f in fields])
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in sized_slices(batches, text_and_heads_bytes):
             texts, counts = [], []
-            for text, judged, gone, cut, host in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4, 5, 6))):
-                if judged is not None:
-                    text = "\n".join(unique_runs(judged, set(gone or ()), min_tokens, host))
+            for text, marked, gone, cut, host in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4, 5, 6))):
+                if not marked:
+                    text = "\n".join(unique_runs(text.split("\n") if text else [], set(gone or ()), min_tokens, host))
                 elif cut:
                     text = "\n".join(own_blocks(text.split("\n"), set(cut), min_tokens, host))
                 texts.append(text)
@@ -358,7 +369,8 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
                                               pa.array(counts, pa.int64())], names=out.names)
 
     parsed = texts_to_python(pages, id_col, url_col, html_col).mapInArrow(parse, T.StructType(fields))
-    whole = (parsed.join(covered, parsed["page"] == covered["page_"], "left")
-             .select("id", "url", "text", "judged", "covered", "cut", host_of("url").alias("host")).mapInArrow(finish, out))
+    # texts cross one shuffle and are not sorted; a task holds the heads of its share
+    whole = (parsed.join(covered.hint("shuffle_hash"), parsed["page"] == covered["page_"], "left")
+             .select("id", "url", "text", "marked", "covered", "cut", host_of("url").alias("host")).mapInArrow(finish, out))
     return whole.select(F.col("id").alias(id_col), F.col("url").alias(url_col), "text",
                         F.char_length("text").cast("long").alias("n_chars"), "n_repeated")
