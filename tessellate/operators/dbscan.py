@@ -26,7 +26,7 @@ DBSCAN (C6)
 Connected components
     min-label propagation with pointer jumping; every round is checkpointed
     to the shared checkpoint folder (reliable, lineage cut), stops when no
-    label changes.
+    label changes.  At most ``LOCAL_LINKS`` links are joined on the driver instead.
 """
 
 from __future__ import annotations
@@ -38,6 +38,7 @@ from collections.abc import Sequence
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.columns import present
 from ..session import cut_lineage
@@ -81,6 +82,25 @@ def eps_join(df: DataFrame, features: Sequence[str], eps: float, id_col: str,
                     F.sqrt("_d2").alias("distance"))
 
 
+LOCAL_LINKS = 10_000
+
+
+def _joined(links: list) -> dict:
+    """The smallest id in the component of each id that a link names."""
+    parent: dict = {}
+
+    def root(v):
+        parent.setdefault(v, v)
+        while parent[v] != v:
+            parent[v] = v = parent[parent[v]]
+        return v
+
+    for a, b in links:
+        a, b = root(a), root(b)
+        parent[max(a, b)] = min(a, b)
+    return {v: root(v) for v in list(parent)}
+
+
 def connected_components(vertices: DataFrame, edges: DataFrame, max_rounds: int | None = None
                          ) -> DataFrame:
     """(id, comp) with comp = smallest id in the component.
@@ -88,9 +108,16 @@ def connected_components(vertices: DataFrame, edges: DataFrame, max_rounds: int
     ``vertices`` has column ``id``; ``edges`` has ``src``, ``dst`` (either
     direction suffices).  Rounds run until no label changes; with
     ``max_rounds`` it raises if they do not suffice."""
-    e = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"),
-                                                            F.col("src").alias("dst")))
-    e = cut_lineage(e.where(F.col("src") != F.col("dst")).distinct())
+    once = cut_lineage(edges.where(F.col("src") != F.col("dst")).select(
+        F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct())
+    kind = vertices.schema["id"].dataType
+    if max_rounds is None and isinstance(kind, (T.IntegralType, T.StringType)):
+        links = once.limit(LOCAL_LINKS + 1).collect()
+        if len(links) <= LOCAL_LINKS:
+            low = vertices.sparkSession.createDataFrame(list(_joined(links).items()), T.StructType([T.StructField("id", kind), T.StructField("comp", kind)]))
+            return cut_lineage(vertices.select("id").distinct().join(F.broadcast(low), "id", "left").select(
+                "id", F.coalesce("comp", "id").alias("comp")))
+    e = once.unionByName(once.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
     labels = cut_lineage(vertices.select("id", F.col("id").alias("comp")).distinct())
     for done in itertools.count():
         if max_rounds is not None and done >= max_rounds:
